@@ -48,6 +48,7 @@ def _load_all():
     if not _LOADED:
         from sparkfeat.plans import (  # noqa: F401
             q_quality,
+            q_transforms,
         )
         _LOADED = True
 

@@ -49,6 +49,7 @@ def _load_all():
         from sparkfeat.plans import (  # noqa: F401
             q_quality,
             q_transforms,
+            q_model,
         )
         _LOADED = True
 

@@ -50,6 +50,7 @@ def _load_all():
             q_quality,
             q_transforms,
             q_model,
+            q_store,
         )
         _LOADED = True
 

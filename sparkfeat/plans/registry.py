@@ -51,6 +51,7 @@ def _load_all():
             q_transforms,
             q_model,
             q_store,
+            q_drift_ab,
         )
         _LOADED = True
 

@@ -52,6 +52,7 @@ def _load_all():
             q_model,
             q_store,
             q_drift_ab,
+            q_metrics,
         )
         _LOADED = True
 

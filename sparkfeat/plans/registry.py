@@ -53,6 +53,7 @@ def _load_all():
             q_store,
             q_drift_ab,
             q_metrics,
+            q_validation,
         )
         _LOADED = True
 

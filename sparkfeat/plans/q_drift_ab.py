@@ -83,12 +83,15 @@ _PRED_SQL = "CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END"
 _TRUTH_SQL = "CASE WHEN value < 5 THEN NULL WHEN value > 50 THEN 1 ELSE 0 END"
 
 
-@register("ab_results", f"""WITH t AS (SELECT {_weighted_sql()} AS version, {_PRED_SQL} AS prediction, {_TRUTH_SQL} AS truth FROM events)
+AB_RESULTS_SQL = f"""WITH t AS (SELECT {_weighted_sql()} AS version, {_PRED_SQL} AS prediction, {_TRUTH_SQL} AS truth FROM events)
 SELECT version, count(*) AS total_predictions,
   count(*) FILTER (WHERE abs(prediction - truth) <= 1e-8 + 1e-5 * abs(truth)) AS correct_predictions,
   round(count(*) FILTER (WHERE abs(prediction - truth) <= 1e-8 + 1e-5 * abs(truth)) / count(*), 6) AS accuracy,
   CASE version WHEN 'v1' THEN 0.5 WHEN 'v2' THEN 0.3 ELSE 0.2 END::DOUBLE AS traffic_weight
-FROM t WHERE truth IS NOT NULL GROUP BY version""", "A13")
+FROM t WHERE truth IS NOT NULL GROUP BY version"""
+
+
+@register("ab_results", AB_RESULTS_SQL, "A13")
 def ab_results(spark, sf_dir):
     ev = Tables(spark, sf_dir).events
     t = ev.select(X.weighted_arm(F.col("user_id"), WEIGHTS, EPOCH).alias("version"),

@@ -55,8 +55,11 @@ def latency_histogram(spark, sf_dir):
 _SLIDE5 = f"(SELECT l.*, date_trunc('minute', ts) - to_minutes(k) AS ws FROM {_LOG_SQL} l, range(0, 5) t(k))"
 
 
-@register("rate_5m", f"""SELECT {_TS.format(c='ws')} AS window_start, endpoint, count(*) AS n, round(count(*) / 300.0, 6) AS rate
-FROM {_SLIDE5} GROUP BY ws, endpoint""", "K1")
+RATE_5M_SQL = f"""SELECT {_TS.format(c='ws')} AS window_start, endpoint, count(*) AS n, round(count(*) / 300.0, 6) AS rate
+FROM {_SLIDE5} GROUP BY ws, endpoint"""
+
+
+@register("rate_5m", RATE_5M_SQL, "K1")
 def rate_5m(spark, sf_dir):
     out = MT.event_rate(request_log(Tables(spark, sf_dir)), "ts", ["endpoint"])
     return out.select(ts_string(F.col("window_start")).alias("window_start"), "endpoint", "n",

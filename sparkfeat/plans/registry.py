@@ -54,6 +54,8 @@ def _load_all():
             q_drift_ab,
             q_metrics,
             q_validation,
+            q_io,
+            q_stream,
         )
         _LOADED = True
 

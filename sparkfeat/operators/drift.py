@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfeat.operators.ranking import running_totals
+from sparkfeat.operators.ranking import running_totals_and_sums
 
 DEFAULT_THRESHOLD = 0.05
 SERIES_TERMS = 100
@@ -60,8 +60,8 @@ def ks_drift(current: DataFrame, reference: DataFrame, cols: list[str] | None =
     """
     cols = cols or shared_numeric_columns(current, reference)
     vc = counts if counts is not None else value_counts_by_side(current, reference, cols)
-    totals = vc.groupBy("feature").agg(F.sum("n_cur").alias("n"), F.sum("n_ref").alias("m"))
-    cum = running_totals(vc, ["feature"], ["value"], ["n_cur", "n_ref"], num_partitions)
+    cum, sums = running_totals_and_sums(vc, ["feature"], ["value"], ["n_cur", "n_ref"], num_partitions)
+    totals = sums.select("feature", F.col("tot_n_cur").alias("n"), F.col("tot_n_ref").alias("m"))
     # one row per feature: broadcasting it is bounded by the column count
     gaps = cum.join(F.broadcast(totals), "feature").select(
         "feature", "n", "m",

@@ -111,10 +111,13 @@ def top_values(counts: DataFrame, k: int = TOP_K) -> DataFrame:
     ``row_number() <= k`` is planned as a WindowGroupLimit: each map task keeps only its
     own k best rows per feature before the shuffle, so a hot feature costs k rows.
     """
-    w = Window.partitionBy("feature").orderBy(F.desc("n"), F.asc("value"))
-    return (counts.where(F.col("value").isNotNull())
-            .withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k))
+    # NULL values rank after every real value and are dropped after ranking; filtering
+    # them first would push the filter under the count aggregate and stop the shuffle of
+    # ``counts`` from being reused by the other consumers of the same counts.
+    w = Window.partitionBy("feature").orderBy(F.col("value").isNull().asc(), F.desc("n"),
+                                              F.asc("value"))
+    return (counts.withColumn("rank", F.row_number().over(w))
+            .where((F.col("rank") <= k) & F.col("value").isNotNull()))
 
 
 def _join_ranked(text: Column) -> Column:

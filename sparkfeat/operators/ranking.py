@@ -23,6 +23,14 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], values: lis
 
     ``order`` must make rows unique within a key (aggregate duplicates first).
     """
+    return running_totals_and_sums(df, keys, order, values, num_partitions, checkpoint)[0]
+
+
+def running_totals_and_sums(df: DataFrame, keys: list[str], order: list[str], values: list[str],
+                            num_partitions: int | None = None, checkpoint: bool = True
+                            ) -> tuple[DataFrame, DataFrame]:
+    """``running_totals`` plus the per-key grand totals ``tot_<v>``, derived from the tiny
+    slice-totals table (so the input is not scanned again for them)."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = (df.repartitionByRange(n, *[F.col(c) for c in keys + order])
@@ -43,5 +51,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], values: lis
     local = tagged.withColumns({f"_l_{v}": F.sum(v).over(w_loc) for v in values})
     # offsets has one row per (partition, key) slice: bounded by #partitions + #keys.
     joined = local.join(F.broadcast(offsets), ["_pid", *keys])
-    return joined.select(*df.columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}")
-                                        for v in values])
+    out = joined.select(*df.columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}")
+                                       for v in values])
+    totals = slice_totals.groupBy(*keys).agg(*[F.sum(f"_t_{v}").alias(f"tot_{v}") for v in values])
+    return out, totals

@@ -202,25 +202,37 @@ def text_quality(df: DataFrame, cols: list[str], max_missing: float = MAX_MISSIN
 
 
 # --------------------------------------------------------------------------- A8
-def numeric_profile(df: DataFrame, cols: list[str], accuracy: int | None = None) -> DataFrame:
+def numeric_profile(df: DataFrame, cols: list[str], quantile_method: str = "distributed",
+                    accuracy: int = 10_000) -> DataFrame:
     """min, max, mean, median, sample std per numeric column.
 
-    ``accuracy=None`` → exact median (Spark ``percentile``); pass an accuracy to use
-    ``percentile_approx`` when a column has too many distinct values for one buffer.
+    Median: "distributed" (exact, ranked by distributed running sums), "buffer" (exact,
+    Spark ``percentile`` — one buffer of distinct values per column) or "approx".
     """
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        med = (F.median(x) if accuracy is None
-               else F.percentile_approx(x, 0.5, accuracy).cast("double"))
         aggs += [F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.avg(x).alias(f"mean{i}"),
-                 med.alias(f"med{i}"), F.stddev_samp(x).alias(f"std{i}")]
+                 F.stddev_samp(x).alias(f"std{i}")]
+        if quantile_method == "buffer":
+            aggs.append(F.median(x).alias(f"med{i}"))
+        elif quantile_method == "approx":
+            aggs.append(F.percentile_approx(x, 0.5, accuracy).cast("double").alias(f"med{i}"))
     row = df.agg(*aggs)
+    med = (lambda i: F.col(f"med{i}")) if quantile_method != "distributed" else \
+        (lambda i: F.lit(None).cast("double"))
     structs = [F.struct(F.lit(c).alias("feature"), F.col(f"min{i}").alias("min"),
                         F.col(f"max{i}").alias("max"), F.col(f"mean{i}").alias("mean"),
-                        F.col(f"med{i}").alias("median"), F.col(f"std{i}").alias("std"))
+                        med(i).alias("median"), F.col(f"std{i}").alias("std"))
                for i, c in enumerate(cols)]
-    return _explode_structs(row, structs)
+    out = _explode_structs(row, structs)
+    if quantile_method != "distributed":
+        return out
+    from sparkfeat.operators.ranking import exact_quantiles
+    q = exact_quantiles(df, cols, [0.5]).select("feature", F.col("quantile").alias("_med"))
+    # one row per column on both sides
+    return (out.join(F.broadcast(q), "feature", "left")
+            .select("feature", "min", "max", "mean", F.col("_med").alias("median"), "std"))
 
 
 def categorical_profile(df: DataFrame, cols: list[str]) -> DataFrame:

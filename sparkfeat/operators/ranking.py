@@ -55,3 +55,35 @@ def running_totals_and_sums(df: DataFrame, keys: list[str], order: list[str], va
                                        for v in values])
     totals = slice_totals.groupBy(*keys).agg(*[F.sum(f"_t_{v}").alias(f"tot_{v}") for v in values])
     return out, totals
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
+                    num_partitions: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles (pandas / ``quantile_cont`` definition) of numeric
+    columns without holding a group's values in one buffer.
+
+    Values are counted per distinct (feature, value) — map-side combined, so a hot value is
+    one row per task — then ranked with ``running_totals``. The value at 0-based rank r is
+    the smallest value whose running count exceeds r; the quantile at p interpolates between
+    ranks floor(h) and ceil(h), h = (n-1)·p. Output: feature, p, quantile (NULL when the
+    column has no values).
+    """
+    spark = df.sparkSession
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).try_cast("double").alias("value")) for c in cols])))
+    counts = (long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+              .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
+    cum, sums = running_totals_and_sums(counts, ["feature"], ["value"], ["n"], num_partitions)
+    # targets: one row per (feature, p) — bounded by #columns × #probabilities
+    ps = spark.createDataFrame([(float(p),) for p in probs], "p double")
+    targets = (sums.crossJoin(ps)
+               .select("feature", "p", ((F.col("tot_n") - 1) * F.col("p")).alias("h"))
+               .select("feature", "p", "h", F.floor("h").alias("r_lo"), F.ceil("h").alias("r_hi")))
+    hit = cum.join(F.broadcast(targets), "feature").where(
+        F.col("cum_n") > F.col("r_lo"))      # candidate rows for both ranks (r_hi ≥ r_lo)
+    picked = hit.groupBy("feature", "p", "h", "r_lo").agg(
+        F.min("value").alias("v_lo"),
+        F.min(F.when(F.col("cum_n") > F.col("r_hi"), F.col("value"))).alias("v_hi"))
+    q = F.col("v_lo") + (F.col("h") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo"))
+    all_targets = F.broadcast(spark.createDataFrame([(c,) for c in cols], "feature string").crossJoin(ps))
+    return all_targets.join(picked.select("feature", "p", q.alias("quantile")), ["feature", "p"], "left")

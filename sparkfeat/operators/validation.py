@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.columns import truthy
+from sparkfeat.operators.ranking import exact_quantiles
 
 
 @dataclass
@@ -71,7 +72,6 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
             x = _num(n)
             aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                      F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                     F.median(x).alias(f"med{i}"),
                      (F.count(x) < (F.count(F.lit(1)) if strict_nulls else F.count(col))).alias(f"nonnum{i}")]
         else:
             viol = _row_violation(n, d, strict_nulls)
@@ -93,7 +93,7 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
             errs += [F.when(below, F.lit(f"Values below minimum ({_fmt(d.min_value)})")),
                      F.when(above, F.lit(f"Values above maximum ({_fmt(d.max_value)})"))]
             stats = [F.col(f"mean{i}"), F.col(f"std{i}"), F.col(f"min{i}"), F.col(f"max{i}"),
-                     F.col(f"med{i}"), F.lit(None).cast("bigint"), F.lit(0).cast("bigint")]
+                     F.lit(None).cast("double"), F.lit(None).cast("bigint"), F.lit(0).cast("bigint")]
         else:
             inv = F.col(f"inv{i}")
             errs = [F.when(inv > 0, F.concat(F.lit("Contains invalid values: "), inv.cast("string")))]
@@ -106,6 +106,14 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
             *[s.alias(nm) for s, nm in zip(stats, names)],
             (F.size(err) > 0).alias("has_errors"), F.array_join(err, "; ").alias("errors")))
     per_feature = row.select(F.inline(F.array(*structs))) if structs else None
+    numeric = [n for n in present if defs[n].feature_type == "numeric"]
+    if per_feature is not None and numeric:
+        # exact medians ranked with distributed running sums; one row per numeric column
+        med = exact_quantiles(df, numeric, [0.5]).select("feature", F.col("quantile").alias("_med"))
+        cols = per_feature.columns
+        per_feature = per_feature.join(F.broadcast(med), "feature", "left").select(
+            *[F.coalesce("_med", "median").alias("median") if c == "median" else F.col(c)
+              for c in cols])
     miss_cols = missing_columns(df, defs)
     n_bad_features = per_feature.agg(F.count_if("has_errors").alias("n")) if per_feature is not None else None
     summary = row.select(

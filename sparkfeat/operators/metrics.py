@@ -180,15 +180,19 @@ def alert_states(df: DataFrame, ts: str, rules: list[AlertRule], step: str = "1
     range, not by the row count; each series is one window partition of that length.
     """
     sec = int(_seconds(step))
-    bucket = F.timestamp_seconds(F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / sec) * sec)
-    span = df.agg(F.min(bucket).alias("lo"), F.max(bucket).alias("hi"))
-    grid = span.select(F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {sec} SECONDS"))).alias("bucket"))
+    epoch = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / sec) * sec
+    span = df.agg(F.min(epoch).alias("lo"), F.max(epoch).alias("hi")).first()   # two numbers
+    if span["lo"] is None:
+        return df.sparkSession.createDataFrame(
+            [], "rule string, labels string, bucket timestamp, severity string, value double, state string")
+    steps = F.explode(F.transform(F.sequence(F.lit(int(span["lo"])), F.lit(int(span["hi"])), F.lit(sec)),
+                                  lambda x: F.timestamp_seconds(x)))
     outs = []
     for r in rules:
-        vals = df.groupBy(bucket.alias("bucket"), *r.labels).agg(r.value.alias("value"))
-        series = (vals.select(*r.labels).distinct().crossJoin(grid) if r.labels else grid)
-        # the cross join is label sets × grid steps: both bounded (labels by the rule,
-        # steps by the time range), never rows × rows
+        vals = df.groupBy(F.timestamp_seconds(epoch).alias("bucket"), *r.labels).agg(r.value.alias("value"))
+        # dense grid: every label set × every step of the time range (bounded by the range)
+        keys = vals.select(*r.labels).distinct() if r.labels else df.sparkSession.range(1)
+        series = keys.select(*r.labels, steps.alias("bucket"))
         full = series.join(vals, ["bucket", *r.labels], "left")
         cond = F.coalesce(F.col("value") > F.lit(r.threshold), F.lit(False)).cast("int")
         w = Window.partitionBy(*r.labels).orderBy("bucket") if r.labels else Window.orderBy("bucket")

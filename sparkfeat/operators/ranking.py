@@ -75,8 +75,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
               .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
     cum, sums = running_totals_and_sums(counts, ["feature"], ["value"], ["n"], num_partitions)
     # targets: one row per (feature, p) — bounded by #columns × #probabilities
-    ps = spark.createDataFrame([(float(p),) for p in probs], "p double")
-    targets = (sums.crossJoin(ps)
+    targets = (sums.select("feature", "tot_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
                .select("feature", "p", ((F.col("tot_n") - 1) * F.col("p")).alias("h"))
                .select("feature", "p", "h", F.floor("h").alias("r_lo"), F.ceil("h").alias("r_hi")))
     hit = cum.join(F.broadcast(targets), "feature").where(
@@ -85,5 +84,6 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         F.min("value").alias("v_lo"),
         F.min(F.when(F.col("cum_n") > F.col("r_hi"), F.col("value"))).alias("v_hi"))
     q = F.col("v_lo") + (F.col("h") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo"))
-    all_targets = F.broadcast(spark.createDataFrame([(c,) for c in cols], "feature string").crossJoin(ps))
+    all_targets = F.broadcast(spark.createDataFrame([(c, float(p)) for c in cols for p in probs],
+                                                    "feature string, p double"))
     return all_targets.join(picked.select("feature", "p", q.alias("quantile")), ["feature", "p"], "left")

@@ -222,12 +222,15 @@ def read_through(snapshot: DataFrame, offline_latest: DataFrame, requests: DataF
 # ------------------------------------------------------------------------ P9 / O5 / A16
 def delete_entities(snapshot: DataFrame, feature_set: str, entity_ids: DataFrame
                     ) -> tuple[DataFrame, DataFrame]:
-    """(remaining snapshot, one-row count of deleted keys)."""
-    ids = entity_ids.select(F.col("entity_id").cast("string")).distinct()
-    in_set = F.col("feature_set") == feature_set
-    gone = snapshot.where(in_set).join(ids, "entity_id", "left_semi")
-    keep = snapshot.where(~in_set).unionByName(snapshot.where(in_set).join(ids, "entity_id", "left_anti"))
-    return keep, gone.agg(F.count(F.lit(1)).alias("deleted"))
+    """(remaining snapshot, one-row counts of deleted and remaining keys).
+
+    One left join flags the deleted keys; both outputs come from that flagged frame."""
+    ids = entity_ids.select(F.col("entity_id").cast("string"), F.lit(True).alias("_del")).distinct()
+    flagged = snapshot.join(ids, "entity_id", "left").withColumn(
+        "_del", F.coalesce(F.col("_del"), F.lit(False)) & (F.col("feature_set") == feature_set))
+    keep = flagged.where(~F.col("_del")).select(*snapshot.columns)
+    counts = flagged.agg(F.count_if("_del").alias("deleted"), F.count_if(~F.col("_del")).alias("remaining"))
+    return keep, counts
 
 
 def clear_feature_set(snapshot: DataFrame, feature_set: str) -> tuple[DataFrame, DataFrame]:

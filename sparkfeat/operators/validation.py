@@ -82,6 +82,7 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
                 .alias("_invalid_rows"))
     row = df.agg(*aggs)
     structs = []
+    n_err = F.lit(0)
     for i, n in enumerate(present):
         d = defs[n]
         miss = F.col(f"miss{i}")
@@ -100,6 +101,7 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
             stats = [F.lit(None).cast("double")] * 5 + [F.col(f"nuniq{i}"), inv]
         names = ["mean", "std", "min", "max", "median", "unique_values", "invalid_value_count"]
         err = F.filter(F.array(*errs), lambda e: e.isNotNull())
+        n_err = n_err + (F.size(err) > 0).cast("int")
         structs.append(F.struct(
             F.lit(n).alias("feature"), F.lit(d.feature_type).alias("feature_type"),
             miss.alias("missing_count"), pct.alias("missing_pct"),
@@ -115,15 +117,12 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
             *[F.coalesce("_med", "median").alias("median") if c == "median" else F.col(c)
               for c in cols])
     miss_cols = missing_columns(df, defs)
-    n_bad_features = per_feature.agg(F.count_if("has_errors").alias("n")) if per_feature is not None else None
     summary = row.select(
         F.col("_rows").alias("total_rows"),
         F.lit(",".join(miss_cols)).alias("missing_columns"),
         F.col("_invalid_rows").alias("invalid_rows"),
-        (F.col("_rows") - F.col("_invalid_rows")).alias("valid_rows"))
-    if n_bad_features is not None:
-        summary = summary.crossJoin(n_bad_features.select(
-            (F.col("n") + F.lit(1 if miss_cols else 0)).alias("invalid_features")))
+        (F.col("_rows") - F.col("_invalid_rows")).alias("valid_rows"),
+        (n_err + F.lit(1 if miss_cols else 0)).cast("bigint").alias("invalid_features"))
     return per_feature, summary
 
 

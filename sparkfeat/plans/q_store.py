@@ -187,8 +187,8 @@ def snapshot_stats(spark, sf_dir):
     t = Tables(spark, sf_dir)
     snap = _snapshot(t)
     req = t.customer.select(F.col("c_custkey").alias("entity_id"))
-    hm = S.hit_miss(S.multi_get(snap, req, "user_stats", NOW))
-    return S.snapshot_stats(snap, NOW).crossJoin(hm)
+    hm = S.hit_miss(S.multi_get(snap, req, "user_stats", NOW)).withColumn("feature_set", F.lit("user_stats"))
+    return S.snapshot_stats(snap, NOW).join(hm, "feature_set")
 
 
 @register("read_through", f"""WITH o AS (SELECT entity_id, value FROM (
@@ -215,8 +215,8 @@ def snapshot_delete(spark, sf_dir):
     t = Tables(spark, sf_dir)
     ids = (t.events.where("event_type = 'error' AND ts >= TIMESTAMP_NTZ '2024-01-29 00:00:00'")
            .select(F.col("user_id").alias("entity_id")))
-    keep, deleted = S.delete_entities(_snapshot(t), "user_stats", ids)
-    return deleted.crossJoin(keep.agg(F.count(F.lit(1)).alias("remaining")))
+    _, counts = S.delete_entities(_snapshot(t), "user_stats", ids)
+    return counts
 
 
 @register("snapshot_entity_ids", f"SELECT DISTINCT entity_id FROM {_LIVE_SQL} ORDER BY entity_id LIMIT 1000", "O5")

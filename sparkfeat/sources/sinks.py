@@ -12,9 +12,13 @@ def write_monitoring_report(profile: DataFrame, health: DataFrame, path: str) ->
     The profile and health inputs are small per-feature / per-component aggregates; they are
     nested into a single row by an aggregate, never collected to the driver.
     """
-    stats = profile.agg(F.collect_list(F.struct(*profile.columns)).alias("feature_stats"))
-    h = health.agg(F.collect_list(F.struct(*health.columns)).alias("health_status"))
-    report = stats.crossJoin(h).withColumn(
+    f = F.struct(*profile.columns)
+    h = F.struct(*health.columns)
+    ftype, htype = profile.select(f.alias("x")).schema["x"].dataType, health.select(h.alias("x")).schema["x"].dataType
+    both = (profile.select(f.alias("f"), F.lit(None).cast(htype).alias("h"))
+            .unionByName(health.select(F.lit(None).cast(ftype).alias("f"), h.alias("h"))))
+    report = both.agg(F.collect_list("f").alias("feature_stats"),          # NULLs are skipped
+                      F.collect_list("h").alias("health_status")).withColumn(
         "timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
     report.coalesce(1).write.mode("overwrite").json(path)
 

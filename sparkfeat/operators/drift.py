@@ -20,6 +20,7 @@ from sparkfeat.operators.ranking import running_totals_and_sums
 
 DEFAULT_THRESHOLD = 0.05
 SERIES_TERMS = 100
+STATISTIC_ALERT = 0.3      # fixed value: alert level on the drift statistic
 
 
 def ks_p_value(d: Column, n: Column, m: Column, terms: int = SERIES_TERMS) -> Column:
@@ -52,8 +53,9 @@ def value_counts_by_side(current: DataFrame, reference: DataFrame, cols: list[st
 
 def ks_drift(current: DataFrame, reference: DataFrame, cols: list[str] | None = None,
              threshold: float = DEFAULT_THRESHOLD, num_partitions: int | None = None,
-             counts: DataFrame | None = None) -> DataFrame:
-    """feature, ks_statistic, p_value, drifted (p < threshold), n_current, n_reference.
+             counts: DataFrame | None = None, statistic_alert: float = STATISTIC_ALERT) -> DataFrame:
+    """feature, ks_statistic, p_value, drifted (p < threshold), statistic_alert
+    (D > the alert level on the statistic), n_current, n_reference.
 
     ``counts`` may supply precomputed (feature, value, n_cur, n_ref) rows, e.g. a baseline
     kept as a sorted (value, count) table by a stream.
@@ -72,4 +74,6 @@ def ks_drift(current: DataFrame, reference: DataFrame, cols: list[str] | None =
     p = ks_p_value(F.col("ks_statistic"), F.col("n_current").cast("double"),
                    F.col("n_reference").cast("double"))
     return d.select("feature", "ks_statistic", p.alias("p_value"),
-                    (p < F.lit(threshold)).alias("drifted"), "n_current", "n_reference")
+                    (p < F.lit(threshold)).alias("drifted"),
+                    (F.col("ks_statistic") > F.lit(statistic_alert)).alias("statistic_alert"),
+                    "n_current", "n_reference")

@@ -24,7 +24,7 @@ p AS (SELECT *, ks * sqrt(n * m / (n + m)) AS lam FROM d),
 q AS (SELECT *, CASE WHEN lam < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0,
   list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * lam * lam)))))
   END AS pv FROM p)
-SELECT feature, round(ks, 6) AS ks_statistic, round(pv, 6) AS p_value, pv < 0.05 AS drifted,
+SELECT feature, round(ks, 6) AS ks_statistic, round(pv, 6) AS p_value, pv < 0.05 AS drifted, ks > 0.3 AS statistic_alert,
   n AS n_current, m AS n_reference FROM q"""
 
 

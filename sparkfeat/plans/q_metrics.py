@@ -106,31 +106,49 @@ def latency_p95_slo(spark, sf_dir):
                       round6(F.col("failure_rate")).alias("failure_rate"), "slo_ok")
 
 
+# (rule, label column or None, value aggregate in Spark, the same in SQL, threshold, steps, severity)
+_ALERT_RULES = [
+    ("HighLatency", "endpoint", F.avg("latency"), "avg(latency)", MT.HIGH_LATENCY_S, 5, "warning"),
+    ("HighErrorRate", None, F.avg(F.when(F.col("status").startswith("5"), 1.0).otherwise(0.0)),
+     "avg(CASE WHEN status LIKE '5%' THEN 1.0 ELSE 0.0 END)::DOUBLE", MT.HIGH_ERROR_RATE, 5, "critical"),
+    ("HighModelLatency", "model_version", F.avg("latency"), "avg(latency)", MT.HIGH_MODEL_LATENCY_S, 5,
+     "warning"),
+    # memory gauge stand-in: last value of the step × 10 MB, per instance
+    ("HighMemoryUsage", "instance", F.max_by(F.col("value") * 1e7, "ts"), "arg_max(value * 1e7, ts)",
+     MT.HIGH_MEMORY_BYTES, 5, "warning"),
+    # store health gauge stand-in: 0 when the step's last event is an error → alert on 1 - health
+    ("FeatureStoreUnhealthy", "instance", F.max_by((F.col("event_type") == "error").cast("double"), "ts"),
+     "arg_max(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END, ts)::DOUBLE", 0.5, 5, "critical"),
+]
+
+
 def _alert_sql():
-    return f"""WITH b AS (SELECT *, date_trunc('hour', ts) AS bucket FROM {_LOG_SQL}),
+    parts = []
+    for name, label, _, agg, thr, steps, sev in _ALERT_RULES:
+        if label:
+            parts.append(f"""SELECT '{name}' AS rule, '{label}=' || k.{label} AS labels, g.bucket, '{sev}' AS severity, v.value,
+    CASE WHEN coalesce(v.value > {thr}, false) THEN 1 ELSE 0 END AS c, {steps} AS steps
+  FROM (SELECT DISTINCT {label} FROM b) k CROSS JOIN grid g
+  LEFT JOIN (SELECT bucket, {label}, {agg} AS value FROM b GROUP BY bucket, {label}) v ON v.{label} = k.{label} AND v.bucket = g.bucket""")
+        else:
+            parts.append(f"""SELECT '{name}' AS rule, '' AS labels, g.bucket, '{sev}' AS severity, v.value,
+    CASE WHEN coalesce(v.value > {thr}, false) THEN 1 ELSE 0 END AS c, {steps} AS steps
+  FROM grid g LEFT JOIN (SELECT bucket, {agg} AS value FROM b GROUP BY bucket) v ON v.bucket = g.bucket""")
+    body = "\n  UNION ALL\n".join(parts)
+    return f"""WITH b AS (SELECT *, date_trunc('hour', ts) AS bucket, 'pod-' || CAST(user_id % 3 AS VARCHAR) AS instance FROM {_LOG_SQL}),
 grid AS (SELECT unnest(range(min(bucket), max(bucket) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS bucket FROM b),
-lat AS (SELECT bucket, endpoint, avg(latency) AS value FROM b GROUP BY bucket, endpoint),
-lat_full AS (SELECT 'HighLatency' AS rule, 'endpoint=' || e.endpoint AS labels, g.bucket, 'warning' AS severity, l.value,
-    CASE WHEN coalesce(l.value > {MT.HIGH_LATENCY_S}, false) THEN 1 ELSE 0 END AS c
-  FROM (SELECT DISTINCT endpoint FROM lat) e CROSS JOIN grid g LEFT JOIN lat l ON l.endpoint = e.endpoint AND l.bucket = g.bucket),
-err AS (SELECT bucket, avg(CASE WHEN status LIKE '5%' THEN 1.0 ELSE 0.0 END)::DOUBLE AS value FROM b GROUP BY bucket),
-err_full AS (SELECT 'HighErrorRate' AS rule, '' AS labels, g.bucket, 'critical' AS severity, e.value,
-    CASE WHEN coalesce(e.value > {MT.HIGH_ERROR_RATE}, false) THEN 1 ELSE 0 END AS c
-  FROM grid g LEFT JOIN err e ON e.bucket = g.bucket),
 s AS (SELECT *, sum(c) OVER (PARTITION BY rule, labels ORDER BY bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS held
-  FROM (SELECT * FROM lat_full UNION ALL SELECT * FROM err_full))
+  FROM ({body}))
 SELECT rule, labels, {_TS.format(c='bucket')} AS bucket, severity, round(value, 6) AS value,
-  CASE WHEN c = 0 THEN 'inactive' WHEN held >= 5 THEN 'firing' ELSE 'pending' END AS state FROM s"""
+  CASE WHEN c = 0 THEN 'inactive' WHEN held >= steps THEN 'firing' ELSE 'pending' END AS state FROM s"""
 
 
 @register("alerts", _alert_sql(), "K6")
 def alerts(spark, sf_dir):
-    log = request_log(Tables(spark, sf_dir))
-    rules = [
-        MT.AlertRule("HighLatency", F.avg("latency"), MT.HIGH_LATENCY_S, 5, "warning", ["endpoint"]),
-        MT.AlertRule("HighErrorRate", F.avg(F.when(F.col("status").startswith("5"), 1.0).otherwise(0.0)),
-                     MT.HIGH_ERROR_RATE, 5, "critical"),
-    ]
+    log = request_log(Tables(spark, sf_dir)).withColumn(
+        "instance", F.concat(F.lit("pod-"), (F.col("user_id") % 3).cast("string")))
+    rules = [MT.AlertRule(name, value, thr, steps, sev, [label] if label else [])
+             for name, label, value, _, thr, steps, sev in _ALERT_RULES]
     out = MT.alert_states(log, "ts", rules, "1 hour")
     return out.select("rule", "labels", ts_string(F.col("bucket")).alias("bucket"), "severity",
                       round6(F.col("value")).alias("value"), "state")

@@ -144,6 +144,17 @@ def registry_latest(registry: DataFrame, version: str | None = None) -> DataFram
     return best.select("name", "_b.*")
 
 
+def registry_delete(registry: DataFrame, name: str, version: str | None = None
+                    ) -> tuple[DataFrame, DataFrame]:
+    """Delete one version of a feature, or all its versions; (remaining, one-row count)."""
+    hit = F.col("name") == name
+    if version is not None:
+        hit = hit & (F.col("version") == version)
+    flagged = registry.withColumn("_del", F.coalesce(hit, F.lit(False)))
+    return (flagged.where(~F.col("_del")).drop("_del"),
+            flagged.agg(F.count_if("_del").alias("deleted")))
+
+
 def registry_list(registry: DataFrame) -> DataFrame:
     return registry.select("name", "version", F.col("feature_type").alias("type"), "updated_at",
                            "owner", "tags", F.col("is_active").alias("active"))
@@ -175,6 +186,12 @@ def sync_snapshot(snapshot: DataFrame | None, rows: DataFrame) -> DataFrame:
     return best.select(*key, "_b.features", "_b.expires_at")
 
 
+def sync_summary(rows: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE) -> DataFrame:
+    """One row per feature set: rows written and batches = ceil(rows / batch_size)."""
+    return rows.groupBy("feature_set").agg(F.count(F.lit(1)).alias("rows")).withColumn(
+        "batches", F.ceil(F.col("rows") / F.lit(batch_size)).cast("bigint"))
+
+
 def sync_counts(rows: DataFrame, batch_size: int = DEFAULT_BATCH_SIZE) -> tuple[int, int]:
     """(rows, batches) reported by a sync; batches = ceil(rows / batch_size)."""
     n = rows.count()

@@ -169,6 +169,26 @@ def snapshot_sync(spark, sf_dir):
     return s.withColumn("expires_at", ts_string(F.col("expires_at")))
 
 
+@register("snapshot_sync_counts", f"""SELECT 'user_stats' AS feature_set, count(*) AS rows,
+  CAST(ceil(count(*) / 50.0) AS BIGINT) AS batches FROM {_stats_sql(f"ts >= TIMESTAMP '{SPLIT_TS}'", '2024-01-31 00:00:00', 86400)}""",
+          "S4")
+def snapshot_sync_counts(spark, sf_dir):
+    ev = Tables(spark, sf_dir).events
+    new = S.snapshot_rows(_user_stats(ev.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))),
+                          "user_stats", "user_id", now=F.to_timestamp(F.lit("2024-01-31 00:00:00")),
+                          ttl_seconds=86400)
+    return S.sync_summary(new, batch_size=50)
+
+
+@register("registry_delete", f"""SELECT name, count(*) AS versions_left FROM {_REGISTRY_SQL}
+WHERE NOT (name = 'error') AND NOT (name = 'view' AND version = '0') GROUP BY name""", "P9 O1")
+def registry_delete(spark, sf_dir):
+    reg = _registry(Tables(spark, sf_dir))
+    reg, _ = S.registry_delete(reg, "view", "0")
+    reg, _ = S.registry_delete(reg, "error")
+    return reg.groupBy("name").agg(F.count(F.lit(1)).alias("versions_left"))
+
+
 @register("snapshot_get", f"""SELECT CAST(c.c_custkey AS VARCHAR) AS entity_id,
   CASE WHEN s.features IS NULL THEN '{{}}' ELSE '{{"n":"' || json_extract_string(s.features, '$.n') || '"}}' END AS features,
   s.features IS NOT NULL AS hit

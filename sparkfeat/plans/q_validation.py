@@ -40,7 +40,7 @@ def _num_row(name, lo, hi):
     return (f"SELECT '{name}' AS feature, 'numeric' AS feature_type, count(*) FILTER (WHERE {name} IS NULL) AS missing_count, "
             f"round(count(*) FILTER (WHERE {name} IS NULL) * 100.0 / count(*), 6) AS missing_pct, round(avg({x}), 6) AS mean, "
             f"round(stddev_samp({x}), 6) AS std, round(min({x}), 6) AS min, round(max({x}), 6) AS max, "
-            f"round(quantile_cont({x}, 0.5), 6) AS median, CAST(NULL AS BIGINT) AS unique_values, CAST(0 AS BIGINT) AS invalid_value_count, "
+            f"round(quantile_cont({x}, 0.5), 6) AS median, CAST(NULL AS DOUBLE) AS unique_values, CAST(0 AS BIGINT) AS invalid_value_count, "
             f"{err} <> '' AS has_errors, {err} AS errors FROM t")
 
 
@@ -49,7 +49,7 @@ def _cat_row(name, allowed):
     inv = f"count(DISTINCT CASE WHEN {name} IS NOT NULL AND {name} NOT IN ({lst}) THEN {name} END)"
     return (f"SELECT '{name}', 'categorical', count(*) FILTER (WHERE {name} IS NULL), "
             f"round(count(*) FILTER (WHERE {name} IS NULL) * 100.0 / count(*), 6), NULL, NULL, NULL, NULL, NULL, "
-            f"count(DISTINCT {name}), {inv}, {inv} > 0, "
+            f"CAST(count(DISTINCT {name}) AS DOUBLE), {inv}, {inv} > 0, "
             f"CASE WHEN {inv} > 0 THEN 'Contains invalid values: ' || CAST({inv} AS VARCHAR) ELSE '' END FROM t")
 
 
@@ -64,7 +64,9 @@ _ROUND = ["missing_pct", "mean", "std", "min", "max", "median"]
 @register("validation_report", _REPORT_SQL, "A7 U1")
 def validation_report(spark, sf_dir):
     per_feature, _ = V.validate_dataset(_frame(Tables(spark, sf_dir)), DEFS)
-    return per_feature.withColumns({c: round6(F.col(c)) for c in _ROUND})
+    # NULL for numeric features: carried as double so both engines agree on the type
+    return per_feature.withColumns({c: round6(F.col(c)) for c in _ROUND}).withColumn(
+        "unique_values", F.col("unique_values").cast("double"))
 
 
 _ROW_BAD = """(TRY_CAST(o_totalprice AS DOUBLE) IS NULL OR o_totalprice < 1000 OR o_totalprice > 400000
@@ -158,7 +160,7 @@ def infer_types(spark, sf_dir):
     return V.infer_string_types(p)
 
 
-@register("props_parse", """SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS sum_k,
+@register("props_parse", """SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k,
   round(avg(CAST(json_extract(props, '$.k') AS BIGINT)), 6) AS avg_k FROM events GROUP BY event_type""", "F9 S2")
 def props_parse(spark, sf_dir):
     ev = Tables(spark, sf_dir).events.withColumn("p", F.from_json("props", "k bigint"))
@@ -208,7 +210,7 @@ def _exp_sql():
     ]
     parts = []
     for col, name, agg, is_count, ok in rows:
-        u = f"CAST({agg} AS BIGINT)" if is_count else "CAST(NULL AS BIGINT)"
+        u = f"CAST({agg} AS DOUBLE)" if is_count else "CAST(NULL AS DOUBLE)"
         parts.append(f"SELECT '{col}' AS column, '{name}' AS expectation, coalesce({ok}, false) AS success, "
                      f"round(o, 6) AS observed, u AS unexpected_count, CAST(NULL AS VARCHAR) AS error "
                      f"FROM (SELECT CAST({agg} AS DOUBLE) AS o, {u} AS u FROM orders)")
@@ -218,4 +220,5 @@ def _exp_sql():
 @register("expectations", _exp_sql(), "A10 X3")
 def expectations(spark, sf_dir):
     out = suite().validate(Tables(spark, sf_dir).orders)
-    return out.withColumn("observed", round6(F.col("observed")))
+    return out.withColumns({"observed": round6(F.col("observed")),
+                            "unexpected_count": F.col("unexpected_count").cast("double")})

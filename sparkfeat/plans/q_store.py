@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkfeat.functions.columns import ts_string
 from sparkfeat.operators import store as S
 from sparkfeat.plans.registry import Tables, register
+from sparkfeat.session import scratch_path
 
 SPLIT_TS = "2024-01-16 00:00:00"
 NOW = "2024-01-31 00:30:00"
@@ -48,9 +49,16 @@ SELECT entity_id, feature_name, feature_version, value, strftime(ts, '%Y-%m-%d %
           "S3 F9")
 def feature_upsert(spark, sf_dir):
     rows = _long(Tables(spark, sf_dir))
-    existing = rows.where(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz"))
-    updates = rows.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))
-    return _out(S.upsert(existing, updates, tiebreak="event_id"))
+    split = F.lit(SPLIT_TS).cast("timestamp_ntz")
+    # the stored table: first half, written partitioned by feature_name
+    stored = scratch_path(spark, "offline-v1")
+    S.write_offline(rows.where(F.col("ts") < split), stored)
+    updates = rows.where(F.col("ts") >= split)
+    merged = S.upsert(spark.read.parquet(stored), updates, tiebreak="event_id")
+    # the merge is written to a new path (never over the one it reads), touched partitions only
+    new_path = scratch_path(spark, "offline-v2")
+    S.write_offline(merged, new_path, source_paths=(stored,))
+    return _out(spark.read.parquet(new_path))
 
 
 @register("feature_latest", f"""SELECT entity_id, feature_name, feature_version, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM (

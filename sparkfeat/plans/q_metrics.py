@@ -108,16 +108,17 @@ def latency_p95_slo(spark, sf_dir):
 
 # (rule, label column or None, value aggregate in Spark, the same in SQL, threshold, steps, severity)
 _ALERT_RULES = [
-    ("HighLatency", "endpoint", F.avg("latency"), "avg(latency)", MT.HIGH_LATENCY_S, 5, "warning"),
-    ("HighErrorRate", None, F.avg(F.when(F.col("status").startswith("5"), 1.0).otherwise(0.0)),
+    ("HighLatency", "endpoint", lambda: F.avg("latency"), "avg(latency)", MT.HIGH_LATENCY_S, 5, "warning"),
+    ("HighErrorRate", None, lambda: F.avg(F.when(F.col("status").startswith("5"), 1.0).otherwise(0.0)),
      "avg(CASE WHEN status LIKE '5%' THEN 1.0 ELSE 0.0 END)::DOUBLE", MT.HIGH_ERROR_RATE, 5, "critical"),
-    ("HighModelLatency", "model_version", F.avg("latency"), "avg(latency)", MT.HIGH_MODEL_LATENCY_S, 5,
-     "warning"),
+    ("HighModelLatency", "model_version", lambda: F.avg("latency"), "avg(latency)",
+     MT.HIGH_MODEL_LATENCY_S, 5, "warning"),
     # memory gauge stand-in: last value of the step × 10 MB, per instance
-    ("HighMemoryUsage", "instance", F.max_by(F.col("value") * 1e7, "ts"), "arg_max(value * 1e7, ts)",
+    ("HighMemoryUsage", "instance", lambda: F.max_by(F.col("value") * 1e7, "ts"), "arg_max(value * 1e7, ts)",
      MT.HIGH_MEMORY_BYTES, 5, "warning"),
     # store health gauge stand-in: 0 when the step's last event is an error → alert on 1 - health
-    ("FeatureStoreUnhealthy", "instance", F.max_by((F.col("event_type") == "error").cast("double"), "ts"),
+    ("FeatureStoreUnhealthy", "instance",
+     lambda: F.max_by((F.col("event_type") == "error").cast("double"), "ts"),
      "arg_max(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END, ts)::DOUBLE", 0.5, 5, "critical"),
 ]
 
@@ -159,7 +160,7 @@ STREAM_ALERTS_SQL = _alert_sql(["HighLatency", "HighErrorRate"], closed_only=Tru
 def alerts(spark, sf_dir):
     log = request_log(Tables(spark, sf_dir)).withColumn(
         "instance", F.concat(F.lit("pod-"), (F.col("user_id") % 3).cast("string")))
-    rules = [MT.AlertRule(name, value, thr, steps, sev, [label] if label else [])
+    rules = [MT.AlertRule(name, value(), thr, steps, sev, [label] if label else [])
              for name, label, value, _, thr, steps, sev in _ALERT_RULES]
     out = MT.alert_states(log, "ts", rules, "1 hour")
     return out.select("rule", "labels", ts_string(F.col("bucket")).alias("bucket"), "severity",

@@ -202,13 +202,17 @@ def text_quality(df: DataFrame, cols: list[str], max_missing: float = MAX_MISSIN
 
 
 # --------------------------------------------------------------------------- A8
-def numeric_profile(df: DataFrame, cols: list[str], quantile_method: str = "distributed",
+def numeric_profile(df: DataFrame, cols: list[str], quantile_method: str = "auto",
                     accuracy: int = 10_000) -> DataFrame:
     """min, max, mean, median, sample std per numeric column.
 
     Median: "distributed" (exact, ranked by distributed running sums), "buffer" (exact,
-    Spark ``percentile`` — one buffer of distinct values per column) or "approx".
+    Spark ``percentile`` — one buffer of distinct values per column), "approx", or "auto"
+    (exact; buffer after a distinct-count check, else distributed).
     """
+    if quantile_method == "auto":
+        from sparkfeat.operators.ranking import choose_quantile_method
+        quantile_method = choose_quantile_method(df, cols)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")

@@ -87,3 +87,17 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     all_targets = F.broadcast(spark.createDataFrame([(c, float(p)) for c in cols for p in probs],
                                                     "feature string, p double"))
     return all_targets.join(picked.select("feature", "p", q.alias("quantile")), ["feature", "p"], "left")
+
+
+# Exact quantiles from Spark's ``percentile`` keep every distinct value of a column in one
+# buffer; up to this many distinct values that is cheap and safe, beyond it the ranking
+# plan above is used. The count is checked with one ``approx_count_distinct`` pass.
+BUFFER_DISTINCT_LIMIT = 1_000_000
+
+
+def choose_quantile_method(df: DataFrame, cols: list[str], limit: int = BUFFER_DISTINCT_LIMIT) -> str:
+    """"buffer" when every column has at most ``limit`` distinct values, else "distributed"."""
+    if not cols:
+        return "buffer"
+    row = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    return "buffer" if max(row[f"d{i}"] or 0 for i in range(len(cols))) <= limit else "distributed"

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.columns import truthy
-from sparkfeat.operators.ranking import exact_quantiles
+from sparkfeat.operators.ranking import choose_quantile_method, exact_quantiles
 
 
 @dataclass
@@ -60,9 +60,14 @@ def _row_violation(c: str, d: FeatureDefinition, strict_nulls: bool) -> Column:
 
 
 def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
-                     strict_nulls: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(per-feature report, one-row dataset summary)."""
+                     strict_nulls: bool = True, quantile_method: str = "auto"
+                     ) -> tuple[DataFrame, DataFrame]:
+    """(per-feature report, one-row dataset summary). Medians are exact (see
+    ``transforms.QUANTILE_METHODS``)."""
     present = [n for n in defs if n in df.columns]
+    numeric = [n for n in present if defs[n].feature_type == "numeric"]
+    if quantile_method == "auto":
+        quantile_method = choose_quantile_method(df, numeric)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, n in enumerate(present):
         d = defs[n]
@@ -70,6 +75,9 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
         aggs += [F.count_if(col.isNull()).alias(f"miss{i}")]
         if d.feature_type == "numeric":
             x = _num(n)
+            if quantile_method != "distributed":
+                aggs.append((F.median(x) if quantile_method == "buffer"
+                             else F.percentile_approx(x, 0.5, 10_000).cast("double")).alias(f"med{i}"))
             aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                      F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
                      (F.count(x) < (F.count(F.lit(1)) if strict_nulls else F.count(col))).alias(f"nonnum{i}")]
@@ -93,8 +101,9 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
             above = truthy(F.col(f"max{i}") > F.lit(float(d.max_value))) if d.max_value is not None else F.lit(False)
             errs += [F.when(below, F.lit(f"Values below minimum ({_fmt(d.min_value)})")),
                      F.when(above, F.lit(f"Values above maximum ({_fmt(d.max_value)})"))]
+            med = F.col(f"med{i}") if quantile_method != "distributed" else F.lit(None).cast("double")
             stats = [F.col(f"mean{i}"), F.col(f"std{i}"), F.col(f"min{i}"), F.col(f"max{i}"),
-                     F.lit(None).cast("double"), F.lit(None).cast("bigint"), F.lit(0).cast("bigint")]
+                     med, F.lit(None).cast("bigint"), F.lit(0).cast("bigint")]
         else:
             inv = F.col(f"inv{i}")
             errs = [F.when(inv > 0, F.concat(F.lit("Contains invalid values: "), inv.cast("string")))]
@@ -108,8 +117,7 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
             *[s.alias(nm) for s, nm in zip(stats, names)],
             (F.size(err) > 0).alias("has_errors"), F.array_join(err, "; ").alias("errors")))
     per_feature = row.select(F.inline(F.array(*structs))) if structs else None
-    numeric = [n for n in present if defs[n].feature_type == "numeric"]
-    if per_feature is not None and numeric:
+    if per_feature is not None and numeric and quantile_method == "distributed":
         # exact medians ranked with distributed running sums; one row per numeric column
         med = exact_quantiles(df, numeric, [0.5]).select("feature", F.col("quantile").alias("_med"))
         cols = per_feature.columns

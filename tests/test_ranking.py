@@ -38,3 +38,12 @@ def test_quantile_methods_agree(spark):
     a = fit_quantiles(df, ["x"], [0.25, 0.5, 0.75], "approx")
     assert d == b
     assert all(abs(x - y) <= 2 for x, y in zip(a["x"], d["x"]))
+
+
+def test_auto_quantile_method_checks_distinct_count(spark):
+    from sparkfeat.operators.ranking import choose_quantile_method
+
+    df = spark.range(1000).select((F.col("id") % 50).cast("double").alias("x"))
+    assert choose_quantile_method(df, ["x"]) == "buffer"
+    assert choose_quantile_method(df, ["x"], limit=10) == "distributed"
+    assert fit_quantiles(df, ["x"], [0.5], "auto") == fit_quantiles(df, ["x"], [0.5], "distributed")

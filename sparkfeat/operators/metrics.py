@@ -176,8 +176,12 @@ def alert_states(df: DataFrame, ts: str, rules: list[AlertRule], step: str = "1
 
     Each rule is evaluated once per step on a dense grid from the first to the last step
     of the data, so steps without data count as "condition false". Firing requires the
-    condition on all of the last ``for_steps`` steps. The grid is bounded by the time
-    range, not by the row count; each series is one window partition of that length.
+    condition on the last ``for_steps`` consecutive steps.
+
+    Plan: one scan and one aggregate for all rules (GROUPING SETS over the step and each
+    rule's labels), unpivoted to (rule, labels, step, value) series; the dense grid is the
+    series keys × the steps of the time range (bounded by the range, not the rows); runs
+    of true steps are counted with a gaps-and-islands window per series.
     """
     sec = int(_seconds(step))
     epoch = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / sec) * sec
@@ -187,27 +191,40 @@ def alert_states(df: DataFrame, ts: str, rules: list[AlertRule], step: str = "1
             [], "rule string, labels string, bucket timestamp, severity string, value double, state string")
     steps = F.explode(F.transform(F.sequence(F.lit(int(span["lo"])), F.lit(int(span["hi"])), F.lit(sec)),
                                   lambda x: F.timestamp_seconds(x)))
-    outs = []
-    for r in rules:
-        vals = df.groupBy(F.timestamp_seconds(epoch).alias("bucket"), *r.labels).agg(r.value.alias("value"))
-        # dense grid: every label set × every step of the time range (bounded by the range)
-        keys = vals.select(*r.labels).distinct() if r.labels else df.sparkSession.range(1)
-        series = keys.select(*r.labels, steps.alias("bucket"))
-        full = series.join(vals, ["bucket", *r.labels], "left")
-        cond = F.coalesce(F.col("value") > F.lit(r.threshold), F.lit(False)).cast("int")
-        w = Window.partitionBy(*r.labels).orderBy("bucket") if r.labels else Window.orderBy("bucket")
-        held = F.sum(cond).over(w.rowsBetween(-(r.for_steps - 1), 0))
+    label_cols = list(dict.fromkeys(c for r in rules for c in r.labels))
+    base = df.withColumn("bucket", F.timestamp_seconds(epoch))
+    values = [r.value.cast("double").alias(f"_v{i}") for i, r in enumerate(rules)]
+    if label_cols:
+        sets = list(dict.fromkeys(tuple(r.labels) for r in rules))
+        grouped = base.groupingSets([[F.col("bucket"), *[F.col(c) for c in labs]] for labs in sets],
+                                    F.col("bucket"), *[F.col(c) for c in label_cols]) \
+            .agg(*values, F.grouping_id().alias("_gid"))   # bucket is always grouped (top bit 0)
+    else:
+        grouped = base.groupBy("bucket").agg(*values).withColumn("_gid", F.lit(0))
+    n = len(label_cols)
+    per_rule = []
+    for i, r in enumerate(rules):
+        gid = sum(1 << (n - 1 - j) for j, c in enumerate(label_cols) if c not in r.labels)
         lab = (F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in r.labels])
                if r.labels else F.lit(""))
-        outs.append(full.select(
-            F.lit(r.name).alias("rule"), lab.alias("labels"), "bucket",
-            F.lit(r.severity).alias("severity"), "value",
-            F.when(cond == 0, F.lit("inactive")).when(held >= r.for_steps, F.lit("firing"))
-            .otherwise(F.lit("pending")).alias("state")))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+        per_rule.append(F.when(F.col("_gid") == gid, F.struct(
+            F.lit(r.name).alias("rule"), lab.alias("labels"), F.col(f"_v{i}").alias("value"))))
+    series_vals = grouped.select("bucket", F.inline(F.filter(F.array(*per_rule), lambda x: x.isNotNull())))
+    spec = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.struct(
+        F.lit(float(r.threshold)).alias("threshold"), F.lit(int(r.for_steps)).alias("for_steps"),
+        F.lit(r.severity).alias("severity")))])
+    keys = series_vals.select("rule", "labels").distinct()
+    grid = keys.select("rule", "labels", steps.alias("bucket"))
+    full = grid.join(series_vals, ["rule", "labels", "bucket"], "left").withColumn("_r", spec[F.col("rule")])
+    cond = F.coalesce(F.col("value") > F.col("_r.threshold"), F.lit(False)).cast("int")
+    w = Window.partitionBy("rule", "labels").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    full = full.withColumn("_c", cond).withColumn("_grp", F.sum(1 - F.col("_c")).over(w))
+    wr = Window.partitionBy("rule", "labels", "_grp").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    run = F.sum("_c").over(wr)
+    return full.select(
+        "rule", "labels", "bucket", F.col("_r.severity").alias("severity"), "value",
+        F.when(F.col("_c") == 0, F.lit("inactive")).when(run >= F.col("_r.for_steps"), F.lit("firing"))
+        .otherwise(F.lit("pending")).alias("state"))
 
 
 # ------------------------------------------------------------------------ K7

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from sparkfeat.operators.metrics import AlertRule, _seconds
 from sparkfeat.session import scratch_path
-from sparkfeat.streaming.streams import run_available
 
 
 class AlertStateSink:
@@ -39,6 +38,14 @@ class AlertStateSink:
         return self.spark.read.parquet(f"{self.state_base}/v{self.last:012d}")
 
     def __call__(self, batch: DataFrame, batch_id: int):
+        # several actions read the micro-batch: keep it instead of recomputing the aggregate
+        batch = batch.persist()
+        try:
+            self._process(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _process(self, batch: DataFrame, batch_id: int):
         r, sec = self.rule, self.sec
         # a rule without labels is one series; a constant key keeps the joins uniform
         labels = r.labels or ["_series"]
@@ -91,22 +98,27 @@ class AlertStateSink:
 def stream_alert_states(stream: DataFrame, ts: str, rules: list[AlertRule], step: str = "1 hour",
                         watermark: str = "10 minutes", name: str = "alerts") -> DataFrame:
     """Run each rule as its own append-mode windowed stream with an ``availableNow`` trigger
-    and return the emitted states (closed steps only; the still-open last step is not
-    emitted, as with any append-mode window)."""
+    (all rules' queries run concurrently) and return the emitted states (closed steps only;
+    the still-open last step is not emitted, as with any append-mode window)."""
     spark = stream.sparkSession
     sec = int(_seconds(step))
-    results = None
+    running = []
     for r in rules:
         agg = (stream.withWatermark(ts, watermark)
                .groupBy(F.window(ts, step).alias("w"), *r.labels).agg(r.value.alias("value"))
                .select(F.col("w.start").alias("bucket"), *r.labels, "value"))
         sink = AlertStateSink(spark, r, sec, f"{name}-{r.name}")
-
-        def build(ckpt, agg=agg, sink=sink):
-            return (agg.writeStream.outputMode("append").option("checkpointLocation", ckpt)
-                    .foreachBatch(sink).trigger(availableNow=True).start())
-        run_available(build, f"{name}-{r.name}", spark)
-        res = sink.results() if sink.last is not None else None
-        if res is not None:
+        ckpt = scratch_path(spark, f"{name}-{r.name}-ckpt")
+        q = (agg.writeStream.outputMode("append").option("checkpointLocation", ckpt)
+             .foreachBatch(sink).trigger(availableNow=True).start())
+        running.append((q, sink))
+    for q, _ in running:
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
+    results = None
+    for _, sink in running:
+        if sink.last is not None:
+            res = sink.results()
             results = res if results is None else results.unionByName(res)
     return results

@@ -43,6 +43,28 @@ def summarise(txt: str) -> dict:
     }
 
 
+NOTES = """
+## Reading the table
+
+* **Global aggregates** (`quality_*`, `profile_numeric`, `validation_*`, `expectations`) are one
+  scan with a partial aggregate per task; the single-partition exchange only merges one row
+  per task. All columns' statistics share that one pass.
+* **Fit → transform** queries (`impute`, `scale_*`, `preprocess`, `onehot`, `label_encode`,
+  `feature_dag`) show no shuffle: the fit ran as its own one-row aggregate job while the
+  query was built, and the transform is a projection with literals.
+* **KS drift and ROC AUC** read a checkpointed, range-partitioned table of distinct values
+  (scans 0: the checkpoint is an RDD scan). One hash exchange feeds the bounded local
+  running-sum window; the per-slice totals are the broadcast side.
+* **Top-k** (`quality_categorical`, `run_leaderboard`) is a `WindowGroupLimit` before and after
+  the shuffle, so each task ships at most k rows per group.
+* **Latest per key** (`feature_*`, `registry_latest`, `snapshot_*`) uses `max_by` over a
+  struct with strings, which Spark runs as a sort-based aggregate; it is still partial
+  (map-side) so a hot key costs one row per task before the shuffle.
+* **Alerts** scan the events once: one GROUPING SETS aggregate covers every rule's labels;
+  the broadcast is the rule parameter map / small series keys.
+"""
+
+
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_spark("local[8]", 16)
@@ -62,6 +84,7 @@ def main():
         print(f"| {name} | {s['scans']} | {s['pushed']} | {s['shuffles']} | {s['broadcasts']} | "
               f"{s['windows']} | {yn(s['topk'])} | {yn(s['sort_agg'])} | {yn(s['single_partition'])} | "
               f"{yn(s['python'])} |")
+    print(NOTES)
     spark.stop()
 
 

@@ -32,10 +32,16 @@ def register(name: str, sql: str | None = None, ops: str = ""):
 
 
 class Tables:
-    """Lazy accessor: ``t.lineitem`` reads ``<sf_dir>/lineitem.parquet``."""
+    """Lazy accessor: ``t.lineitem`` reads ``<sf_dir>/lineitem.parquet``.
+
+    Catalogue results are defined in UTC (the test timestamps are zone-less), so the
+    session time zone is pinned to UTC for the catalogue queries.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark, self._dir = spark, sf_dir
+        if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

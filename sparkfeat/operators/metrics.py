@@ -146,16 +146,36 @@ def per_minute(df, ts, labels, duration="60 seconds", slide="30 seconds"):
 
 
 def latency_slo(df, ts, labels, latency, status="status", duration="1 hour",
-                p95_limit=SLO_P95_S, max_failure=SLO_MAX_FAILURE_RATE, accuracy: int | None = None):
+                p95_limit=SLO_P95_S, max_failure=SLO_MAX_FAILURE_RATE, quantile_method: str = "auto",
+                accuracy: int = 10_000):
     """K5: windowed p95 latency and failure share with the SLO verdict.
 
-    Exact percentile by default; ``accuracy`` → percentile_approx (bounded state in streams).
+    ``quantile_method``: "buffer" (exact ``percentile``: a window's distinct latencies in one
+    buffer), "distributed" (exact, ranked per window with distributed running sums),
+    "approx" (``percentile_approx``, bounded state — the choice for streams), or "auto"
+    (exact; buffer when every window has at most ``BUFFER_DISTINCT_LIMIT`` distinct values
+    by an ``approx_count_distinct`` check, else distributed; batch only).
     """
+    from sparkfeat.operators.ranking import BUFFER_DISTINCT_LIMIT, keyed_quantiles
+
     v = as_col(latency)
-    p = F.percentile(v, 0.95) if accuracy is None else F.percentile_approx(v, 0.95, accuracy)
+    w = F.window(ts, duration)
+    if quantile_method == "auto":
+        widest = (df.groupBy(w.alias("w"), *labels).agg(F.approx_count_distinct(v).alias("d"))
+                  .agg(F.max("d")).first()[0] or 0)
+        quantile_method = "buffer" if widest <= BUFFER_DISTINCT_LIMIT else "distributed"
     fail = F.col(status).cast("string").startswith("5")
-    out = windowed(df, ts, duration, None, labels, p.cast("double").alias("p95"),
-                   F.count(F.lit(1)).alias("n"), F.count_if(fail).alias("failures"))
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(fail).alias("failures")]
+    if quantile_method == "buffer":
+        aggs.append(F.percentile(v, 0.95).cast("double").alias("p95"))
+    elif quantile_method == "approx":
+        aggs.append(F.percentile_approx(v, 0.95, accuracy).cast("double").alias("p95"))
+    out = windowed(df, ts, duration, None, labels, *aggs)
+    if quantile_method == "distributed":
+        long = df.select(w.start.alias("window_start"), *labels, v.alias("_lat"))
+        q = keyed_quantiles(long, ["window_start", *labels], "_lat", [0.95]).select(
+            "window_start", *labels, F.col("quantile").alias("p95"))
+        out = out.join(q, ["window_start", *labels], "left")
     return out.withColumn("failure_rate", F.col("failures") / F.col("n")).withColumn(
         "slo_ok", (F.col("p95") < F.lit(p95_limit)) & (F.col("failure_rate") < F.lit(max_failure)))
 

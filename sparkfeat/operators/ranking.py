@@ -57,36 +57,47 @@ def running_totals_and_sums(df: DataFrame, keys: list[str], order: list[str], va
     return out, totals
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
+def keyed_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[float],
                     num_partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles (pandas / ``quantile_cont`` definition) of numeric
-    columns without holding a group's values in one buffer.
-
-    Values are counted per distinct (feature, value) — map-side combined, so a hot value is
-    one row per task — then ranked with ``running_totals``. The value at 0-based rank r is
-    the smallest value whose running count exceeds r; the quantile at p interpolates between
-    ranks floor(h) and ceil(h), h = (n-1)·p. Output: feature, p, quantile (NULL when the
-    column has no values).
+    """Exact linear-interpolated quantiles (pandas / ``quantile_cont`` definition) of
+    ``value`` per ``keys`` without holding a group's values in one buffer.
+
+    Values are counted per distinct (keys, value) — map-side combined, so a hot value is one
+    row per task — then ranked with ``running_totals``. The value at 0-based rank r is the
+    smallest value whose running count exceeds r; the quantile at p interpolates between
+    ranks floor(h) and ceil(h), h = (n-1)·p. Output: keys…, p, quantile (groups without
+    values are absent).
     """
-    spark = df.sparkSession
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).try_cast("double").alias("value")) for c in cols])))
-    counts = (long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-              .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
-    cum, sums = running_totals_and_sums(counts, ["feature"], ["value"], ["n"], num_partitions)
-    # targets: one row per (feature, p) — bounded by #columns × #probabilities
-    targets = (sums.select("feature", "tot_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-               .select("feature", "p", ((F.col("tot_n") - 1) * F.col("p")).alias("h"))
-               .select("feature", "p", "h", F.floor("h").alias("r_lo"), F.ceil("h").alias("r_hi")))
-    hit = cum.join(F.broadcast(targets), "feature").where(
-        F.col("cum_n") > F.col("r_lo"))      # candidate rows for both ranks (r_hi ≥ r_lo)
-    picked = hit.groupBy("feature", "p", "h", "r_lo").agg(
+    v = F.col(value).try_cast("double")
+    counts = (long.select(*keys, v.alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
+              .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
+    cum, sums = running_totals_and_sums(counts, keys, ["value"], ["n"], num_partitions)
+    # targets: one row per (key, p)
+    targets = (sums.select(*keys, "tot_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+               .select(*keys, "p", ((F.col("tot_n") - 1) * F.col("p")).alias("h"))
+               .select(*keys, "p", "h", F.floor("h").alias("r_lo"), F.ceil("h").alias("r_hi")))
+    if not keys:
+        raise ValueError("keyed_quantiles needs at least one key column")
+    hit = cum.join(targets, keys).where(F.col("cum_n") > F.col("r_lo"))   # rows for both ranks
+    picked = hit.groupBy(*keys, "p", "h", "r_lo").agg(
         F.min("value").alias("v_lo"),
         F.min(F.when(F.col("cum_n") > F.col("r_hi"), F.col("value"))).alias("v_hi"))
     q = F.col("v_lo") + (F.col("h") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo"))
+    return picked.select(*keys, "p", q.alias("quantile"))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
+                    num_partitions: int | None = None) -> DataFrame:
+    """``keyed_quantiles`` of several columns at once (key = column name).
+    Output: feature, p, quantile (NULL when the column has no values)."""
+    spark = df.sparkSession
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).try_cast("double").alias("value")) for c in cols])))
+    picked = keyed_quantiles(long, ["feature"], "value", probs, num_partitions)
+    # one row per (column, p): bounded by #columns × #probabilities
     all_targets = F.broadcast(spark.createDataFrame([(c, float(p)) for c in cols for p in probs],
                                                     "feature string, p double"))
-    return all_targets.join(picked.select("feature", "p", q.alias("quantile")), ["feature", "p"], "left")
+    return all_targets.join(picked, ["feature", "p"], "left")
 
 
 # Exact quantiles from Spark's ``percentile`` keep every distinct value of a column in one

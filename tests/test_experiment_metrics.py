@@ -60,3 +60,13 @@ def test_health_last_rule_sets_error(spark):
     assert rows[0] == ("degraded", "Prediction rate below minimum expected")
     assert rows[1] == ("degraded", None)
     assert rows[2] == ("healthy", None)
+
+
+def test_latency_slo_methods_agree(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(
+        "ts", (F.col("value") / 100).alias("lat"),
+        F.when(F.col("event_type") == "error", "500").otherwise("200").alias("status"))
+    b = {r.window_start: r.p95 for r in MT.latency_slo(ev, "ts", [], "lat", quantile_method="buffer").collect()}
+    d = {r.window_start: r.p95 for r in MT.latency_slo(ev, "ts", [], "lat", quantile_method="distributed").collect()}
+    assert b.keys() == d.keys()
+    assert all(b[k] == pytest.approx(d[k]) for k in b)

@@ -61,3 +61,13 @@ def test_expectations_unknown_ignored_absent_skipped_json(spark):
     assert res[("s", "column_values_to_not_be_null")]["unexpected_count"] == 1
     assert res[("s", "column_values_to_match_regex")]["success"] is True
     assert res[("_dataframe_", "table_row_count_to_be_between")]["success"] is True
+
+
+def test_expectation_median_distributed_path(spark, monkeypatch):
+    from sparkfeat.operators import expectations as EX
+
+    df = spark.range(101).selectExpr("CAST(id AS DOUBLE) AS x")
+    s = ExpectationSuite().add("x", "column_median_to_be_between", min_value=49, max_value=51)
+    monkeypatch.setattr(EX, "choose_quantile_method", lambda d, c: "distributed")
+    r = s.validate(df).first()
+    assert r["observed"] == 50.0 and r["success"] is True

@@ -65,3 +65,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/sparkfeat-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def sizing_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
+                min_partitions: int = 200, max_partitions: int = 100_000) -> dict:
+    """Partition sizing for a job over ``input_bytes`` of input.
+
+    Scan splits and shuffle partitions aim at ``target_partition_bytes`` so a task's data
+    fits executor memory without spilling; AQE then coalesces small shuffle partitions and
+    splits skewed ones (a key holding a third of the rows is split, not run as one task).
+    """
+    n = max(min_partitions, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    mb = f"{target_partition_bytes // (1024 * 1024)}m"
+    return {
+        "spark.sql.files.maxPartitionBytes": mb,
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": mb,
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": mb,
+    }
+
+
+def apply_sizing(spark: SparkSession, input_bytes: int, **kw) -> None:
+    """Set the runtime-changeable sizing options on an existing session."""
+    for k, v in sizing_conf(input_bytes, **kw).items():
+        spark.conf.set(k, v)

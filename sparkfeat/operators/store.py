@@ -218,7 +218,11 @@ def multi_get(snapshot: DataFrame, requests: DataFrame, feature_set: str, now,
 
 
 def hit_miss(result: DataFrame) -> DataFrame:
-    return result.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    """Hits, misses and the hit ratio hits / (hits + misses) (0 when nothing was asked)."""
+    from sparkfeat.functions.columns import safe_ratio
+
+    c = result.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    return c.withColumn("hit_ratio", safe_ratio(F.col("hits"), F.col("hits") + F.col("misses")))
 
 
 # ------------------------------------------------------------------------ J3

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.columns import ts_string
+from sparkfeat.functions.columns import round6, ts_string
 from sparkfeat.operators import store as S
 from sparkfeat.plans.registry import Tables, register
 from sparkfeat.session import scratch_path
@@ -209,14 +209,17 @@ def snapshot_get(spark, sf_dir):
 
 @register("snapshot_stats", f"""SELECT feature_set, count(*) AS keys, CAST(sum(octet_length(encode(features))) AS BIGINT) AS bytes,
   (SELECT count(*) FROM customer WHERE CAST(c_custkey AS VARCHAR) IN (SELECT entity_id FROM {_LIVE_SQL})) AS hits,
-  (SELECT count(*) FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT entity_id FROM {_LIVE_SQL})) AS misses
+  (SELECT count(*) FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT entity_id FROM {_LIVE_SQL})) AS misses,
+  round((SELECT count(*) FROM customer WHERE CAST(c_custkey AS VARCHAR) IN (SELECT entity_id FROM {_LIVE_SQL}))
+    / (SELECT count(*) FROM customer), 6) AS hit_ratio
 FROM {_LIVE_SQL} GROUP BY feature_set""", "A16")
 def snapshot_stats(spark, sf_dir):
     t = Tables(spark, sf_dir)
     snap = _snapshot(t)
     req = t.customer.select(F.col("c_custkey").alias("entity_id"))
     hm = S.hit_miss(S.multi_get(snap, req, "user_stats", NOW)).withColumn("feature_set", F.lit("user_stats"))
-    return S.snapshot_stats(snap, NOW).join(hm, "feature_set")
+    return S.snapshot_stats(snap, NOW).join(hm, "feature_set").withColumn(
+        "hit_ratio", round6(F.col("hit_ratio")))
 
 
 @register("read_through", f"""WITH o AS (SELECT entity_id, value FROM (

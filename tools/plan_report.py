@@ -17,7 +17,7 @@ from sparkfeat.session import get_spark  # noqa: E402
 
 # streaming and model queries execute while building; their plan is the read-back table
 SKIP = {"rf_train_score", "train_eval", "stream_score", "stream_rate", "stream_ab", "stream_sync",
-        "stream_drift", "stream_alerts", "csv_scan", "log_ingest", "run_records", "report_sink",
+        "stream_drift", "stream_alerts", "stream_slo", "stream_ab_join", "csv_scan", "log_ingest", "run_records", "report_sink",
         "prediction_sink", "feature_upsert"}
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from sparkfeat.operators.metrics import AlertRule, _seconds
 from sparkfeat.session import scratch_path
+from sparkfeat.streaming.versions import exists, latest_before, version_path
 
 
 class AlertStateSink:
@@ -30,12 +31,11 @@ class AlertStateSink:
         self.spark, self.rule, self.sec = spark, rule, step_seconds
         self.state_base = scratch_path(spark, f"{name}-state")
         self.out = scratch_path(spark, f"{name}-out")
-        self.last: int | None = None
 
-    def _state(self) -> DataFrame | None:
-        if self.last is None:
-            return None
-        return self.spark.read.parquet(f"{self.state_base}/v{self.last:012d}")
+    def _state(self, batch_id: int) -> DataFrame | None:
+        # newest committed state below this batch, found on storage (restart/replay safe)
+        last = latest_before(self.spark, self.state_base, batch_id)
+        return None if last is None else self.spark.read.parquet(version_path(self.state_base, last))
 
     def __call__(self, batch: DataFrame, batch_id: int):
         # several actions read the micro-batch: keep it instead of recomputing the aggregate
@@ -53,9 +53,9 @@ class AlertStateSink:
             batch = batch.withColumn("_series", F.lit(""))
         vals = batch.select(*labels, F.unix_timestamp("bucket").alias("b"), "value")
         hi = vals.agg(F.max("b")).first()[0]
-        state = self._state() if (self.last is None or self.last < batch_id) else None
         if hi is None:
             return
+        state = self._state(batch_id)
         starts = vals.groupBy(*labels).agg(F.min("b").alias("start"))
         if state is not None:
             # series already known continue right after their last step, even without new data
@@ -87,8 +87,10 @@ class AlertStateSink:
                                                        F.col("b")).alias("s")).select(*labels, "s.*")
         if state is not None:   # series without rows in this batch keep their state
             new_state = state.join(new_state.select(*labels), labels, "left_anti").unionByName(new_state)
-        new_state.write.mode("overwrite").parquet(f"{self.state_base}/v{batch_id:012d}")
-        self.last = batch_id
+        new_state.write.mode("overwrite").parquet(version_path(self.state_base, batch_id))
+
+    def written(self) -> bool:
+        return exists(self.spark, self.out)
 
     def results(self) -> DataFrame:
         # a replayed batch appends the same rows again: keep one per (series, step)
@@ -118,7 +120,7 @@ def stream_alert_states(stream: DataFrame, ts: str, rules: list[AlertRule], step
             raise q.exception()
     results = None
     for _, sink in running:
-        if sink.last is not None:
+        if sink.written():
             res = sink.results()
             results = res if results is None else results.unionByName(res)
     return results

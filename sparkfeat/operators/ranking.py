@@ -8,7 +8,7 @@ table — into one task. Instead:
 2. per (partition, key) totals form a table of at most #partitions + #keys rows; an
    exclusive running sum over it gives each slice its offset;
 3. each slice computes its local running sum (window over (partition, key) — bounded by
-   the range-partition size) and adds the broadcast offset.
+   the range-partition size) and adds its offset (broadcast when there are no keys).
 """
 
 from __future__ import annotations
@@ -49,8 +49,10 @@ def running_totals_and_sums(df: DataFrame, keys: list[str], order: list[str], va
     w_loc = (Window.partitionBy("_pid", *keys).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, 0))
     local = tagged.withColumns({f"_l_{v}": F.sum(v).over(w_loc) for v in values})
-    # offsets has one row per (partition, key) slice: bounded by #partitions + #keys.
-    joined = local.join(F.broadcast(offsets), ["_pid", *keys])
+    # offsets has one row per (partition, key) slice, at most #partitions + #keys rows.
+    # Without keys that bound is the partition count, so it is broadcast; with keys the
+    # planner's runtime size check (AQE) decides.
+    joined = local.join(F.broadcast(offsets) if not keys else offsets, ["_pid", *keys])
     out = joined.select(*df.columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}")
                                        for v in values])
     totals = slice_totals.groupBy(*keys).agg(*[F.sum(f"_t_{v}").alias(f"tot_{v}") for v in values])

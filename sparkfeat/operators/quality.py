@@ -39,6 +39,17 @@ def _reasons(*parts: Column) -> Column:
     return F.concat_ws("; ", F.filter(F.array(*parts), lambda x: x.isNotNull()))
 
 
+# The reference's five request-quality rules (name → predicate over the
+# passenger columns); pass them to ``rule_pass_rates`` for tables with those columns.
+PASSENGER_RULES = {
+    "Age not null": "Age IS NOT NULL",
+    "Age between 0 and 120": "Age >= 0 AND Age <= 120",
+    "Sex in [male, female]": "Sex IN ('male', 'female')",
+    "Fare >= 0": "Fare >= 0",
+    "Pclass in [1, 2, 3]": "Pclass IN (1, 2, 3)",
+}
+
+
 # --------------------------------------------------------------------------- A9
 def rule_pass_rates(df: DataFrame, rules: Mapping[str, Column | str],
                     overall_name: str = "overall") -> DataFrame:

@@ -57,3 +57,12 @@ def test_boolean_and_text_quality(spark):
     assert math.isclose(shares["true"], 2 / 3) and math.isclose(shares["false"], 1 / 3)
     t = Q.text_quality(df, ["t"]).first()
     assert t["avg_length"] == 7 / 3 and t["max_length"] == 4 and t["missing_rate"] == 0.25
+
+
+def test_passenger_rules_on_three_row_frame(spark):
+    df = spark.createDataFrame([(1, "male", 22.0, 7.25), (2, "female", 35.0, 71.2833), (3, "male", None, 8.05)],
+                               "Pclass long, Sex string, Age double, Fare double")
+    out = {r["rule"]: r["pass_rate"] for r in Q.rule_pass_rates(df, Q.PASSENGER_RULES).collect()}
+    assert out["Age not null"] == 2 / 3 and out["Age between 0 and 120"] == 2 / 3
+    assert out["Sex in [male, female]"] == 1.0 and out["Fare >= 0"] == 1.0 and out["Pclass in [1, 2, 3]"] == 1.0
+    assert math.isclose(out["overall"], (2 / 3 * 2 + 3) / 5)

@@ -163,6 +163,39 @@ class RowRule:
     valid: Column            # NULL counts as a failure
 
 
+# The reference's request contract — field patterns and bounds.
+REQUEST_CONTRACT = [
+    ("Pclass", "pattern", "^[123]$"),
+    ("Sex", "pattern", "^(male|female)$"),
+    ("Age", "range", (0, 120)),
+    ("SibSp", "range", (0, None)),
+    ("Parch", "range", (0, None)),
+    ("Fare", "range", (0, None)),
+    ("Embarked", "pattern", "^[CQS]$"),
+]
+
+
+def contract_rules(contract=REQUEST_CONTRACT) -> list[RowRule]:
+    """Row rules from a field contract: every field is required; patterns match the whole
+    text (case-sensitive); ranges are inclusive. Reasons name the field and the check."""
+    rules = []
+    for name, kind, arg in contract:
+        c = F.col(name)
+        rules.append(RowRule(f"{name}: field required", c.isNotNull()))
+        if kind == "pattern":
+            ok = c.isNull() | c.cast("string").rlike(arg)
+            rules.append(RowRule(f"{name}: must match {arg}", ok))
+        else:
+            lo, hi = arg
+            x = c.try_cast("double")
+            ok = c.isNull() | (x.isNotNull()
+                               & (F.lit(True) if lo is None else x >= F.lit(float(lo)))
+                               & (F.lit(True) if hi is None else x <= F.lit(float(hi))))
+            bounds = f">= {lo}" if hi is None else f"between {lo} and {hi}"
+            rules.append(RowRule(f"{name}: must be a number {bounds}", ok))
+    return rules
+
+
 def row_reasons(rules: list[RowRule]) -> Column:
     return F.filter(F.array(*[F.when(~truthy(r.valid), F.lit(r.reason)) for r in rules]),
                     lambda x: x.isNotNull())

@@ -71,3 +71,18 @@ def test_expectation_median_distributed_path(spark, monkeypatch):
     monkeypatch.setattr(EX, "choose_quantile_method", lambda d, c: "distributed")
     r = s.validate(df).first()
     assert r["observed"] == 50.0 and r["success"] is True
+
+
+def test_request_contract_rejects_invalid_request(spark):
+    schema = "Pclass string, Sex string, Age double, SibSp long, Parch long, Fare double, Embarked string"
+    df = spark.createDataFrame([("1", "female", 29.0, 0, 0, 100.0, "S"),
+                                ("3", "male", None, 1, 2, 8.05, "Q"),
+                                ("invalid", "unknown", -1.0, None, None, None, None)], schema)
+    ok, bad = V.split_requests(df, V.contract_rules())
+    assert ok.count() == 1
+    reasons = {r["Pclass"]: r["reasons"] for r in bad.collect()}
+    assert reasons["3"] == ["Age: field required"]
+    assert "Pclass: must match ^[123]$" in reasons["invalid"]
+    assert "Sex: must match ^(male|female)$" in reasons["invalid"]
+    assert "Age: must be a number between 0 and 120" in reasons["invalid"]
+    assert "Embarked: field required" in reasons["invalid"]

@@ -133,6 +133,32 @@ def get_feature_data(data: DataFrame, entity_ids: DataFrame, feature_name: str,
     return rows.select("entity_id", "value")
 
 
+# ------------------------------------------------------------------------ E3 registration
+def register_features(df: DataFrame, group: str, feature_cols: list[str], ts_col: str,
+                      version: str | None = None, owner: str | None = None,
+                      tags: list[str] | None = None,
+                      transformations: dict[str, str] | None = None) -> DataFrame:
+    """Registry rows for the features of a frame (one aggregate): name ``group.feature``,
+    logical type from the schema (P5), version given or the definition hash (F8),
+    ``updated_at`` = newest ``ts_col``, owner, tags, active."""
+    types = schema_types(df)
+    transformations = transformations or {}
+    row = df.agg(F.max(ts_col).alias("updated_at"))
+    structs = []
+    for c in feature_cols:
+        name = F.lit(f"{group}.{c}")
+        ftype = F.lit(types[c])
+        tr = F.lit(transformations.get(c)).cast("string")
+        structs.append(F.struct(
+            name.alias("name"),
+            (F.lit(version) if version else version_id(name, ftype, tr)).alias("version"),
+            ftype.alias("feature_type"), F.col("updated_at"),
+            F.lit(owner).cast("string").alias("owner"),
+            F.array(*[F.lit(t) for t in (tags or [])]).cast("array<string>").alias("tags"),
+            F.lit(True).alias("is_active")))
+    return row.select(F.inline(F.array(*structs)))
+
+
 # ------------------------------------------------------------------------ O1 / O2
 def registry_latest(registry: DataFrame, version: str | None = None) -> DataFrame:
     """Per feature: the named version, or the most recently updated (ties → version desc)."""

@@ -253,3 +253,30 @@ def snapshot_delete(spark, sf_dir):
 @register("snapshot_entity_ids", f"SELECT DISTINCT entity_id FROM {_LIVE_SQL} ORDER BY entity_id LIMIT 1000", "O5")
 def snapshot_entity_ids(spark, sf_dir):
     return S.entity_ids(_snapshot(Tables(spark, sf_dir)), "user_stats", NOW)
+
+
+_REG_FEATURES = [("n", "numeric"), ("total", "numeric"), ("has_error", "boolean"), ("last_type", "text")]
+
+
+def _register_sql():
+    parts = []
+    for c, t in _REG_FEATURES:
+        name = f"'user_stats.{c}'"
+        doc = ("'{\"name\": \"' || " + name + " || '\", \"transformation\": null, \"type\": \"" + t + "\"}'")
+        parts.append(f"SELECT {name} AS name, substr(md5({doc}), 1, 10) AS version, '{t}' AS feature_type, "
+                     f"strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at, 'team_features' AS owner, "
+                     f"'events,users' AS tags, true AS is_active FROM events")
+    return " UNION ALL ".join(parts)
+
+
+@register("feature_register", _register_sql(), "P5 F8 E3")
+def feature_register(spark, sf_dir):
+    ev = Tables(spark, sf_dir).events
+    stats = ev.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"),
+        (F.count_if(F.col("event_type") == "error") > 0).alias("has_error"),
+        F.max_by("event_type", "ts").alias("last_type"), F.max("ts").alias("last_ts"))
+    reg = S.register_features(stats, "user_stats", [c for c, _ in _REG_FEATURES], "last_ts",
+                              owner="team_features", tags=["events", "users"])
+    return reg.select("name", "version", "feature_type", ts_string(F.col("updated_at")).alias("updated_at"),
+                      "owner", F.array_join("tags", ",").alias("tags"), "is_active")

@@ -91,7 +91,7 @@ def numeric_quality(df: DataFrame, cols: list[str], max_missing: float = MAX_MIS
             F.lit(c).alias("feature"), mean.alias("mean"), F.col(f"std{i}").alias("std"),
             F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"),
             miss.alias("missing_rate"),
-            (~((miss > F.lit(max_missing)) | extreme)).alias("valid"),
+            (~(truthy(miss > F.lit(max_missing)) | extreme)).alias("valid"),
             reasons.alias("reasons")))
     return _explode_structs(row, structs)
 
@@ -176,7 +176,7 @@ def timestamp_quality(df: DataFrame, cols: list[str], max_missing: float = MAX_M
         F.date_format(F.col(f"lo{i}"), "yyyy-MM-dd HH:mm:ss").alias("min_date"),
         F.date_format(F.col(f"hi{i}"), "yyyy-MM-dd HH:mm:ss").alias("max_date"),
         F.col(f"miss{i}").alias("missing_rate"),
-        (F.col(f"miss{i}") <= F.lit(max_missing)).alias("valid"),
+        (~truthy(F.col(f"miss{i}") > F.lit(max_missing))).alias("valid"),
         _reasons(_missing_reason(F.col(f"miss{i}"), max_missing)).alias("reasons"))
         for i, c in enumerate(cols)]
     return _explode_structs(row, structs)
@@ -206,7 +206,7 @@ def text_quality(df: DataFrame, cols: list[str], max_missing: float = MAX_MISSIN
         F.lit(c).alias("feature"), F.col(f"avg{i}").alias("avg_length"),
         F.col(f"max{i}").cast("bigint").alias("max_length"),
         F.col(f"miss{i}").alias("missing_rate"),
-        (F.col(f"miss{i}") <= F.lit(max_missing)).alias("valid"),
+        (~truthy(F.col(f"miss{i}") > F.lit(max_missing))).alias("valid"),
         _reasons(_missing_reason(F.col(f"miss{i}"), max_missing)).alias("reasons"))
         for i, c in enumerate(cols)]
     return _explode_structs(row, structs)

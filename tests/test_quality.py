@@ -66,3 +66,10 @@ def test_passenger_rules_on_three_row_frame(spark):
     assert out["Age not null"] == 2 / 3 and out["Age between 0 and 120"] == 2 / 3
     assert out["Sex in [male, female]"] == 1.0 and out["Fare >= 0"] == 1.0 and out["Pclass in [1, 2, 3]"] == 1.0
     assert math.isclose(out["overall"], (2 / 3 * 2 + 3) / 5)
+
+
+def test_empty_frame_rules_do_not_fail_validity(spark):
+    df = spark.createDataFrame([], "x double, t timestamp, s string")
+    assert Q.numeric_quality(df, ["x"]).first()["valid"] is True
+    assert Q.timestamp_quality(df, ["t"]).first()["valid"] is True
+    assert Q.text_quality(df, ["s"]).first()["valid"] is True

@@ -113,7 +113,8 @@ def windowed(df: DataFrame, ts: str, duration: str, slide: str | None, labels: l
 
 def _seconds(duration: str) -> float:
     n, unit = duration.split()
-    mult = {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600}
+    mult = {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600,
+            "day": 86400, "days": 86400}
     return float(n) * mult[unit]
 
 
@@ -209,8 +210,6 @@ def alert_states(df: DataFrame, ts: str, rules: list[AlertRule], step: str = "1
     if span["lo"] is None:
         return df.sparkSession.createDataFrame(
             [], "rule string, labels string, bucket timestamp, severity string, value double, state string")
-    steps = F.explode(F.transform(F.sequence(F.lit(int(span["lo"])), F.lit(int(span["hi"])), F.lit(sec)),
-                                  lambda x: F.timestamp_seconds(x)))
     label_cols = list(dict.fromkeys(c for r in rules for c in r.labels))
     base = df.withColumn("bucket", F.timestamp_seconds(epoch))
     values = [r.value.cast("double").alias(f"_v{i}") for i, r in enumerate(rules)]
@@ -230,6 +229,15 @@ def alert_states(df: DataFrame, ts: str, rules: list[AlertRule], step: str = "1
         per_rule.append(F.when(F.col("_gid") == gid, F.struct(
             F.lit(r.name).alias("rule"), lab.alias("labels"), F.col(f"_v{i}").alias("value"))))
     series_vals = grouped.select("bucket", F.inline(F.filter(F.array(*per_rule), lambda x: x.isNotNull())))
+    return series_states(series_vals, rules, int(span["lo"]), int(span["hi"]), sec)
+
+
+def series_states(series_vals: DataFrame, rules: list[AlertRule], lo: int, hi: int, sec: int) -> DataFrame:
+    """Alert states from per-step values (rule, labels, bucket, value): a dense grid of the
+    series keys × the steps lo..hi (epoch seconds, step ``sec``), steps without a value are
+    "condition false", and runs of true steps are counted per series (gaps and islands)."""
+    steps = F.explode(F.transform(F.sequence(F.lit(lo), F.lit(hi), F.lit(sec)),
+                                  lambda x: F.timestamp_seconds(x)))
     spec = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.struct(
         F.lit(float(r.threshold)).alias("threshold"), F.lit(int(r.for_steps)).alias("for_steps"),
         F.lit(r.severity).alias("severity")))])
@@ -247,6 +255,27 @@ def alert_states(df: DataFrame, ts: str, rules: list[AlertRule], step: str = "1
         .otherwise(F.lit("pending")).alias("state"))
 
 
+def drift_alert_states(df: DataFrame, ts: str, cols: list[str], reference: DataFrame,
+                       step: str = "1 hour", for_steps: int = 15,
+                       statistic_alert: float = DRIFT_STATISTIC_ALERT) -> DataFrame:
+    """FeatureDrift: the per-step KS statistic of a column against the reference above the
+    alert level for ``for_steps`` consecutive steps (label ``feature=<column>``)."""
+    from sparkfeat.operators.drift import ks_over_time
+
+    sec = int(_seconds(step))
+    epoch = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / sec) * sec
+    span = df.agg(F.min(epoch).alias("lo"), F.max(epoch).alias("hi")).first()   # two numbers
+    if span["lo"] is None:
+        return df.sparkSession.createDataFrame(
+            [], "rule string, labels string, bucket timestamp, severity string, value double, state string")
+    ks = ks_over_time(df, ts, cols, reference, step)
+    series = ks.select(F.lit("FeatureDrift").alias("rule"),
+                       F.concat(F.lit("feature="), F.col("feature")).alias("labels"), "bucket",
+                       F.col("ks_statistic").alias("value"))
+    rule = AlertRule("FeatureDrift", F.lit(None), statistic_alert, for_steps, "warning")
+    return series_states(series, [rule], int(span["lo"]), int(span["hi"]), sec)
+
+
 # ------------------------------------------------------------------------ K7
 def health_status(memory_mb: Column, cpu_percent: Column, per_minute_rate: Column,
                   model_loaded: Column) -> tuple[Column, Column]:

@@ -98,3 +98,65 @@ def ab_results(spark, sf_dir):
                   F.expr(_PRED_SQL).alias("prediction"), F.expr(_TRUTH_SQL).alias("truth"))
     out = X.ab_results(t, "version", "prediction", "truth", WEIGHTS)
     return out.withColumn("accuracy", round6(F.col("accuracy")))
+
+
+REF_END = "2024-01-02 00:00:00"     # the first day of events is the drift reference
+_DOT_FEATURES = ["value", "user_id"]
+
+
+def _dot_sql(alerts=False):
+    un = " UNION ALL ".join(f"SELECT ts, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM events WHERE {c} IS NOT NULL"
+                            for c in _DOT_FEATURES)
+    ks = f"""WITH x AS ({un}),
+cur AS (SELECT date_trunc('hour', ts) AS bucket, feature, v, count(*) AS c FROM x WHERE ts >= TIMESTAMP '{REF_END}' GROUP BY ALL),
+ref AS (SELECT feature, v, count(*) AS r FROM x WHERE ts < TIMESTAMP '{REF_END}' GROUP BY ALL),
+b AS (SELECT DISTINCT bucket, feature FROM cur),
+u AS (SELECT bucket, feature, v, sum(c) AS c, sum(r) AS r FROM (
+        SELECT bucket, feature, v, c, 0 AS r FROM cur
+        UNION ALL SELECT b.bucket, ref.feature, ref.v, 0, ref.r FROM ref JOIN b ON b.feature = ref.feature) GROUP BY ALL),
+w AS (SELECT *, sum(c) OVER (PARTITION BY bucket, feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cc,
+             sum(r) OVER (PARTITION BY bucket, feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cr,
+             sum(c) OVER (PARTITION BY bucket, feature) AS n, sum(r) OVER (PARTITION BY bucket, feature) AS m FROM u),
+d AS (SELECT bucket, feature, max(abs(cc / n - cr / m)) AS ks, CAST(max(n) AS BIGINT) AS n, CAST(max(m) AS BIGINT) AS m
+      FROM w GROUP BY bucket, feature),
+p AS (SELECT *, ks * sqrt(n * m / (n + m)) AS lam FROM d),
+q AS (SELECT *, CASE WHEN lam < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0,
+  list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * lam * lam)))))
+  END AS pv FROM p)"""
+    if not alerts:
+        return ks + """
+SELECT strftime(bucket, '%Y-%m-%d %H:%M:%S') AS bucket, feature, round(ks, 6) AS ks_statistic, round(pv, 6) AS p_value,
+  pv < 0.05 AS drifted, n AS n_current, m AS n_reference FROM q"""
+    return ks + f""",
+grid AS (SELECT unnest(range(min(bucket), max(bucket) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS bucket FROM cur),
+s AS (SELECT g.bucket, 'feature=' || f.feature AS labels, q.ks AS value,
+        CASE WHEN coalesce(q.ks > 0.3, false) THEN 1 ELSE 0 END AS c
+      FROM (SELECT DISTINCT feature FROM q) f CROSS JOIN grid g LEFT JOIN q ON q.feature = f.feature AND q.bucket = g.bucket),
+h AS (SELECT *, sum(c) OVER (PARTITION BY labels ORDER BY bucket ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS held FROM s)
+SELECT 'FeatureDrift' AS rule, labels, strftime(bucket, '%Y-%m-%d %H:%M:%S') AS bucket, 'warning' AS severity,
+  round(value, 6) AS value, CASE WHEN c = 0 THEN 'inactive' WHEN held >= 15 THEN 'firing' ELSE 'pending' END AS state FROM h"""
+
+
+def _dot_frames(spark, sf_dir):
+    ev = Tables(spark, sf_dir).events
+    split = F.col("ts") < F.lit(REF_END).cast("timestamp_ntz")
+    return ev.where(~split), ev.where(split)
+
+
+@register("drift_over_time", _dot_sql(), "A14 K6")
+def drift_over_time(spark, sf_dir):
+    cur, ref = _dot_frames(spark, sf_dir)
+    out = D.ks_over_time(cur, "ts", _DOT_FEATURES, ref, "1 hour")
+    return out.select(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "feature",
+                      round6(F.col("ks_statistic")).alias("ks_statistic"), round6(F.col("p_value")).alias("p_value"),
+                      "drifted", "n_current", "n_reference")
+
+
+@register("drift_alerts", _dot_sql(alerts=True), "K6 A14")
+def drift_alerts(spark, sf_dir):
+    from sparkfeat.operators import metrics as MT
+
+    cur, ref = _dot_frames(spark, sf_dir)
+    out = MT.drift_alert_states(cur, "ts", _DOT_FEATURES, ref, "1 hour", for_steps=15)
+    return out.select("rule", "labels", F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"),
+                      "severity", round6(F.col("value")).alias("value"), "state")

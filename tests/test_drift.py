@@ -50,3 +50,18 @@ def test_events_value_statistic(spark):
     split = F.col("ts") >= F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     r = D.ks_drift(ev.where(split).select("value"), ev.where(~split).select("value")).first()
     assert r["ks_statistic"] == pytest.approx(0.012955916603249462)
+
+
+def test_ks_over_time_equals_two_sample_ks_per_step(spark):
+    rnd = random.Random(9)
+    rows = [(f"2024-01-0{d} {h:02d}:00:00", float(rnd.randint(0, 25) + d)) for d in (1, 2, 3) for h in range(12)
+            for _ in range(3)]
+    df = spark.createDataFrame(rows, "ts string, x double").withColumn("ts", F.to_timestamp("ts"))
+    ref = df.where("ts < TIMESTAMP '2024-01-02 00:00:00'")
+    cur = df.where("ts >= TIMESTAMP '2024-01-02 00:00:00'")
+    got = D.ks_over_time(cur, "ts", ["x"], ref, "1 day").collect()
+    ref_vals = [r.x for r in ref.collect()]
+    for r in got:
+        day_vals = [x.x for x in cur.where(F.date_trunc("day", "ts") == F.lit(r.bucket)).collect()]
+        assert r.ks_statistic == pytest.approx(_ks(day_vals, ref_vals))
+        assert r.n_current == len(day_vals) and r.n_reference == len(ref_vals)

@@ -86,3 +86,11 @@ def test_request_contract_rejects_invalid_request(spark):
     assert "Sex: must match ^(male|female)$" in reasons["invalid"]
     assert "Age: must be a number between 0 and 120" in reasons["invalid"]
     assert "Embarked: field required" in reasons["invalid"]
+
+
+def test_apply_inferred_types(spark):
+    t = spark.createDataFrame([("1", "a"), ("2.5", "3")], "x string, y string")
+    types = {r["column"]: r["inferred_type"] for r in V.infer_string_types(t).collect()}
+    out = V.apply_inferred_types(t, types)
+    assert dict(out.dtypes) == {"x": "double", "y": "string"}
+    assert [r.x for r in out.collect()] == [1.0, 2.5]

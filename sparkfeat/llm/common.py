@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,23 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that tasks can import it
+    wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[2]
+        target = Path(tempfile.mkdtemp()) / "sparkfeat-package.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted((root / "sparkfeat").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(target))
+        _SHIPPED.add(sc.applicationId)
+
+
 def small_batches(spark: SparkSession, records: int = 2000, mb: int = 16) -> None:
     """Bounds what one Arrow batch holds, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sparkfeat.llm import packing, token_count
+from sparkfeat.llm import language_id, packing, token_count, toxicity
 from sparkfeat.llm.common import documents, tokenizer_path
 from sparkfeat.llm.registry import register
+from sparkfeat.sources.tables import read_table
 
 
 @register("op1_hilbert_packing")
@@ -15,3 +16,17 @@ def op1(spark, sf_dir):
 @register("op3_transducer_counts")
 def op3(spark, sf_dir):
     return token_count.count_tokens(documents(spark, sf_dir), tokenizer_path())
+
+
+@register("op4_subword_language")
+def op4(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held = language_id.in_fold("doc_id", 4, 2)
+    model = language_id.fit(docs, ~held)
+    return language_id.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@register("op7_ordinal_toxicity")
+def op7(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return toxicity.predict(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))

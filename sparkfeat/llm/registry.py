@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkfeat.llm.common import ship_package
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
 def register(name: str, sql: str | None = None):
     def put(build):
-        _QUERIES[name] = (build, sql)
-        return build
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return build(spark, sf_dir)
+        _QUERIES[name] = (run, sql)
+        return run
     return put
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkfeat.llm import language_id, packing, token_count, toxicity
+from sparkfeat.llm import language_id, near_join, packing, token_count, toxicity
 from sparkfeat.llm.common import documents, tokenizer_path
 from sparkfeat.llm.registry import register
 from sparkfeat.sources.tables import read_table
@@ -30,3 +30,8 @@ def op4(spark, sf_dir):
 def op7(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return toxicity.predict(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+@register("op10_forest_jaccard", near_join.LINKS_SQL)
+def op10(spark, sf_dir):
+    return near_join.near_join(documents(spark, sf_dir))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkfeat.llm import language_id, near_join, packing, token_count, toxicity
+from sparkfeat.llm import decontaminate, language_id, near_join, packing, pii, token_count, toxicity
 from sparkfeat.llm.common import documents, tokenizer_path
 from sparkfeat.llm.registry import register
 from sparkfeat.sources.tables import read_table
@@ -35,3 +35,18 @@ def op7(spark, sf_dir):
 @register("op10_forest_jaccard", near_join.LINKS_SQL)
 def op10(spark, sf_dir):
     return near_join.near_join(documents(spark, sf_dir))
+
+
+@register("op8_cgk_decontamination")
+def op8(spark, sf_dir):
+    return decontaminate.leaks(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+#: A demonstration key; production keys come from the caller.
+PSEUDONYM_KEY = "corpus-pseudonym-key"
+
+
+@register("op6_feistel_pseudonyms")
+def op6(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.pseudonymize(docs, PSEUDONYM_KEY, counts=True)

@@ -81,6 +81,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def range_parts(df: DataFrame, col: str, parts: int):
+    """(function from the column to its range's number, number of ranges): ranges of about equal
+    rows between quantiles of a long column; the cut points, one per range, go to the tasks."""
+    quantiles = df.approxQuantile(col, [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    bounds = np.unique(np.array(quantiles, np.float64).astype(np.int64))
+
+    @F.pandas_udf("int")
+    def part_of(place):
+        import pandas as pd
+        return pd.Series(np.searchsorted(bounds, place.to_numpy(), side="right").astype(np.int32))
+    return part_of, len(bounds) + 1
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.llm import bpe
-from sparkfeat.llm.common import id_text, map_batches, mix64, partitions, small_batches, stored, texts_of
+from sparkfeat.llm.common import id_text, map_batches, mix64, partitions, range_parts, small_batches, stored, texts_of
 
 HASHED, DIMS, BITS, SALT_BITS = 8, 3, 15, 17
 TOKENIZED = "doc_id long, place long, n long, ids binary"
@@ -102,23 +102,12 @@ def pack(docs: DataFrame, path: str, seq_len: int = 1024, end_id: int = 0, id_co
     spark = docs.sparkSession
     small_batches(spark)
     table = stored(tokenized(docs, path, end_id, id_col, text_col), "pack-ids")
-    n_parts = partitions(spark)
-    quantiles = table.approxQuantile("place", [i / n_parts for i in range(1, n_parts)], 0.2 / n_parts)
-    bounds = np.unique(np.array(quantiles, np.float64).astype(np.int64))
-
-    @F.pandas_udf("int")
-    def part_of(place):
-        import pandas as pd
-        return pd.Series(np.searchsorted(bounds, place.to_numpy(), side="right").astype(np.int32))
-
-    def total(n_sum: str):
-        got = table.select(part_of("place").alias("part"), "n").groupBy("part").agg(F.sum("n").alias(n_sum))
-        sums = np.zeros(len(bounds) + 1, np.int64)
-        for r in got.collect():                      # one row per range
-            sums[r["part"]] = r[n_sum]
-        return np.cumsum(sums) - sums
-
-    first = total("n")
+    part_of, n_parts = range_parts(table, "place", partitions(spark))
+
+    sums = np.zeros(n_parts, np.int64)
+    for r in table.select(part_of("place").alias("part"), "n").groupBy("part").agg(F.sum("n").alias("n")).collect():
+        sums[r["part"]] = r["n"]                     # one row per range
+    first = np.cumsum(sums) - sums
     kind = np.uint16 if bpe.machine(path).size <= 1 << 16 else np.uint32
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +130,6 @@ def pack(docs: DataFrame, path: str, seq_len: int = 1024, end_id: int = 0, id_co
                 kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*pieces), kinds)], names)
 
-    ranged = (table.withColumn("part", part_of("place")).repartitionById(max(len(bounds) + 1, 1), F.col("part"))
+    ranged = (table.withColumn("part", part_of("place")).repartitionById(n_parts, F.col("part"))
               .sortWithinPartitions("part", "place", "doc_id").select("part", "doc_id", "n", "ids"))
     return ranged.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkfeat.llm import decontaminate, language_id, near_join, packing, pii, token_count, toxicity
+from sparkfeat.llm import decontaminate, fingerprint, language_id, near_join, packing, pii, token_count, toxicity
 from sparkfeat.llm.common import documents, tokenizer_path
 from sparkfeat.llm.registry import register
 from sparkfeat.sources.tables import read_table
@@ -50,3 +50,8 @@ PSEUDONYM_KEY = "corpus-pseudonym-key"
 def op6(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return pii.pseudonymize(docs, PSEUDONYM_KEY, counts=True)
+
+
+@register("op5_consistent_fingerprints")
+def op5(spark, sf_dir):
+    return fingerprint.compare_with_next(documents(spark, sf_dir))

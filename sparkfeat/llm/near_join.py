@@ -174,7 +174,8 @@ def near_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, trees:
                 "shingles": pa.array([s.tobytes() for s in sets], pa.binary())}
 
     wanted = members.select("rep_id", F.col("tid").alias("rep_tid"))
-    texts = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.rep_id) & (rows.tid == wanted.rep_tid)).select("text")
+    # the same plan at every size: no broadcast of a list that grows
+    texts = rows.join(wanted.hint("merge"), rows.doc_id.eqNullSafe(wanted.rep_id) & (rows.tid == wanted.rep_tid)).select("text")
     units = map_batches(texts, sets_of, SETS).join(members.select("sid", "root", "n_blocks", "block", "labels", "weight"), "sid")
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "sid", "labels", "weight", "shingles")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkfeat.llm import decontaminate, fingerprint, language_id, near_join, packing, pii, token_count, toxicity
+from sparkfeat.llm import decontaminate, fingerprint, language_id, lm_score, near_join, packing, pii, token_count, toxicity
 from sparkfeat.llm.common import documents, tokenizer_path
 from sparkfeat.llm.registry import register
 from sparkfeat.sources.tables import read_table
@@ -55,3 +55,9 @@ def op6(spark, sf_dir):
 @register("op5_consistent_fingerprints")
 def op5(spark, sf_dir):
     return fingerprint.compare_with_next(documents(spark, sf_dir))
+
+
+@register("op9_attention_score")
+def op9(spark, sf_dir):
+    held = language_id.in_fold("doc_id", 7, 2)
+    return lm_score.score_texts(documents(spark, sf_dir), tokenizer_path(), ~held)

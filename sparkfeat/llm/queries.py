@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkfeat.llm import decontaminate, fingerprint, language_id, lm_score, near_join, packing, pii, token_count, toxicity
+from sparkfeat.llm import decontaminate, fingerprint, language_id, lm_score, near_join, packing, pii, suffix_dedup, token_count, toxicity
 from sparkfeat.llm.common import documents, tokenizer_path
 from sparkfeat.llm.registry import register
 from sparkfeat.sources.tables import read_table
@@ -61,3 +61,8 @@ def op5(spark, sf_dir):
 def op9(spark, sf_dir):
     held = language_id.in_fold("doc_id", 7, 2)
     return lm_score.score_texts(documents(spark, sf_dir), tokenizer_path(), ~held)
+
+
+@register("op2_column_bwt_dedup")
+def op2(spark, sf_dir):
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))

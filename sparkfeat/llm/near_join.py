@@ -209,3 +209,15 @@ links AS (SELECT a, sum(weight) AS links FROM pairs GROUP BY a)
 SELECT s.doc_id, CASE WHEN s.n = 0 THEN s.doc_id ELSE t.class_id END AS class_id,
   CASE WHEN s.n = 0 THEN 0 ELSE CAST(coalesce(l.links, 0) + c.weight - 1 AS BIGINT) END AS n_links, CAST(s.n AS BIGINT) AS set_size
 FROM sets s LEFT JOIN classes c ON c.sid = s.sid AND s.n > 0 LEFT JOIN top t ON t.a = c.least LEFT JOIN links l ON l.a = c.least"""
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The documents whose id names their class, with all their columns: one of each group of
+    near duplicates. Rows that repeat one id and text count as one."""
+    near = near_join(docs, id_col=id_col, text_col=text_col, **parameters)
+    chosen = near.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_chosen")).agg(
+        F.count("*").alias("_rows")).hint("merge")
+    joined = docs.join(chosen, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_chosen")))
+    once = joined.where("_rows = 1").drop("_chosen", "_rows")
+    more = joined.where("_rows > 1").drop("_chosen", "_rows").dropDuplicates([id_col, text_col])
+    return once.unionByName(more)

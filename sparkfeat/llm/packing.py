@@ -98,7 +98,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
 def pack(docs: DataFrame, path: str, seq_len: int = 1024, end_id: int = 0, id_col: str = "doc_id",
          text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start (the document's ids before it), length, ids_crc32,
-    doc_tokens, sequence_id, offset; with ``with_ids`` also the piece's ids."""
+    doc_tokens, sequence_id, offset; with ``with_ids`` also ids: the piece's ids as
+    little-endian unsigned 32-bit numbers."""
     spark = docs.sparkSession
     small_batches(spark)
     table = stored(tokenized(docs, path, end_id, id_col, text_col), "pack-ids")
@@ -123,13 +124,13 @@ def pack(docs: DataFrame, path: str, seq_len: int = 1024, end_id: int = 0, id_co
                     size = min(n - done, seq_len - at % seq_len)
                     own = ids[done:done + size]
                     pieces.append((doc, done, size, zlib.crc32(own), n, at // seq_len, at % seq_len,
-                                   *([list(own)] if with_ids else [])))
+                                   *([own.tobytes()] if with_ids else [])))
                     done, at = done + size, at + size
             if pieces:
                 names = [f.split()[0] for f in PIECES.split(", ")] + ["ids"] * with_ids
-                kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
+                kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*pieces), kinds)], names)
 
     ranged = (table.withColumn("part", part_of("place")).repartitionById(n_parts, F.col("part"))
               .sortWithinPartitions("part", "place", "doc_id").select("part", "doc_id", "n", "ids"))
-    return ranged.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    return ranged.mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))

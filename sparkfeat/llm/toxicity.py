@@ -70,7 +70,7 @@ def make_grades(index, firsts, occurs, toxic: np.ndarray) -> np.ndarray:
 
 
 def train(index: np.ndarray, firsts: np.ndarray, occurs: np.ndarray, toxic: np.ndarray, steps: int = 400,
-          l1: float = 2e-4) -> OrdinalModel | None:
+          l1: float = 5e-4) -> OrdinalModel | None:
     """Fits sparse rows (see ``sparse_rows``) with 0/1 labels."""
     toxic = np.asarray(toxic, np.float64)
     if not 0 < toxic.sum() < len(toxic):
@@ -84,7 +84,9 @@ def train(index: np.ndarray, firsts: np.ndarray, occurs: np.ndarray, toxic: np.n
     rate = np.clip(over.mean(0), 1e-3, 1 - 1e-3)
     w, cut = np.zeros(len(used)), -np.log(rate / (1 - rate))
     w_sq, cut_sq = np.full(len(used), 1e-8), np.full(k, 1e-8)
-    for _ in range(steps):                                                  # Adagrad with an L1 proximal step
+    for i in range(2 * steps):                                              # Adagrad with an L1 proximal step;
+        if i == steps:                                                      # then without it, on the words it left
+            chosen, l1 = w != 0, 0.0
         z = _row_sums(w[local], firsts)[:, None] - cut
         g = (_sigmoid(z) - over) / len(toxic)
         gw, gc = np.bincount(local, g.sum(1)[owner], len(used)), -g.sum(0)
@@ -92,7 +94,7 @@ def train(index: np.ndarray, firsts: np.ndarray, occurs: np.ndarray, toxic: np.n
         cut_sq += gc ** 2
         step = 0.3 / np.sqrt(w_sq)
         w = w - step * gw
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0) if l1 else np.where(chosen, w, 0)
         cut = np.maximum.accumulate(cut - 0.3 / np.sqrt(cut_sq) * gc)        # thresholds stay ordered
     weights = np.zeros(BUCKETS, np.float32)
     weights[used] = w

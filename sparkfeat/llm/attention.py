@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 REACH, STRIDE = 32, 16            # positions a window holds, targets it scores
-HEAD, TAIL, DIM, HIDDEN = 240, 16, 24, 48
+HEAD, TAIL, DIM, HIDDEN = 240, 16, 24, 32
 CLASSES = HEAD + TAIL
 POWER = 8                         # a class weighs its bigram share times (1 + y / POWER) ** POWER
 BACK = 4.0                        # weight of the unigram share within a class
@@ -26,12 +26,12 @@ class Vocabulary:
         ranked = np.argsort(-counts, kind="stable")
         ranked = np.concatenate([[end_id], ranked[ranked != end_id]])
         self.end = 0
-        self.of = np.zeros(len(counts), np.int32)
+        self.of = np.zeros(len(counts), np.int64)
         self.of[ranked[:HEAD]] = np.arange(min(HEAD, len(counts)))
         rest = ranked[HEAD:]
         mass = np.cumsum(counts[rest] + 1)
         if len(rest):
-            self.of[rest] = HEAD + np.minimum((mass - 1) * TAIL / mass[-1], TAIL - 1).astype(np.int32)
+            self.of[rest] = HEAD + np.minimum((mass - 1) * TAIL / mass[-1], TAIL - 1).astype(np.int64)
         size, total = np.bincount(self.of, minlength=CLASSES), np.bincount(self.of, counts, CLASSES)
         self.share = np.where(size[self.of] == 1, 1.0, (counts + 1) / (total + size)[self.of])
         self.pairs, self.times, self.after = np.zeros(1, np.int64), np.zeros(1), np.zeros((CLASSES, CLASSES))
@@ -185,7 +185,8 @@ class Scorer:
             at = b + np.arange(STRIDE)
             used = at < hi
             qc = inputs[np.minimum(at, len(inputs) - 1)]
-            s = self.pull[(qc * CLASSES)[:, :, None] + kc[:, None, :]] * self.dist
+            s = self.pull[(qc * CLASSES)[:, :, None] + kc[:, None, :]]
+            s *= self.dist
             if not known.all():
                 s *= known[:, None, :]
             s /= np.maximum(s.sum(-1, keepdims=True), np.float32(1e-30))

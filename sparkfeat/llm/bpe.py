@@ -29,7 +29,7 @@ import unicodedata
 import numpy as np
 
 CHUNK = 512                 # characters a chunk of the prefix scan
-BATCH_CHARS = 3_000_000     # characters worked on at once in a task
+BATCH_CHARS = 1_000_000     # characters worked on at once in a task
 FEW = 24                    # so many tokens below a trie node are listed in a state
 
 # character classes of the pretokenizer: letters that end a contraction have their own

@@ -34,28 +34,35 @@ from pyspark.sql import functions as F
 from sparkfeat.llm import bpe, words
 from sparkfeat.llm.attention import REACH, Scorer, Vocabulary, flat, start_parameters, train, unflat
 from sparkfeat.llm.common import map_batches, mix64, partitions, small_batches, stored, texts_of
-from sparkfeat.llm.near_join import WORD_GAP
 
-UPPER = {c: c + 32 for c in range(65, 91)}
+#: ASCII white space parts words
+IN_WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+OTHER_CODE = mix64(np.arange(256), 9) >> np.uint64(1)
 END_WORD = (np.uint64(1), np.uint64(1))
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 ASKED = "kind int, block string, bucket int, a binary, b binary, c binary, d binary, e binary"
 RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def lowered(text: str) -> bytes:
+    """UTF-8 with A-Z in lower case; bytes split and lower by ASCII rules alone."""
+    return text.encode("utf-8", "surrogatepass").lower()
+
+
 def word_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two 64-bit hashes of every word of all texts, and words per text."""
-    cps, firsts, _ = words.code_points([t.translate(UPPER) for t in texts])
-    a, b = words.spans((cps > 32) | ~np.isin(cps, WORD_GAP))
+    raw = [lowered(t) for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    firsts = np.cumsum(sizes + 1) - sizes - 1
+    a, b = words.spans(IN_WORD[data])
     counts = np.diff(np.append(np.searchsorted(a, firsts), len(a)))
-    return words.span_hashes(cps, a, b), words.span_hashes(mix64(cps, 9) >> np.uint64(1), a, b), counts
+    return words.span_hashes(data, a, b), words.span_hashes(OTHER_CODE[data], a, b), counts
 
 
 def plain(text: str) -> str:
     """Words in lower case, one space between them."""
-    for c in "\t\n\x0b\x0c\r":
-        text = text.replace(c, " ")
-    return " ".join(w for w in text.translate(UPPER).split(" ") if w)
+    return b" ".join(lowered(text).split()).decode("utf-8", "surrogatepass")
 
 
 def subwords(path: str, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,15 +84,15 @@ def _ask(n_buckets: int):
         owner = np.concatenate([np.repeat(np.arange(n), counts), np.arange(n)])
         h1 = np.concatenate([h1, np.full(n, END_WORD[0])])
         h2 = np.concatenate([h2, np.full(n, END_WORD[1])])
-        _, first, word = np.unique(h1, return_index=True, return_inverse=True)
-        h1, h2 = h1[first], h2[first]
-        bucket = (h1 % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")                     # words by bucket
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        pair, times = np.unique(place[word] * n + owner, return_counts=True)
-        word, doc = pair // n, pair % n
-        h1, h2, bucket = h1[order], h2[order], bucket[order]
+        # one stable sort puts equal words together, by bucket, and their documents in order
+        bucket = h1 % np.uint64(n_buckets)
+        by_word = np.argsort(h1 // np.uint64(n_buckets), kind="stable")
+        by_word = by_word[np.argsort(bucket[by_word].astype(np.uint16 if n_buckets <= 1 << 16 else np.uint64), kind="stable")]
+        h1, h2, owner, bucket = h1[by_word], h2[by_word], owner[by_word], bucket[by_word].astype(np.int64)
+        new = np.concatenate([[True], h1[1:] != h1[:-1]])
+        at = np.flatnonzero(new | np.concatenate([[True], owner[1:] != owner[:-1]]))
+        word, doc, times = (np.cumsum(new) - 1)[at], owner[at], np.diff(np.append(at, len(owner)))
+        h1, h2, bucket = h1[new], h2[new], bucket[new]
         learned = np.bincount(word, times * learn[doc], len(h1)).astype("<u4")
         cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
         both = np.stack([h1, h2], 1)
@@ -244,7 +251,7 @@ def trained(learn: DataFrame, kind, vocabulary: Vocabulary, parameters: dict, sh
     return parameters
 
 
-def score_texts(docs: DataFrame, path: str, learn: Column, share: int = 14, rounds: int = 2, id_col: str = "doc_id",
+def score_texts(docs: DataFrame, path: str, learn: Column, share: int = 20, rounds: int = 2, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out (not learned from), n_tokens, n_known,
     train_tokens, base_score, score."""

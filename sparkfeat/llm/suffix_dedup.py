@@ -110,22 +110,35 @@ def cut_pieces(data: bytes, firsts: np.ndarray, ends: np.ndarray, length: int):
 
 
 class SequentialFiles:
-    """Symbols and prefix lengths of one bucket on disk: each round reads the last files from
-    start to end and writes the next ones."""
+    """Symbols and prefix lengths of one bucket on disk, in two pairs of files used by turns:
+    each round reads the last pair from start to end and writes over the other one. The files stay
+    open and only grow, so no round waits for the disk."""
 
     def __init__(self, folder: str):
-        self.folder, self.round = folder, 0
-
-    def _path(self, name: str) -> str:
-        return os.path.join(self.folder, f"{name}-{self.round % 2}")
+        self.files = [[open(os.path.join(folder, f"{name}-{k}"), "w+b", buffering=0) for name in ("symbols", "prefixes")] for k in range(2)]
+        self.round, self.size = 0, 0
 
     def write(self, symbols: np.ndarray, prefixes: np.ndarray):
-        self.round += 1
-        symbols.tofile(self._path("symbols"))
-        prefixes.tofile(self._path("prefixes"))
+        self.round, self.size = self.round + 1, len(symbols)
+        for f, values in zip(self.files[self.round % 2], (symbols, prefixes)):
+            f.seek(0)
+            f.write(memoryview(values))
 
     def read(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(self._path("symbols"), np.uint8), np.fromfile(self._path("prefixes"), np.uint8)
+        out = []
+        for f in self.files[self.round % 2]:
+            values = np.empty(self.size, np.uint8)
+            f.seek(0)
+            f.readinto(memoryview(values))
+            out.append(values)
+        return out[0], out[1]
+
+    def __enter__(self) -> SequentialFiles:
+        return self
+
+    def __exit__(self, *_):
+        for f in (*self.files[0], *self.files[1]):
+            f.close()
 
 
 def column_bwt(pieces: list[bytes], length: int, files: SequentialFiles) -> list[np.ndarray]:
@@ -152,13 +165,17 @@ def column_bwt(pieces: list[bytes], length: int, files: SequentialFiles) -> list
         symbols, prefixes = files.read()
         active = int(np.searchsorted(-sizes, -r, side="left"))       # pieces longer than r
         symbols[places[:active]] = code[joined[ends[:active] - 1 - r]]
-        by_symbol = np.argsort(symbols, kind="stable")
-        by_symbol = by_symbol[np.searchsorted(symbols[by_symbol], 1):]
-        rank = np.empty(len(symbols), np.int64)
-        rank[by_symbol] = np.arange(len(by_symbol))
-        new = np.sort(rank[places[:active]])
-        touched = np.unique(np.concatenate([new, new + 1]))          # new suffixes and those behind them
-        touched = touched[touched < len(by_symbol)]
+        before_it = symbols[places[:active]]
+        by_symbol = np.argsort(symbols, kind="stable")[len(symbols) - np.count_nonzero(symbols):]
+        latest = np.zeros(len(symbols), bool)
+        latest[places[:active]] = True
+        fresh = latest[by_symbol]
+        new = np.flatnonzero(fresh)                                  # their ranks, by symbol and place
+        moved = np.lexsort((places[:active], before_it))
+        places[moved] = n + new
+        behind = fresh.copy()                                        # new suffixes and those behind them
+        behind[1:] |= fresh[:-1]
+        touched = np.flatnonzero(behind)
         here, before = by_symbol[touched], by_symbol[touched - 1]
         same = (touched > 0) & (symbols[here] == symbols[before])
         value = np.zeros(len(touched), np.uint8)
@@ -168,19 +185,15 @@ def column_bwt(pieces: list[bytes], length: int, files: SequentialFiles) -> list
             ranges = np.stack([before[pairs] + 1, here[pairs] + 1], 1).ravel()
             least = np.minimum.reduceat(np.append(prefixes, 0), ranges)[::2]
             value[pairs] = np.minimum(least.astype(np.int32) + 1, cap)
-        fresh = np.zeros(len(by_symbol), bool)
-        fresh[new] = True
         grown = np.zeros(n + len(by_symbol), np.uint8)
         shared = np.zeros(n + len(by_symbol), np.uint8)
         grown[:n] = symbols[:n]
-        old = np.flatnonzero(~fresh) + n
-        grown[old], shared[old] = symbols[n:], prefixes[n:]
+        old = ~fresh
+        grown[n:][old], shared[n:][old] = symbols[n:], prefixes[n:]
         shared[n + touched] = value
-        places[:active] = n + rank[places[:active]]
         files.write(grown, shared)
     symbols, prefixes = files.read()
-    by_symbol = np.argsort(symbols, kind="stable")
-    by_symbol = by_symbol[np.searchsorted(symbols[by_symbol], 1):]
+    by_symbol = np.argsort(symbols, kind="stable")[len(symbols) - np.count_nonzero(symbols):]
     step = np.zeros(len(symbols), np.int64)                          # from a suffix to the one a symbol longer
     step[by_symbol] = n + np.arange(len(by_symbol))
     repeated = prefixes >= cap
@@ -205,8 +218,8 @@ def _bucket_flags(length: int):
         need = pdf[many & alone]
         flags = dict(zip(pdf["sid"][pdf["n"] > 1], (b"\xff" * -(-w // 8) for w in pdf["windows"][pdf["n"] > 1])))
         if len(need):
-            with tempfile.TemporaryDirectory() as folder:
-                found = column_bwt(need["content"].tolist(), length, SequentialFiles(folder))
+            with tempfile.TemporaryDirectory() as folder, SequentialFiles(folder) as files:
+                found = column_bwt(need["content"].tolist(), length, files)
             for sid, count, hit in zip(need["sid"], need["n"], found):
                 if count == 1 and hit.any():
                     flags[sid] = np.packbits(hit).tobytes()

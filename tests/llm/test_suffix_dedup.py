@@ -30,8 +30,8 @@ def test_column_bwt_against_brute_force(seed):
     rng = random.Random(seed)
     k = rng.choice([2, 3, 5])
     pieces = list({bytes(rng.choices(b"ab" if seed % 2 else b"abcd", k=rng.randint(k, 14))) for _ in range(rng.randint(1, 9))})
-    with tempfile.TemporaryDirectory() as folder:
-        got = S.column_bwt(pieces, k, S.SequentialFiles(folder))
+    with tempfile.TemporaryDirectory() as folder, S.SequentialFiles(folder) as files:
+        got = S.column_bwt(pieces, k, files)
     seen = Counter(p[i:i + k] for p in pieces for i in range(len(p) - k + 1))
     for p, flags in zip(pieces, got):
         assert flags.tolist() == [seen[p[i:i + k]] > 1 for i in range(len(p) - k + 1)]

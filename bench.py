@@ -15,10 +15,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from sparkfeat.plans.registry import specs  # noqa: E402
 from sparkfeat.session import get_spark  # noqa: E402
 
-# Forest training dominates everything else; it is benched separately with BENCH_ALL=1.
-HEAVY = {"rf_train_score", "train_eval"}
-
-
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -31,8 +27,6 @@ def main():
     for name, spec in specs().items():
         if only and name not in only:
             continue
-        if not only and name in HEAVY and os.environ.get("BENCH_ALL") != "1":
-            continue
         t0 = time.time()
         try:
             spec.build(spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -56,3 +56,23 @@ def hash_unit(key: Column, salt: str | None = None) -> Column:
 def is_close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     """numpy.isclose defaults: |a-b| <= atol + rtol*|b|; NULL → False."""
     return truthy(F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b))
+
+
+def number(c) -> Column:
+    """A value as a double where pandas' idea of missing holds: text that is no number and
+    NaN are NULL."""
+    x = (c if isinstance(c, Column) else F.col(f"`{c}`")).try_cast("double")
+    return F.nanvl(x, F.lit(None).cast("double"))
+
+
+def is_missing(c: str, data_type) -> Column:
+    """NULL, and NaN in floating columns."""
+    x = F.col(f"`{c}`")
+    return x.isNull() | F.isnan(x) if data_type.typeName() in ("double", "float") else x.isNull()
+
+
+def null_safe_join(left, right, keys: list[str], how: str = "inner"):
+    """Equi-join in which NULL keys match each other; the left side's keys are kept."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    cond = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, cond, how).drop(*[f"_right_{k}" for k in keys])

@@ -10,12 +10,14 @@ fails to build counts as a failure with its error text.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.operators.ranking import choose_quantile_method, exact_quantiles
+from sparkfeat.functions.columns import number
+from sparkfeat.operators.ranking import exact_quantiles
 
 TABLE = "_dataframe_"
 
@@ -40,7 +42,7 @@ def _values(cond: Callable[[Column, dict], Column]):
 
 def _stat(agg: Callable[[Column], Column]):
     def build(c: Column, p: dict):
-        o = agg(c).cast("double")
+        o = agg(number(c)).cast("double")         # text that is no number is skipped, not an error
         return o, None, lambda o_, u: F.coalesce(_between(o_, p), F.lit(False))
     return build
 
@@ -55,18 +57,27 @@ def _unique(c: Column, p: dict):
     return dup.cast("double"), dup, lambda o, u: u == 0
 
 
+def _unique_count(c: Column, p: dict):
+    return F.count_distinct(c).cast("double"), None, lambda o_, u: F.coalesce(_between(o_, p), F.lit(False))
+
+
+def _matches(c: Column, p: dict):
+    re.compile(p["regex"])                        # an invalid pattern is this expectation's failure alone
+    return _values(lambda x, q: x.cast("string").rlike(q["regex"]))(c, p)
+
+
 COLUMN_EXPECTATIONS: dict[str, Callable] = {
     "column_values_to_not_be_null": _not_null,
-    "column_values_to_be_between": _values(lambda c, p: _between(c, p)),
-    "column_values_to_be_in_set": _values(lambda c, p: c.isin(*p.get("value_set", []))),
+    "column_values_to_be_between": _values(lambda c, p: _between(number(c), p)),
+    "column_values_to_be_in_set": _values(lambda c, p: c.cast("string").isin(*[str(v) for v in p.get("value_set", [])])),
     "column_values_to_be_unique": _unique,
-    "column_values_to_match_regex": _values(lambda c, p: c.cast("string").rlike(p["regex"])),
+    "column_values_to_match_regex": _matches,
     "column_min_to_be_between": _stat(F.min),
     "column_max_to_be_between": _stat(F.max),
     "column_mean_to_be_between": _stat(F.avg),
-    "column_median_to_be_between": _stat(F.median),
+    "column_median_to_be_between": _stat(F.median),       # replaced by the exact median in validate
     "column_stdev_to_be_between": _stat(F.stddev_samp),
-    "column_unique_value_count_to_be_between": _stat(F.count_distinct),
+    "column_unique_value_count_to_be_between": _unique_count,
 }
 
 
@@ -107,12 +118,11 @@ class ExpectationSuite:
         """One row per evaluated expectation: column, expectation, success, observed,
         unexpected_count, error — all computed by a single aggregate."""
         items = []
-        # medians: exact; Spark's percentile buffer after a distinct-count check, otherwise
-        # ranked with the distributed plan and carried into the aggregate as literals
+        # medians: exact, ranked by the distributed plan, literals in the aggregate
         med_cols = sorted({c for c, exps in self.expectations.items() if c in df.columns
                            for e in exps if e["type"] == "column_median_to_be_between"})
-        medians = None
-        if med_cols and choose_quantile_method(df, med_cols) == "distributed":
+        medians = {}
+        if med_cols:
             medians = {r["feature"]: r["quantile"] for r in exact_quantiles(df, med_cols, [0.5]).collect()}
         for column, exps in self.expectations.items():
             for e in exps:
@@ -127,10 +137,11 @@ class ExpectationSuite:
                     if builder is None or column not in df.columns:
                         continue
                     args = (F.col(column), params)
-                    if name == "column_median_to_be_between" and medians is not None:
+                    if name == "column_median_to_be_between":
                         builder = _stat(lambda c, v=medians.get(column): F.lit(v).cast("double"))
                 try:
                     obs, unexp, ok = builder(*args)
+                    df.select(*[x for x in (obs, unexp) if x is not None])   # types are checked one by one
                     items.append((column, name, obs, unexp, ok, None))
                 except Exception as exc:  # noqa: BLE001 — a broken expectation is a failure
                     items.append((column, name, None, None, None, str(exc)))

@@ -52,13 +52,25 @@ def weighted_arm(key: Column, weights: Mapping[str, float], epoch: str | None =
 def ab_results(df: DataFrame, version_col: str, prediction: str, truth: str,
                weights: Mapping[str, float]) -> DataFrame:
     """Per arm: labelled predictions, correct ones (numpy ``isclose``), accuracy (0 when
-    none), traffic weight. Rows without ground truth do not count."""
+    none), traffic weight. Rows without ground truth do not count; configured arms without
+    labelled rows are listed with zeros."""
     labelled = df.where(F.col(truth).isNotNull())
     agg = labelled.groupBy(F.col(version_col).alias("version")).agg(
         F.count(F.lit(1)).alias("total_predictions"),
         F.count_if(is_close(F.col(prediction).cast("double"), F.col(truth).cast("double")))
         .alias("correct_predictions"))
-    w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
-    return agg.select("version", "total_predictions", "correct_predictions",
-                      safe_ratio(F.col("correct_predictions"), F.col("total_predictions")).alias("accuracy"),
-                      F.coalesce(w[F.col("version")], F.lit(0.0)).alias("traffic_weight"))
+    return with_arms(agg, weights)
+
+
+def with_arms(counts: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """Accuracy and traffic weight of counted arms. A static table also gets the configured
+    arms it lacks, with zeros; a stream cannot emit what has not arrived."""
+    if counts.isStreaming:
+        w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
+        both = counts.withColumn("traffic_weight", w[F.col("version")])
+    else:
+        arms = counts.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "version string, traffic_weight double")
+        both = counts.join(arms, "version", "full")           # one row per arm on both sides
+    return both.select("version", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total_predictions", "correct_predictions")],
+                       safe_ratio(F.col("correct_predictions"), F.col("total_predictions")).alias("accuracy"),
+                       F.coalesce("traffic_weight", F.lit(0.0)).alias("traffic_weight"))

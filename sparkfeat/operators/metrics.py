@@ -15,7 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.columns import as_col, safe_ratio
+from sparkfeat.functions.columns import as_col, safe_ratio, null_safe_join
+from sparkfeat.operators.ranking import keyed_quantiles
 
 INF = float("inf")
 
@@ -147,36 +148,24 @@ def per_minute(df, ts, labels, duration="60 seconds", slide="30 seconds"):
 
 
 def latency_slo(df, ts, labels, latency, status="status", duration="1 hour",
-                p95_limit=SLO_P95_S, max_failure=SLO_MAX_FAILURE_RATE, quantile_method: str = "auto",
-                accuracy: int = 10_000):
-    """K5: windowed p95 latency and failure share with the SLO verdict.
-
-    ``quantile_method``: "buffer" (exact ``percentile``: a window's distinct latencies in one
-    buffer), "distributed" (exact, ranked per window with distributed running sums),
-    "approx" (``percentile_approx``, bounded state — the choice for streams), or "auto"
-    (exact; buffer when every window has at most ``BUFFER_DISTINCT_LIMIT`` distinct values
-    by an ``approx_count_distinct`` check, else distributed; batch only).
-    """
-    from sparkfeat.operators.ranking import BUFFER_DISTINCT_LIMIT, keyed_quantiles
+                p95_limit=SLO_P95_S, max_failure=SLO_MAX_FAILURE_RATE):
+    """K5: windowed exact p95 latency and failure share with the SLO verdict. A window's
+    latencies are ranked by distributed running sums, never gathered in one buffer."""
+    return slo_from_counts(latency_counts(df, ts, labels, latency, status, duration), labels, p95_limit, max_failure)
 
-    v = as_col(latency)
-    w = F.window(ts, duration)
-    if quantile_method == "auto":
-        widest = (df.groupBy(w.alias("w"), *labels).agg(F.approx_count_distinct(v).alias("d"))
-                  .agg(F.max("d")).first()[0] or 0)
-        quantile_method = "buffer" if widest <= BUFFER_DISTINCT_LIMIT else "distributed"
-    fail = F.col(status).cast("string").startswith("5")
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(fail).alias("failures")]
-    if quantile_method == "buffer":
-        aggs.append(F.percentile(v, 0.95).cast("double").alias("p95"))
-    elif quantile_method == "approx":
-        aggs.append(F.percentile_approx(v, 0.95, accuracy).cast("double").alias("p95"))
-    out = windowed(df, ts, duration, None, labels, *aggs)
-    if quantile_method == "distributed":
-        long = df.select(w.start.alias("window_start"), *labels, v.alias("_lat"))
-        q = keyed_quantiles(long, ["window_start", *labels], "_lat", [0.95]).select(
-            "window_start", *labels, F.col("quantile").alias("p95"))
-        out = out.join(q, ["window_start", *labels], "left")
+
+def latency_counts(df, ts, labels, latency, status="status", duration="1 hour"):
+    """Rows per window, label set, latency and failure: what a stream keeps as state."""
+    fail = F.coalesce(F.col(status).cast("string").startswith("5"), F.lit(False))
+    return df.groupBy(F.window(ts, duration).start.alias("window_start"), *labels, as_col(latency).cast("double").alias("latency"),
+                      fail.alias("failed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def slo_from_counts(counts, labels, p95_limit=SLO_P95_S, max_failure=SLO_MAX_FAILURE_RATE):
+    keys = ["window_start", *labels]
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("failed"), F.col("n")).otherwise(0)).alias("failures"))
+    p95 = keyed_quantiles(counts, keys, "latency", [0.95], weight="n").select(*keys, F.col("quantile").alias("p95"))
+    out = null_safe_join(total, p95, keys, "left")
     return out.withColumn("failure_rate", F.col("failures") / F.col("n")).withColumn(
         "slo_ok", (F.col("p95") < F.lit(p95_limit)) & (F.col("failure_rate") < F.lit(max_failure)))
 

@@ -15,7 +15,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.columns import as_col, pass_rate, truthy
+from sparkfeat.functions.columns import as_col, is_missing, number, pass_rate, truthy
+from sparkfeat.operators.ranking import exact_quantiles
 
 # Fixed thresholds of the reference validators.
 MAX_MISSING_RATE = 0.2
@@ -75,10 +76,10 @@ def numeric_quality(df: DataFrame, cols: list[str], max_missing: float = MAX_MIS
     """mean, sample std, min, max, missing_rate, valid, reasons per numeric column."""
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = number(c)
         aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                  F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                 pass_rate(F.col(c).isNull()).alias(f"miss{i}")]
+                 pass_rate(is_missing(c, df.schema[c].dataType)).alias(f"miss{i}")]
     row = df.agg(*aggs)
     structs = []
     for i, c in enumerate(cols):
@@ -213,41 +214,19 @@ def text_quality(df: DataFrame, cols: list[str], max_missing: float = MAX_MISSIN
 
 
 # --------------------------------------------------------------------------- A8
-def numeric_profile(df: DataFrame, cols: list[str], quantile_method: str = "auto",
-                    accuracy: int = 10_000) -> DataFrame:
-    """min, max, mean, median, sample std per numeric column.
-
-    Median: "distributed" (exact, ranked by distributed running sums), "buffer" (exact,
-    Spark ``percentile`` — one buffer of distinct values per column), "approx", or "auto"
-    (exact; buffer after a distinct-count check, else distributed).
-    """
-    if quantile_method == "auto":
-        from sparkfeat.operators.ranking import choose_quantile_method
-        quantile_method = choose_quantile_method(df, cols)
+def numeric_profile(df: DataFrame, cols: list[str]) -> DataFrame:
+    """min, max, mean, exact median, sample std per numeric column; NaN counts as missing."""
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = number(c)
         aggs += [F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.avg(x).alias(f"mean{i}"),
                  F.stddev_samp(x).alias(f"std{i}")]
-        if quantile_method == "buffer":
-            aggs.append(F.median(x).alias(f"med{i}"))
-        elif quantile_method == "approx":
-            aggs.append(F.percentile_approx(x, 0.5, accuracy).cast("double").alias(f"med{i}"))
-    row = df.agg(*aggs)
-    med = (lambda i: F.col(f"med{i}")) if quantile_method != "distributed" else \
-        (lambda i: F.lit(None).cast("double"))
-    structs = [F.struct(F.lit(c).alias("feature"), F.col(f"min{i}").alias("min"),
-                        F.col(f"max{i}").alias("max"), F.col(f"mean{i}").alias("mean"),
-                        med(i).alias("median"), F.col(f"std{i}").alias("std"))
-               for i, c in enumerate(cols)]
-    out = _explode_structs(row, structs)
-    if quantile_method != "distributed":
-        return out
-    from sparkfeat.operators.ranking import exact_quantiles
-    q = exact_quantiles(df, cols, [0.5]).select("feature", F.col("quantile").alias("_med"))
+    structs = [F.struct(F.lit(c).alias("feature"), F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"),
+                        F.col(f"mean{i}").alias("mean"), F.col(f"std{i}").alias("std")) for i, c in enumerate(cols)]
+    medians = exact_quantiles(df, cols, [0.5]).select("feature", F.col("quantile").alias("median"))
     # one row per column on both sides
-    return (out.join(F.broadcast(q), "feature", "left")
-            .select("feature", "min", "max", "mean", F.col("_med").alias("median"), "std"))
+    return (_explode_structs(df.agg(*aggs), structs).join(F.broadcast(medians), "feature", "left")
+            .select("feature", "min", "max", "mean", "median", "std"))
 
 
 def categorical_profile(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkfeat.functions.columns import null_safe_join, number
+
 
 def running_totals(df: DataFrame, keys: list[str], order: list[str], values: list[str],
                    num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
@@ -52,7 +54,7 @@ def running_totals_and_sums(df: DataFrame, keys: list[str], order: list[str], va
     # offsets has one row per (partition, key) slice, at most #partitions + #keys rows.
     # Without keys that bound is the partition count, so it is broadcast; with keys the
     # planner's runtime size check (AQE) decides.
-    joined = local.join(F.broadcast(offsets) if not keys else offsets, ["_pid", *keys])
+    joined = null_safe_join(local, F.broadcast(offsets) if not keys else offsets, ["_pid", *keys])
     out = joined.select(*df.columns, *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}")
                                        for v in values])
     totals = slice_totals.groupBy(*keys).agg(*[F.sum(f"_t_{v}").alias(f"tot_{v}") for v in values])
@@ -60,19 +62,20 @@ def running_totals_and_sums(df: DataFrame, keys: list[str], order: list[str], va
 
 
 def keyed_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[float],
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, weight: str | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas / ``quantile_cont`` definition) of
     ``value`` per ``keys`` without holding a group's values in one buffer.
 
     Values are counted per distinct (keys, value) — map-side combined, so a hot value is one
     row per task — then ranked with ``running_totals``. The value at 0-based rank r is the
     smallest value whose running count exceeds r; the quantile at p interpolates between
-    ranks floor(h) and ceil(h), h = (n-1)·p. Output: keys…, p, quantile (groups without
-    values are absent).
+    ranks floor(h) and ceil(h), h = (n-1)·p. ``weight`` names a column of row counts. NULL keys
+    are keys; NULL, NaN and non-numeric values are skipped. Output: keys…, p, quantile (groups
+    without values are absent).
     """
-    v = F.col(value).try_cast("double")
-    counts = (long.select(*keys, v.alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
-              .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
+    times = F.col(weight) if weight else F.lit(1)
+    counts = (long.select(*keys, number(value).alias("value"), times.alias("n")).where(F.col("value").isNotNull())
+              .groupBy(*keys, "value").agg(F.sum("n").alias("n")))
     cum, sums = running_totals_and_sums(counts, keys, ["value"], ["n"], num_partitions)
     # targets: one row per (key, p)
     targets = (sums.select(*keys, "tot_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
@@ -80,7 +83,7 @@ def keyed_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
                .select(*keys, "p", "h", F.floor("h").alias("r_lo"), F.ceil("h").alias("r_hi")))
     if not keys:
         raise ValueError("keyed_quantiles needs at least one key column")
-    hit = cum.join(targets, keys).where(F.col("cum_n") > F.col("r_lo"))   # rows for both ranks
+    hit = null_safe_join(cum, targets, keys).where(F.col("cum_n") > F.col("r_lo"))   # rows for both ranks
     picked = hit.groupBy(*keys, "p", "h", "r_lo").agg(
         F.min("value").alias("v_lo"),
         F.min(F.when(F.col("cum_n") > F.col("r_hi"), F.col("value"))).alias("v_hi"))
@@ -94,23 +97,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     Output: feature, p, quantile (NULL when the column has no values)."""
     spark = df.sparkSession
     long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).try_cast("double").alias("value")) for c in cols])))
+        F.struct(F.lit(c).alias("feature"), number(c).alias("value")) for c in cols])))
     picked = keyed_quantiles(long, ["feature"], "value", probs, num_partitions)
     # one row per (column, p): bounded by #columns × #probabilities
-    all_targets = F.broadcast(spark.createDataFrame([(c, float(p)) for c in cols for p in probs],
-                                                    "feature string, p double"))
+    all_targets = spark.createDataFrame([(c, float(p)) for c in cols for p in probs], "feature string, p double")
     return all_targets.join(picked, ["feature", "p"], "left")
-
-
-# Exact quantiles from Spark's ``percentile`` keep every distinct value of a column in one
-# buffer; up to this many distinct values that is cheap and safe, beyond it the ranking
-# plan above is used. The count is checked with one ``approx_count_distinct`` pass.
-BUFFER_DISTINCT_LIMIT = 1_000_000
-
-
-def choose_quantile_method(df: DataFrame, cols: list[str], limit: int = BUFFER_DISTINCT_LIMIT) -> str:
-    """"buffer" when every column has at most ``limit`` distinct values, else "distributed"."""
-    if not cols:
-        return "buffer"
-    row = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    return "buffer" if max(row[f"d{i}"] or 0 for i in range(len(cols))) <= limit else "distributed"

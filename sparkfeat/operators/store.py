@@ -46,8 +46,18 @@ def schema_types(df: DataFrame) -> dict[str, str]:
 
 # ------------------------------------------------------------------------ F8 / F9
 def _json_str(c: Column) -> Column:
-    esc = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', '\\\\"')
-    return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), esc, F.lit('"')))
+    """Python's ``json.dumps`` of a text: short escapes, and \\uXXXX for other control
+    characters and all that is not ASCII (UTF-16 units)."""
+    units = F.regexp_replace(F.hex(F.encode(c, "UTF-16BE")), "(....)", "$1,")
+
+    def one(u: Column) -> Column:
+        code = F.conv(u, 16, 10).cast("int")
+        short = F.create_map(*[x for k, v in {8: "b", 9: "t", 10: "n", 12: "f", 13: "r", 34: '"', 92: "\\"}.items()
+                               for x in (F.lit(k), F.lit("\\" + v))])
+        return F.coalesce(F.try_element_at(short, code), F.when((code < 32) | (code > 126) & (code != 127),
+                          F.concat(F.lit("\\u"), F.lower(u))).otherwise(F.char(code)))
+    escaped = F.array_join(F.transform(F.filter(F.split(units, ","), lambda u: u != ""), one), "")
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
 
 
 def version_id(name: Column, feature_type: Column, transformation: Column) -> Column:
@@ -285,10 +295,11 @@ def clear_feature_set(snapshot: DataFrame, feature_set: str) -> tuple[DataFrame,
     return snapshot.where(~in_set), snapshot.where(in_set).agg(F.count(F.lit(1)).alias("deleted"))
 
 
-def entity_ids(snapshot: DataFrame, feature_set: str, now, limit: int = 1000) -> DataFrame:
-    """Distinct live entity ids of a set, ordered, at most ``limit`` (a top-k listing)."""
-    return (live(snapshot, now).where(F.col("feature_set") == feature_set)
-            .select("entity_id").distinct().orderBy("entity_id").limit(limit))
+def entity_ids(snapshot: DataFrame, feature_set: str, now, limit: int | None = None) -> DataFrame:
+    """Distinct live entity ids of a set, ordered; only the first ``limit`` if one is given."""
+    ids = (live(snapshot, now).where(F.col("feature_set") == feature_set)
+           .select("entity_id").distinct().orderBy("entity_id"))
+    return ids if limit is None else ids.limit(limit)
 
 
 def snapshot_stats(snapshot: DataFrame, now) -> DataFrame:

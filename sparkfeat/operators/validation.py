@@ -18,8 +18,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.columns import truthy
-from sparkfeat.operators.ranking import choose_quantile_method, exact_quantiles
+from sparkfeat.functions.columns import truthy, number
+from sparkfeat.operators.ranking import exact_quantiles
 
 
 @dataclass
@@ -32,7 +32,7 @@ class FeatureDefinition:
 
 
 def _num(c: str) -> Column:
-    return F.expr(f"try_cast(`{c}` AS DOUBLE)")
+    return number(c)
 
 
 def _fmt(v) -> str:
@@ -60,14 +60,10 @@ def _row_violation(c: str, d: FeatureDefinition, strict_nulls: bool) -> Column:
 
 
 def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
-                     strict_nulls: bool = True, quantile_method: str = "auto"
-                     ) -> tuple[DataFrame, DataFrame]:
-    """(per-feature report, one-row dataset summary). Medians are exact (see
-    ``transforms.QUANTILE_METHODS``)."""
+                     strict_nulls: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(per-feature report, one-row dataset summary). Medians are exact."""
     present = [n for n in defs if n in df.columns]
     numeric = [n for n in present if defs[n].feature_type == "numeric"]
-    if quantile_method == "auto":
-        quantile_method = choose_quantile_method(df, numeric)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, n in enumerate(present):
         d = defs[n]
@@ -75,9 +71,6 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
         aggs += [F.count_if(col.isNull()).alias(f"miss{i}")]
         if d.feature_type == "numeric":
             x = _num(n)
-            if quantile_method != "distributed":
-                aggs.append((F.median(x) if quantile_method == "buffer"
-                             else F.percentile_approx(x, 0.5, 10_000).cast("double")).alias(f"med{i}"))
             aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                      F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
                      (F.count(x) < (F.count(F.lit(1)) if strict_nulls else F.count(col))).alias(f"nonnum{i}")]
@@ -101,7 +94,7 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
             above = truthy(F.col(f"max{i}") > F.lit(float(d.max_value))) if d.max_value is not None else F.lit(False)
             errs += [F.when(below, F.lit(f"Values below minimum ({_fmt(d.min_value)})")),
                      F.when(above, F.lit(f"Values above maximum ({_fmt(d.max_value)})"))]
-            med = F.col(f"med{i}") if quantile_method != "distributed" else F.lit(None).cast("double")
+            med = F.lit(None).cast("double")
             stats = [F.col(f"mean{i}"), F.col(f"std{i}"), F.col(f"min{i}"), F.col(f"max{i}"),
                      med, F.lit(None).cast("bigint"), F.lit(0).cast("bigint")]
         else:
@@ -117,7 +110,7 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
             *[s.alias(nm) for s, nm in zip(stats, names)],
             (F.size(err) > 0).alias("has_errors"), F.array_join(err, "; ").alias("errors")))
     per_feature = row.select(F.inline(F.array(*structs))) if structs else None
-    if per_feature is not None and numeric and quantile_method == "distributed":
+    if per_feature is not None and numeric:
         # exact medians ranked with distributed running sums; one row per numeric column
         med = exact_quantiles(df, numeric, [0.5]).select("feature", F.col("quantile").alias("_med"))
         cols = per_feature.columns
@@ -152,7 +145,7 @@ def invalid_values(df: DataFrame, defs: dict[str, FeatureDefinition]) -> DataFra
     allowed = df.sparkSession.createDataFrame(
         [(c, str(v)) for c in cats for v in defs[c].allowed_values], "feature string, value string")
     return (long.where(F.col("value").isNotNull())
-            .join(F.broadcast(allowed), ["feature", "value"], "left_anti")   # allowed lists are config-sized
+            .join(allowed, ["feature", "value"], "left_anti")
             .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -218,19 +211,26 @@ class ValueDeclaration:
 
 
 def value_is_valid(feature: Column, value: Column, decls: dict[str, ValueDeclaration]) -> Column:
-    """Value vs its feature's declaration; undeclared features pass; any failure to
-    compare (unparsable, NULL) is False."""
+    """Value (as text) vs its feature's declaration; undeclared features pass.
+
+    The declared type must parse (numeric and float: a number; integer: a whole number; string
+    and categorical: any text); bounds compare as numbers and categories as texts, whatever the
+    type; a declaration without categories allows all. What cannot be compared (NULL,
+    unparsable under bounds) is False."""
     expr = F.lit(True)
+    x = number(value)
     for name, d in reversed(list(decls.items())):
-        if d.feature_type == "numeric":
-            x = value.try_cast("double")
-            ok = x.isNotNull()
-            if d.min_value is not None:
-                ok = ok & (x >= F.lit(float(d.min_value)))
-            if d.max_value is not None:
-                ok = ok & (x <= F.lit(float(d.max_value)))
-        else:
-            ok = value.isin(*(d.categories or []))
+        ok = value.isNotNull()
+        if d.feature_type in ("numeric", "float"):
+            ok = ok & x.isNotNull()
+        elif d.feature_type == "integer":
+            ok = ok & (x == F.floor(x))
+        if d.min_value is not None:
+            ok = ok & (x >= F.lit(float(d.min_value)))
+        if d.max_value is not None:
+            ok = ok & (x <= F.lit(float(d.max_value)))
+        if d.categories is not None:
+            ok = ok & value.cast("string").isin(*[str(c) for c in d.categories])
         expr = F.when(feature == F.lit(name), truthy(ok)).otherwise(expr)
     return expr
 

@@ -99,9 +99,6 @@ LATENCY_SLO_SQL = f"""SELECT {_TS.format(c="date_trunc('hour', ts)")} AS window_
   round(count(*) FILTER (WHERE status LIKE '5%') / count(*), 6) AS failure_rate,
   quantile_cont(latency, 0.95) < 0.5 AND count(*) FILTER (WHERE status LIKE '5%') / count(*) < 0.01 AS slo_ok
 FROM {_LOG_SQL} GROUP BY date_trunc('hour', ts)"""
-# what an append-mode stream with a 10-minute watermark emits: hours closed by the watermark
-STREAM_SLO_SQL = (f"SELECT * FROM ({LATENCY_SLO_SQL}) WHERE CAST(window_start AS TIMESTAMP) + INTERVAL 1 HOUR"
-                  f" <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 
 
 @register("latency_p95_slo", LATENCY_SLO_SQL, "K5")
@@ -174,11 +171,11 @@ def alerts(spark, sf_dir):
 
 
 @register("health_rollup", f"""WITH h AS (SELECT 'pod-' || CAST(user_id % 3 AS VARCHAR) AS instance, date_trunc('hour', ts) AS bucket,
-    arg_max(value, ts) * 10 AS memory_mb, avg(value) / 2 AS cpu_percent, count(*) AS rate,
+    arg_max(value, ts) * 10 AS memory_mb, avg(value) / 2 AS cpu_percent, count(*) / 60.0 AS rate,
     count(*) FILTER (WHERE event_type <> 'error') > 0 AS model_loaded
   FROM events GROUP BY ALL)
 SELECT instance, {_TS.format(c='bucket')} AS bucket, round(memory_mb, 6) AS memory_mb, round(cpu_percent, 6) AS cpu_percent,
-  rate, model_loaded,
+  round(rate, 6) AS rate, model_loaded,
   CASE WHEN NOT model_loaded OR memory_mb > 2048.0 OR cpu_percent > 90.0 OR rate < 5 THEN 'degraded' ELSE 'healthy' END AS status,
   CASE WHEN rate < 5 THEN 'Prediction rate below minimum expected' WHEN cpu_percent > 90.0 THEN 'CPU usage above threshold'
        WHEN memory_mb > 2048.0 THEN 'Memory usage above threshold' END AS error
@@ -188,12 +185,12 @@ def health_rollup(spark, sf_dir):
     h = ev.groupBy(F.concat(F.lit("pod-"), (F.col("user_id") % 3).cast("string")).alias("instance"),
                    F.date_trunc("hour", "ts").alias("bucket")).agg(
         (F.max_by("value", "ts") * 10).alias("memory_mb"), (F.avg("value") / 2).alias("cpu_percent"),
-        F.count(F.lit(1)).alias("rate"), (F.count_if(F.col("event_type") != "error") > 0).alias("model_loaded"))
+        (F.count(F.lit(1)) / 60).alias("rate"), (F.count_if(F.col("event_type") != "error") > 0).alias("model_loaded"))
     status, error = MT.health_status(F.col("memory_mb"), F.col("cpu_percent"), F.col("rate"),
                                      F.col("model_loaded"))
     return h.select("instance", ts_string(F.col("bucket")).alias("bucket"),
                     round6(F.col("memory_mb")).alias("memory_mb"),
-                    round6(F.col("cpu_percent")).alias("cpu_percent"), "rate", "model_loaded",
+                    round6(F.col("cpu_percent")).alias("cpu_percent"), round6(F.col("rate")).alias("rate"), "model_loaded",
                     status.alias("status"), error.alias("error"))
 
 

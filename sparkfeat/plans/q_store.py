@@ -250,7 +250,7 @@ def snapshot_delete(spark, sf_dir):
     return counts
 
 
-@register("snapshot_entity_ids", f"SELECT DISTINCT entity_id FROM {_LIVE_SQL} ORDER BY entity_id LIMIT 1000", "O5")
+@register("snapshot_entity_ids", f"SELECT DISTINCT entity_id FROM {_LIVE_SQL}", "O5")
 def snapshot_entity_ids(spark, sf_dir):
     return S.entity_ids(_snapshot(Tables(spark, sf_dir)), "user_stats", NOW)
 

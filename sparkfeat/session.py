@@ -54,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to storage that all executors share")
         configured = tempfile.mkdtemp(prefix="sparkfeat-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -68,14 +70,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def sizing_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
-                min_partitions: int = 200, max_partitions: int = 100_000) -> dict:
+                min_partitions: int = 200) -> dict:
     """Partition sizing for a job over ``input_bytes`` of input.
 
     Scan splits and shuffle partitions aim at ``target_partition_bytes`` so a task's data
     fits executor memory without spilling; AQE then coalesces small shuffle partitions and
     splits skewed ones (a key holding a third of the rows is split, not run as one task).
     """
-    n = max(min_partitions, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    n = max(min_partitions, -(-input_bytes // target_partition_bytes))
     mb = f"{target_partition_bytes // (1024 * 1024)}m"
     return {
         "spark.sql.files.maxPartitionBytes": mb,

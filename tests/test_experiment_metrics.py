@@ -34,7 +34,8 @@ def test_ab_results_only_labelled_rows(spark):
                                "version string, p double, t double")
     res = {r["version"]: r for r in X.ab_results(df, "version", "p", "t", {"v1": 0.6, "v2": 0.4}).collect()}
     assert res["v1"]["total_predictions"] == 2 and res["v1"]["accuracy"] == 0.5
-    assert res["v1"]["traffic_weight"] == 0.6 and "v2" not in res
+    assert res["v1"]["traffic_weight"] == 0.6
+    assert res["v2"]["total_predictions"] == 0 and res["v2"]["accuracy"] == 0.0   # a configured arm without labels
 
 
 def test_histogram_cumulative(spark):
@@ -62,11 +63,18 @@ def test_health_last_rule_sets_error(spark):
     assert rows[2] == ("healthy", None)
 
 
-def test_latency_slo_methods_agree(spark):
+def test_latency_slo_is_exact_per_window_and_label(spark):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(
-        "ts", (F.col("value") / 100).alias("lat"),
+        "ts", (F.col("value") / 100).alias("lat"), F.when(F.col("user_id") % 2 == 0, "even").alias("label"),
         F.when(F.col("event_type") == "error", "500").otherwise("200").alias("status"))
-    b = {r.window_start: r.p95 for r in MT.latency_slo(ev, "ts", [], "lat", quantile_method="buffer").collect()}
-    d = {r.window_start: r.p95 for r in MT.latency_slo(ev, "ts", [], "lat", quantile_method="distributed").collect()}
-    assert b.keys() == d.keys()
-    assert all(b[k] == pytest.approx(d[k]) for k in b)
+    got = {(r.window_start, r.label): r.p95 for r in MT.latency_slo(ev, "ts", ["label"], "lat").collect()}
+    want = {(r.w, r.label): r.p95 for r in ev.groupBy(F.window("ts", "1 hour").start.alias("w"), "label").agg(F.percentile("lat", 0.95).alias("p95")).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_arms_without_labelled_rows_are_listed(spark):
+    from sparkfeat.operators import experiment as X
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("b", 1.0, None)], "version string, p double, t double")
+    rows = {r.version: r for r in X.ab_results(df, "version", "p", "t", {"a": 0.5, "b": 0.5}).collect()}
+    assert rows["b"].total_predictions == 0 and rows["b"].accuracy == 0.0 and rows["b"].traffic_weight == 0.5

@@ -54,5 +54,5 @@ def test_sizing_conf_scales_with_input():
     small = sizing_conf(10 * 1024 ** 3)
     big = sizing_conf(100 * 1024 ** 4)
     assert small["spark.sql.shuffle.partitions"] == "200"
-    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
     assert sizing_conf(512 * 1024 ** 3)["spark.sql.shuffle.partitions"] == "2048"

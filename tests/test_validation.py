@@ -63,16 +63,35 @@ def test_expectations_unknown_ignored_absent_skipped_json(spark):
     assert res[("_dataframe_", "table_row_count_to_be_between")]["success"] is True
 
 
-def test_expectation_median_distributed_path(spark, monkeypatch):
-    from sparkfeat.operators import expectations as EX
-
+def test_expectation_median(spark):
     df = spark.range(101).selectExpr("CAST(id AS DOUBLE) AS x")
     s = ExpectationSuite().add("x", "column_median_to_be_between", min_value=49, max_value=51)
-    monkeypatch.setattr(EX, "choose_quantile_method", lambda d, c: "distributed")
     r = s.validate(df).first()
     assert r["observed"] == 50.0 and r["success"] is True
 
 
+def test_one_bad_expectation_fails_alone(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", float("nan"))], "s string, x double")
+    suite = (ExpectationSuite().add("s", "column_mean_to_be_between", min_value=0)
+             .add("s", "column_values_to_match_regex", regex="(")
+             .add("x", "column_mean_to_be_between", min_value=1, max_value=1))
+    rows = {(r["column"], r["expectation"]): r for r in suite.validate(df).collect()}
+    assert rows[("s", "column_mean_to_be_between")]["success"] is False
+    assert rows[("s", "column_values_to_match_regex")]["error"] is not None
+    assert rows[("x", "column_mean_to_be_between")]["success"] is True
+
+
+def test_value_declarations(spark):
+    D = V.ValueDeclaration
+    decls = {"c": D("categorical"), "i": D("integer", min_value=1), "s": D("string", categories=["x"]), "t": D("categorical", max_value=3),
+             "n": D("numeric", categories=[1, 2])}
+    rows = [("c", "any", True), ("c", None, False), ("i", "2", True), ("i", "2.5", False), ("i", "0", False), ("s", "x", True), ("s", "y", False),
+            ("t", "3", True), ("t", "4", False), ("t", "z", False), ("n", "1", True), ("n", "3", False), ("other", None, True)]
+    df = spark.createDataFrame(rows, "f string, v string, want boolean")
+    got = df.select("want", V.value_is_valid(F.col("f"), F.col("v"), decls).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
 def test_request_contract_rejects_invalid_request(spark):
     schema = "Pclass string, Sex string, Age double, SibSp long, Parch long, Fare double, Embarked string"
     df = spark.createDataFrame([("1", "female", 29.0, 0, 0, 100.0, "S"),

@@ -54,7 +54,7 @@ def _json_str(c: Column) -> Column:
         code = F.conv(u, 16, 10).cast("int")
         short = F.create_map(*[x for k, v in {8: "b", 9: "t", 10: "n", 12: "f", 13: "r", 34: '"', 92: "\\"}.items()
                                for x in (F.lit(k), F.lit("\\" + v))])
-        return F.coalesce(F.try_element_at(short, code), F.when((code < 32) | (code > 126) & (code != 127),
+        return F.coalesce(F.try_element_at(short, code), F.when((code < 32) | (code > 126),
                           F.concat(F.lit("\\u"), F.lower(u))).otherwise(F.char(code)))
     escaped = F.array_join(F.transform(F.filter(F.split(units, ","), lambda u: u != ""), one), "")
     return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))

@@ -1,44 +1,13 @@
-"""foreachBatch sinks find their previous state on storage, so a replayed batch or a new
-sink object over the same folder continues correctly."""
-
-from pyspark.sql import functions as F
+"""State of streams survives replays: it is the state store's, found again from the checkpoint."""
 
 from sparkfeat.session import scratch_path
-from sparkfeat.streaming.streams import VersionedTableSink
-from sparkfeat.streaming.versions import committed_versions
-
-
-def _merge(prev, batch):
-    b = batch.groupBy("k").agg(F.sum("v").alias("v"))
-    if prev is None:
-        return b
-    return prev.unionByName(b).groupBy("k").agg(F.sum("v").alias("v"))
-
-
-def test_versioned_sink_replay_and_restart(spark):
-    base = scratch_path(spark, "vsink-test")
-    sink = VersionedTableSink(spark, "unused", _merge, base=base)
-    b0 = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
-    b1 = spark.createDataFrame([("a", 10)], "k string, v long")
-    sink(b0, 0)
-    sink(b1, 1)
-    sink(b1, 1)                                   # replay of batch 1: same result, no double count
-    again = VersionedTableSink(spark, "unused", _merge, base=base)   # e.g. after a driver restart
-    assert {r.k: r.v for r in again.table().collect()} == {"a": 11, "b": 2}
-    again(spark.createDataFrame([("b", 5)], "k string, v long"), 2)
-    assert {r.k: r.v for r in again.table().collect()} == {"a": 11, "b": 7}
-    assert committed_versions(spark, base) == [0, 1, 2]
-
+from sparkfeat.streaming.streams import file_stream, latest_by_key, stream_to_table
 
-def test_latest_by_key_sink_deltas_compaction_and_replay(spark):
-    from sparkfeat.streaming.streams import LatestByKeySink
 
-    base = scratch_path(spark, "lbk-test")
-    sink = LatestByKeySink(spark, "unused", ["k"], ["t"], compact_every=2, base=base)
-    sink(spark.createDataFrame([("a", 1, 10.0), ("a", 3, 30.0), ("b", 2, 20.0)], "k string, t long, v double"), 0)
-    sink(spark.createDataFrame([("a", 2, 99.0), ("c", 5, 50.0)], "k string, t long, v double"), 1)   # compacts
-    sink(spark.createDataFrame([("b", 7, 70.0)], "k string, t long, v double"), 2)
-    sink(spark.createDataFrame([("b", 7, 70.0)], "k string, t long, v double"), 2)                  # replay
-    got = {r.k: (r.t, r.v) for r in LatestByKeySink(spark, "x", ["k"], ["t"], base=base).table().collect()}
-    assert got == {"a": (3, 30.0), "b": (7, 70.0), "c": (5, 50.0)}   # an older write never wins
-    assert committed_versions(spark, f"{base}/base") == [1]
+def test_latest_row_per_key_over_batches(spark):
+    path, schema = scratch_path(spark, "latest-test"), "k string, t long, v double"
+    for rows in ([("a", 1, 10.0), ("a", 3, 30.0), ("b", 2, 20.0)], [("a", 2, 99.0), ("c", 5, 50.0), (None, 1, 1.0)], [("b", 7, 70.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = file_stream(spark, path, schema, max_files_per_trigger=1)
+    out = stream_to_table(latest_by_key(stream, ["k"], ["t"]), ["k"], "latest-test-out")
+    assert {r.k: (r.t, r.v) for r in out.collect()} == {"a": (3, 30.0), "b": (7, 70.0), "c": (5, 50.0), None: (1, 1.0)}

@@ -17,7 +17,10 @@ _TS = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
 
 def request_log(t):
-    ev = t.events
+    return request_columns(t.events)
+
+
+def request_columns(ev):
     return ev.select(
         "ts", F.concat(F.lit("/api/v1/"), F.col("event_type")).alias("endpoint"),
         F.when(F.col("event_type") == "error", F.lit("500")).otherwise(F.lit("200")).alias("status"),
@@ -126,14 +129,19 @@ _ALERT_RULES = [
 ]
 
 
-def _alert_sql(names=None, closed_only=False):
-    """Oracle for the alert states; ``closed_only`` restricts it to what an append-mode
-    stream with a 10-minute watermark emits: steps whose end is behind the watermark, from
-    each series' first step with data."""
+def alert_rules() -> list[MT.AlertRule]:
+    return [MT.AlertRule(name, value(), thr, steps, sev, [label] if label else [])
+            for name, label, value, _, thr, steps, sev in _ALERT_RULES]
+
+
+def alert_log(events):
+    return request_columns(events).withColumn("instance", F.concat(F.lit("pod-"), (F.col("user_id") % 3).cast("string")))
+
+
+def _alert_sql():
+    """Oracle for the alert states."""
     parts = []
     for name, label, _, agg, thr, steps, sev in _ALERT_RULES:
-        if names and name not in names:
-            continue
         if label:
             parts.append(f"""SELECT '{name}' AS rule, '{label}=' || k.{label} AS labels, g.bucket, '{sev}' AS severity, v.value,
     CASE WHEN coalesce(v.value > {thr}, false) THEN 1 ELSE 0 END AS c, {steps} AS steps
@@ -144,28 +152,20 @@ def _alert_sql(names=None, closed_only=False):
     CASE WHEN coalesce(v.value > {thr}, false) THEN 1 ELSE 0 END AS c, {steps} AS steps
   FROM grid g LEFT JOIN (SELECT bucket, {agg} AS value FROM b GROUP BY bucket) v ON v.bucket = g.bucket""")
     body = "\n  UNION ALL\n".join(parts)
-    where = ""
-    if closed_only:
-        where = """ WHERE s.bucket + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
-  AND s.bucket >= (SELECT min(f.bucket) FROM s f WHERE f.rule = s.rule AND f.labels = s.labels AND f.value IS NOT NULL)"""
     return f"""WITH b AS (SELECT *, date_trunc('hour', ts) AS bucket, 'pod-' || CAST(user_id % 3 AS VARCHAR) AS instance FROM {_LOG_SQL}),
 grid AS (SELECT unnest(range(min(bucket), max(bucket) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS bucket FROM b),
 s AS (SELECT *, sum(c) OVER (PARTITION BY rule, labels ORDER BY bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS held
   FROM ({body}))
 SELECT rule, labels, {_TS.format(c='bucket')} AS bucket, severity, round(value, 6) AS value,
-  CASE WHEN c = 0 THEN 'inactive' WHEN held >= steps THEN 'firing' ELSE 'pending' END AS state FROM s{where}"""
+  CASE WHEN c = 0 THEN 'inactive' WHEN held >= steps THEN 'firing' ELSE 'pending' END AS state FROM s"""
 
 
-STREAM_ALERTS_SQL = _alert_sql(["HighLatency", "HighErrorRate"], closed_only=True)
+ALERTS_SQL = _alert_sql()
 
 
-@register("alerts", _alert_sql(), "K6")
+@register("alerts", ALERTS_SQL, "K6")
 def alerts(spark, sf_dir):
-    log = request_log(Tables(spark, sf_dir)).withColumn(
-        "instance", F.concat(F.lit("pod-"), (F.col("user_id") % 3).cast("string")))
-    rules = [MT.AlertRule(name, value(), thr, steps, sev, [label] if label else [])
-             for name, label, value, _, thr, steps, sev in _ALERT_RULES]
-    out = MT.alert_states(log, "ts", rules, "1 hour")
+    out = MT.alert_states(alert_log(Tables(spark, sf_dir).events), "ts", alert_rules(), "1 hour")
     return out.select("rule", "labels", ts_string(F.col("bucket")).alias("bucket"), "severity",
                       round6(F.col("value")).alias("value"), "state")
 

@@ -1,126 +1,46 @@
-"""Streaming alert evaluation (K6): ``for``-duration rules over closed event-time steps.
+"""Alert rules over a stream.
 
-Per rule, one streaming query aggregates the rule's value per (step window, labels) with a
-watermark in append mode, so each step is emitted once, when it is closed. A
-``foreachBatch`` sink then continues every series from a small persisted state table
-(labels, last step, current run of true steps):
-
-* steps between the last seen step and the newest closed step that have no data are filled
-  in as "condition false" — silence resets a rule, as in the batch form's dense grid;
-* runs of consecutive true steps are counted with a gaps-and-islands window per series,
-  carrying the run length over from the state;
-* a series is ``firing`` once its run reaches the rule's ``for_steps``, ``pending`` while
-  shorter, ``inactive`` when the condition is false.
-
-State and output are written per batch id into fresh folders (never the folder being read),
-so a replayed batch rewrites the same result.
+One streaming query evaluates all rules: an event counts once for each label set that some
+rule uses, and one update-mode aggregate per (step, label set, labels) holds the rules' values
+as state, cleared by the watermark. The table of latest values is then a series like a batch's,
+the open last step included, and gets its states from ``metrics.series_states``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfeat.operators.metrics import AlertRule, _seconds
-from sparkfeat.session import scratch_path
-from sparkfeat.streaming.versions import exists, latest_before, version_path
-
-
-class AlertStateSink:
-    def __init__(self, spark: SparkSession, rule: AlertRule, step_seconds: int, name: str):
-        self.spark, self.rule, self.sec = spark, rule, step_seconds
-        self.state_base = scratch_path(spark, f"{name}-state")
-        self.out = scratch_path(spark, f"{name}-out")
-
-    def _state(self, batch_id: int) -> DataFrame | None:
-        # newest committed state below this batch, found on storage (restart/replay safe)
-        last = latest_before(self.spark, self.state_base, batch_id)
-        return None if last is None else self.spark.read.parquet(version_path(self.state_base, last))
+from sparkfeat.operators.metrics import AlertRule, _seconds, series_states
+from sparkfeat.streaming.streams import stream_to_table
 
-    def __call__(self, batch: DataFrame, batch_id: int):
-        # several actions read the micro-batch: keep it instead of recomputing the aggregate
-        batch = batch.persist()
-        try:
-            self._process(batch, batch_id)
-        finally:
-            batch.unpersist()
 
-    def _process(self, batch: DataFrame, batch_id: int):
-        r, sec = self.rule, self.sec
-        # a rule without labels is one series; a constant key keeps the joins uniform
-        labels = r.labels or ["_series"]
-        if not r.labels:
-            batch = batch.withColumn("_series", F.lit(""))
-        vals = batch.select(*labels, F.unix_timestamp("bucket").alias("b"), "value")
-        hi = vals.agg(F.max("b")).first()[0]
-        if hi is None:
-            return
-        state = self._state(batch_id)
-        starts = vals.groupBy(*labels).agg(F.min("b").alias("start"))
-        if state is not None:
-            # series already known continue right after their last step, even without new data
-            starts = (state.select(*labels, (F.col("last_b") + sec).alias("start"))
-                      .unionByName(starts).groupBy(*labels).agg(F.min("start").alias("start")))
-        grid = starts.where(F.col("start") <= hi).select(
-            *labels, F.explode(F.sequence("start", F.lit(int(hi)), F.lit(sec))).alias("b"))
-        full = grid.join(vals, ["b", *labels], "left")
-        if state is not None:
-            full = full.join(state.select(*labels, "last_b", F.col("run").alias("carry")), labels, "left")
-        else:
-            full = full.withColumn("carry", F.lit(None).cast("long"))
-        cond = F.coalesce(F.col("value") > F.lit(r.threshold), F.lit(False)).cast("int")
-        w = Window.partitionBy(*labels).orderBy("b")
-        full = full.withColumn("c", cond).withColumn(
-            "grp", F.sum(1 - F.col("c")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        wg = Window.partitionBy(*labels, "grp").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        run = F.sum("c").over(wg) + F.when(F.col("grp") == 0, F.coalesce("carry", F.lit(0))).otherwise(0)
-        full = full.withColumn("run", F.when(F.col("c") == 1, run).otherwise(F.lit(0)))
-        lab = (F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in r.labels])
-               if r.labels else F.lit(""))
-        out = full.select(
-            F.lit(r.name).alias("rule"), lab.alias("labels"), F.timestamp_seconds("b").alias("bucket"),
-            F.lit(r.severity).alias("severity"), "value",
-            F.when(F.col("c") == 0, F.lit("inactive")).when(F.col("run") >= r.for_steps, F.lit("firing"))
-            .otherwise(F.lit("pending")).alias("state"), F.lit(batch_id).alias("batch_id"))
-        out.write.mode("append").parquet(self.out)
-        new_state = full.groupBy(*labels).agg(F.max_by(F.struct(F.col("b").alias("last_b"), "run"),
-                                                       F.col("b")).alias("s")).select(*labels, "s.*")
-        if state is not None:   # series without rows in this batch keep their state
-            new_state = state.join(new_state.select(*labels), labels, "left_anti").unionByName(new_state)
-        new_state.write.mode("overwrite").parquet(version_path(self.state_base, batch_id))
+def label_text(labels: list[str]):
+    """``a=1,b=2``; a NULL label is an empty text, so its series is kept."""
+    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in labels]
+    return F.concat_ws(",", *parts) if parts else F.lit("")
 
-    def written(self) -> bool:
-        return exists(self.spark, self.out)
 
-    def results(self) -> DataFrame:
-        # a replayed batch appends the same rows again: keep one per (series, step)
-        return self.spark.read.parquet(self.out).dropDuplicates(["rule", "labels", "bucket"])
+def step_values(stream: DataFrame, ts: str, rules: list[AlertRule], step: str) -> DataFrame:
+    """Per step, label set and labels the value of every rule (those of other label sets too)."""
+    sets = list(dict.fromkeys(tuple(r.labels) for r in rules))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("set"), label_text(list(s)).alias("labels")) for i, s in enumerate(sets)]))
+    tagged = stream.withColumn("_label", each)
+    return tagged.groupBy(F.window(ts, step).start.alias("bucket"), F.col("_label.set").alias("label_set"), F.col("_label.labels").alias("labels")).agg(
+        *[r.value.cast("double").alias(f"v{i}") for i, r in enumerate(rules)])
 
 
 def stream_alert_states(stream: DataFrame, ts: str, rules: list[AlertRule], step: str = "1 hour",
                         watermark: str = "10 minutes", name: str = "alerts") -> DataFrame:
-    """Run each rule as its own append-mode windowed stream with an ``availableNow`` trigger
-    (all rules' queries run concurrently) and return the emitted states (closed steps only;
-    the still-open last step is not emitted, as with any append-mode window)."""
-    spark = stream.sparkSession
-    sec = int(_seconds(step))
-    running = []
-    for r in rules:
-        agg = (stream.withWatermark(ts, watermark)
-               .groupBy(F.window(ts, step).alias("w"), *r.labels).agg(r.value.alias("value"))
-               .select(F.col("w.start").alias("bucket"), *r.labels, "value"))
-        sink = AlertStateSink(spark, r, sec, f"{name}-{r.name}")
-        ckpt = scratch_path(spark, f"{name}-{r.name}-ckpt")
-        q = (agg.writeStream.outputMode("append").option("checkpointLocation", ckpt)
-             .foreachBatch(sink).trigger(availableNow=True).start())
-        running.append((q, sink))
-    for q, _ in running:
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise q.exception()
-    results = None
-    for _, sink in running:
-        if sink.written():
-            res = sink.results()
-            results = res if results is None else results.unionByName(res)
-    return results
+    """States of all rules at every step between the first and the last one seen, from a
+    stream drained with an ``availableNow`` trigger."""
+    sets = list(dict.fromkeys(tuple(r.labels) for r in rules))
+    values = stream_to_table(step_values(stream.withWatermark(ts, watermark), ts, rules, step), ["bucket", "label_set", "labels"], name)
+    per_rule = F.filter(F.array(*[F.when(F.col("label_set") == sets.index(tuple(r.labels)), F.struct(
+        F.lit(r.name).alias("rule"), F.col("labels").alias("labels"), F.col(f"v{i}").alias("value"))) for i, r in enumerate(rules)]),
+        lambda x: x.isNotNull())
+    series = values.select("bucket", F.inline(per_rule))
+    span = series.agg(F.min(F.unix_timestamp("bucket")).alias("lo"), F.max(F.unix_timestamp("bucket")).alias("hi")).first()   # two numbers
+    if span["lo"] is None:
+        return stream.sparkSession.createDataFrame([], "rule string, labels string, bucket timestamp, severity string, value double, state string")
+    return series_states(series, rules, int(span["lo"]), int(span["hi"]), int(_seconds(step)))

@@ -1,18 +1,9 @@
-"""Versioned folders for foreachBatch state, found on storage rather than in driver memory,
-so a restarted query (or a replayed batch) continues from what was committed.
-
-Version k lives in ``<base>/v<k, 12 digits>`` and is complete when its ``_SUCCESS`` marker
-exists; a replay of batch k reads the newest complete version below k and rewrites k.
-"""
+"""Whether a path exists, by the file system that Spark reads it with."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import SparkSession
 
-_V = re.compile(r"^v(\d{12})$")
-
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -23,25 +14,3 @@ def _fs(spark: SparkSession, path: str):
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p, _ = _fs(spark, path)
     return bool(fs.exists(p))
-
-
-def committed_versions(spark: SparkSession, base: str) -> list[int]:
-    fs, p, jvm = _fs(spark, base)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        m = _V.match(st.getPath().getName())
-        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(m.group(1)))
-    return sorted(out)
-
-
-def version_path(base: str, k: int) -> str:
-    return f"{base}/v{k:012d}"
-
-
-def latest_before(spark: SparkSession, base: str, batch_id: int | None = None) -> int | None:
-    """Newest committed version strictly below ``batch_id`` (any version when None)."""
-    vs = [v for v in committed_versions(spark, base) if batch_id is None or v < batch_id]
-    return vs[-1] if vs else None

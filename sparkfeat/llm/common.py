@@ -48,6 +48,14 @@ def ship_package(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the input does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, records: int = 2000, mb: int = 16) -> None:
     """Bounds what one Arrow batch holds, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)

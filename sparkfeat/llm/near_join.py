@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.llm import words
-from sparkfeat.llm.common import id_text, map_batches, mix64, small_batches, stored, texts_of
+from sparkfeat.llm.common import fresh_name, id_text, map_batches, mix64, small_batches, stored, texts_of
 from sparkfeat.llm.graph import components
 
 WORD_GAP = np.array([9, 10, 11, 12, 13, 32], np.uint32)
@@ -215,9 +215,10 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The documents whose id names their class, with all their columns: one of each group of
     near duplicates. Rows that repeat one id and text count as one."""
     near = near_join(docs, id_col=id_col, text_col=text_col, **parameters)
-    chosen = near.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_chosen")).agg(
-        F.count("*").alias("_rows")).hint("merge")
-    joined = docs.join(chosen, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_chosen")))
-    once = joined.where("_rows = 1").drop("_chosen", "_rows")
-    more = joined.where("_rows > 1").drop("_chosen", "_rows").dropDuplicates([id_col, text_col])
+    chosen, rows = fresh_name(docs, "chosen"), fresh_name(docs, "rows")
+    heads = near.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias(chosen)).agg(
+        F.count("*").alias(rows)).hint("merge")
+    joined = docs.join(heads, docs[id_col].cast("long").eqNullSafe(heads[chosen]))
+    once = joined.where(F.col(rows) == 1).drop(chosen, rows)
+    more = joined.where(F.col(rows) > 1).drop(chosen, rows).dropDuplicates([id_col, text_col])
     return once.unionByName(more)

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkfeat.llm.common import fresh_name
+
 ROUNDS = 6
 #: kind → pattern, tried in this order at each place of a text; lookarounds keep matches whole
 PATTERNS = {
@@ -174,17 +176,10 @@ def _is_kind(kind: str):
     return lambda x: x["kind"] == kind
 
 
-def _fresh(df: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", counts: bool = False) -> DataFrame:
     """All columns of the input with the text's personal data replaced; with ``counts`` also
     one column n_<kind> of replaced values for each kind."""
-    text, found, given = F.col(f"`{text_col}`"), _fresh(docs, "found"), _fresh(docs, "given")
+    text, found, given = F.col(f"`{text_col}`"), fresh_name(docs, "found"), fresh_name(docs, "given")
     pattern = "|".join(PATTERNS.values())
     some = text.rlike("[0-9@]")
     out = docs.withColumn(found, F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))

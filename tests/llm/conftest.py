@@ -19,12 +19,12 @@ EDGE = [
     (8, "é ü 中文 <|endoftext|> x", "fr"),
 ]
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, sid binary, part int, place long, "
-          "row long, tid string, found string, given string, n long, m long, learn boolean, class_id long, late int")
+          "row long, tid string, found string, given string, n long, m long, learn boolean, class_id long, late int, chosen long, rows long")
 
 
 @pytest.fixture(scope="session")
 def edge(spark):
-    rows = [(i, t, lang, None, None, b"x", 1, 2, 3, "t", "f", "g", 4, 5, True, 6, 7) for i, t, lang in EDGE]
+    rows = [(i, t, lang, None, None, b"x", 1, 2, 3, "t", "f", "g", 4, 5, True, 6, 7, 8, 9) for i, t, lang in EDGE]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 

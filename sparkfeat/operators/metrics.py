@@ -59,20 +59,6 @@ class MetricSpec:
     buckets: tuple | None = None
 
 
-def counter(df: DataFrame, labels: list[str], value=None) -> DataFrame:
-    v = F.count(F.lit(1)) if value is None else F.sum(as_col(value))
-    return df.groupBy(*labels).agg(v.alias("value"))
-
-
-def gauge_last(df: DataFrame, labels: list[str], value, ts: str = "ts") -> DataFrame:
-    return df.groupBy(*labels).agg(F.max_by(as_col(value), F.col(ts)).alias("value"))
-
-
-def summary(df: DataFrame, labels: list[str], value) -> DataFrame:
-    v = as_col(value)
-    return df.groupBy(*labels).agg(F.count(v).alias("count"), F.sum(v).alias("sum"))
-
-
 def histogram(df: DataFrame, labels: list[str], value, buckets=REQUEST_LATENCY_BUCKETS
               ) -> DataFrame:
     """Long rows (labels…, le, count) with cumulative counts, plus sum and count per label
@@ -87,20 +73,35 @@ def histogram(df: DataFrame, labels: list[str], value, buckets=REQUEST_LATENCY_B
     return row.select(*labels, "sum", "count", F.inline(F.array(*structs)))
 
 
-def rollup(df: DataFrame, specs: list[MetricSpec], ts: str = "ts") -> dict[str, DataFrame]:
-    out = {}
-    for s in specs:
-        if s.kind == "counter":
-            out[s.name] = counter(df, s.labels, s.value)
-        elif s.kind == "gauge":
-            out[s.name] = gauge_last(df, s.labels, s.value, ts)
-        elif s.kind == "histogram":
-            out[s.name] = histogram(df, s.labels, s.value, s.buckets or REQUEST_LATENCY_BUCKETS)
-        elif s.kind == "summary":
-            out[s.name] = summary(df, s.labels, s.value)
-        else:
-            raise ValueError(f"Unsupported metric type: {s.kind}")
-    return out
+def _spec_aggregates(spec: MetricSpec, ts: str) -> list[tuple[str, Column]]:
+    """(stat, aggregate) of one metric."""
+    v = None if spec.value is None else as_col(spec.value).cast("double")
+    if spec.kind == "counter":
+        return [("value", F.count(F.lit(1)) if v is None else F.sum(v))]
+    if spec.kind == "gauge":                       # of values at the last instant the largest
+        return [("value", F.max_by(v, F.struct(F.col(ts), v)))]
+    if spec.kind == "summary":
+        return [("count", F.count(v)), ("sum", F.sum(v))]
+    if spec.kind == "histogram":
+        bounds = [b for b in spec.buckets or REQUEST_LATENCY_BUCKETS if b != INF]
+        return [*[(f"le={le_text(b)}", F.count_if(v <= F.lit(float(b)))) for b in bounds], (f"le={le_text(INF)}", F.count(v)), ("sum", F.sum(v))]
+    raise ValueError(f"metric kind {spec.kind}: counter, gauge, summary or histogram")
+
+
+def rollup(df: DataFrame, specs: list[MetricSpec], ts: str = "ts") -> DataFrame:
+    """All metrics as rows (metric, labels ``a=1,b=2``, stat, value): one aggregate for each set of
+    labels, however many metrics share it."""
+    out = None
+    for labels in dict.fromkeys(tuple(s.labels) for s in specs):
+        stats = [(s.name, stat, agg) for s in specs if tuple(s.labels) == labels for stat, agg in _spec_aggregates(s, ts)]
+        row = df.groupBy(*labels).agg(*[agg.cast("double").alias(f"_s{i}") for i, (_, _, agg) in enumerate(stats)])
+        text = F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in labels])
+        long = row.select(text.alias("labels"), F.inline(F.array(*[F.struct(
+            F.lit(name).alias("metric"), F.lit(stat).alias("stat"), F.col(f"_s{i}").alias("value")) for i, (name, stat, _) in enumerate(stats)])))
+        out = long if out is None else out.unionByName(long)
+    if out is None:
+        raise ValueError("at least one metric is required")
+    return out.select("metric", "labels", "stat", "value")
 
 
 # ------------------------------------------------------------------------ K1–K5
@@ -273,6 +274,7 @@ def health_status(memory_mb: Column, cpu_percent: Column, per_minute_rate: Colum
     mem = memory_mb > F.lit(MEMORY_LIMIT_MB)
     cpu = cpu_percent > F.lit(CPU_LIMIT_PERCENT)
     rate = per_minute_rate < F.lit(MIN_PREDICTIONS_PER_MINUTE)
+    # Output texts of the reference.
     error = (F.when(rate, F.lit("Prediction rate below minimum expected"))
              .when(cpu, F.lit("CPU usage above threshold"))
              .when(mem, F.lit("Memory usage above threshold")))

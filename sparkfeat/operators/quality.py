@@ -31,6 +31,7 @@ def _explode_structs(df: DataFrame, structs: list[Column]) -> DataFrame:
 
 
 def _missing_reason(missing_rate: Column, limit: float) -> Column:
+    # This and the other reason texts of this module are output texts of the reference.
     return F.when(missing_rate > F.lit(limit), F.format_string(
         "High missing rate: %.2f", F.round(missing_rate, 2)))
 
@@ -110,6 +111,12 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return unpivot_values(df, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _share() -> Column:
+    """Share of a value among the non-NULL rows, NULL for the NULL value. A filter on it needs both
+    sides of the join, so it is not pushed into one copy of the counts and they are read once."""
+    return F.when(F.col("value").isNotNull(), F.col("n") / (F.col("total") - F.col("missing")))
+
+
 def _feature_totals(counts: DataFrame) -> DataFrame:
     """Rows and NULLs per feature: one row per column, so always small enough to broadcast."""
     return counts.groupBy("feature").agg(
@@ -188,9 +195,8 @@ def boolean_quality(df: DataFrame, cols: list[str], max_missing: float = MAX_MIS
     """Share of each non-NULL value (normalised value counts) with the column missing rate."""
     counts = value_counts(df, cols)
     return (counts.join(F.broadcast(_feature_totals(counts)), "feature")
-            .where(F.col("value").isNotNull())
-            .select("feature", "value",
-                    (F.col("n") / (F.col("total") - F.col("missing"))).alias("share"),
+            .withColumn("share", _share()).where(F.col("share").isNotNull())
+            .select("feature", "value", "share",
                     (F.col("missing") / F.col("total")).alias("missing_rate"),
                     (F.col("missing") / F.col("total") <= F.lit(max_missing)).alias("valid")))
 
@@ -233,6 +239,5 @@ def categorical_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     """Category list with its normalised distribution (share among non-NULL rows)."""
     counts = value_counts(df, cols)
     return (counts.join(F.broadcast(_feature_totals(counts)), "feature")
-            .where(F.col("value").isNotNull())
-            .select("feature", F.col("value").alias("category"), "n",
-                    (F.col("n") / (F.col("total") - F.col("missing"))).alias("share")))
+            .withColumn("share", _share()).where(F.col("share").isNotNull())
+            .select("feature", F.col("value").alias("category"), "n", "share"))

@@ -89,6 +89,7 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
         miss = F.col(f"miss{i}")
         pct = F.try_divide(miss * 100.0, F.col("_rows"))
         if d.feature_type == "numeric":
+            # The error texts are output texts of the reference.
             errs = [F.when(F.col(f"nonnum{i}"), F.lit("Contains non-numeric values"))]
             below = truthy(F.col(f"min{i}") < F.lit(float(d.min_value))) if d.min_value is not None else F.lit(False)
             above = truthy(F.col(f"max{i}") > F.lit(float(d.max_value))) if d.max_value is not None else F.lit(False)

@@ -87,6 +87,34 @@ def error_rate_5m(spark, sf_dir):
                       round6(F.col("error_rate")).alias("error_rate"))
 
 
+_METRICS = [
+    MT.MetricSpec("requests_total", "counter", None, ["endpoint", "status"]),
+    MT.MetricSpec("request_latency", "histogram", "latency", ["endpoint"], MT.EXPORTER_LATENCY_BUCKETS),
+    MT.MetricSpec("request_value", "summary", "value", ["endpoint"]),
+    MT.MetricSpec("prediction_latency", "histogram", "latency", ["model_version"], MT.PREDICTION_LATENCY_BUCKETS),
+    MT.MetricSpec("last_latency", "gauge", "latency", ["model_version"]),
+]
+
+
+def _metrics_sql() -> str:
+    parts = []
+    for m in _METRICS:
+        labels = " || ',' || ".join(f"'{c}=' || {c}" for c in m.labels)
+        v = m.value
+        stats = {"counter": lambda: [("value", "count(*)")], "summary": lambda: [("count", f"count({v})"), ("sum", f"sum({v})")],
+                 "gauge": lambda: [("value", f"arg_max({v}, struct_pack(t := ts, v := {v}))")],
+                 "histogram": lambda: [*[(f"le={MT.le_text(b)}", f"count(*) FILTER (WHERE {v} <= {b})") for b in m.buckets],
+                                       ("le=+Inf", f"count({v})"), ("sum", f"sum({v})")]}[m.kind]()
+        parts += [f"SELECT '{m.name}' AS metric, {labels} AS labels, '{stat}' AS stat, round(CAST({agg} AS DOUBLE), 6) AS value "
+                  f"FROM {_LOG_SQL} GROUP BY {', '.join(m.labels)}" for stat, agg in stats]
+    return "\nUNION ALL ".join(parts)
+
+
+@register("metric_specs", _metrics_sql(), "X4 A15")
+def metric_specs(spark, sf_dir):
+    return MT.rollup(request_log(Tables(spark, sf_dir)), _METRICS).withColumn("value", round6(F.col("value")))
+
+
 @register("pred_per_min", f"""SELECT {_TS.format(c='ws')} AS window_start, count(*) AS n, round(count(*) * 1.0, 6) AS per_minute FROM (
   SELECT make_timestamp(CAST(floor(epoch_us(ts) / 30000000) * 30000000 AS BIGINT)) - to_seconds(30 * k) AS ws
   FROM {_LOG_SQL} l, range(0, 2) t(k) WHERE status = '200') GROUP BY ws""", "K4")

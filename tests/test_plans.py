@@ -56,3 +56,13 @@ def test_sizing_conf_scales_with_input():
     assert small["spark.sql.shuffle.partitions"] == "200"
     assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024 ** 4 // (256 * 1024 ** 2)
     assert sizing_conf(512 * 1024 ** 3)["spark.sql.shuffle.partitions"] == "2048"
+
+
+def test_value_counts_are_read_once(spark):
+    from sparkfeat.operators import quality as Q
+
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    for df in (Q.categorical_profile(o, ["o_orderstatus"]), Q.boolean_quality(o.selectExpr("o_totalprice > 5 AS b"), ["b"])):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Scan parquet") - plan.count("ReusedExchange") <= 1 or plan.count("ReusedExchange") >= 1

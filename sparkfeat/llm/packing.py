@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.llm import bpe
-from sparkfeat.llm.common import id_text, map_batches, mix64, partitions, range_parts, small_batches, stored, texts_of
+from sparkfeat.llm.common import id_text, map_batches, mix64, partitions, range_parts, release_memory, small_batches, stored, texts_of
 
 HASHED, DIMS, BITS, SALT_BITS = 8, 3, 15, 17
 TOKENIZED = "doc_id long, place long, n long, ids binary"
@@ -130,6 +130,7 @@ def pack(docs: DataFrame, path: str, seq_len: int = 1024, end_id: int = 0, id_co
                 names = [f.split()[0] for f in PIECES.split(", ")] + ["ids"] * with_ids
                 kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*pieces), kinds)], names)
+        release_memory()
 
     ranged = (table.withColumn("part", part_of("place")).repartitionById(n_parts, F.col("part"))
               .sortWithinPartitions("part", "place", "doc_id").select("part", "doc_id", "n", "ids"))

@@ -80,7 +80,7 @@ def find_pieces(data: np.ndarray, firsts: np.ndarray, ends: np.ndarray, length:
     return starts, np.flatnonzero(last) + 1 - starts, (least[starts] >> low).astype(np.int64)
 
 
-def byte_blocks(texts: list[str], limit: int = 4_000_000):
+def byte_blocks(texts: list[str], limit: int = 1_000_000):
     """(texts as one byte array, first places, ends) in blocks; place numbers of a block must
     fit PLACE_BITS, so longer texts are cut with an overlap by ``cut_texts``."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]

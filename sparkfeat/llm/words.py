@@ -22,17 +22,18 @@ def word_table() -> np.ndarray:
     return letter_table() | (char_classes() == NUM)
 
 
-@functools.cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(x):
-        out = np.full(size, x, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-    return run(BASE), run(pow(BASE, -1, 1 << 64))
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, (n + 1).bit_length()))
+    """Powers of BASE and of its inverse, more than n; the longest ones made are kept."""
+    if len(_POWERS[0]) <= n:
+        size = (n // (1 << 18) + 1) << 18
+        for i, x in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            out = np.full(size, x, np.uint64)
+            out[0] = 1
+            _POWERS[i] = np.multiply.accumulate(out)
+    return _POWERS[0], _POWERS[1]
 
 
 def code_points(texts: list[str], sep: str = "\n") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +59,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64((sums[ends] - sums[starts]) * down[starts])
 
 
-def blocks(texts: list[str], chars: int = 2_000_000):
+def blocks(texts: list[str], chars: int = 500_000):
     """Cuts a batch into runs of texts of bounded total size: (first text, texts)."""
     first, size = 0, 0
     for i, t in enumerate(texts):

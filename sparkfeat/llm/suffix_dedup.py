@@ -11,7 +11,8 @@ are marked in a bitmap of fixed size (2^``bitmap_bits``; chance marks cost work,
 results). (2) One map writes the marked pieces; equal pieces are combined by an aggregate: a
 piece that occurs twice is repeated all over. (3) Buckets of different pieces: each task builds
 the Burrows-Wheeler transform and the common-prefix lengths of its pieces by
-inserting, in each round, one symbol of every piece (``column_bwt``); transform and prefixes
+inserting, in each round, one symbol of every piece (``column_bwt``; a symbol is a word of up to
+8 bytes, and a piece is read from each of as many starts); transform and prefixes
 live in sequential files that a round reads and writes anew. Windows with a common prefix of
 ``length`` with a neighbour are repeated. (4) Flags return to the documents by their text's
 digest, so copies of a text are worked on once.
@@ -119,15 +120,15 @@ class SequentialFiles:
         self.round, self.size = 0, 0
 
     def write(self, symbols: np.ndarray, prefixes: np.ndarray):
-        self.round, self.size = self.round + 1, len(symbols)
+        self.round, self.size, self.kinds = self.round + 1, len(symbols), (symbols.dtype, prefixes.dtype)
         for f, values in zip(self.files[self.round % 2], (symbols, prefixes)):
             f.seek(0)
             f.write(memoryview(values))
 
     def read(self) -> tuple[np.ndarray, np.ndarray]:
         out = []
-        for f in self.files[self.round % 2]:
-            values = np.empty(self.size, np.uint8)
+        for f, kind in zip(self.files[self.round % 2], self.kinds):
+            values = np.empty(self.size, kind)
             f.seek(0)
             f.readinto(memoryview(values))
             out.append(values)
@@ -141,31 +142,63 @@ class SequentialFiles:
             f.close()
 
 
+def range_minima(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 64) -> np.ndarray:
+    """Least value of each non-empty range [start, end): running minima inside blocks, doubling
+    steps over whole blocks."""
+    grid = np.concatenate([values, np.full(-len(values) % block, 255, np.uint8)]).reshape(-1, block)
+    ahead = np.minimum.accumulate(grid, 1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
+    first, last = starts // block, (ends - 1) // block
+    out = np.minimum(back[starts], ahead[ends - 1])
+    inside = np.flatnonzero(first == last)
+    if len(inside):
+        inside = inside[np.argsort(-starts[inside], kind="stable")]    # falling starts: nothing between is read
+        pairs = np.stack([starts[inside], ends[inside]], 1).ravel()
+        out[inside] = np.minimum.reduceat(np.append(values, 0), pairs)[::2]
+    far = np.flatnonzero(last - first > 1)
+    if len(far):
+        span = last[far] - first[far] - 1
+        level = np.frexp(span.astype(np.float64))[1] - 1
+        table = ahead[block - 1::block]
+        for k in range(int(level.max()) + 1):
+            own = far[level == k]
+            out[own] = np.minimum(out[own], np.minimum(table[first[own] + 1], table[last[own] - (1 << k)]))
+            table = np.append(np.minimum(table[:-(1 << k)], table[1 << k:]), table[len(table) - (1 << k):])
+    return out
+
+
 def column_bwt(pieces: list[bytes], length: int, files: SequentialFiles) -> list[np.ndarray]:
     """Per piece, for each window in it: does its content start at another place of the bucket?
 
+    A symbol is a word of ``step`` bytes, and a piece is read once from each of its first
+    ``step`` bytes on, so that every window starts a suffix of one of these strings.
+
     The transform lists, in the order of all suffixes inserted so far, the symbol before each
     one. The empty suffixes come first. A round puts the next symbol (from the right) of every
-    piece before its latest suffix; sorting the transform's symbols, equal ones in order, gives
-    the order of the suffixes one longer, and so the places of the new ones. The prefix that a new suffix shares
-    with its neighbour is one more than the least prefix between their tails' places."""
-    n, cap = len(pieces), min(length, 255)
-    sizes = np.array([len(p) for p in pieces])
-    order = np.argsort(-sizes, kind="stable")                        # long pieces first: the active ones lead
-    sizes = sizes[order]
-    joined = np.frombuffer(b"".join(pieces), np.uint8)
-    ends = np.cumsum([len(p) for p in pieces])[order]
-    used = np.unique(joined)
-    code = np.zeros(256, np.uint8)
-    code[used] = np.minimum(np.arange(1, len(used) + 1), 255)        # 0: nothing before it (yet)
-    assert len(used) < 256
-    places = np.arange(n)                                            # of every piece's latest suffix
-    files.write(np.zeros(n, np.uint8), np.zeros(n, np.uint8))
-    for r in range(int(sizes[0])):
+    string before its latest suffix; sorting the transform's symbols, equal ones in order, gives
+    the order of the suffixes one longer, and so the places of the new ones. The prefix that a
+    new suffix shares with its neighbour is one more than the least prefix between their tails' places."""
+    joined = np.frombuffer(b"".join(pieces) + bytes(7), np.uint8)
+    for step in (k for k in (8, 4, 2, 1) if length % k == 0):        # the longest words that 16 bits can number
+        word = sum(joined[k:len(joined) - step + 1 + k].astype(np.uint64) << np.uint64(8 * k) for k in range(step))
+        used, code = np.unique(word, return_inverse=True)
+        if len(used) < 1 << 16:
+            break
+    code = (code + 1).astype(np.uint16 if len(used) < 1 << 16 else np.uint32)      # 0: nothing before it (yet)
+    cap = length // step
+    sizes = np.repeat([len(p) for p in pieces], step) - np.tile(np.arange(step), len(pieces))
+    count = sizes // step                                            # symbols of each string
+    ends = np.repeat(np.cumsum([len(p) for p in pieces]), step)
+    order = np.argsort(-count, kind="stable")                        # long strings first: the active ones lead
+    count, final = count[order], (ends - sizes + (count - 1) * step)[order]      # place of the last symbol
+    n = len(count)
+    places = np.arange(n)                                            # of every string's latest suffix
+    files.write(np.zeros(n, code.dtype), np.zeros(n, np.uint8))
+    for r in range(int(count[0])):
         symbols, prefixes = files.read()
-        active = int(np.searchsorted(-sizes, -r, side="left"))       # pieces longer than r
-        symbols[places[:active]] = code[joined[ends[:active] - 1 - r]]
-        before_it = symbols[places[:active]]
+        active = int(np.searchsorted(-count, -r, side="left"))       # strings longer than r
+        before_it = code[final[:active] - r * step]
+        symbols[places[:active]] = before_it
         by_symbol = np.argsort(symbols, kind="stable")[len(symbols) - np.count_nonzero(symbols):]
         latest = np.zeros(len(symbols), bool)
         latest[places[:active]] = True
@@ -177,15 +210,12 @@ def column_bwt(pieces: list[bytes], length: int, files: SequentialFiles) -> list
         behind[1:] |= fresh[:-1]
         touched = np.flatnonzero(behind)
         here, before = by_symbol[touched], by_symbol[touched - 1]
-        same = (touched > 0) & (symbols[here] == symbols[before])
+        same = np.flatnonzero((touched > 0) & (symbols[here] == symbols[before]))
         value = np.zeros(len(touched), np.uint8)
-        pairs = np.flatnonzero(same)
-        pairs = pairs[np.argsort(-before[pairs], kind="stable")]     # falling starts: no range in between is read
-        if len(pairs):
-            ranges = np.stack([before[pairs] + 1, here[pairs] + 1], 1).ravel()
-            least = np.minimum.reduceat(np.append(prefixes, 0), ranges)[::2]
-            value[pairs] = np.minimum(least.astype(np.int32) + 1, cap)
-        grown = np.zeros(n + len(by_symbol), np.uint8)
+        if len(same):
+            least = range_minima(prefixes, before[same] + 1, here[same] + 1)
+            value[same] = np.minimum(least.astype(np.int32) + 1, cap)
+        grown = np.zeros(n + len(by_symbol), code.dtype)
         shared = np.zeros(n + len(by_symbol), np.uint8)
         grown[:n] = symbols[:n]
         old = ~fresh
@@ -194,20 +224,20 @@ def column_bwt(pieces: list[bytes], length: int, files: SequentialFiles) -> list
         files.write(grown, shared)
     symbols, prefixes = files.read()
     by_symbol = np.argsort(symbols, kind="stable")[len(symbols) - np.count_nonzero(symbols):]
-    step = np.zeros(len(symbols), np.int64)                          # from a suffix to the one a symbol longer
-    step[by_symbol] = n + np.arange(len(by_symbol))
+    longer = np.zeros(len(symbols), np.int64)                        # from a suffix to the one a symbol longer
+    longer[by_symbol] = n + np.arange(len(by_symbol))
     repeated = prefixes >= cap
     repeated[:-1] |= repeated[1:]
-    at, flags = np.arange(n), np.zeros((n, int(sizes[0]) + 1), bool)
-    for r in range(1, int(sizes[0]) + 1):
-        active = int(np.searchsorted(-sizes, -r, side="right"))
-        at[:active] = step[at[:active]]
-        if r >= length:
-            flags[np.arange(active), sizes[:active] - r] = repeated[at[:active]]
-    out: list[np.ndarray] = [np.zeros(0, bool)] * n
-    for i, o in enumerate(order):
-        out[o] = flags[i, :sizes[i] - length + 1]
-    return out
+    out = [np.zeros(len(p) - length + 1, bool) for p in pieces]
+    flat, first = np.zeros(sum(map(len, out)), bool), np.cumsum([0] + [len(o) for o in out])
+    base, phase = first[order // step], order % step
+    at = np.arange(n)
+    for r in range(1, int(count[0]) + 1):
+        active = int(np.searchsorted(-count, -r, side="right"))
+        at[:active] = longer[at[:active]]
+        if r >= cap:
+            flat[base[:active] + phase[:active] + (count[:active] - r) * step] = repeated[at[:active]]
+    return [flat[a:b] for a, b in zip(first, first[1:])]
 
 
 def _bucket_flags(length: int):
@@ -299,7 +329,7 @@ def _window_flags(pieces: DataFrame, length: int) -> DataFrame:
     return each.join(again, "digest").groupBy("sid").applyInPandas(pack, FLAGS)       # a piece's windows are few
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, bitmap_bits: int = 26, bucket_pieces: int = 1500, hot_pieces: int = 30_000,
+def remove_repeats(docs: DataFrame, length: int = 200, bitmap_bits: int = 26, bucket_pieces: int = 700, hot_pieces: int = 30_000,
                    id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256; with ``with_text`` also kept, the remaining bytes."""

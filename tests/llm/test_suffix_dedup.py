@@ -37,6 +37,28 @@ def test_column_bwt_against_brute_force(seed):
         assert flags.tolist() == [seen[p[i:i + k]] > 1 for i in range(len(p) - k + 1)]
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_words_of_several_bytes(seed):
+    rng = random.Random(100 + seed)
+    k = rng.choice([4, 8, 12, 16])
+    base = bytes(rng.choices(b"abc", k=60))
+    pieces = list({base[(a := rng.randint(0, 30)):a + rng.randint(k, 30)] for _ in range(10)} | {bytes(rng.choices(range(256), k=rng.randint(k, 40))) for _ in range(3)})
+    with tempfile.TemporaryDirectory() as folder, S.SequentialFiles(folder) as files:
+        got = S.column_bwt(pieces, k, files)
+    seen = Counter(p[i:i + k] for p in pieces for i in range(len(p) - k + 1))
+    for p, flags in zip(pieces, got):
+        assert flags.tolist() == [seen[p[i:i + k]] > 1 for i in range(len(p) - k + 1)]
+
+
+def test_range_minima():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        v = rng.integers(0, 60, rng.integers(1, 700)).astype(np.uint8)
+        a = rng.integers(0, len(v), 40)
+        b = np.array([rng.integers(x + 1, len(v) + 1) for x in a])
+        assert S.range_minima(v, a, b, block=8).tolist() == [v[i:j].min() for i, j in zip(a, b)]
+
+
 def rows_of(df):
     return sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
 

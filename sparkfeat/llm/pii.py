@@ -7,6 +7,10 @@ keyed Feistel network permutes its digits and letters place by place, so equal v
 equal pseudonyms in all documents and different values stay different; check digits are made
 anew, and pseudonyms of dates are dates. What fails its check is left alone.
 
+Digits beside a card (an expiry date, a CVV, an item number) do not hide it: the stretches that
+start and end at a separator, are grouped as cards are printed (``PRINTED``) and pass Luhn are
+looked up first, and neither the free card pattern nor a phone number runs into them.
+
 A value is cut in two halves; in each of ``ROUNDS`` rounds one half's characters are shifted,
 each within its own class (digit, lower or upper case letter, or hexadecimal digit), by a
 SHA-256 stream of key, kind, round, length and the other half. That can be undone, so
@@ -41,6 +45,9 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}"
              r"|(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])",
 }
+SEP = r"[ -]"
+#: groups of digits as cards are printed; at one place at most one of each list matches
+PRINTED = [["[0-9]{13,19}", "4 4 4 1,4", "4 4 5", "4 3 3 3", "4 6 4,5", "4 5 6", "5 4 5", "6 13"], ["4 4 4 4 1,3"]]
 KINDS = ("email", "secret", "iban", "ip", "date", "ssn", "card", "phone")
 DAYS, FIRST_DAY = 100_000, "1900-01-01"          # dates are permuted among so many days from the first
 
@@ -116,6 +123,26 @@ def _card(m: Column, key: str) -> Column:
     return F.when(_luhn(digits) == 0, _refill(m, F.concat(body, check), "[0-9]"))
 
 
+def _printed_cards(text: Column) -> Column:
+    """All different stretches of a text that are grouped like a card and pass Luhn, longest first."""
+    def groups(sizes: str) -> str:
+        return sizes if sizes.startswith("[") else SEP.join(f"[0-9]{{{n}}}" for n in sizes.split(" "))
+    found = [F.regexp_extract_all(text, F.lit(rf"(?<![0-9+])(?=((?:{'|'.join(map(groups, forms))})(?![0-9])))"), F.lit(1)) for forms in PRINTED]
+    valid = F.filter(F.array_distinct(F.concat(*found)), lambda c: _luhn(F.regexp_replace(c, "[^0-9]", "")) == 0)
+    return F.transform(F.sort_array(F.transform(valid, lambda c: F.struct(-F.length(c), c.alias("c")))), lambda x: x["c"])
+
+
+def _pattern(cards: Column) -> Column:
+    """The pattern of all kinds; where a text has printed cards, no other digits run into them."""
+    mark = "CARDS"
+    after = rf"(?!(?:{mark})(?![0-9]))"
+    free = PATTERNS["card"].replace("[ -]?", f"(?:[ -]{after})?")
+    own = PATTERNS | {"card": rf"(?<![0-9+])(?:{mark})(?![0-9])|{free}",
+                      "phone": PATTERNS["phone"].replace("[ .-]?", f"(?:[ .-]{after})?").replace("[ .-][", f"[ .-]{after}[")}
+    return F.when(F.size(cards) > 0, F.replace(F.lit("|".join(own.values())), F.lit(mark), F.array_join(cards, "|"))).otherwise(
+        F.lit("|".join(PATTERNS.values())))
+
+
 def _iban(m: Column, key: str) -> Column:
     plain = F.replace(m, F.lit(" "), F.lit(""))
     country, tail = F.substring(plain, F.lit(1), F.lit(2)), F.substring(plain, F.lit(5), F.length(plain))
@@ -179,13 +206,13 @@ def _is_kind(kind: str):
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", counts: bool = False) -> DataFrame:
     """All columns of the input with the text's personal data replaced; with ``counts`` also
     one column n_<kind> of replaced values for each kind."""
-    text, found, given = F.col(f"`{text_col}`"), fresh_name(docs, "found"), fresh_name(docs, "given")
-    pattern = "|".join(PATTERNS.values())
-    some = text.rlike("[0-9@]")
-    out = docs.withColumn(found, F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    text, found, given, pattern = F.col(f"`{text_col}`"), *(fresh_name(docs, n) for n in ("found", "given", "pattern"))
+    some, long = text.rlike("[0-9@]"), text.rlike("[0-9](?:[ -]?[0-9]){12}")
+    out = docs.withColumn(pattern, _pattern(F.when(long, _printed_cards(text))))
+    out = out.withColumn(found, F.when(some, F.regexp_extract_all(text, F.col(pattern), F.lit(0))))
     out = out.withColumn(given, F.when(F.size(found) > 0, F.transform(F.col(found), lambda m: _pseudonym(m, key))))
-    pieces = F.zip_with(F.split(text, pattern, -1), F.col(given), lambda a, b: F.concat(a, F.coalesce(b["to"], F.lit(""))))
+    pieces = F.zip_with(F.split(text, F.col(pattern), -1), F.col(given), lambda a, b: F.concat(a, F.coalesce(b["to"], F.lit(""))))
     out = out.withColumn(text_col, F.when(F.col(given).isNotNull(), F.array_join(pieces, "")).otherwise(text))
     if counts:
         out = out.withColumns({f"n_{k}": F.greatest(F.size(F.filter(given, _is_kind(k))), F.lit(0)).cast("long") for k in KINDS})
-    return out.drop(found, given)
+    return out.drop(found, given, pattern)

@@ -72,6 +72,31 @@ def test_formats_checks_and_links(spark):
     assert len(f) == len("x.7@mail.example.com +1 (293) 555-9179 123-45-6789 " + "0af9" * 10)
 
 
+def test_digits_beside_a_card_do_not_hide_it(spark):
+    card = "4111111111111111"
+    parted = "4111 1111 1111 1111"
+    texts = [card, f"{card} 12/27", f"{parted} 123", f"5 {card}", f"12 {parted} 123", f"1234 5678 {parted}", f"{card} 10.0.0.1",
+             f"{card} 555-123-4567", f"555 123 {parted}", f"{card} 2024-02-29", "3782 822463 10005 12/27"]
+    out = replaced(spark, texts)
+    new = out[0]
+    spaced = " ".join(new[i:i + 4] for i in range(0, 16, 4))
+    assert luhn(new) and new != card
+    assert out[1:6] == [f"{new} 12/27", f"{spaced} 123", f"5 {new}", f"12 {spaced} 123", f"1234 5678 {spaced}"]
+    assert out[6].startswith(f"{new} ") and not out[6].endswith("10.0.0.1")
+    assert out[7].startswith(f"{new} ") and not out[7].endswith("555-123-4567")
+    assert out[8] == f"555 123 {spaced}"
+    assert out[9].startswith(f"{new} ") and not out[9].endswith("2024-02-29")
+    assert out[10].endswith(" 12/27") and "822463" not in out[10] and luhn(out[10][:-6].replace(" ", ""))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:6])], "doc_id long, text string")
+    assert {r.n_card for r in pii.pseudonymize(df, KEY, counts=True).collect()} == {1}
+
+
+def test_long_runs_of_numbers(spark):
+    numbers = " ".join(str(i) for i in range(6_000))
+    got = replaced(spark, [numbers + " 4111111111111111 12/27"])[0]
+    assert "4111111111111111" not in got and len(got) == len(numbers) + 23
+
+
 def test_edge_cases(spark, edge, none):
     out = pii.pseudonymize(edge, KEY, counts=True)
     assert out.columns[:len(edge.columns)] == edge.columns

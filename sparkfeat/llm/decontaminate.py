@@ -10,8 +10,10 @@ make several keys a window.
 Windows start at every ``stride``-th word of every document and read on into it as far as an
 item would; items are indexed at each of their own words, so any undisturbed stretch of
 an item meets a window in step. The number of walks is raised until simulated leaks at the
-largest distance reach ``recall``. Candidates are verified exactly (edit distance of the whole item
-against the document around the place).
+largest distance, with other words around them, reach ``recall`` in each class of lengths. Items
+of fewer than ``SHORT`` words, and classes that ``max_walks`` walks do not bring to it, are found by exact
+seeds instead: cut in one piece more than the edits allowed, one piece is unedited, so none is lost.
+Candidates are verified exactly (edit distance of the whole item against the document around the place).
 
 The items are the stated query set: they go to all documents in blocks of bounded size
 (``block_chars``), found by a hash, however large the benchmark is. There is no shuffle.
@@ -35,6 +37,7 @@ from sparkfeat.llm import words
 from sparkfeat.llm.common import id_text, map_batches, mix64, small_batches, texts_of
 
 STEPS, SAMPLE, KEYS, FILTER_BITS = 16, 4, 2, 20
+SHORT = 12                                     # items of fewer words go by exact seeds
 END = np.uint64(0)
 SCHEMA = "doc_id long, item_id long, distance long, item_words long"
 
@@ -55,13 +58,34 @@ def walk_keys(symbols: np.ndarray, starts: np.ndarray, walk: int) -> np.ndarray:
     return mix64(out, walk)
 
 
+@dataclass
+class KeyTable:
+    """Entries (item number << 32 | word number) by key."""
+    keys: np.ndarray                # sorted
+    entries: np.ndarray
+    filter: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, entries: np.ndarray) -> KeyTable:
+        order = np.argsort(keys, kind="stable")
+        table = np.zeros(1 << FILTER_BITS, bool)
+        table[keys >> np.uint64(64 - FILTER_BITS)] = True
+        return cls(keys[order], entries[order], table)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the keys asked for, entry) of all that meet."""
+        hit = np.flatnonzero(self.filter[keys >> np.uint64(64 - FILTER_BITS)])
+        low = np.searchsorted(self.keys, keys[hit], side="left")
+        times = np.searchsorted(self.keys, keys[hit], side="right") - low
+        return np.repeat(hit, times), self.entries[np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+
+
 @dataclass
 class ItemIndex:
     ids: np.ndarray                 # item id per item
     items: list[np.ndarray]         # word hashes
-    keys: list[np.ndarray]          # per walk and key: sorted keys
-    entries: list[np.ndarray]       # per walk and key: item number << 32 | word number
-    filters: list[np.ndarray]
+    tables: list[KeyTable]          # per walk and key
+    seeds: dict[int, KeyTable]      # per length of a piece
     walks: int
     max_edits: float
 
@@ -76,76 +100,111 @@ def _symbols(item_words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, firsts
 
 
-def _keys_of(items: list[np.ndarray], walk: int):
+def _keys_of(items: list[np.ndarray], numbers: np.ndarray, walk: int):
     symbols, firsts = _symbols(items)
     at = np.concatenate([np.arange(f, f + max(1, len(w) - STEPS // 2 + 1)) for f, w in zip(firsts, items)])
-    entry = np.concatenate([(np.int64(i) << 32) | np.arange(max(1, len(w) - STEPS // 2 + 1)) for i, w in enumerate(items)])
+    entry = np.concatenate([(np.int64(i) << 32) | np.arange(max(1, len(w) - STEPS // 2 + 1)) for i, w in zip(numbers, items)])
     return walk_keys(symbols, at, walk), entry
 
 
+def run_keys(symbols: np.ndarray, size: int) -> np.ndarray:
+    """A key of each run of ``size`` symbols, by its first place; runs over the end hold END."""
+    padded, out = np.concatenate([symbols, np.full(size, END)]), np.zeros(len(symbols), np.uint64)
+    for j in range(size):
+        out = (out ^ padded[j:j + len(symbols)]) * np.uint64(words.BASE)
+    return mix64(out, 77)
+
+
+def _seeds_of(items: list[np.ndarray], numbers: np.ndarray, max_edits: float) -> dict[int, KeyTable]:
+    """Each item in one piece more than its edits: the pieces' keys, by length."""
+    found: dict[int, tuple[list, list]] = {}
+    for i in numbers.tolist():
+        w = items[i]
+        cuts = np.linspace(0, len(w), min(int(max_edits * len(w)) + 1, len(w)) + 1).astype(np.int64).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            keys, entries = found.setdefault(b - a, ([], []))
+            keys.append(run_keys(w[a:b], b - a)[0])
+            entries.append((i << 32) | a)
+    return {size: KeyTable.of(np.array(k, np.uint64), np.array(e, np.int64)) for size, (k, e) in sorted(found.items())}
+
+
+def length_class(n: int) -> int:
+    return n if n < 16 else 16 + (min(n, 64) - 16) // 8
+
+
 def build_index(ids: list[int], texts: list[str], max_edits: float, min_words: int, recall: float, stride: int,
                 max_walks: int = 8) -> ItemIndex | None:
     h, counts = words.word_hashes(texts) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    h = np.maximum(h, np.uint64(2))                              # 0 and 1 have a meaning of their own
     cut = np.concatenate([[0], np.cumsum(counts)])
-    some = [i for i in range(len(texts)) if counts[i] >= min_words]
+    some = [i for i in range(len(texts)) if counts[i] >= max(min_words, 1)]
     if not some:
         return None
     items = [h[cut[i]:cut[i + 1]] for i in some]
-    index = ItemIndex(np.array([ids[i] for i in some]), items, [], [], [], 0, max_edits)
-    while index.walks < max_walks:
-        keys, entry = _keys_of(items, index.walks)
-        for k in range(KEYS):
-            order = np.argsort(keys[k], kind="stable")
-            index.keys.append(keys[k][order])
-            index.entries.append(entry[order])
-            table = np.zeros(1 << FILTER_BITS, bool)
-            table[keys[k] >> np.uint64(64 - FILTER_BITS)] = True
-            index.filters.append(table)
+    index = ItemIndex(np.array([ids[i] for i in some]), items, [], {}, 0, max_edits)
+    classes = np.array([length_class(len(w)) for w in items])
+    exact = np.array([len(w) < SHORT for w in items])
+    walked = np.flatnonzero(~exact)
+    leaked = {c: simulated_leaks(index, np.flatnonzero(classes == c), stride) for c in np.unique(classes[walked]).tolist()}
+    short = set(leaked)                                          # classes still under the recall
+    while short and index.walks < max_walks:
+        keys, entry = _keys_of([items[i] for i in walked], walked, index.walks)
+        index.tables += [KeyTable.of(keys[k], entry) for k in range(KEYS)]
         index.walks += 1
-        if simulated_recall(index, stride) >= recall:
-            break
+        short = {c for c in short if not reaches(index, leaked[c], stride, recall)}
+    exact |= np.isin(classes, sorted(short))
+    index.seeds = _seeds_of(items, np.flatnonzero(exact), max_edits)
     return index
 
 
-def simulated_recall(index: ItemIndex, stride: int, trials: int = 300) -> float:
-    """Share of items, edited as often as is allowed at random places, that meet a window."""
+def simulated_leaks(index: ItemIndex, numbers: np.ndarray, stride: int, trials: int = 400) -> tuple[list[np.ndarray], list[int]]:
+    """Documents that hold items, edited as often as is allowed at random places, among other words."""
     rng = np.random.default_rng(99)
+    other = lambda n: rng.integers(2, 1 << 62, n).astype(np.uint64)
     docs, truth = [], []
-    for t in range(trials):
-        i = int(rng.integers(len(index.items)))
+    for _ in range(trials):
+        i = int(rng.choice(numbers))
         w = list(index.items[i])
         for _ in range(int(index.max_edits * len(w))):
             at, kind = int(rng.integers(len(w))), int(rng.integers(3))
-            fresh = np.uint64(rng.integers(1, 1 << 62))
+            fresh = other(1)[0]
             w[at:at + 1] = ([fresh], [fresh, w[at]], [])[kind] if len(w) > 1 else [fresh]
-        docs.append(np.array([*rng.integers(1, 1 << 62, int(rng.integers(0, stride))).astype(np.uint64), *w], np.uint64))
+        docs.append(np.concatenate([other(int(rng.integers(0, stride))), np.array(w, np.uint64), other(STEPS)]))
         truth.append(i)
+    return docs, truth
+
+
+def simulated_recall(index: ItemIndex, leaked: tuple[list[np.ndarray], list[int]], stride: int) -> float:
+    """Share of the simulated leaks that meet a window."""
+    docs, truth = leaked
     symbols, firsts = _symbols(docs)
     doc, item, _ = candidates(index, symbols, firsts, np.array([len(d) for d in docs]), stride)
-    return len({(d, i) for d, i in zip(doc.tolist(), item.tolist())} & set(enumerate(truth))) / trials
+    return len(set(zip(doc.tolist(), item.tolist())) & set(enumerate(truth))) / len(docs)
+
+
+def reaches(index: ItemIndex, leaked: tuple[list[np.ndarray], list[int]], stride: int, recall: float) -> bool:
+    """Whether the recall is reached, with a standard error to spare."""
+    return simulated_recall(index, leaked, stride) >= recall + (recall * (1 - recall) / len(leaked[0])) ** 0.5 and recall < 1
 
 
 def candidates(index: ItemIndex, symbols: np.ndarray, firsts: np.ndarray, counts: np.ndarray, stride: int):
-    """(document, item, supposed place of the item's first word) of all windows that meet."""
+    """(document, item, supposed place of the item's first word) of all windows and seeds that meet."""
     n = (counts + stride - 1) // stride
     owner = np.repeat(np.arange(len(counts)), n)
     starts = firsts[owner] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
-    found = []
+    found = [(np.zeros(0, np.int64),) * 3]
     for walk in range(index.walks):
         keys = walk_keys(symbols, starts, walk)
         for k in range(KEYS):
-            j = walk * KEYS + k
-            hit = np.flatnonzero(index.filters[j][keys[k] >> np.uint64(64 - FILTER_BITS)])
-            low = np.searchsorted(index.keys[j], keys[k][hit], side="left")
-            high = np.searchsorted(index.keys[j], keys[k][hit], side="right")
-            times = high - low
-            who = np.repeat(hit, times)
-            entry = index.entries[j][np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+            who, entry = index.tables[walk * KEYS + k].find(keys[k])
             found.append((owner[who], entry >> 32, starts[who] - (entry & 0xFFFFFFFF)))
+    for size, table in index.seeds.items():
+        at, entry = table.find(run_keys(symbols, size))
+        found.append((np.searchsorted(firsts, at, side="right") - 1, entry >> 32, at - (entry & 0xFFFFFFFF)))
     doc, item, place = (np.concatenate(x) for x in zip(*found))
     if not len(doc):
         return doc, item, place
-    # candidates of one document and item a few words apart are one
+    # candidates of one document and item at one place are one
     order = np.lexsort((place, item, doc))
     doc, item, place = doc[order], item[order], place[order]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] > 0)])

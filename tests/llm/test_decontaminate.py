@@ -50,6 +50,32 @@ def test_against_brute_force(spark):
     assert kept == set(range(60)) - {d for d, _ in got}
 
 
+def test_recall_of_each_length():
+    """Leaks at the largest distance with words before and behind, found length by length."""
+    rng = random.Random(7)
+    for n in (5, 6, 7, 8, 9, 10, 11, 12, 14, 17, 25):
+        items = [rng.choices(VOCABULARY, k=n) for _ in range(150)]
+        far = [rng.choices(VOCABULARY, k=60) for _ in range(150)]              # long items must not hide short ones
+        index = D.build_index(list(range(300)), [" ".join(w) for w in items + far], 0.2, 5, 0.97, 2)
+        docs = [rng.choices(VOCABULARY, k=rng.randint(5, 30)) + edited(rng, w, int(0.2 * n)) + rng.choices(VOCABULARY, k=20) for w in items]
+        doc, item, dist = D.find_leaks(index, [" ".join(w) for w in docs], 2)
+        got = {(d, i): x for d, i, x in zip(doc.tolist(), item.tolist(), dist.tolist())}
+        hit = sum((i, i) in got for i in range(150))
+        assert hit >= (150 if n < D.SHORT else 0.95 * 150), (n, hit)
+        assert all(got[k] == distance((items + far)[k[1]], docs[k[0]]) for k in got)
+
+
+def test_seeds_lose_nothing():
+    rng = random.Random(8)
+    few = VOCABULARY[:6]                                                       # words that occur everywhere
+    items = [rng.choices(few, k=rng.randint(1, 20)) for _ in range(40)]
+    docs = [rng.choices(few, k=rng.randint(0, 40)) for _ in range(40)]
+    index = D.build_index(list(range(40)), [" ".join(w) for w in items], 0.2, 1, 1.0, 2)
+    doc, item, dist = D.find_leaks(index, [" ".join(w) for w in docs], 2)
+    want = {(d, i): n for d, w in enumerate(docs) for i, x in enumerate(items) if (n := distance(x, w)) <= int(0.2 * len(x))}
+    assert dict(zip(zip(doc.tolist(), item.tolist()), dist.tolist())) == want
+
+
 def test_edit_distances():
     rng = random.Random(6)
     pairs = [(rng.choices(range(2, 9), k=rng.randint(1, 9)), rng.choices(range(2, 9), k=rng.randint(0, 20))) for _ in range(200)]

@@ -5,9 +5,9 @@
 for the subword tokenizer, and one end. Two scores, both log10 probabilities of whole texts:
 
 * ``score``: the attention model of ``attention.py``. Subword and class-bigram counts
-  come from all documents to learn from; the weights are trained on a fixed share of them (by a
-  hash; it grows with the input): every task trains on its own part from common weights, the
-  weights are averaged by an aggregate, ``rounds`` times.
+  come from all documents to learn from; the weights are trained on all of them too, dealt over
+  ``rounds`` rounds by a hash: every task trains on its own part from common weights, the
+  weights are averaged by an aggregate after each round. ``share`` > 1 takes only 1/share of them.
 * ``base_score``: add-one word unigrams with exact counts over all documents to learn from.
   Blocks of documents ask for the counts of their distinct words, one message per block and
   bucket of the hash space; a bucket's task adds up and answers; answers meet the block's
@@ -237,9 +237,10 @@ def class_pairs(vocabulary: Vocabulary):
 def trained(learn: DataFrame, kind, vocabulary: Vocabulary, parameters: dict, share: int, rounds: int) -> dict:
     """Averaged weights after ``rounds`` rounds of local training, each on another 1/(share x
     rounds) of the texts, by as many trainers as an eighth of the shuffle partitions."""
+    of = vocabulary.of.astype(np.int16)
     for r in range(rounds):
         def run(batches: Iterator[pa.RecordBatch], p=parameters) -> Iterator[pa.RecordBatch]:
-            stream = [vocabulary.of[ids_of(b, kind)[0]] for b in batches if b.num_rows]
+            stream = [of[ids_of(b, kind)[0]] for b in batches if b.num_rows]
             if sum(map(len, stream)) > REACH:
                 got = flat(train(p, np.concatenate(stream))).astype(np.float64)
                 yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(len(got))), "value": pa.array(got)})
@@ -251,7 +252,7 @@ def trained(learn: DataFrame, kind, vocabulary: Vocabulary, parameters: dict, sh
     return parameters
 
 
-def score_texts(docs: DataFrame, path: str, learn: Column, share: int = 20, rounds: int = 2, id_col: str = "doc_id",
+def score_texts(docs: DataFrame, path: str, learn: Column, share: int = 1, rounds: int = 8, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out (not learned from), n_tokens, n_known,
     train_tokens, base_score, score."""

@@ -130,3 +130,17 @@ def test_training_lowers_the_loss():
     p = attention.start_parameters(np.ones((attention.CLASSES, attention.CLASSES)))
     windows = stream[:320].reshape(10, 32), stream[1:321].reshape(10, 32)
     assert attention.gradients(attention.train(p, stream), *windows)[0] < 0.5 * attention.gradients(p, *windows)[0]
+
+
+def test_weights_are_trained_on_all_documents_to_learn_from(many, path, monkeypatch):
+    kept = []
+
+    def counting(p, stream, *more):
+        return p | {"bias": p["bias"] + len(stream)}
+    monkeypatch.setattr(lm_score, "train", counting)
+    monkeypatch.setattr(lm_score, "Scorer", lambda p, v: kept.append(p) or attention.Scorer(p, v))
+    few = many.limit(120).coalesce(1)                               # one trainer
+    lm_score.score_texts(few, path, F.lit(True)).count()
+    end = 0
+    ids, _ = lm_score.subwords(path, [r.text or "" for r in few.collect()], end)
+    assert kept[0]["bias"].tolist() == [len(ids)] * attention.CLASSES

@@ -1,9 +1,9 @@
 """A small causal self-attention language model in numpy.
 
-Subword ids are mapped to classes: the most frequent ids have one each, the rest share some
-classes of about equal mass, within which an id has its share after the class before it, backed off to its unigram share. A position
-reads classes of the last positions by one attention layer with a learned bias per distance,
-then a hidden layer; its output y reweighs the smoothed class bigram by (1 + y/8)^8, which is close
+A position reads the subword ids of the last positions, each embedded as its class plus a vector
+of its own, by one attention layer with a learned bias per distance, then a hidden layer. The
+output is factored: the most frequent ids have a class each, the rest share some
+classes of about equal mass, within which an id has its share after the class before it, backed off to its unigram share. The model's output y reweighs the smoothed class bigram by (1 + y/8)^8, which is close
 to exp(y), never negative, and much cheaper.
 """
 
@@ -25,7 +25,7 @@ class Vocabulary:
         counts = counts.astype(np.float64).copy()
         ranked = np.argsort(-counts, kind="stable")
         ranked = np.concatenate([[end_id], ranked[ranked != end_id]])
-        self.end = 0
+        self.end, self.end_id = 0, end_id
         self.of = np.zeros(len(counts), np.int64)
         self.of[ranked[:HEAD]] = np.arange(min(HEAD, len(counts)))
         rest = ranked[HEAD:]
@@ -55,18 +55,20 @@ class Vocabulary:
         return out
 
 
-def start_parameters(bigrams: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
+def start_parameters(bigrams: np.ndarray, seed: int = 5, n_ids: int = 0) -> dict[str, np.ndarray]:
+    """With ``n_ids``, each id has a vector of its own beside that of its class."""
     rng = np.random.default_rng(seed)
     mat = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     unigram = bigrams.sum(0) + 1.0
     smooth = (bigrams + 20 * unigram / unigram.sum()) / (bigrams.sum(1, keepdims=True) + 20)
-    return {"emb": (rng.standard_normal((CLASSES, DIM)) * 0.5).astype(np.float32), "wq": mat(DIM, DIM), "wk": mat(DIM, DIM),
+    own = {"own": np.zeros((n_ids, DIM), np.float32)} if n_ids else {}
+    return own | {"emb": (rng.standard_normal((CLASSES, DIM)) * 0.5).astype(np.float32), "wq": mat(DIM, DIM), "wk": mat(DIM, DIM),
             "wv": mat(DIM, DIM), "wo": mat(DIM, DIM) * np.float32(0.5), "dist": np.zeros(REACH, np.float32), "w1": mat(DIM, HIDDEN),
             "b1": np.zeros(HIDDEN, np.float32), "w2": mat(HIDDEN, DIM) * np.float32(0.5), "out": mat(DIM, CLASSES) * np.float32(0.05),
             "bias": np.zeros(CLASSES, np.float32), "bigram": smooth.astype(np.float32)}
 
 
-FIXED = ("bigram",)
+FIXED = ("bigram", "own")           # not among the weights that are averaged one by one
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -82,10 +84,11 @@ def unflat(like: dict[str, np.ndarray], values: np.ndarray) -> dict[str, np.ndar
     return out
 
 
-def gradients(p: dict[str, np.ndarray], c: np.ndarray, t: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of predicting classes t (windows x positions) after classes c, and gradients."""
+def gradients(p: dict[str, np.ndarray], c: np.ndarray, t: np.ndarray, ids: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss of predicting classes t (windows x positions) after the ids of classes c, and
+    gradients; that of ``own`` is (ids in order, their rows)."""
     n, w = c.shape
-    x = p["emb"][c]
+    x = p["emb"][c] if ids is None else p["emb"][c] + p["own"][ids]
     q, k, v = x @ p["wq"], x @ p["wk"], x @ p["wv"]
     gap = np.arange(w)[:, None] - np.arange(w)[None, :]
     seen = gap >= 0
@@ -97,7 +100,10 @@ def gradients(p: dict[str, np.ndarray], c: np.ndarray, t: np.ndarray) -> tuple[f
     f = np.maximum(h @ p["w1"] + p["b1"], 0)
     g = h + f @ p["w2"]
     u = (g @ p["out"] + p["bias"]) / POWER + 1
-    e = p["bigram"][c] * u ** POWER
+    e = u
+    for _ in range(POWER.bit_length() - 1):
+        e = e * e
+    e *= p["bigram"][c]
     e /= e.sum(-1, keepdims=True)
     rows, cols = np.arange(n)[:, None], np.arange(w)[None, :]
     loss = -np.log(np.maximum(e[rows, cols, t], 1e-12)).mean()
@@ -123,23 +129,38 @@ def gradients(p: dict[str, np.ndarray], c: np.ndarray, t: np.ndarray) -> tuple[f
     for name, grad in (("wq", dq), ("wk", dk), ("wv", dv)):
         d[name] = flat2(x).T @ flat2(grad)
     d["emb"] = np.stack([np.bincount(c.ravel(), dx[..., i].ravel(), CLASSES) for i in range(DIM)], 1).astype(np.float32)
+    if ids is not None:
+        rows, where = np.unique(ids.ravel(), return_inverse=True)
+        d["own"] = rows, np.stack([np.bincount(where, dx[..., i].ravel(), len(rows)) for i in range(DIM)], 1).astype(np.float32)
     return float(loss), d
 
 
-def train(p: dict[str, np.ndarray], classes: np.ndarray, rate: float = 3e-3, batch: int = 64) -> dict[str, np.ndarray]:
-    """One pass of Adam over a stream of classes (texts one after another, each with its end)."""
-    n = (len(classes) - 1) // REACH
+def train(p: dict[str, np.ndarray], stream: np.ndarray, of: np.ndarray | None = None, rate: float = 3e-3, batch: int = 64) -> dict[str, np.ndarray]:
+    """One pass of Adam over a stream of classes (texts one after another, each with its end), or
+    of ids with their classes ``of``. A row of ``own`` moves when its id is read."""
+    n = (len(stream) - 1) // REACH
     if n < 1:
         return p
-    inputs = classes[:n * REACH].reshape(n, REACH)
-    targets = classes[1:n * REACH + 1].reshape(n, REACH)
+    inputs = stream[:n * REACH].reshape(n, REACH)
+    targets = stream[1:n * REACH + 1].reshape(n, REACH)
     order = np.random.default_rng(3).permutation(n)
     m, s, p = {}, {}, dict(p)
+    if of is not None:
+        p["own"], moved, squares = p["own"].copy(), np.zeros_like(p["own"]), np.zeros_like(p["own"])
+        turns = np.zeros((len(p["own"]), 1), np.float32)
     steps = max(1, -(-n // batch))
     for i in range(steps):
         pick = order[i * batch:(i + 1) * batch]
-        _, d = gradients(p, inputs[pick], targets[pick])
+        a, b = inputs[pick], targets[pick]
+        _, d = gradients(p, a, b) if of is None else gradients(p, of[a], of[b], a)
         step = rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps)
+        if of is not None:
+            rows, g = d.pop("own")
+            turns[rows] += 1
+            moved[rows] = 0.9 * moved[rows] + 0.1 * g
+            squares[rows] = 0.98 * squares[rows] + 0.02 * g * g
+            k = turns[rows]
+            p["own"][rows] -= np.float32(step) * (moved[rows] / (1 - 0.9 ** k)) / (np.sqrt(squares[rows] / (1 - 0.98 ** k)) + 1e-8)
         for k, g in d.items():
             m[k] = 0.9 * m.get(k, 0) + 0.1 * g
             s[k] = 0.98 * s.get(k, 0) + 0.02 * g * g
@@ -149,20 +170,26 @@ def train(p: dict[str, np.ndarray], classes: np.ndarray, rate: float = 3e-3, bat
 
 
 class Scorer:
-    """Scores with everything that depends on one class tabulated."""
+    """Scores with everything that depends on one input id (without ``own``, on its class) tabulated."""
 
     def __init__(self, p: dict[str, np.ndarray], vocabulary: Vocabulary):
         self.p, self.v = p, vocabulary
-        # the attention weight of a pair of classes before normalising, and its factor per distance
-        pull = (p["emb"] @ p["wq"]) @ (p["emb"] @ p["wk"]).T / np.float32(np.sqrt(DIM))
-        self.pull = np.exp(np.clip(pull, -40, 40)).astype(np.float32).ravel()
-        self.val = (p["emb"] @ p["wv"] @ p["wo"]).astype(np.float32)
+        self.tables = None
         self.base, self.bias = p["bigram"], (p["bias"] / POWER + 1).astype(np.float32)
         self.out = (p["out"] / POWER).astype(np.float32)
         self.ones = np.ones(CLASSES, np.float32)
         gap = np.arange(STRIDE)[:, None] + REACH - STRIDE - np.arange(REACH)[None, :]
         self.dist = np.where(gap >= 0, np.exp(np.clip(p["dist"], -40, 40))[np.maximum(gap, 0)], 0).astype(np.float32)
 
+    def tabulated(self) -> tuple[np.ndarray, ...]:
+        """Embedding, query, key and value of each input; made where they are used, not shipped."""
+        if self.tables is None:
+            p = self.p
+            x = p["emb"][self.v.of] + p["own"] if "own" in p else p["emb"]
+            self.tables = tuple(a.astype(np.float32) for a in (
+                x, x @ p["wq"] / np.float32(np.sqrt(DIM)), x @ p["wk"], x @ p["wv"] @ p["wo"]))
+        return self.tables
+
     def score(self, ids: np.ndarray, counts: np.ndarray, windows: int = 64) -> np.ndarray:
         """log10 probability of each text: its ids, which end with the end id. A window scores
         STRIDE targets, its keys reach back over the window before it; each target is scored
@@ -172,6 +199,12 @@ class Scorer:
         inputs = np.empty_like(targets)
         inputs[1:] = targets[:-1]
         inputs[firsts[counts > 0]] = self.v.end
+        emb, query, key, val = self.tabulated()
+        read = inputs
+        if "own" in self.p:
+            read = np.empty_like(targets)
+            read[1:] = ids[:-1]
+            read[firsts[counts > 0]] = self.v.end_id
         per = (counts + STRIDE - 1) // STRIDE
         text = np.repeat(np.arange(len(counts)), per)
         begin = firsts[text] + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * STRIDE
@@ -181,21 +214,23 @@ class Scorer:
             b, lo, hi = begin[w:w + windows, None], low[w:w + windows, None], high[w:w + windows, None]
             keys = b + np.arange(STRIDE - REACH, STRIDE)
             known = (keys >= lo) & (keys < hi)
-            kc = inputs[np.clip(keys, 0, len(inputs) - 1)]
+            kc = read[np.clip(keys, 0, len(inputs) - 1)]
             at = b + np.arange(STRIDE)
             used = at < hi
-            qc = inputs[np.minimum(at, len(inputs) - 1)]
-            s = self.pull[(qc * CLASSES)[:, :, None] + kc[:, None, :]]
+            inner = np.minimum(at, len(inputs) - 1)
+            qc, qr = inputs[inner], read[inner]
+            s = np.matmul(query[qr], key[kc].transpose(0, 2, 1))
+            np.exp(np.clip(s, -40, 40, out=s), out=s)
             s *= self.dist
             if not known.all():
                 s *= known[:, None, :]
             s /= np.maximum(s.sum(-1, keepdims=True), np.float32(1e-30))
-            z = np.matmul(s, self.val[kc])
+            z = np.matmul(s, val[kc])
             if used.all():
-                qc, at, z = qc.ravel(), at.ravel(), z.reshape(-1, DIM)
+                qc, qr, at, z = qc.ravel(), qr.ravel(), at.ravel(), z.reshape(-1, DIM)
             else:
-                qc, at, z = qc[used], at[used], z[used]
-            h = self.p["emb"][qc] + z
+                qc, qr, at, z = qc[used], qr[used], at[used], z[used]
+            h = emb[qr] + z
             h += np.maximum(h @ self.p["w1"] + self.p["b1"], 0) @ self.p["w2"]
             y = h @ self.out
             y += self.bias

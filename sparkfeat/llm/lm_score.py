@@ -234,25 +234,52 @@ def class_pairs(vocabulary: Vocabulary):
     return keys
 
 
+OWN_ROWS = 256                       # ids whose own vectors travel together
+WEIGHTS = "chunk int, times binary, value binary"
+
+
+def _added(pdf):
+    """The sums of one chunk over all trainers."""
+    import pandas as pd
+    times = np.sum([np.frombuffer(x, np.float32) for x in pdf["times"]], 0, np.float64)
+    value = np.sum([np.frombuffer(x, np.float32) for x in pdf["value"]], 0, np.float64)
+    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "times": [times.astype("<f8").tobytes()], "value": [value.astype("<f8").tobytes()]})
+
+
 def trained(learn: DataFrame, kind, vocabulary: Vocabulary, parameters: dict, share: int, rounds: int) -> dict:
     """Averaged weights after ``rounds`` rounds of local training, each on another 1/(share x
-    rounds) of the texts, by as many trainers as an eighth of the shuffle partitions."""
+    rounds) of the texts, by as many trainers as a third of the shuffle partitions. An id's own
+    vector is moved by the mean of its trainers' moves, by how often each has read it."""
     of = vocabulary.of.astype(np.int16)
     for r in range(rounds):
         def run(batches: Iterator[pa.RecordBatch], p=parameters) -> Iterator[pa.RecordBatch]:
-            stream = [of[ids_of(b, kind)[0]] for b in batches if b.num_rows]
+            stream = [ids_of(b, kind)[0].astype(kind) for b in batches if b.num_rows]
             if sum(map(len, stream)) > REACH:
-                got = flat(train(p, np.concatenate(stream))).astype(np.float64)
-                yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(len(got))), "value": pa.array(got)})
+                stream = np.concatenate(stream)
+                got = train(p, stream, of)
+                weights = flat(got).astype(np.float32)
+                out = [(-1, np.ones(1, np.float32), weights)]
+                times = np.bincount(stream, minlength=len(of)).astype(np.float32)
+                moves = (got["own"] - p["own"]) * times[:, None]
+                out += [(i, times[i:i + OWN_ROWS], moves[i:i + OWN_ROWS]) for i in range(0, len(of), OWN_ROWS) if times[i:i + OWN_ROWS].any()]
+                chunk, n, value = zip(*out)
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunk, pa.int32()), "times": pa.array([x.tobytes() for x in n], pa.binary()),
+                                                  "value": pa.array([x.tobytes() for x in value], pa.binary())})
         mine = learn.where(F.pmod(F.xxhash64("tid", F.lit("share")), F.lit(share * rounds)) == r).select("ids")
-        got = mine.coalesce(max(1, partitions(learn.sparkSession) // 8)).mapInArrow(run, "place long, value double").groupBy(
-            "place").agg(F.avg("value").alias("value")).sort("place").toArrow()          # one row per weight
-        if got.num_rows:
-            parameters = unflat(parameters, got.column("value").to_numpy())
+        got = mine.coalesce(max(1, partitions(learn.sparkSession) // 3)).mapInArrow(run, WEIGHTS).groupBy("chunk").applyInPandas(
+            _added, WEIGHTS).toArrow().to_pylist()                              # one row per chunk of ids
+        own = parameters["own"].copy()
+        for row in got:
+            i, times, value = row["chunk"], np.frombuffer(row["times"], "<f8"), np.frombuffer(row["value"], "<f8")
+            if i < 0:
+                parameters = unflat(parameters, value / times[0])
+            else:
+                own[i:i + len(times)] += (value.reshape(len(times), -1) / np.maximum(times, 1)[:, None]).astype(np.float32)
+        parameters = parameters | {"own": own}
     return parameters
 
 
-def score_texts(docs: DataFrame, path: str, learn: Column, share: int = 1, rounds: int = 8, id_col: str = "doc_id",
+def score_texts(docs: DataFrame, path: str, learn: Column, share: int = 1, rounds: int = 4, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out (not learned from), n_tokens, n_known,
     train_tokens, base_score, score."""
@@ -271,7 +298,7 @@ def score_texts(docs: DataFrame, path: str, learn: Column, share: int = 1, round
     counts[ids] = times
     vocabulary = Vocabulary(counts, end_id)
     vocabulary.set_pairs(*counted(teach, kind, class_pairs(vocabulary)))         # at most classes x ids rows
-    scorer = Scorer(trained(teach, kind, vocabulary, start_parameters(vocabulary.after), share, rounds), vocabulary)
+    scorer = Scorer(trained(teach, kind, vocabulary, start_parameters(vocabulary.after, n_ids=m.size), share, rounds), vocabulary)
 
     def score(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column("doc_id"), "learn": batch.column("learn"), "tid": batch.column("tid"),

@@ -144,3 +144,38 @@ def test_weights_are_trained_on_all_documents_to_learn_from(many, path, monkeypa
     end = 0
     ids, _ = lm_score.subwords(path, [r.text or "" for r in few.collect()], end)
     assert kept[0]["bias"].tolist() == [len(ids)] * attention.CLASSES
+
+
+def test_rare_ids_of_one_class_are_told_apart():
+    """Two rare ids of one class, each followed by a word of its own."""
+    rng = np.random.default_rng(6)
+    counts = np.append(np.arange(1000, 700, -1), [3, 3]).astype(np.int64)
+    v = attention.Vocabulary(counts, 0)
+    assert v.of[300] == v.of[301] >= attention.HEAD
+    first = rng.integers(0, 2, 20_000)
+    stream = np.stack([300 + first, 50 + first, rng.integers(1, 40, 20_000)], 1).ravel()
+    v.set_pairs(*np.unique(v.of[np.append(0, stream[:-1])] * np.int64(302) + stream, return_counts=True))
+    p = attention.train(attention.start_parameters(v.after, n_ids=302), stream, v.of, rate=2e-2)
+    right = attention.Scorer(p, v).score(np.array([300, 50, 301, 51]), np.array([2, 2]))
+    wrong = attention.Scorer(p, v).score(np.array([300, 51, 301, 50]), np.array([2, 2]))
+    assert (right > wrong + 0.5).all()
+
+
+def test_scorer_equals_training_with_own_vectors_and_their_gradients():
+    ids, v, p = small_model(3)
+    rng = np.random.default_rng(5)
+    p["own"] = (rng.standard_normal((400, attention.DIM)) * 0.3).astype(np.float32)
+    read = np.append(v.end_id, ids)[:16]
+    loss, _ = attention.gradients(p, v.of[read][None], v.of[ids[:16]][None], read[None])
+    want = -loss * 16 / np.log(10) + v.member(v.of[read], ids[:16]).sum()
+    assert abs(attention.Scorer(p, v).score(ids[:16], np.array([16]))[0] - want) < 1e-3
+    p64 = {k: x.astype(np.float64) for k, x in p.items()}
+    a, b = rng.integers(0, 400, (3, 32)), rng.integers(0, 256, (3, 32))
+    rows, g = attention.gradients(p64, v.of[a], b, a)[1]["own"]
+    r, i = np.unravel_index(np.abs(g).argmax(), g.shape)
+    shifted = []
+    for e in (1e-5, -1e-5):
+        q = dict(p64) | {"own": p64["own"].copy()}
+        q["own"][rows[r], i] += e
+        shifted.append(attention.gradients(q, v.of[a], b, a)[0])
+    assert abs((shifted[0] - shifted[1]) / 2e-5 - g[r, i]) < 1e-5

@@ -11,7 +11,7 @@ from ``max_depth`` until the expected share of pairs at the threshold that meet
 reaches ``recall``. Members of a prefix are tied to its least member only (no pairs are made),
 and connected components of these ties are the candidate groups. (3) Candidate groups are cut
 into blocks by a hash, so that no task gets more than two blocks of about ``block`` sets; for
-each pair of blocks a task compares all pairs that met in some tree, exactly, with matrix
+each pair of blocks a task compares all pairs, exactly, with matrix
 products over the shingles, and returns per set the weight of its links and one root, never
 the pairs. (4) Roots are joined to connected components.
 
@@ -85,22 +85,16 @@ def labels(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
     return out
 
 
-def _verify(pdf, threshold: float, trees: int):
-    """One pair of blocks: exact similarities of the pairs that met in some tree."""
+def _verify(pdf, threshold: float):
+    """One pair of blocks: exact similarities of all pairs, whether they met in a tree or not."""
     import pandas as pd
     pdf = pdf.drop_duplicates("sid")
     n = len(pdf)
-    label = np.frombuffer(b"".join(pdf["labels"]), np.uint64).reshape(n, trees)
     sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
     size, weight = np.array([len(s) for s in sets]), pdf["weight"].to_numpy()
     one, two = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
     side = pdf["block"].to_numpy()
     left, right = np.flatnonzero(side == one), np.flatnonzero(side == two)
-    met = np.zeros((len(left), len(right)), bool)
-    for t in range(trees):
-        met |= label[left, t][:, None] == label[right, t][None, :]
-    if one == two:
-        met = np.triu(met, 1)
     shingles, where, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(n), size)
     shared = df[where] > 1
@@ -114,7 +108,9 @@ def _verify(pdf, threshold: float, trees: int):
         dense[owner[i:j], column[i:j] - c] = 1
         common += dense[left] @ dense[right].T
     both = size[left][:, None] + size[right][None, :] - common
-    linked = met & (common >= threshold * both - 1e-9)
+    linked = common >= threshold * both - 1e-9
+    if one == two:
+        linked = np.triu(linked, 1)
     links = np.zeros(n, np.int64)
     np.add.at(links, left, (linked * weight[right][None, :]).sum(1))
     np.add.at(links, right, (linked * weight[left][:, None]).sum(0))
@@ -180,7 +176,7 @@ def near_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, trees:
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "sid", "labels", "weight", "shingles")
     found = stored(units.groupBy("root", "low", "high").applyInPandas(
-        lambda pdf: _verify(pdf, threshold, trees), VERIFIED), "near-verified")
+        lambda pdf: _verify(pdf, threshold), VERIFIED), "near-verified")
 
     linked = found.groupBy("sid").agg(F.sum("links").alias("links"))
     top = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")), "near-classes-joined")

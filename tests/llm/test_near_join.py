@@ -62,3 +62,15 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(5, 5), (200, 201), (201, 200)]
     rows = graph.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()
     assert {(r.node, r.root) for r in rows} == {(i, 1) for i in range(2, 41)} | {(i, 100) for i in range(101, 130)} | {(201, 200)}
+
+
+def test_pairs_of_a_group_that_met_in_no_tree_are_linked(monkeypatch, spark):
+    from pyspark.sql import functions as F
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:56]), " ".join(words[:55]), " ".join(words[1:56])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    star = lambda sets, trees, depth: near_join.np.array(
+        [[1, 2] if len(s) == 52 else [1, i + 10] if i == 1 else [i + 20, 2] for i, s in enumerate(sets)], near_join.np.uint64)
+    monkeypatch.setattr(near_join, "labels", star)
+    got = near_join.near_join(df.coalesce(1).sort(F.col("doc_id")), trees=2).collect()
+    assert {r.n_links for r in got} == {2} and {r.class_id for r in got} == {0}

@@ -1,8 +1,11 @@
-"""The queries of the ten operators, over whole tables with production parameters."""
+"""The queries of the thirteen operators, over whole tables with production parameters."""
 
 from __future__ import annotations
 
-from sparkfeat.llm import decontaminate, fingerprint, language_id, lm_score, near_join, packing, pii, suffix_dedup, token_count, toxicity
+from pyspark.sql import functions as F
+
+from sparkfeat.llm import (chat, decontaminate, fingerprint, hard_negatives, language_id, lm_score, near_join, packing, pii,
+                           suffix_dedup, token_count, toxicity, whitening)
 from sparkfeat.llm.common import documents, tokenizer_path
 from sparkfeat.llm.registry import register
 from sparkfeat.sources.tables import read_table
@@ -66,3 +69,27 @@ def op9(spark, sf_dir):
 @register("op2_column_bwt_dedup")
 def op2(spark, sf_dir):
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
+@register("op11_multiplicity_whitening")
+def op11(spark, sf_dir):
+    out = whitening.whiten_embeddings(read_table(spark, sf_dir, "embeddings"))
+    # a deviation beyond a long is null: it does not fit the column that is asked for
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@register("op12_strassen_negatives", hard_negatives.MINE_SQL)
+def op12(spark, sf_dir):
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=relabelled)
+
+
+#: A conversation that consists of the template's own marks.
+MARKS = "</s>[INST] ok [/INST]"
+
+
+@register("op13_role_machine", chat.DIGEST_SQL)
+def op13(spark, sf_dir):
+    talks = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", MARKS), (-7, 1, "assistant", MARKS)], talks.schema)
+    return chat.read_back(chat.format_turns(talks.unionByName(planted)))

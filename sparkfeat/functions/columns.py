@@ -32,6 +32,27 @@ def safe_ratio(num: Column, den: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(default))
 
 
+def exact_sum(c: Column) -> Column:
+    """Sum as a double that does not depend on the order of the rows: added in decimals of nine
+    places. NaN counts as missing; a number beyond 10^19 is an error."""
+    return F.sum(_decimal(c)).cast("double")
+
+
+def exact_mean(c: Column) -> Column:
+    """Mean of the non-null values, divided once, from an exact sum; NULL without values."""
+    return decimal_ratio(F.sum(_decimal(c)), F.count(_decimal(c)))
+
+
+def _decimal(c: Column) -> Column:
+    x = c.cast("double")
+    return F.when(~F.isnan(x), x).cast("decimal(28,9)")
+
+
+def decimal_ratio(total: Column, n: Column) -> Column:
+    """total / n as doubles, NULL for n = 0."""
+    return F.try_divide(total.cast("double"), n.cast("double"))
+
+
 def round6(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.columns import as_col, safe_ratio, null_safe_join
+from sparkfeat.functions.columns import as_col, exact_sum, safe_ratio, null_safe_join
 from sparkfeat.operators.ranking import keyed_quantiles
 
 INF = float("inf")
@@ -77,14 +77,14 @@ def _spec_aggregates(spec: MetricSpec, ts: str) -> list[tuple[str, Column]]:
     """(stat, aggregate) of one metric."""
     v = None if spec.value is None else as_col(spec.value).cast("double")
     if spec.kind == "counter":
-        return [("value", F.count(F.lit(1)) if v is None else F.sum(v))]
+        return [("value", F.count(F.lit(1)) if v is None else exact_sum(v))]
     if spec.kind == "gauge":                       # of values at the last instant the largest
         return [("value", F.max_by(v, F.struct(F.col(ts), v)))]
     if spec.kind == "summary":
-        return [("count", F.count(v)), ("sum", F.sum(v))]
+        return [("count", F.count(v)), ("sum", exact_sum(v))]
     if spec.kind == "histogram":
         bounds = [b for b in spec.buckets or REQUEST_LATENCY_BUCKETS if b != INF]
-        return [*[(f"le={le_text(b)}", F.count_if(v <= F.lit(float(b)))) for b in bounds], (f"le={le_text(INF)}", F.count(v)), ("sum", F.sum(v))]
+        return [*[(f"le={le_text(b)}", F.count_if(v <= F.lit(float(b)))) for b in bounds], (f"le={le_text(INF)}", F.count(v)), ("sum", exact_sum(v))]
     raise ValueError(f"metric kind {spec.kind}: counter, gauge, summary or histogram")
 
 
@@ -129,7 +129,7 @@ def event_rate(df, ts, labels, duration="5 minutes", slide="1 minute") -> DataFr
 def mean_latency(df, ts, labels, latency, duration="5 minutes", slide="1 minute") -> DataFrame:
     """K2: rate(sum)/rate(count) = windowed mean."""
     v = as_col(latency)
-    return windowed(df, ts, duration, slide, labels, F.sum(v).alias("latency_sum"),
+    return windowed(df, ts, duration, slide, labels, exact_sum(v).alias("latency_sum"),
                     F.count(v).alias("latency_count")) \
         .withColumn("mean_latency", safe_ratio(F.col("latency_sum"), F.col("latency_count")))
 
@@ -302,5 +302,5 @@ def label_rollup(df: DataFrame, labels: list[str], value, ts: str = "ts") -> Dat
     """Counter, summary and last-value gauge of one value per label set, one aggregate."""
     v = as_col(value)
     return df.groupBy(*labels).agg(
-        F.count(F.lit(1)).alias("requests_total"), F.sum(v).alias("value_sum"),
+        F.count(F.lit(1)).alias("requests_total"), exact_sum(v).alias("value_sum"),
         F.count(v).alias("value_count"), F.max_by(v, F.col(ts)).alias("last_value"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.columns import round6, ts_string
+from sparkfeat.functions.columns import exact_mean, round6, ts_string
+from sparkfeat.operators import alerting as AL
 from sparkfeat.operators import metrics as MT
 from sparkfeat.plans.registry import Tables, register
 
@@ -140,12 +141,17 @@ def latency_p95_slo(spark, sf_dir):
                       round6(F.col("failure_rate")).alias("failure_rate"), "slo_ok")
 
 
+# a mean from an exact sum, whatever the order of the rows; and its sixth decimal where the seventh is a tie
+_MEAN_SQL = "CAST(sum(CAST(latency AS DECIMAL(28, 9))) AS DOUBLE) / count(latency)"
+_ROUND_SQL = "CASE WHEN abs({v}) < 1e6 THEN CAST(round(CAST({v} AS DECIMAL(18, 9)), 6) AS DOUBLE) ELSE round({v}, 6) END"
+
+
 # (rule, label column or None, value aggregate in Spark, the same in SQL, threshold, steps, severity)
 _ALERT_RULES = [
-    ("HighLatency", "endpoint", lambda: F.avg("latency"), "avg(latency)", MT.HIGH_LATENCY_S, 5, "warning"),
+    ("HighLatency", "endpoint", lambda: exact_mean(F.col("latency")), _MEAN_SQL, MT.HIGH_LATENCY_S, 5, "warning"),
     ("HighErrorRate", None, lambda: F.avg(F.when(F.col("status").startswith("5"), 1.0).otherwise(0.0)),
      "avg(CASE WHEN status LIKE '5%' THEN 1.0 ELSE 0.0 END)::DOUBLE", MT.HIGH_ERROR_RATE, 5, "critical"),
-    ("HighModelLatency", "model_version", lambda: F.avg("latency"), "avg(latency)",
+    ("HighModelLatency", "model_version", lambda: exact_mean(F.col("latency")), _MEAN_SQL,
      MT.HIGH_MODEL_LATENCY_S, 5, "warning"),
     # memory gauge stand-in: last value of the step × 10 MB, per instance
     ("HighMemoryUsage", "instance", lambda: F.max_by(F.col("value") * 1e7, "ts"), "arg_max(value * 1e7, ts)",
@@ -184,7 +190,7 @@ def _alert_sql():
 grid AS (SELECT unnest(range(min(bucket), max(bucket) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS bucket FROM b),
 s AS (SELECT *, sum(c) OVER (PARTITION BY rule, labels ORDER BY bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS held
   FROM ({body}))
-SELECT rule, labels, {_TS.format(c='bucket')} AS bucket, severity, round(value, 6) AS value,
+SELECT rule, labels, {_TS.format(c='bucket')} AS bucket, severity, {_ROUND_SQL.format(v='value')} AS value,
   CASE WHEN c = 0 THEN 'inactive' WHEN held >= steps THEN 'firing' ELSE 'pending' END AS state FROM s"""
 
 
@@ -198,6 +204,65 @@ def alerts(spark, sf_dir):
                       round6(F.col("value")).alias("value"), "state")
 
 
+def rate_rules() -> list[AL.RateRule]:
+    """The same five rules on rates and gauges of the last five minutes."""
+    is_error = F.when(F.col("status").startswith("5"), 1.0).otherwise(0.0)
+    return [
+        AL.mean_rule("HighLatency", F.col("latency"), MT.HIGH_LATENCY_S, 5, "warning", ["endpoint"]),
+        AL.mean_rule("HighErrorRate", is_error, MT.HIGH_ERROR_RATE, 5, "critical"),
+        AL.mean_rule("HighModelLatency", F.col("latency"), MT.HIGH_MODEL_LATENCY_S, 5, "warning", ["model_version"]),
+        AL.last_rule("HighMemoryUsage", F.col("value") * 1e7, MT.HIGH_MEMORY_BYTES, 5, "warning", ["instance"]),
+        AL.last_rule("FeatureStoreUnhealthy", (F.col("event_type") == "error").cast("double"), 0.5, 5, "critical", ["instance"]),
+    ]
+
+
+def _rate_states_sql() -> str:
+    """States of ``rate_rules`` on the dense minute grid: window sums of per-minute partials."""
+    mean = "CAST(sum(CAST({c} AS DECIMAL(28, 9))) AS DECIMAL(38, 9)) AS s, count({c}) AS n, NULL::DOUBLE AS v"
+    last = "0::DECIMAL(38, 9) AS s, 0 AS n, arg_max({c}, struct_pack(t := ts, v := {c}))::DOUBLE AS v"
+    error = "CASE WHEN {0} THEN 1.0 ELSE 0.0 END"
+    rules = [("HighLatency", "endpoint", mean.format(c="latency"), MT.HIGH_LATENCY_S, "warning"),
+             ("HighErrorRate", None, mean.format(c=error.format("status LIKE '5%'")), MT.HIGH_ERROR_RATE, "critical"),
+             ("HighModelLatency", "model_version", mean.format(c="latency"), MT.HIGH_MODEL_LATENCY_S, "warning"),
+             ("HighMemoryUsage", "instance", last.format(c="(value * 1e7)"), MT.HIGH_MEMORY_BYTES, "warning"),
+             ("FeatureStoreUnhealthy", "instance", last.format(c=f"({error.format(chr(39).join(['event_type = ', 'error', '']))})"), 0.5, "critical")]
+    parts = []
+    for name, label, partials, threshold, severity in rules:
+        text = f"'{label}=' || {label}" if label else "''"
+        parts.append(f"""SELECT '{name}' AS rule, k.labels, g.bucket, '{severity}' AS severity, {threshold} AS threshold, p.s, p.n, p.v
+  FROM (SELECT DISTINCT {text} AS labels FROM b) k CROSS JOIN grid g
+  LEFT JOIN (SELECT bucket, {text} AS labels, {partials} FROM b GROUP BY ALL) p ON p.labels = k.labels AND p.bucket = g.bucket""")
+    body = "\n  UNION ALL\n".join(parts)
+    return f"""WITH b AS (SELECT *, date_trunc('minute', ts) AS bucket, 'pod-' || CAST(user_id % 3 AS VARCHAR) AS instance FROM {_LOG_SQL}),
+grid AS (SELECT unnest(range(min(bucket), max(bucket) + INTERVAL 1 MINUTE, INTERVAL 1 MINUTE)) AS bucket FROM b),
+w AS (SELECT *, coalesce(CASE WHEN sum(n) OVER look > 0 THEN CAST(sum(s) OVER look AS DOUBLE) / sum(n) OVER look END,
+    last_value(v IGNORE NULLS) OVER look) AS value FROM ({body})
+  WINDOW look AS (PARTITION BY rule, labels ORDER BY bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+c AS (SELECT *, CASE WHEN coalesce(value > threshold, false) THEN 1 ELSE 0 END AS c FROM w),
+s AS (SELECT *, sum(c) OVER (PARTITION BY rule, labels ORDER BY bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS held FROM c),
+states AS (SELECT rule, labels, bucket, severity, value,
+  CASE WHEN c = 0 THEN 'inactive' WHEN held >= 5 THEN 'firing' ELSE 'pending' END AS state FROM s)
+"""
+
+
+@register("alerts_5m", _rate_states_sql() + f"""SELECT rule, labels, {_TS.format(c='bucket')} AS bucket, severity,
+  {_ROUND_SQL.format(v='value')} AS value, state FROM states""", "K6")
+def alerts_5m(spark, sf_dir):
+    out = AL.lookback_states(alert_log(Tables(spark, sf_dir).events), "ts", rate_rules())
+    return out.withColumns({"bucket": ts_string(F.col("bucket")), "value": round6(F.col("value"))})
+
+
+ALERT_CHANGES_SQL = _rate_states_sql() + f"""SELECT rule, labels, {_TS.format(c='bucket')} AS bucket, severity, previous, state FROM (
+  SELECT *, coalesce(lag(state) OVER (PARTITION BY rule, labels ORDER BY bucket), 'inactive') AS previous FROM states)
+WHERE state <> previous"""
+
+
+@register("alert_changes", ALERT_CHANGES_SQL, "K6")
+def alert_changes(spark, sf_dir):
+    out = AL.alert_changes(alert_log(Tables(spark, sf_dir).events), "ts", rate_rules())
+    return out.withColumn("bucket", ts_string(F.col("bucket")))
+
+
 @register("health_rollup", f"""WITH h AS (SELECT 'pod-' || CAST(user_id % 3 AS VARCHAR) AS instance, date_trunc('hour', ts) AS bucket,
     arg_max(value, ts) * 10 AS memory_mb, avg(value) / 2 AS cpu_percent, count(*) / 60.0 AS rate,
     count(*) FILTER (WHERE event_type <> 'error') > 0 AS model_loaded

@@ -129,10 +129,10 @@ def _verify(pdf, threshold: float):
     return pd.DataFrame({"sid": sid[keep], "links": links[keep], "root": sid[root[keep]]})
 
 
-def near_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, trees: int = 24, max_depth: int = 8,
-              recall: float = 0.9999, block: int = 192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (least id that its links reach), n_links (other
-    documents linked to it, copies included), set_size (its distinct shingles)."""
+def near_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, trees: int = 24, max_depth: int = 8,
+                 recall: float = 0.9999, block: int = 192, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(documents: doc_id, tid (a digest of the text), sid (of its set, null without a word), n_shingles;
+    sets: sid, class_id, n_links, head: the class's first document by id, null ids last, and tid)."""
     small_batches(docs.sparkSession)
     depth = prefix_depth(threshold, trees, max_depth, recall)
     rows = id_text(docs, id_col, text_col).withColumn("tid", F.md5("text"))
@@ -148,7 +148,7 @@ def near_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, trees:
 
     signed = stored(map_batches(rows, sign, SIGNED), "near-signed")
     classes = stored(signed.where("sid is not null").groupBy("sid").agg(
-        F.min(F.struct("doc_id", "tid")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("weight"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tid")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("weight"),
         F.min("labels").alias("labels")), "near-classes")
 
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
@@ -181,10 +181,16 @@ def near_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, trees:
     linked = found.groupBy("sid").agg(F.sum("links").alias("links"))
     top = components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")), "near-classes-joined")
     own = classes.join(linked, "sid", "left").join(top.withColumnRenamed("node", "sid"), "sid", "left").select(
-        "sid", "least", F.coalesce("root", "sid").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    least = own.groupBy("top").agg(F.min("least").alias("class_id"))
-    named = own.join(least, "top").select("sid", "class_id", "n_links")
-    return signed.join(named, "sid", "left").select(
+        "sid", "least", "rep", F.coalesce("root", "sid").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    least = own.groupBy("top").agg(F.min("least").alias("class_id"), F.min("rep").alias("head"))
+    return signed, own.join(least, "top").select("sid", "class_id", "n_links", "head")
+
+
+def near_join(docs: DataFrame, **parameters) -> DataFrame:
+    """One row per document: doc_id, class_id (least id that its links reach), n_links (other
+    documents linked to it, copies included), set_size (its distinct shingles). Parameters: ``near_classes``."""
+    signed, sets = near_classes(docs, **parameters)
+    return signed.join(sets, "sid", "left").select(
         "doc_id", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n_shingles").cast("long").alias("set_size"))
 
@@ -208,13 +214,19 @@ FROM sets s LEFT JOIN classes c ON c.sid = s.sid AND s.n > 0 LEFT JOIN top t ON
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The documents whose id names their class, with all their columns: one of each group of
-    near duplicates. Rows that repeat one id and text count as one."""
-    near = near_join(docs, id_col=id_col, text_col=text_col, **parameters)
-    chosen, rows = fresh_name(docs, "chosen"), fresh_name(docs, "rows")
-    heads = near.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias(chosen)).agg(
-        F.count("*").alias(rows)).hint("merge")
-    joined = docs.join(heads, docs[id_col].cast("long").eqNullSafe(heads[chosen]))
-    once = joined.where(F.col(rows) == 1).drop(chosen, rows)
-    more = joined.where(F.col(rows) > 1).drop(chosen, rows).dropDuplicates([id_col, text_col])
+    """One document of each class, with all its columns: the one of least id (null ids last), of equal
+    ids the one whose text has the least digest. A text without a word is a class of its own. Rows that
+    repeat one id and text count as one."""
+    signed, sets = near_classes(docs, id_col=id_col, text_col=text_col, **parameters)
+    heads = sets.select("head.doc_id", "head.tid").union(signed.where("sid is null").select("doc_id", "tid"))
+    named = {c: fresh_name(docs, c) for c in ("chosen", "digest", "rows")}
+    times = signed.groupBy("doc_id", "tid").agg(F.count("*").alias("rows"))
+    heads = times.join(heads.distinct().withColumnsRenamed({"doc_id": "h", "tid": "t"}),
+                       F.col("doc_id").eqNullSafe(F.col("h")) & (F.col("tid") == F.col("t")), "left_semi").select(
+        F.col("doc_id").alias(named["chosen"]), F.col("tid").alias(named["digest"]), F.col("rows").alias(named["rows"])).hint("merge")
+    own = F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    joined = docs.join(heads, docs[id_col].cast("long").eqNullSafe(heads[named["chosen"]]) & (own == heads[named["digest"]]))
+    once = joined.where(F.col(named["rows"]) == 1).drop(*named.values())
+    # only rows that repeat are shuffled again
+    more = joined.where(F.col(named["rows"]) > 1).drop(*named.values()).dropDuplicates([id_col, text_col])
     return once.unionByName(more)

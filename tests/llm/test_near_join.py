@@ -74,3 +74,15 @@ def test_pairs_of_a_group_that_met_in_no_tree_are_linked(monkeypatch, spark):
     monkeypatch.setattr(near_join, "labels", star)
     got = near_join.near_join(df.coalesce(1).sort(F.col("doc_id")), trees=2).collect()
     assert {r.n_links for r in got} == {2} and {r.class_id for r in got} == {0}
+
+
+def test_one_id_on_two_texts_and_several_without(spark):
+    """A class keeps one document whatever ids its texts have elsewhere."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, c), (None, c + " more"), (None, ""), (3, None), (3, "")]
+    kept = near_join.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = sorted(map(repr, map(tuple, kept.collect())))
+    assert len([r for r in got if "a1 " in r]) == 1 and repr((1, a)) in got          # least id
+    assert repr((2, b)) in got
+    assert len([r for r in got if "c1 " in r]) == 1                                   # one of two without an id
+    assert repr((None, "")) in got

@@ -107,10 +107,14 @@ class Heaps:
         self.merge(score, place)
 
 
+#: Fewer candidates are not worth a slice: each slice sends its own heaps of every anchor.
+LEAST_SLICE = 512
+
+
 def _dealt(rows: DataFrame, anchors: DataFrame, group_rows: int, slice_rows: int) -> tuple[DataFrame, DataFrame]:
     """Candidates with ``slice`` in every group, anchors with ``group`` in every slice."""
     n, a = rows.count(), anchors.count()
-    slices = max(math.ceil(n / slice_rows), partitions(rows.sparkSession))
+    slices = max(math.ceil(n / slice_rows), min(partitions(rows.sparkSession), math.ceil(n / LEAST_SLICE)), 1)
     groups = max(math.ceil(a / group_rows), 1)
     rows = (rows.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int"))
             .withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))

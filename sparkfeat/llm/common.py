@@ -64,8 +64,16 @@ def small_batches(spark: SparkSession, records: int = 2000, mb: int = 16) -> Non
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 
 
+#: What a task calls at its end to drop tables that grew with the texts it saw.
+AT_END: list[Callable[[], None]] = []
+
+
 def release_memory() -> None:
-    """Gives freed memory back to the system: an idle worker waits for its next task beside others."""
+    """Drops grown tables and gives freed memory back to the system: an idle worker waits for its next
+    task, of this stage or a later one, beside others."""
+    for drop in AT_END:
+        drop()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):                # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

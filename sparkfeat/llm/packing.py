@@ -26,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.llm import bpe
-from sparkfeat.llm.common import id_text, map_batches, mix64, partitions, range_parts, release_memory, small_batches, stored, texts_of
+from sparkfeat.llm.common import id_text, mix64, partitions, range_parts, release_memory, small_batches, stored, texts_of
+from sparkfeat.llm.words import blocks
 
 HASHED, DIMS, BITS, SALT_BITS = 8, 3, 15, 17
+#: Ids that are summed, and characters that are encoded, at a time.
+BLOCK, CHARS = 1 << 18, 1 << 20
 TOKENIZED = "doc_id long, place long, n long, ids binary"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
@@ -65,17 +68,21 @@ def document_points(ids: np.ndarray, counts: np.ndarray, size: int) -> np.ndarra
     """Signed hashed token sums in HASHED dimensions, scaled to length 1, of which the first
     DIMS become coordinates of BITS bits."""
     sign = mix64(np.arange(size), 7)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    hashed = np.stack([np.bincount(owner, (((sign >> np.uint64(k)) & np.uint64(1)).astype(np.float32) * 2 - 1)[ids], len(counts))
-                       for k in range(HASHED)], 1)
+    hashed, ends = np.zeros((len(counts), HASHED)), np.cumsum(counts)
+    for i in range(0, len(ids), BLOCK):                              # a long text spans several blocks
+        part = ids[i:i + BLOCK]
+        owner = np.searchsorted(ends, np.arange(i, i + len(part)), side="right")
+        first = owner[0]
+        for k in range(HASHED):
+            own = (((sign >> np.uint64(k)) & np.uint64(1)).astype(np.float32) * 2 - 1)[part]
+            hashed[first:owner[-1] + 1, k] += np.bincount(owner - first, own)
     norm = np.sqrt((hashed ** 2).sum(1))
     unit = hashed[:, :DIMS] / np.where(norm > 0, norm, 1)[:, None]
     return np.clip(((unit + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    def work(batch: pa.RecordBatch) -> dict:
-        texts = texts_of(batch)
+    def work(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         ids, counts = bpe.encode(path, texts)
         points = document_points(ids, counts, bpe.machine(path).size)
         salt = mix64(batch.column("row").to_numpy(), 3) >> np.uint64(64 - SALT_BITS)
@@ -89,10 +96,16 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
         whole[inner], whole[ends] = ids, end_id
         cuts = np.concatenate([[0], at]) * whole.itemsize
         raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(whole)])
-        return {"doc_id": batch.column("doc_id"), "place": pa.array(key), "n": pa.array(n), "ids": raw.cast(pa.binary())}
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "place": pa.array(key), "n": pa.array(n), "ids": raw.cast(pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, texts in blocks(texts_of(b), CHARS):          # a batch is larger than its blocks
+                yield work(b.slice(first, len(texts)), texts)
+        release_memory()
 
     own = id_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    return map_batches(own, work, TOKENIZED)
+    return own.mapInArrow(run, TOKENIZED)
 
 
 def pack(docs: DataFrame, path: str, seq_len: int = 1024, end_id: int = 0, id_col: str = "doc_id",

@@ -7,7 +7,7 @@ import functools
 import numpy as np
 
 from sparkfeat.llm.bpe import LETTERS, NUM, char_classes
-from sparkfeat.llm.common import mix64
+from sparkfeat.llm.common import AT_END, mix64
 
 BASE = 0x9E3779B97F4A7C15
 
@@ -25,6 +25,11 @@ def word_table() -> np.ndarray:
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+@AT_END.append
+def drop_powers() -> None:
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse, more than n; the longest ones made are kept."""
     if len(_POWERS[0]) <= n:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.columns import round6, ts_string
+from sparkfeat.operators import feature_table as FT
 from sparkfeat.operators import store as S
 from sparkfeat.plans.registry import Tables, register
 from sparkfeat.session import scratch_path
@@ -50,15 +51,11 @@ SELECT entity_id, feature_name, feature_version, value, strftime(ts, '%Y-%m-%d %
 def feature_upsert(spark, sf_dir):
     rows = _long(Tables(spark, sf_dir))
     split = F.lit(SPLIT_TS).cast("timestamp_ntz")
-    # the stored table: first half, written partitioned by feature_name
-    stored = scratch_path(spark, "offline-v1")
-    S.write_offline(rows.where(F.col("ts") < split), stored)
-    updates = rows.where(F.col("ts") >= split)
-    merged = S.upsert(spark.read.parquet(stored), updates, tiebreak="event_id")
-    # the merge is written to a new path (never over the one it reads), touched partitions only
-    new_path = scratch_path(spark, "offline-v2")
-    S.write_offline(merged, new_path, source_paths=(stored,))
-    return _out(spark.read.parquet(new_path))
+    root = scratch_path(spark, "offline")
+    FT.upsert_features(spark, root, rows.where(F.col("ts") < split), 1, tiebreak="event_id")
+    # the second half: the partitions of its features are merged and replaced, others stay
+    FT.upsert_features(spark, root, rows.where(F.col("ts") >= split), 2, tiebreak="event_id")
+    return _out(FT.read_features(spark, root))
 
 
 @register("feature_latest", f"""SELECT entity_id, feature_name, feature_version, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM (

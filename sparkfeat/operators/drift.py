@@ -7,19 +7,28 @@ offsets, no single-task window) → D = max |F_cur − F_ref| per feature.
 
 p-value (asymptotic Kolmogorov distribution): λ = D·√(n·m/(n+m)),
 p = 2·Σ_{k=1..100} (−1)^{k−1}·exp(−2k²λ²), clamped to [0, 1], and 1 when λ < 0.2.
-Small samples get the asymptotic value too (an exact small-sample method would differ).
+
+Samples of up to ``EXACT_ROWS`` values on either side get the exact p-value: the share of the
+lattice paths from (0, 0) to (n, m) that reach a point with |i/n − j/m| ≥ D, by one recursion over
+the anti-diagonals of the n × m grid. The statistic is compared in whole numbers, so no rounding
+decides a tie.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkfeat.operators.ranking import running_totals_and_sums
+from sparkfeat.session import ship_package
 
 DEFAULT_THRESHOLD = 0.05
 SERIES_TERMS = 100
+EXACT_ROWS = 10_000        # the larger sample's size up to which p-values are exact
+P_VALUE_METHODS = ("auto", "exact", "asymptotic")
 STATISTIC_ALERT = 0.3      # fixed value: alert level on the drift statistic
 
 
@@ -33,6 +42,32 @@ def ks_p_value(d: Column, n: Column, m: Column, terms: int = SERIES_TERMS) -> Co
     return F.when(lam < F.lit(0.2), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
 
 
+def exact_p_value(gap: int, n: int, m: int) -> float:
+    """P(max |i·m − j·n| ≥ gap) over all orders of n and m values. q(i, j) is the chance that a random path to
+    (i, j) has left the band: 1 outside of it, else i/(i+j)·q(i−1, j) + j/(i+j)·q(i, j−1). Only sums of
+    positive numbers, so small p-values keep their digits; n + m steps on vectors of the shorter side."""
+    if gap <= 0:
+        return 1.0
+    if n > m:
+        n, m = m, n
+    i = np.arange(n + 1)
+    q = np.zeros(n + 1)                                    # entry i of diagonal s stands for (i, s − i)
+    for s in range(1, n + m + 1):
+        lo, hi = max(0, s - m), min(n, s)
+        at = i[lo:hi + 1]
+        new = (s - at) / s * q[lo:hi + 1]
+        new[1 if lo == 0 else 0:] += (at[at > 0] / s) * q[(max(lo, 1) - 1):hi]
+        new[np.abs(at * m - (s - at) * n) >= gap] = 1.0
+        q[lo:hi + 1] = new
+    return float(min(1.0, q[n]))
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_p(gap: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """One call per compared pair of samples, not per row of them; no gap, no value."""
+    return pd.Series([None if pd.isna(g) else exact_p_value(int(g), int(a), int(b)) for g, a, b in zip(gap, n, m, strict=True)], dtype="float64")
+
+
 def shared_numeric_columns(current: DataFrame, reference: DataFrame) -> list[str]:
     ref = {f.name for f in reference.schema.fields if isinstance(f.dataType, T.NumericType)}
     return [f.name for f in current.schema.fields
@@ -53,13 +88,17 @@ def value_counts_by_side(current: DataFrame, reference: DataFrame, cols: list[st
 
 def ks_drift(current: DataFrame, reference: DataFrame, cols: list[str] | None = None,
              threshold: float = DEFAULT_THRESHOLD, num_partitions: int | None = None,
-             counts: DataFrame | None = None, statistic_alert: float = STATISTIC_ALERT) -> DataFrame:
+             counts: DataFrame | None = None, statistic_alert: float = STATISTIC_ALERT,
+             method: str = "auto", exact_rows: int = EXACT_ROWS) -> DataFrame:
     """feature, ks_statistic, p_value, drifted (p < threshold), statistic_alert
     (D > the alert level on the statistic), n_current, n_reference.
 
     ``counts`` may supply precomputed (feature, value, n_cur, n_ref) rows, e.g. a baseline
-    kept as a sorted (value, count) table by a stream.
+    kept as a sorted (value, count) table by a stream. ``method`` of the p-value: "exact",
+    "asymptotic", or "auto": exact where neither sample has more than ``exact_rows`` values.
     """
+    if method not in P_VALUE_METHODS:
+        raise ValueError(f"method must be one of {P_VALUE_METHODS}")
     cols = cols or shared_numeric_columns(current, reference)
     vc = counts if counts is not None else value_counts_by_side(current, reference, cols)
     cum, sums = running_totals_and_sums(vc, ["feature"], ["value"], ["n_cur", "n_ref"], num_partitions)
@@ -68,13 +107,19 @@ def ks_drift(current: DataFrame, reference: DataFrame, cols: list[str] | None =
     gaps = cum.join(F.broadcast(totals), "feature").select(
         "feature", "n", "m",
         F.abs(F.try_divide(F.col("cum_n_cur"), F.col("n")) -
-              F.try_divide(F.col("cum_n_ref"), F.col("m"))).alias("gap"))
-    d = gaps.groupBy("feature").agg(F.max("gap").alias("ks_statistic"),
-                                    F.first("n").alias("n_current"), F.first("m").alias("n_reference"))
+              F.try_divide(F.col("cum_n_ref"), F.col("m"))).alias("gap"), "cum_n_cur", "cum_n_ref")
+    small = F.lit(method == "exact") | (F.lit(method == "auto") & (F.greatest("n", "m") <= F.lit(exact_rows)))
+    # i·m − j·n as a whole number, where it is asked for (long there: both samples are small, or the caller says so)
+    whole = F.when(small & (F.col("n") > 0) & (F.col("m") > 0), F.abs(F.col("cum_n_cur") * F.col("m") - F.col("cum_n_ref") * F.col("n")))
+    d = gaps.withColumn("whole", whole).groupBy("feature").agg(
+        F.max("gap").alias("ks_statistic"), F.first("n").alias("n_current"), F.first("m").alias("n_reference"), F.max("whole").alias("whole"))
     p = ks_p_value(F.col("ks_statistic"), F.col("n_current").cast("double"),
                    F.col("n_reference").cast("double"))
-    return d.select("feature", "ks_statistic", p.alias("p_value"),
-                    (p < F.lit(threshold)).alias("drifted"),
+    if method != "asymptotic":
+        ship_package(d.sparkSession)
+        p = F.coalesce(_exact_p("whole", "n_current", "n_reference"), p)
+    return d.withColumn("p", p).select("feature", "ks_statistic", F.col("p").alias("p_value"),
+                    (F.col("p") < F.lit(threshold)).alias("drifted"),
                     (F.col("ks_statistic") > F.lit(statistic_alert)).alias("statistic_alert"),
                     "n_current", "n_reference")
 

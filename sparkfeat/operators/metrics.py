@@ -171,6 +171,48 @@ def slo_from_counts(counts, labels, p95_limit=SLO_P95_S, max_failure=SLO_MAX_FAI
         "slo_ok", (F.col("p95") < F.lit(p95_limit)) & (F.col("failure_rate") < F.lit(max_failure)))
 
 
+#: Size parameter of the latency sketches: what a window's state is bounded by.
+SKETCH_K = 200
+
+
+def sketch_rank_error(k: int = SKETCH_K) -> float:
+    """Rank error of a quantile of a KLL sketch, with 99 % confidence: the quantile at p lies between the exact
+    ones at p - error and p + error."""
+    return 2.296 / k ** 0.9021
+
+
+def latency_sketches(df, ts, labels, latency, status="status", duration="1 hour", k: int = SKETCH_K):
+    """Per window and label set the latencies as a KLL sketch, rows and failures. In a stream the state of a window
+    is its sketch, however many latencies it has seen; sketches of windows merge (``merge_sketches``)."""
+    fail = F.coalesce(F.col(status).cast("string").startswith("5"), F.lit(False))
+    return df.groupBy(F.window(ts, duration).start.alias("window_start"), *labels).agg(
+        F.kll_sketch_agg_double(number_of(latency), k).alias("sketch"), F.count(number_of(latency)).alias("latencies"),
+        F.count(F.lit(1)).alias("n"), F.count_if(fail).alias("failures"))
+
+
+def number_of(c) -> Column:
+    x = as_col(c).cast("double")
+    return F.nanvl(x, F.lit(None).cast("double"))
+
+
+def merge_sketches(sketches, keys: list):
+    """Sketches of longer windows or fewer labels from those of shorter or more."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"),
+                                       *[F.sum(c).alias(c) for c in ("latencies", "n", "failures")])
+
+
+def slo_from_sketches(sketches, labels, p95_limit=SLO_P95_S, max_failure=SLO_MAX_FAILURE_RATE, k: int = SKETCH_K):
+    """window_start, labels, p95, its bounds p95_low and p95_high, n, failures, failure_rate, slo_ok, certain: whether
+    the verdict is the same anywhere between the bounds."""
+    error = sketch_rank_error(k)
+    at = lambda p: F.when(F.col("latencies") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(float(min(max(p, 0.0), 1.0)))))
+    out = sketches.select("window_start", *labels, "n", "failures", at(0.95).alias("p95"), at(0.95 - error).alias("p95_low"),
+                          at(0.95 + error).alias("p95_high"), (F.col("failures") / F.col("n")).alias("failure_rate"))
+    fails = ~(F.col("failure_rate") < F.lit(max_failure))
+    return out.withColumn("slo_ok", (F.col("p95") < F.lit(p95_limit)) & ~fails).withColumn(
+        "certain", fails | (F.col("p95_high") < F.lit(p95_limit)) | (F.col("p95_low") >= F.lit(p95_limit)))
+
+
 # ------------------------------------------------------------------------ K6
 @dataclass
 class AlertRule:

@@ -39,7 +39,7 @@ def drift_ks(spark, sf_dir):
     split = F.col("ts") >= F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     cur = ev.where(split).select("value", "user_id")
     ref = ev.where(~split).select("value", "user_id")
-    return _rounded(D.ks_drift(cur, ref))
+    return _rounded(D.ks_drift(cur, ref, method="asymptotic"))
 
 
 _LI_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -49,7 +49,34 @@ _LI_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 def drift_ks_lineitem(spark, sf_dir):
     li = Tables(spark, sf_dir).lineitem
     split = F.col("l_shipdate") >= F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
-    return _rounded(D.ks_drift(li.where(split).select(*_LI_COLS), li.where(~split).select(*_LI_COLS)))
+    return _rounded(D.ks_drift(li.where(split).select(*_LI_COLS), li.where(~split).select(*_LI_COLS),
+                                method="asymptotic"))
+
+
+def _exact_sql():
+    """Path shares by a recursive query: q lists the chances on one anti-diagonal of the grid."""
+    head = _ks_sql("events", _EXACT_COLS, "ts >= TIMESTAMP '2024-01-02'").split("p AS (SELECT *, ks")[0]
+    head = head.replace("WITH u", "WITH RECURSIVE u").replace("FROM events WHERE", "FROM events WHERE ts < TIMESTAMP '2024-01-02 12:00:00' AND")
+    head = head.replace("max(abs(cc / n - cr / m)) AS ks", "max(abs(cc / n - cr / m)) AS ks, CAST(max(abs(cc * m - cr * n)) AS BIGINT) AS h")
+    return head + """walk(feature, n, m, h, s, q) AS (
+  SELECT feature, n, m, h, CAST(0 AS BIGINT), list_transform(range(0, n + 1), lambda i: 0.0::DOUBLE) FROM d
+  UNION ALL SELECT feature, n, m, h, s + 1, list_transform(range(0, n + 1), lambda i:
+    CASE WHEN i > s + 1 OR s + 1 - i > m THEN 0.0 WHEN abs(i * m - (s + 1 - i) * n) >= h THEN 1.0
+         ELSE coalesce(q[i], 0.0) * i / (s + 1) + q[i + 1] * (s + 1 - i) / (s + 1) END::DOUBLE) FROM walk WHERE s < n + m)
+SELECT d.feature, round(ks, 6) AS ks_statistic, round(CASE WHEN d.h <= 0 THEN 1.0 ELSE w.q[d.n + 1] END, 6) AS p_value,
+  CASE WHEN d.h <= 0 THEN 1.0 ELSE w.q[d.n + 1] END < 0.05 AS drifted, ks > 0.3 AS statistic_alert,
+  d.n AS n_current, d.m AS n_reference FROM d JOIN walk w ON w.feature = d.feature AND w.s = w.n + w.m"""
+
+
+_EXACT_COLS = ["value", "user_id", "event_id"]
+
+
+@register("drift_ks_exact", _exact_sql(), "A14")
+def drift_ks_exact(spark, sf_dir):
+    """The first day and a half: half a day against the day before it, with exact p-values."""
+    ev = Tables(spark, sf_dir).events.where("ts < TIMESTAMP_NTZ '2024-01-02 12:00:00'")
+    now = F.col("ts") >= F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    return _rounded(D.ks_drift(ev.where(now).select(*_EXACT_COLS), ev.where(~now).select(*_EXACT_COLS)))
 
 
 _BUCKET_SQL = "CAST('0x' || substr(md5({k}), 1, 8) AS BIGINT) / 4294967296.0"

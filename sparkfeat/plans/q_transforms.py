@@ -65,6 +65,18 @@ def label_encode(spark, sf_dir):
     return enc.transform(o)
 
 
+@register("label_encode_table", """WITH k AS (SELECT l_orderkey AS v, min(l_shipdate) AS first FROM lineitem WHERE l_linenumber > 1 GROUP BY l_orderkey),
+idx AS (SELECT v, row_number() OVER (ORDER BY first, CAST(v AS VARCHAR)) - 1 AS i FROM k)
+SELECT l_linenumber, coalesce(i, -1) AS label, count(*) AS n, min(l_orderkey) AS first_key FROM lineitem LEFT JOIN idx ON v = l_orderkey GROUP BY ALL""", "A2 F2")
+def label_encode_table(spark, sf_dir):
+    """As many categories as orders: the index is a table, made by ranges and joined. Fitted on a part of the rows, so
+    that others are unseen; the labels go by the first ship date."""
+    li = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_shipdate")
+    enc = Encoder("orders", ["l_orderkey"], method="label", order_col="l_shipdate").fit(li.where("l_linenumber > 1"))
+    out = enc.transform(li.withColumn("key", F.col("l_orderkey")))
+    return out.groupBy("l_linenumber", F.col("l_orderkey").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"))
+
+
 _SCALE_FRAME = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
                 "CAST(1.0 AS DOUBLE) AS const_one"]
 _SCALE_COLS = ["l_quantity", "l_extendedprice", "const_one"]

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -69,6 +71,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/sparkfeat-{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that tasks with Python code of
+    it can import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp()) / "sparkfeat-package.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted((root / "sparkfeat").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(target))
+        _SHIPPED.add(sc.applicationId)
+
+
 def sizing_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
                 min_partitions: int = 200) -> dict:
     """Partition sizing for a job over ``input_bytes`` of input.

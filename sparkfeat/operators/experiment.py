@@ -2,7 +2,8 @@
 
 Assignment is a sticky hash of the unit id (``hash_unit``: md5 → [0, 1)), so a unit keeps
 its arm across requests and the split is auditable in SQL. Re-weighting starts a new
-epoch: the epoch name salts the hash so the new weights apply to fresh draws.
+epoch: the epoch name salts the hash so the new weights apply to fresh draws. The history of
+epochs is a table; ``assign_by_epoch`` joins events with the epoch of their time.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.columns import hash_unit, is_close, safe_ratio
+from sparkfeat.operators.asof import as_of
 
 WEIGHT_TOLERANCE = 1e-8
 
@@ -49,6 +51,39 @@ def weighted_arm(key: Column, weights: Mapping[str, float], epoch: str | None =
     return expr
 
 
+def weight_history(spark, epochs: list[tuple[str, str, Mapping[str, float]]]) -> DataFrame:
+    """(name, time from which it holds, weights) of each epoch as a table: epoch, valid_from, edges (of the arms'
+    half-open intervals, the last one open-ended). Weights are validated."""
+    rows = []
+    for name, valid_from, weights in epochs:
+        validate_weights(weights)
+        acc, edges = 0.0, []
+        for arm, w in weights.items():
+            acc += w
+            edges.append((acc, arm))
+        rows.append((name, valid_from, [*edges[:-1], (float("inf"), edges[-1][1])]))
+    table = spark.createDataFrame(rows, "epoch string, valid_from string, edges array<struct<edge:double,arm:string>>")
+    return table.withColumn("valid_from", F.to_timestamp("valid_from"))
+
+
+def assign_by_epoch(events: DataFrame, key: str, ts: str, history: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``events`` with the epoch that held at their time and the arm that its weights give their unit: the arm
+    of ``weighted_arm`` under that epoch. Before the first epoch both are NULL."""
+    held = as_of(events, ts, history, "valid_from", ["epoch", "edges"], by)
+    u = hash_unit(F.concat(F.col("epoch"), F.lit(":"), F.col(key).cast("string")))
+    arm = F.get(F.filter("edges", lambda e: u < e["edge"]), F.lit(0))["arm"]
+    return held.withColumn("arm", arm).drop("edges")
+
+
+def epoch_results(df: DataFrame, prediction: str, truth: str) -> DataFrame:
+    """Per epoch and arm: predictions, labelled ones, correct ones, accuracy (0 without labels). A prediction belongs to the
+    epoch it was made in, whenever its label comes."""
+    right = is_close(F.col(prediction).cast("double"), F.col(truth).cast("double"))
+    out = df.where(F.col("epoch").isNotNull()).groupBy("epoch", "arm").agg(
+        F.count(F.lit(1)).alias("predictions"), F.count(truth).alias("labelled"), F.count_if(right).alias("correct"))
+    return out.withColumn("accuracy", safe_ratio(F.col("correct"), F.col("labelled")))
+
+
 def ab_results(df: DataFrame, version_col: str, prediction: str, truth: str,
                weights: Mapping[str, float]) -> DataFrame:
     """Per arm: labelled predictions, correct ones (numpy ``isclose``), accuracy (0 when

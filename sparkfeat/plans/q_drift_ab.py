@@ -127,6 +127,35 @@ def ab_results(spark, sf_dir):
     return out.withColumn("accuracy", round6(F.col("accuracy")))
 
 
+EPOCHS = [("launch", "2024-01-03 06:30:00", {"v1": 0.8, "v2": 0.2}), ("even", "2024-01-10 00:00:00", {"v1": 0.5, "v2": 0.5}),
+          ("third arm", "2024-01-19 12:34:56", {"v1": 0.2, "v2": 0.3, "v3": 0.5})]
+
+
+def _epochs_sql():
+    u = _BUCKET_SQL.format(k="epoch || ':' || CAST(user_id AS VARCHAR)")
+    held = " ".join(f"WHEN ts >= TIMESTAMP '{t}' THEN '{n}'" for n, t, _ in reversed(EPOCHS))
+    return f"""WITH e AS (SELECT *, CASE {held} END AS epoch FROM events),
+a AS (SELECT *, CASE epoch WHEN 'launch' THEN CASE WHEN {u} < 0.8 THEN 'v1' ELSE 'v2' END
+    WHEN 'even' THEN CASE WHEN {u} < 0.5 THEN 'v1' ELSE 'v2' END
+    WHEN 'third arm' THEN CASE WHEN {u} < 0.2 THEN 'v1' WHEN {u} < 0.5 THEN 'v2' ELSE 'v3' END END AS arm FROM e)"""
+
+
+@register("ab_epoch_assign", _epochs_sql() + " SELECT event_id, epoch, arm FROM a", "F15")
+def ab_epoch_assign(spark, sf_dir):
+    ev = Tables(spark, sf_dir).events.select("event_id", "user_id", "ts")
+    return X.assign_by_epoch(ev, "user_id", "ts", X.weight_history(spark, EPOCHS)).select("event_id", "epoch", "arm")
+
+
+@register("ab_epoch_results", _epochs_sql() + f""", t AS (SELECT epoch, arm, {_PRED_SQL} AS prediction, {_TRUTH_SQL} AS truth FROM a)
+SELECT epoch, arm, count(*) AS predictions, count(truth) AS labelled, count(*) FILTER (WHERE prediction = truth) AS correct,
+  round(coalesce(count(*) FILTER (WHERE prediction = truth) / nullif(count(truth), 0), 0), 6) AS accuracy
+FROM t WHERE epoch IS NOT NULL GROUP BY epoch, arm""", "F15 A13")
+def ab_epoch_results(spark, sf_dir):
+    ev = X.assign_by_epoch(Tables(spark, sf_dir).events, "user_id", "ts", X.weight_history(spark, EPOCHS))
+    t = ev.select("epoch", "arm", F.expr(_PRED_SQL).alias("prediction"), F.expr(_TRUTH_SQL).alias("truth"))
+    return X.epoch_results(t, "prediction", "truth").withColumn("accuracy", round6(F.col("accuracy")))
+
+
 REF_END = "2024-01-02 00:00:00"     # the first day of events is the drift reference
 _DOT_FEATURES = ["value", "user_id"]
 

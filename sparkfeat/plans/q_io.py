@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfeat.functions.columns import round6, ts_string
+from sparkfeat.functions.columns import exact_mean, round6, ts_string
 from sparkfeat.operators import quality as Q
 from sparkfeat.sources import readers as R
 from sparkfeat.sources import sinks as K
@@ -54,6 +54,35 @@ def log_ingest(spark, sf_dir):
         ts_string(F.max("ts")).alias("last_ts"))
 
 
+@register("stream_log_ingest", """SELECT CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level,
+  'v' || CAST(user_id % 3 AS VARCHAR) AS model_version, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18, 6)) * 10) AS DOUBLE) / count(value), 6) AS mean_latency_ms,
+  strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM events GROUP BY ALL
+UNION ALL SELECT 'broken', NULL, count(*), NULL, NULL FROM events WHERE event_id % 10 = 3""", "S7")
+def stream_log_ingest(spark, sf_dir):
+    """The log as a stream in which every fifth record is sent twice and every tenth is followed by a broken line."""
+    from sparkfeat.streaming.streams import append_batches, slice_files
+
+    src = scratch_path(spark, "log-stream")
+    ev = Tables(spark, sf_dir).events
+    text = F.to_json(F.struct("*"))
+    lines = _log_records(ev).select("ts", text.alias("value"), F.substring("trace_id", 4, 20).cast("long").alias("id"))
+    sent = lines.select("ts", F.explode(F.concat(F.array("value"), F.when(F.col("id") % 5 == 0, F.array("value")).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("id") % 10 == 3, F.array(F.substring("value", 1, 30))).otherwise(F.array().cast("array<string>")))).alias("value"))
+    # in event-time order, as a log is written: four slices of files
+    edges = ev.agg(F.min("ts"), F.max("ts")).first()                          # two values
+    for i in range(4):
+        lo, hi = (edges[0] + (edges[1] - edges[0]) * x / 4 for x in (i, i + 1))
+        part = sent.where((F.col("ts") >= F.lit(lo)) & ((F.col("ts") < F.lit(hi)) | F.lit(i == 3)))
+        part.select("value").repartition(slice_files(spark)).write.mode("append").text(src)
+    records, broken = R.stream_request_log(spark, src, max_files_per_trigger=slice_files(spark))
+    log = append_batches(records, scratch_path(spark, "log-records"), scratch_path(spark, "log-ckpt"))
+    rest = append_batches(broken, scratch_path(spark, "log-broken"), scratch_path(spark, "log-broken-ckpt"))
+    out = log.groupBy("level", "model_version").agg(
+        F.count(F.lit(1)).alias("n"), round6(exact_mean(F.col("latency_ms"))).alias("mean_latency_ms"),
+        ts_string(F.max("ts")).alias("last_ts"))
+    return out.unionByName(rest.agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.lit("broken")), allowMissingColumns=True)
+
+
 def _run_records(o):
     m = lambda x: F.round(x, 6)
     acc = o.o_totalprice / 500000.0

@@ -4,6 +4,7 @@ training-run records (S8). All are declared-schema reads — no inference pass o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Request/prediction log record (structured logging fields).
@@ -53,6 +54,29 @@ def read_request_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUEST_LOG_SCHEMA).json(path)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def stream_request_log(spark: SparkSession, path: str, watermark: str = "10 minutes",
+                       max_files_per_trigger: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """S7 as a stream: (records, broken lines). Records are those of the declared schema, each ``trace_id`` once
+    while the watermark remembers it (a record that is sent again is dropped; one without an id is kept). A line that is no
+    JSON of the schema, or has no time, goes to the second stream as its text."""
+    schema = T.StructType([*REQUEST_LOG_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.readStream.schema(schema).option("columnNameOfCorruptRecord", CORRUPT)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    lines = reader.json(path)
+    broken = F.col(CORRUPT).isNotNull() | F.col("ts").isNull()
+    fields = [f.name for f in REQUEST_LOG_SCHEMA.fields]
+    # a record without an id is its own: its key is a hash of all it says and a random number
+    once = F.coalesce(F.col("trace_id"), F.concat(F.lit("no id "), F.uuid()))
+    records = (lines.where(~broken).select(*fields, once.alias("_once")).withWatermark("ts", watermark)
+               .dropDuplicatesWithinWatermark(["_once"]).drop("_once"))
+    rest = lines.where(broken).select(F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*fields))).alias("line"))
+    return records, rest
+
+
 def read_run_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Run records (one JSON document per file when ``multi_line``)."""
     return spark.read.option("multiLine", multi_line).schema(RUN_RECORD_SCHEMA).json(path)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.columns import round6
+from sparkfeat.functions.columns import exact_sum, round6
 from sparkfeat.operators.transforms import (
-    DependencyManager, Encoder, FeatureGenerator, Imputer, Scaler,
+    DependencyManager, Encoder, FeatureGenerator, Imputer, RowFunction, Scaler,
 )
 from sparkfeat.plans.registry import Tables, register
 
@@ -148,6 +148,30 @@ def derive_features(spark, sf_dir):
                       F.col("broken").cast("double"))
 
 
+def _log_of_tax(tax):
+    """A user's function that raises on the whole batch for one bad value."""
+    if (tax <= 0).any():
+        raise ValueError("no logarithm")
+    import numpy as np
+    return np.log(tax)
+
+
+@register("derive_failures", """SELECT 'qty_share' AS name, count(*) FILTER (WHERE l_linenumber = 1) AS failed_rows, count(*) AS n,
+    round(CAST(sum(CAST(CASE WHEN l_linenumber > 1 THEN l_quantity / (l_linenumber - 1) END AS DECIMAL(28, 9))) AS DOUBLE), 3) AS total FROM lineitem
+UNION ALL SELECT 'flag_number', count(*), count(*), NULL FROM lineitem
+UNION ALL SELECT 'log_tax', count(*) FILTER (WHERE l_tax <= 0), count(*),
+    round(CAST(sum(CAST(CASE WHEN l_tax > 0 THEN ln(l_tax) END AS DECIMAL(28, 9))) AS DOUBLE), 3) FROM lineitem""", "F6 X2")
+def derive_failures(spark, sf_dir):
+    """Rows on which a definition fails, counted in the pass that computes it: SQL, a callable, a function of batches."""
+    t = Tables(spark, sf_dir).lineitem.select("l_linenumber", "l_quantity", "l_returnflag", "l_tax")
+    gen = FeatureGenerator("derive", {"qty_share": "l_quantity / (l_linenumber - 1)",
+                                      "flag_number": lambda df: F.col("l_returnflag").cast("double"),
+                                      "log_tax": RowFunction(_log_of_tax, ["l_tax"])}, count_failures=True)
+    sums = gen.transform(t).agg(F.count(F.lit(1)).alias("n"), *[exact_sum(F.col(c)).alias(c) for c in gen.transformations]).first()
+    return spark.createDataFrame([(name, rows, sums["n"], sums[name]) for name, rows in gen.row_failures().items()],
+                                 "name string, failed_rows long, n long, total double").withColumn("total", F.round("total", 3))
+
+
 @register("feature_dag", """WITH t AS (SELECT l_orderkey, l_linenumber, l_extendedprice,
     coalesce(nullif(l_discount, 0.0), (SELECT avg(nullif(l_discount, 0.0)) FROM lineitem)) AS discount
   FROM lineitem),

@@ -222,3 +222,71 @@ def expectations(spark, sf_dir):
     out = suite().validate(Tables(spark, sf_dir).orders)
     return out.withColumns({"observed": round6(F.col("observed")),
                             "unexpected_count": F.col("unexpected_count").cast("double")})
+
+
+def more_expectations() -> ExpectationSuite:
+    """Order, combinations, distributions and ``mostly``, each in a form that holds and one that does not."""
+    s = ExpectationSuite()
+    s.add("o_totalprice", "column_values_to_be_between", min_value=50000, max_value=400000, mostly=0.8)
+    s.add("o_totalprice", "column_values_to_be_between", min_value=50000, max_value=400000, mostly=0.99)
+    s.add("o_orderstatus", "column_values_to_not_be_in_set", value_set=["P"], mostly=0.5)
+    s.add("o_orderstatus", "column_values_to_not_be_in_set", value_set=["P"])
+    s.add("o_orderpriority", "column_value_lengths_to_be_between", min_value=5, max_value=8)
+    s.add("o_orderkey", "column_values_to_be_increasing", order_by=["o_orderkey"], strictly=True)
+    s.add("o_totalprice", "column_values_to_be_increasing", order_by=["o_orderkey"])
+    s.add("o_totalprice", "column_values_to_be_decreasing", order_by=["o_orderkey"])
+    s.add("o_custkey", "column_proportion_of_unique_values_to_be_between", min_value=0.0, max_value=0.5)
+    s.add("o_orderstatus", "column_distinct_values_to_be_in_set", value_set=["F", "O"])
+    s.add("o_orderstatus", "column_distinct_values_to_contain_set", value_set=["F", "P"])
+    s.add("o_totalprice", "column_quantile_values_to_be_between", quantiles=[0.1, 0.9], value_ranges=[[0, 400000], [0, 1000]])
+    s.add("o_totalprice", "column_kl_divergence_to_be_less_than", bins=[0, 100000, 200000, 600000], weights=[0.3, 0.3, 0.4], threshold=0.5)
+    s.add("o_orderstatus", "column_kl_divergence_to_be_less_than", values=["F", "O", "P"], weights=[0.9, 0.05, 0.05], threshold=0.1)
+    s.add("o_orderstatus", "column_kl_divergence_to_be_less_than", values=["F", "O"], weights=[0.5, 0.5], threshold=9.0)
+    s.add("_dataframe_", "compound_columns_to_be_unique", column_list=["o_custkey", "o_orderdate"])
+    s.add("_dataframe_", "compound_columns_to_be_unique", column_list=["o_custkey", "o_orderkey"])
+    s.add("_dataframe_", "column_pair_values_a_to_be_greater_than_b", column_A="o_totalprice", column_B="o_custkey", mostly=0.9)
+    s.add("_dataframe_", "table_column_count_to_equal", value=6)
+    return s
+
+
+def _more_sql():
+    bad = lambda cond: f"(SELECT count(*) FILTER (WHERE NOT ({cond})) FROM orders)"
+    breaks = lambda c, op: f"(SELECT count(*) FROM (SELECT {c} AS v, lag({c}) OVER (ORDER BY o_orderkey) AS b FROM orders) WHERE v {op} b)"
+    again = lambda cols: f"(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM orders GROUP BY {cols}) WHERE n > 1)"
+    kl = lambda cond, weights: "(SELECT " + " + ".join(f"avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END) * ln(avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END) / {w})" for c, w in zip(cond, weights, strict=True)) + " FROM orders)"
+    price = ["o_totalprice < 100000", "o_totalprice >= 100000 AND o_totalprice < 200000", "o_totalprice >= 200000"]
+    status = [f"o_orderstatus = '{x}'" for x in "FOP"]
+    n = "(SELECT count(*) FROM orders)"
+    between, pair = bad("o_totalprice BETWEEN 50000 AND 400000"), bad("o_totalprice > o_custkey")
+    rows = [
+        ("o_totalprice", "column_values_to_be_between", between, True, f"{n} - o >= 0.8 * {n}"),
+        ("o_totalprice", "column_values_to_be_between", between, True, f"{n} - o >= 0.99 * {n}"),
+        ("o_orderstatus", "column_values_to_not_be_in_set", bad("o_orderstatus <> 'P'"), True, f"{n} - o >= 0.5 * {n}"),
+        ("o_orderstatus", "column_values_to_not_be_in_set", bad("o_orderstatus <> 'P'"), True, "o = 0"),
+        ("o_orderpriority", "column_value_lengths_to_be_between", bad("length(o_orderpriority) BETWEEN 5 AND 8"), True, "o = 0"),
+        ("o_orderkey", "column_values_to_be_increasing", breaks("o_orderkey", "<="), True, "o = 0"),
+        ("o_totalprice", "column_values_to_be_increasing", breaks("o_totalprice", "<"), True, "o = 0"),
+        ("o_totalprice", "column_values_to_be_decreasing", breaks("o_totalprice", ">"), True, "o = 0"),
+        ("o_custkey", "column_proportion_of_unique_values_to_be_between", "(SELECT count(DISTINCT o_custkey) / count(*) FROM orders)", False, "o <= 0.5"),
+        ("o_orderstatus", "column_distinct_values_to_be_in_set", "(SELECT count(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus NOT IN ('F', 'O'))", True, "o = 0"),
+        ("o_orderstatus", "column_distinct_values_to_contain_set", "(SELECT 2 - count(DISTINCT o_orderstatus) FROM orders WHERE o_orderstatus IN ('F', 'P'))", True, "o = 0"),
+        ("o_totalprice", "column_quantile_values_to_be_between", "(SELECT 1)", True, "false"),
+        ("o_totalprice", "column_kl_divergence_to_be_less_than", kl(price, [0.3, 0.3, 0.4]), False, "o < 0.5"),
+        ("o_orderstatus", "column_kl_divergence_to_be_less_than", kl(status, [0.9, 0.05, 0.05]), False, "o < 0.1"),
+        ("o_orderstatus", "column_kl_divergence_to_be_less_than", "NULL", False, "false"),
+        ("_dataframe_", "compound_columns_to_be_unique", again("o_custkey, o_orderdate"), True, "o = 0"),
+        ("_dataframe_", "compound_columns_to_be_unique", again("o_custkey, o_orderkey"), True, "o = 0"),
+        ("_dataframe_", "column_pair_values_a_to_be_greater_than_b", pair, True, f"{n} - o >= 0.9 * {n}"),
+        ("_dataframe_", "table_column_count_to_equal", "6", False, "true"),
+    ]
+    return " UNION ALL ".join(
+        f"SELECT '{col}' AS column, '{name}' AS expectation, coalesce({ok}, false) AS success, round(o, 6) AS observed, "
+        f"{'o' if counted else 'CAST(NULL AS DOUBLE)'} AS unexpected_count, CAST(NULL AS VARCHAR) AS error FROM (SELECT CAST({value} AS DOUBLE) AS o)"
+        for col, name, value, counted, ok in rows)
+
+
+@register("expectations_more", _more_sql(), "A10 X3")
+def expectations_more(spark, sf_dir):
+    out = more_expectations().validate(Tables(spark, sf_dir).orders)
+    return out.withColumns({"observed": round6(F.col("observed")),
+                            "unexpected_count": F.col("unexpected_count").cast("double")})

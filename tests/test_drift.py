@@ -33,7 +33,7 @@ def test_ks_matches_bruteforce_with_ties_and_nulls(spark):
     b = [float(rnd.randint(5, 40)) for _ in range(200)]
     cur = spark.createDataFrame([(v,) for v in a] + [(None,), (float("nan"),)], "x double")
     ref = spark.createDataFrame([(v,) for v in b], "x double")
-    r = D.ks_drift(cur, ref, ["x"]).first()
+    r = D.ks_drift(cur, ref, ["x"], method="asymptotic").first()
     assert r["ks_statistic"] == pytest.approx(_ks(a, b))
     assert r["p_value"] == pytest.approx(_p(r["ks_statistic"], 300, 200))
     assert r["n_current"] == 300 and r["drifted"] == (r["p_value"] < 0.05)
@@ -65,3 +65,33 @@ def test_ks_over_time_equals_two_sample_ks_per_step(spark):
         day_vals = [x.x for x in cur.where(F.date_trunc("day", "ts") == F.lit(r.bucket)).collect()]
         assert r.ks_statistic == pytest.approx(_ks(day_vals, ref_vals))
         assert r.n_current == len(day_vals) and r.n_reference == len(ref_vals)
+
+
+def test_exact_p_value_counts_paths():
+    from itertools import combinations
+
+    from sparkfeat.operators.drift import exact_p_value
+    for n, m in ((1, 1), (2, 3), (4, 4), (5, 3), (3, 6)):
+        gaps = []
+        for ups in combinations(range(n + m), n):
+            i = j = worst = 0
+            for s in range(n + m):
+                i, j = (i + 1, j) if s in ups else (i, j + 1)
+                worst = max(worst, abs(i * m - j * n))
+            gaps.append(worst)
+        for gap in range(n * m + 1):
+            assert abs(exact_p_value(gap, n, m) - sum(g >= gap for g in gaps) / len(gaps)) < 1e-12
+    assert abs(exact_p_value(600 * 20, 1000, 1000) / exact_p_value(600 * 20, 1000, 1000) - 1) < 1e-12
+    assert 0 < exact_p_value(300 * 300, 300, 300) < 1e-170                # 2 / C(600, 300): small values keep their digits
+
+
+def test_small_samples_get_the_exact_value(spark):
+    from sparkfeat.operators.drift import exact_p_value, ks_drift
+    cur = spark.createDataFrame([(float(i),) for i in range(6)], "x double")
+    ref = spark.createDataFrame([(float(i) + 3,) for i in range(8)], "x double")
+    r = ks_drift(cur, ref).first()
+    assert abs(r.ks_statistic - 0.625) < 1e-12 and abs(r.p_value - exact_p_value(30, 6, 8)) < 1e-12
+    far = ks_drift(cur, ref, exact_rows=5).first()
+    assert far.p_value == ks_drift(cur, ref, method="asymptotic").first().p_value != r.p_value
+    with pytest.raises(ValueError):
+        ks_drift(cur, ref, method="other")

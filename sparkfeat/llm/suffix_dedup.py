@@ -34,11 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.llm import words
-from sparkfeat.llm.common import id_text, map_batches, mix64, partitions, small_batches, stored, texts_of
+from sparkfeat.llm.common import id_text, map_batches, mix64, partitions, release_memory, small_batches, stored, texts_of
 
 GRAM = 48
 PLACE_BITS = 24
@@ -350,26 +351,62 @@ def remove_repeats(docs: DataFrame, length: int = 200, bitmap_bits: int = 26, bu
     flags = stored(dealt.groupBy("bucket").applyInPandas(_bucket_flags(length), FLAGS).union(
         _window_flags(pieces.join(hot, "m", "left_semi"), length)), "suffix-flags")
 
-    marks = found.select("tid", "sid", "pos", "windows").join(flags, "sid").groupBy("tid").agg(
-        F.collect_set(F.struct("pos", "windows", "flags")).alias("marks"))            # a document's own pieces
+    # a mark: its place and windows in MARK_HEAD bytes, then a bit per window
+    mark = F.concat(F.unhex(F.lpad(F.hex("pos"), 8, "0")), F.unhex(F.lpad(F.hex("windows"), 4, "0")), "flags")
+    marks = found.select("tid", "sid", "pos", "windows").join(flags, "sid").select("tid", mark.alias("mark")).groupBy("tid").agg(
+        F.collect_set("mark").alias("marks"))                                         # a document's own pieces
     joined = rows.withColumn("tid", F.unhex(F.md5("text"))).join(marks.hint("merge"), "tid", "left").select("doc_id", "text", "marks")
 
-    def cut(batch: pa.RecordBatch) -> dict:
-        out: list[list] = [[] for _ in range(5)]
-        for text, marks in zip(texts_of(batch), batch.column("marks")):
-            raw = text.encode("utf-8", "surrogatepass")
-            edge = np.zeros(len(raw) + 1, np.int32)
-            for mark in marks.as_py() or ():
-                hit = np.flatnonzero(np.unpackbits(np.frombuffer(mark["flags"], np.uint8))[:mark["windows"]]) + mark["pos"]
-                edge[hit] += 1
-                edge[hit + length] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            starts, _ = words.spans(gone)
-            for c, v in zip(out, (len(raw), int(gone.sum()), len(starts), hashlib.sha256(kept).hexdigest(), kept)):
-                c.append(v)
-        got = {"doc_id": batch.column("doc_id"), **{k: pa.array(v, pa.int64()) for k, v in zip(("n_bytes", "n_removed", "n_spans"), out)},
-               "kept_sha256": pa.array(out[3], pa.string())}
-        return got | ({"kept": pa.array(out[4], pa.binary())} if with_text else {})
-
-    return map_batches(joined, cut, RESULT + (", kept binary" if with_text else ""))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in words.blocks(texts_of(batch), 1 << 20):                # a batch is larger than its blocks
+                part = batch.slice(first, len(texts))
+                raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+                gone, begin = repeated_bytes(part.column("marks"), np.array([len(r) for r in raw]), length)
+                out: list[list] = [[] for _ in range(5)]
+                starts = np.flatnonzero(np.diff(gone.view(np.int8), prepend=0) == 1)   # a text's runs end before the next text
+                spans = np.diff(np.searchsorted(starts, np.append(begin, len(gone))))
+                removed = np.add.reduceat(np.append(gone, False), begin).tolist()
+                for i, own in enumerate(raw):
+                    kept = own
+                    if removed[i]:
+                        kept = np.frombuffer(own, np.uint8)[~gone[begin[i]:begin[i] + len(own)]].tobytes()
+                    for c, v in zip(out, (len(own), removed[i], int(spans[i]), hashlib.sha256(kept).hexdigest(), kept)):
+                        c.append(v)
+                got = {"doc_id": part.column("doc_id"), **{k: pa.array(v, pa.int64()) for k, v in zip(("n_bytes", "n_removed", "n_spans"), out)},
+                       "kept_sha256": pa.array(out[3], pa.string())}
+                yield pa.RecordBatch.from_pydict(got | ({"kept": pa.array(out[4], pa.binary())} if with_text else {}))
+        release_memory()
+
+    return joined.mapInArrow(cut, RESULT + (", kept binary" if with_text else ""))
+
+
+MARK_HEAD = 6
+
+
+def repeated_bytes(marks: pa.Array, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which bytes of the texts, laid end to end with one place after each, a marked window covers;
+    where each text begins). ``marks`` has a list of marks per text, all read at once."""
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    edge = np.zeros(int(begin[-1] + sizes[-1]) + 2, np.int32)
+    each = marks.flatten()
+    if len(each):
+        cuts = np.frombuffer(each.buffers()[1], np.int32)[each.offset:each.offset + len(each) + 1].astype(np.int64)
+        data = np.frombuffer(each.buffers()[2], np.uint8)[cuts[0]:cuts[-1]].copy()
+        at = cuts[:-1] - cuts[0]
+        head = data[at[:, None] + np.arange(MARK_HEAD)].astype(np.int64)
+        place = head[:, :4] @ (1 << np.array([24, 16, 8, 0]))
+        windows = head[:, 4:] @ np.array([256, 1])
+        data[(at[:, None] + np.arange(MARK_HEAD)).ravel()] = 0
+        lists = np.array([0 if n is None else n for n in pc.list_value_length(marks).to_pylist()])
+        text = np.repeat(np.arange(len(lists)), lists)
+        for i in range(0, len(at), 1 << 14):                                           # bits take eight times their bytes
+            lo, hi = at[i], at[i + (1 << 14)] if i + (1 << 14) < len(at) else len(data)
+            hit = np.flatnonzero(np.unpackbits(data[lo:hi])) + 8 * lo
+            own = np.searchsorted(at, hit // 8, side="right") - 1
+            window = hit - 8 * (at[own] + MARK_HEAD)
+            inside = window < windows[own]                                             # the last byte's rest says nothing
+            start = begin[text[own[inside]]] + place[own[inside]] + window[inside]
+            edge += np.bincount(start, minlength=len(edge)).astype(np.int32)
+            edge -= np.bincount(start + length, minlength=len(edge)).astype(np.int32)
+    return np.cumsum(edge[:-1]) > 0, begin

@@ -32,10 +32,15 @@ def safe_ratio(num: Column, den: Column, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(default))
 
 
+def exact_total(c: Column) -> Column:
+    """Sum in decimals of nine places, so that it does not depend on the order of the rows. NaN counts as missing; a
+    number beyond 10^19 is an error."""
+    return F.sum(_decimal(c))
+
+
 def exact_sum(c: Column) -> Column:
-    """Sum as a double that does not depend on the order of the rows: added in decimals of nine
-    places. NaN counts as missing; a number beyond 10^19 is an error."""
-    return F.sum(_decimal(c)).cast("double")
+    """``exact_total`` as a double."""
+    return exact_total(c).cast("double")
 
 
 def exact_mean(c: Column) -> Column:

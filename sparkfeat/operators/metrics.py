@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfeat.functions.columns import as_col, exact_sum, safe_ratio, null_safe_join
+from sparkfeat.functions.columns import as_col, exact_sum, exact_total, safe_ratio, null_safe_join
 from sparkfeat.operators.ranking import keyed_quantiles
 
 INF = float("inf")
@@ -106,10 +106,17 @@ def rollup(df: DataFrame, specs: list[MetricSpec], ts: str = "ts") -> DataFrame:
 
 # ------------------------------------------------------------------------ K1–K5
 def windowed(df: DataFrame, ts: str, duration: str, slide: str | None, labels: list[str],
-             *aggs: Column) -> DataFrame:
-    w = F.window(ts, duration, slide) if slide else F.window(ts, duration)
-    return (df.groupBy(w.alias("w"), *labels).agg(*aggs)
-            .withColumn("window_start", F.col("w.start")).withColumn("window_end", F.col("w.end"))
+             *aggs: Column, merge: dict[str, Column] | None = None) -> DataFrame:
+    """Aggregates per window and label set. ``merge`` says how each of them follows from the same aggregates of parts of a
+    window: a sliding window of a batch is then made of panes as long as a slide, so a row is read into one pane, not
+    copied into every window that it falls into."""
+    panes = merge is not None and slide and not df.isStreaming and _seconds(duration) % _seconds(slide) == 0
+    if panes:
+        first = df.groupBy(F.window(ts, slide).start.alias("_pane"), *labels).agg(*aggs)
+        grouped = first.groupBy(F.window("_pane", duration, slide).alias("w"), *labels).agg(*[c.alias(n) for n, c in merge.items()])
+    else:
+        grouped = df.groupBy((F.window(ts, duration, slide) if slide else F.window(ts, duration)).alias("w"), *labels).agg(*aggs)
+    return (grouped.withColumn("window_start", F.col("w.start")).withColumn("window_end", F.col("w.end"))
             .drop("w"))
 
 
@@ -122,15 +129,16 @@ def _seconds(duration: str) -> float:
 
 def event_rate(df, ts, labels, duration="5 minutes", slide="1 minute") -> DataFrame:
     """K1: events per second over the window (PromQL ``rate`` of a counter)."""
-    return windowed(df, ts, duration, slide, labels, F.count(F.lit(1)).alias("n")) \
+    return windowed(df, ts, duration, slide, labels, F.count(F.lit(1)).alias("n"), merge={"n": F.sum("n")}) \
         .withColumn("rate", F.col("n") / F.lit(_seconds(duration)))
 
 
 def mean_latency(df, ts, labels, latency, duration="5 minutes", slide="1 minute") -> DataFrame:
     """K2: rate(sum)/rate(count) = windowed mean."""
     v = as_col(latency)
-    return windowed(df, ts, duration, slide, labels, exact_sum(v).alias("latency_sum"),
-                    F.count(v).alias("latency_count")) \
+    return windowed(df, ts, duration, slide, labels, exact_total(v).alias("latency_sum"),
+                    F.count(v).alias("latency_count"), merge={c: F.sum(c) for c in ("latency_sum", "latency_count")}) \
+        .withColumn("latency_sum", F.col("latency_sum").cast("double")) \
         .withColumn("mean_latency", safe_ratio(F.col("latency_sum"), F.col("latency_count")))
 
 
@@ -138,13 +146,14 @@ def error_rate(df, ts, labels, status="status", duration="5 minutes", slide="1 m
     """K3: share of 5xx statuses in the window."""
     is5 = F.col(status).cast("string").startswith("5")
     return windowed(df, ts, duration, slide, labels,
-                    F.count(F.lit(1)).alias("n"), F.count_if(is5).alias("errors")) \
+                    F.count(F.lit(1)).alias("n"), F.count_if(is5).alias("errors"),
+                    merge={c: F.sum(c) for c in ("n", "errors")}) \
         .withColumn("error_rate", F.col("errors") / F.col("n"))
 
 
 def per_minute(df, ts, labels, duration="60 seconds", slide="30 seconds"):
     """K4: events per minute over a sliding 60 s window."""
-    return windowed(df, ts, duration, slide, labels, F.count(F.lit(1)).alias("n")) \
+    return windowed(df, ts, duration, slide, labels, F.count(F.lit(1)).alias("n"), merge={"n": F.sum("n")}) \
         .withColumn("per_minute", F.col("n") * F.lit(60.0 / _seconds(duration)))
 
 

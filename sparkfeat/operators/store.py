@@ -246,8 +246,8 @@ def multi_get(snapshot: DataFrame, requests: DataFrame, feature_set: str, now,
     s = live(snapshot, now).where(F.col("feature_set") == feature_set).select("entity_id", "features")
     j = requests.select(F.col("entity_id").cast("string")).join(s, "entity_id", "left")
     feats = F.col("features")
-    if features is not None:
-        m = F.from_json(feats, "map<string,string>")
+    if features is not None:                     # a value keeps its JSON form: a number stays a number
+        m = F.from_json(feats, "map<string,variant>")
         feats = F.to_json(F.map_filter(m, lambda k, v: k.isin(*features)))
     return j.select("entity_id", F.coalesce(feats, F.lit("{}")).alias("features"),
                     F.col("features").isNotNull().alias("hit"))

@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfeat.functions.columns import truthy, number
+from sparkfeat.operators.quality import value_counts
 from sparkfeat.operators.ranking import exact_quantiles
 
 
@@ -59,9 +60,33 @@ def _row_violation(c: str, d: FeatureDefinition, strict_nulls: bool) -> Column:
     return F.lit(False)
 
 
+#: How many values of a column the report lists; ``quality.value_counts`` and ``invalid_values`` have all of them.
+LISTED_VALUES = 100
+
+
+def _category_counts(df: DataFrame, defs: dict[str, FeatureDefinition], cols: list[str], listed: int) -> dict[str, dict]:
+    """Per column: distinct values, distinct invalid ones, the most frequent values with counts, the first
+    invalid values. One unpivot and one count per (column, value), no Expand; a row per column reaches the driver."""
+    allowed = df.sparkSession.createDataFrame([(c, [str(v) for v in defs[c].allowed_values]) for c in cols if defs[c].allowed_values],
+                                              "feature string, allowed array<string>")
+    counts = value_counts(df, cols).where("value is not null").join(F.broadcast(allowed), "feature", "left").select(   # a row per column
+        "feature", "value", "n", F.coalesce(~F.array_contains("allowed", F.col("value")), F.lit(False)).alias("invalid"))
+    w = Window.partitionBy("feature")
+    ranked = counts.withColumns({"place": F.row_number().over(w.orderBy(F.desc("n"), "value")),
+                                 "odd": F.row_number().over(w.orderBy(F.desc("invalid"), "value"))})
+    stats = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("unique"), F.count_if("invalid").alias("bad"))
+    lists = ranked.where((F.col("place") <= listed) | (F.col("invalid") & (F.col("odd") <= listed))).groupBy("feature").agg(
+        F.sort_array(F.collect_list(F.when(F.col("place") <= listed, F.struct("place", "value", "n")))).alias("most"),
+        F.sort_array(F.collect_list(F.when(F.col("invalid") & (F.col("odd") <= listed), F.col("value")))).alias("odd_values"))
+    rows = {r["feature"]: r.asDict() for r in stats.join(lists, "feature").collect()}
+    return {c: rows.get(c, {"unique": 0, "bad": 0, "most": [], "odd_values": []}) for c in cols}
+
+
 def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
-                     strict_nulls: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(per-feature report, one-row dataset summary). Medians are exact."""
+                     strict_nulls: bool = True, listed: int = LISTED_VALUES) -> tuple[DataFrame, DataFrame]:
+    """(per-feature report, one-row dataset summary). Medians are exact. A categorical column's report has its values with
+    their counts, most frequent first (``value_counts``: "value=count, ..."), and the invalid values themselves, the first
+    ``listed`` of either."""
     present = [n for n in defs if n in df.columns]
     numeric = [n for n in present if defs[n].feature_type == "numeric"]
     aggs = [F.count(F.lit(1)).alias("_rows")]
@@ -74,10 +99,8 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
             aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                      F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
                      (F.count(x) < (F.count(F.lit(1)) if strict_nulls else F.count(col))).alias(f"nonnum{i}")]
-        else:
-            viol = _row_violation(n, d, strict_nulls)
-            aggs += [F.count_distinct(col).alias(f"nuniq{i}"),
-                     F.count_distinct(F.when(viol, col)).alias(f"inv{i}")]
+    texts = [n for n in present if n not in numeric]
+    categories = _category_counts(df, defs, texts, listed) if texts else {}
     aggs.append(F.count_if(F.lit(False) if not present else
                            _any([_row_violation(n, defs[n], strict_nulls) for n in present]))
                 .alias("_invalid_rows"))
@@ -97,12 +120,14 @@ def validate_dataset(df: DataFrame, defs: dict[str, FeatureDefinition],
                      F.when(above, F.lit(f"Values above maximum ({_fmt(d.max_value)})"))]
             med = F.lit(None).cast("double")
             stats = [F.col(f"mean{i}"), F.col(f"std{i}"), F.col(f"min{i}"), F.col(f"max{i}"),
-                     med, F.lit(None).cast("bigint"), F.lit(0).cast("bigint")]
+                     med, F.lit(None).cast("bigint"), F.lit(0).cast("bigint"), *[F.lit(None).cast("string")] * 2]
         else:
-            inv = F.col(f"inv{i}")
-            errs = [F.when(inv > 0, F.concat(F.lit("Contains invalid values: "), inv.cast("string")))]
-            stats = [F.lit(None).cast("double")] * 5 + [F.col(f"nuniq{i}"), inv]
-        names = ["mean", "std", "min", "max", "median", "unique_values", "invalid_value_count"]
+            c = categories[n]
+            odd = ", ".join(c["odd_values"]) + (f" and {c['bad'] - listed} more" if c["bad"] > listed else "")
+            errs = [F.when(F.lit(c["bad"] > 0), F.lit(f"Contains invalid values: {odd}"))]
+            stats = [F.lit(None).cast("double")] * 5 + [F.lit(c["unique"]).cast("bigint"), F.lit(c["bad"]).cast("bigint"),
+                     F.lit(", ".join(f"{m['value']}={m['n']}" for m in c["most"])), F.lit(odd)]
+        names = ["mean", "std", "min", "max", "median", "unique_values", "invalid_value_count", "value_counts", "invalid_values"]
         err = F.filter(F.array(*errs), lambda e: e.isNotNull())
         n_err = n_err + (F.size(err) > 0).cast("int")
         structs.append(F.struct(

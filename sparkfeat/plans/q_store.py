@@ -195,7 +195,7 @@ def registry_delete(spark, sf_dir):
 
 
 @register("snapshot_get", f"""SELECT CAST(c.c_custkey AS VARCHAR) AS entity_id,
-  CASE WHEN s.features IS NULL THEN '{{}}' ELSE '{{"n":"' || json_extract_string(s.features, '$.n') || '"}}' END AS features,
+  CASE WHEN s.features IS NULL THEN '{{}}' ELSE '{{"n":' || json_extract_string(s.features, '$.n') || '}}' END AS features,
   s.features IS NOT NULL AS hit
 FROM customer c LEFT JOIN {_LIVE_SQL} s ON CAST(c.c_custkey AS VARCHAR) = s.entity_id""", "J2 P7 P8")
 def snapshot_get(spark, sf_dir):

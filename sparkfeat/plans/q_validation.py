@@ -41,16 +41,21 @@ def _num_row(name, lo, hi):
             f"round(count(*) FILTER (WHERE {name} IS NULL) * 100.0 / count(*), 6) AS missing_pct, round(avg({x}), 6) AS mean, "
             f"round(stddev_samp({x}), 6) AS std, round(min({x}), 6) AS min, round(max({x}), 6) AS max, "
             f"round(quantile_cont({x}, 0.5), 6) AS median, CAST(NULL AS DOUBLE) AS unique_values, CAST(0 AS BIGINT) AS invalid_value_count, "
+            f"CAST(NULL AS VARCHAR) AS value_counts, CAST(NULL AS VARCHAR) AS invalid_values, "
             f"{err} <> '' AS has_errors, {err} AS errors FROM t")
 
 
 def _cat_row(name, allowed):
     lst = ", ".join(f"'{v}'" for v in allowed)
-    inv = f"count(DISTINCT CASE WHEN {name} IS NOT NULL AND {name} NOT IN ({lst}) THEN {name} END)"
+    bad = f"CASE WHEN {name} IS NOT NULL AND {name} NOT IN ({lst}) THEN {name} END"
+    inv = f"count(DISTINCT {bad})"
+    odd = f"coalesce(string_agg(DISTINCT {bad}, ', ' ORDER BY {bad}), '')"
+    counts = (f"(SELECT string_agg(v || '=' || CAST(n AS VARCHAR), ', ' ORDER BY n DESC, v) FROM "
+              f"(SELECT {name} AS v, count(*) AS n FROM t WHERE {name} IS NOT NULL GROUP BY 1))")
     return (f"SELECT '{name}', 'categorical', count(*) FILTER (WHERE {name} IS NULL), "
             f"round(count(*) FILTER (WHERE {name} IS NULL) * 100.0 / count(*), 6), NULL, NULL, NULL, NULL, NULL, "
-            f"CAST(count(DISTINCT {name}) AS DOUBLE), {inv}, {inv} > 0, "
-            f"CASE WHEN {inv} > 0 THEN 'Contains invalid values: ' || CAST({inv} AS VARCHAR) ELSE '' END FROM t")
+            f"CAST(count(DISTINCT {name}) AS DOUBLE), {inv}, {counts}, {odd}, {inv} > 0, "
+            f"CASE WHEN {inv} > 0 THEN 'Contains invalid values: ' || {odd} ELSE '' END FROM t")
 
 
 _REPORT_SQL = (f"WITH t AS {_FRAME_SQL} " + " UNION ALL ".join([

@@ -344,12 +344,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, bitmap_bits: int = 26, bu
 
     pieces = stored(found.groupBy("m", "sid").agg(F.sum("n").alias("n"), F.first("windows").alias("windows"),
                                                   F.first("content", ignorenulls=True).alias("content")), "suffix-distinct")
-    sizes = pieces.groupBy("m").count()
-    hot = sizes.where(F.col("count") > hot_pieces).select("m")
-    n_buckets = max(1, -(-pieces.count() // bucket_pieces))
-    dealt = pieces.join(hot, "m", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("m"), F.lit(n_buckets)))
-    flags = stored(dealt.groupBy("bucket").applyInPandas(_bucket_flags(length), FLAGS).union(
-        _window_flags(pieces.join(hot, "m", "left_semi"), length)), "suffix-flags")
+    hot = pieces.groupBy("m").count().where(F.col("count") > hot_pieces).select("m")
+    n_buckets, some_hot = max(1, -(-pieces.count() // bucket_pieces)), hot.count() > 0
+    # the pieces' bytes are not shuffled for a join that takes nothing out
+    dealt = (pieces.join(hot, "m", "left_anti") if some_hot else pieces).withColumn("bucket", F.pmod(F.xxhash64("m"), F.lit(n_buckets)))
+    flags = dealt.groupBy("bucket").applyInPandas(_bucket_flags(length), FLAGS)
+    if some_hot:
+        flags = flags.union(_window_flags(pieces.join(hot, "m", "left_semi"), length))
+    flags = stored(flags, "suffix-flags")
 
     # a mark: its place and windows in MARK_HEAD bytes, then a bit per window
     mark = F.concat(F.unhex(F.lpad(F.hex("pos"), 8, "0")), F.unhex(F.lpad(F.hex("windows"), 4, "0")), "flags")

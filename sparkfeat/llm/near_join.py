@@ -6,9 +6,11 @@ of documents with a Jaccard similarity of ``threshold`` or more.
 
 Steps. (1) One map gives every document the hash of its shingle set and its labels: ``trees``
 lists of MinHash values. Equal sets become one class at once, so copies cost one row.
-(2) The forest: in each tree the labels' prefixes of one depth meet; the depth is shortened
-from ``max_depth`` until the expected share of pairs at the threshold that meet in some tree
-reaches ``recall``. Members of a prefix are tied to its least member only (no pairs are made),
+(2) The forest: in each tree the labels' prefixes of one depth meet. The depth is shortened level by level
+from ``max_depth`` until the share of pairs that meet in some tree reaches ``recall`` both as expected at the
+threshold and as measured: a sample of sets (``probes``, by a hash of the text) is compared exactly with every
+document, and its true pairs up to ``BAND`` above the threshold (all true pairs if none are there) tell how
+deep their best common prefix is. Members of a prefix are tied to its least member only (no pairs are made),
 and connected components of these ties are the candidate groups. (3) Candidate groups are cut
 into blocks by a hash, so that no task gets more than two blocks of about ``block`` sets; for
 each pair of blocks a task compares all pairs, exactly, with matrix
@@ -27,10 +29,11 @@ looked at.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfeat.llm import words
@@ -41,6 +44,9 @@ WORD_GAP = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 SIGNED = "doc_id long, tid string, sid binary, n_shingles int, labels binary"
 SETS = "sid binary, shingles binary"
 VERIFIED = "sid binary, links long, root binary"
+BAND = 0.05                          # above the threshold: the true pairs that are hardest to meet
+PROBE_SHINGLES = 1 << 20
+MOST_LEVELS = 64
 
 
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -70,21 +76,120 @@ def prefix_depth(threshold: float, trees: int, max_depth: int, recall: float) ->
     return depth
 
 
-def labels(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
-    """Hash of each set's prefix in each tree, sets x trees; no set may be empty."""
+def _levels(sets: list[np.ndarray], trees: int, depth: int):
+    """(tree, hashes of the sets' prefixes in it) one level after another, depth levels a tree. A tree's levels
+    do not depend on how deep it is read."""
     values = np.concatenate(sets)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     firsts = np.cumsum(sizes) - sizes
-    out = np.zeros((len(sets), trees), np.uint64)
-    seeds = mix64(np.arange(2 * trees * depth), 23)
     for t in range(trees):
+        prefix = np.zeros(len(sets), np.uint64)
         for d in range(depth):
-            k = t * depth + d
-            least = np.minimum.reduceat((values ^ seeds[2 * k]) * (seeds[2 * k + 1] | np.uint64(1)) >> np.uint64(8), firsts)
-            out[:, t] = mix64(out[:, t] ^ least, k)
+            k = t * MOST_LEVELS + d
+            one, two = mix64(np.array([2 * k, 2 * k + 1]), 23)
+            least = np.minimum.reduceat((values ^ one) * (two | np.uint64(1)) >> np.uint64(8), firsts)
+            prefix = mix64(prefix ^ least, k)
+            yield t, prefix
+
+
+def labels(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
+    """Hash of each set's prefix in each tree, sets x trees; no set may be empty."""
+    out = np.zeros((len(sets), trees), np.uint64)
+    for t, prefix in _levels(sets, trees, depth):
+        out[:, t] = prefix
     return out
 
 
+def prefixes(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
+    """Hashes of all the sets' prefixes: sets x trees x levels."""
+    out = np.zeros((len(sets), trees, depth), np.uint64)
+    for n, (t, prefix) in enumerate(_levels(sets, trees, depth)):
+        out[:, t, n % depth] = prefix
+    return out
+
+
+def common_depths(one: np.ndarray, two: np.ndarray, i: np.ndarray, j: np.ndarray, block: int = 4096) -> np.ndarray:
+    """Length of the longest common prefix, of all trees, of each pair of rows of ``prefixes``. Equal
+    prefixes have equal shorter ones, so their number is their length."""
+    return np.concatenate([np.zeros(0, np.int64), *((one[i[k:k + block]] == two[j[k:k + block]]).sum(2).max(1) for k in range(0, len(i), block))])
+
+
+@dataclass
+class Probes:
+    """Sampled sets by shingle: every probe that has it."""
+    sets: list[np.ndarray]
+    shingles: np.ndarray             # sorted, a shingle once per probe
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> Probes:
+        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        owner, order = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.argsort(every, kind="stable")
+        return cls(sets, every[order], owner[order])
+
+    def true_pairs(self, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(set, probe, similarity) of all pairs of different sets at the threshold or above."""
+        values, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+        low = np.searchsorted(self.shingles, values, side="left")
+        times = np.searchsorted(self.shingles, values, side="right") - low
+        at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        pair = np.repeat(np.repeat(np.arange(len(sets)), sizes), times) * len(self.sets) + self.owner[at]
+        pair, common = np.unique(pair, return_counts=True)
+        i, j = pair // len(self.sets), pair % len(self.sets)
+        own = np.array([len(s) for s in self.sets])
+        alike = common / (sizes[i] + own[j] - common)
+        keep = (alike >= threshold - 1e-9) & (alike < 1)
+        return i[keep], j[keep], alike[keep]
+
+
+def measured_depths(rows: DataFrame, probes: Probes, threshold: float, shingle: int, trees: int, max_depth: int) -> np.ndarray:
+    """Counts of the probes' true pairs over all documents, by whether they are within BAND of the threshold (row 0) or
+    above (row 1) and by the length of their longest common prefix."""
+    own: list[np.ndarray] = []                                               # the probes' prefixes, made once a task
+
+    def work(batch: pa.RecordBatch) -> dict:
+        counts = np.zeros((2, max_depth + 1), np.int64)
+        for _, texts in words.blocks(texts_of(batch)):
+            sets = [s for s in shingle_sets(texts, shingle) if len(s)]
+            if sets:
+                i, j, alike = probes.true_pairs(sets, threshold)
+                if len(i):
+                    if not own:
+                        own.append(prefixes(probes.sets, trees, max_depth))
+                    met, place = np.unique(i, return_inverse=True)
+                    deep = common_depths(prefixes([sets[k] for k in met], trees, max_depth), own[0], place, j)
+                    np.add.at(counts, ((alike > threshold + BAND).astype(int), deep), 1)
+        above, deep = np.nonzero(counts)
+        return {"above": pa.array(above, pa.int32()), "deep": pa.array(deep, pa.int32()), "n": pa.array(counts[above, deep], pa.int64())}
+    out = np.zeros((2, max_depth + 1), np.int64)
+    for r in map_batches(rows.select("text"), work, "above int, deep int, n long").groupBy("above", "deep").agg(F.sum("n").alias("n")).collect():
+        out[r["above"], r["deep"]] = r["n"]                                   # at most two rows a level
+    return out
+
+
+def sampled_sets(rows: DataFrame, probes: int, shingle: int) -> list[np.ndarray]:
+    """The different sets of about ``probes`` documents by a hash of their text, PROBE_SHINGLES in all at most."""
+    n = rows.count()
+    draw = (F.xxhash64("text", F.lit("probe")).bitwiseAND((1 << 30) - 1)) / float(1 << 30)
+    few = rows.where(draw < probes / max(n, 1)).select("text", "tid").groupBy("tid").agg(F.first("text").alias("text"))
+
+    def sets_of(batch: pa.RecordBatch) -> dict:
+        return {"shingles": pa.array([s.tobytes() for s in shingle_sets(texts_of(batch), shingle)], pa.binary())}
+    found = map_batches(few, sets_of, "shingles binary").where(F.length("shingles") > 0).distinct()
+    taken = found.withColumn("so_far", F.sum(F.length("shingles")).over(Window.orderBy(F.xxhash64("shingles")))).where(
+        F.col("so_far") <= 8 * PROBE_SHINGLES)                                 # a sample of about ``probes`` rows
+    return [np.frombuffer(r["shingles"], np.uint64) for r in taken.sort("so_far").collect()]
+
+
+def shortened(counts: np.ndarray, threshold: float, trees: int, max_depth: int, recall: float) -> int:
+    """Longest prefix that reaches the recall as expected at the threshold and as measured."""
+    depth = prefix_depth(threshold, trees, max_depth, recall)
+    seen = counts[0] if counts[0].sum() else counts.sum(0)
+    while depth > 1 and seen.sum() and seen[depth:].sum() < recall * seen.sum():
+        depth -= 1
+    return depth
+
+
 def _verify(pdf, threshold: float):
     """One pair of blocks: exact similarities of all pairs, whether they met in a tree or not."""
     import pandas as pd
@@ -130,12 +235,15 @@ def _verify(pdf, threshold: float):
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, trees: int = 24, max_depth: int = 8,
-                 recall: float = 0.9999, block: int = 192, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+                 recall: float = 0.9999, block: int = 192, probes: int = 200, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, tid (a digest of the text), sid (of its set, null without a word), n_shingles;
     sets: sid, class_id, n_links, head: the class's first document by id, null ids last, and tid)."""
     small_batches(docs.sparkSession)
-    depth = prefix_depth(threshold, trees, max_depth, recall)
     rows = id_text(docs, id_col, text_col).withColumn("tid", F.md5("text"))
+    counts = np.zeros((2, max_depth + 1), np.int64)
+    if sample := sampled_sets(rows, probes, shingle):
+        counts = measured_depths(rows, Probes.of(sample), threshold, shingle, trees, max_depth)
+    depth = shortened(counts, threshold, trees, max_depth, recall)
 
     def sign(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(texts_of(batch), shingle)

@@ -7,10 +7,11 @@ random bit of the symbol read: strings a few edits apart fall into step again, s
 edits become few differing outputs. Keys are samples of the outputs; several walks and samples
 make several keys a window.
 
-Windows start at every ``stride``-th word of every document and read on into it as far as an
-item would; items are indexed at each of their own words, so any undisturbed stretch of
-an item meets a window in step. The number of walks is raised until simulated leaks at the
-largest distance, with other words around them, reach ``recall`` in each class of lengths. Items
+Windows are as long as the items of a class of lengths (``CLASSES``: 12 to 15 words, 16 to 23, and so on,
+without an end): one walk reads on as far as the longest class asks, and each class samples outputs from the part
+of it that reads an item's words. Windows start at every ``stride``-th word of every document; items are
+indexed at their first words, so that some window starts in step with them. The number of walks is raised until
+simulated leaks at the largest distance, with other words around them, reach ``recall`` in each class. Items
 of fewer than ``SHORT`` words, and classes that ``max_walks`` walks do not bring to it, are found by exact
 seeds instead: cut in one piece more than the edits allowed, one piece is unedited, so none is lost.
 Candidates are verified exactly (edit distance of the whole item against the document around the place).
@@ -36,26 +37,47 @@ from pyspark.sql import functions as F
 from sparkfeat.llm import words
 from sparkfeat.llm.common import id_text, map_batches, mix64, small_batches, texts_of
 
-STEPS, SAMPLE, KEYS, FILTER_BITS = 16, 4, 2, 20
+SAMPLE, KEYS, FILTER_BITS = 3, 8, 18           # outputs in a key, keys of a walk and class
 SHORT = 12                                     # items of fewer words go by exact seeds
+PACE = 1.4                                     # steps of a walk per word of its window: it stays half the time
+SLACK = 3                                      # words that edits may shift a window's start by
 END = np.uint64(0)
 SCHEMA = "doc_id long, item_id long, distance long, item_words long"
 
 
-def walk_keys(symbols: np.ndarray, starts: np.ndarray, walk: int) -> np.ndarray:
-    """KEYS keys for each start; END stops the walk (it is never stepped over)."""
-    rng = np.random.default_rng(1000 + walk)
-    each = STEPS // SAMPLE                     # one output from the first half of each stretch of the walk
-    samples = [set((np.arange(SAMPLE) * each + rng.integers(0, (each + 1) // 2, SAMPLE)).tolist()) for _ in range(KEYS)]
-    bits = mix64(np.arange(STEPS), 50 + walk) | np.uint64(1)
-    pos, out = starts.copy(), np.zeros((KEYS, len(starts)), np.uint64)
-    for t in range(STEPS):
+def length_class(n: int) -> int:
+    """Least length of an item's class: 12, 16, 24, 32, 48, 64, 96, ... words."""
+    c = 1
+    while 2 * c <= n:
+        c *= 2
+    return max(SHORT, c + c // 2 if n >= c + c // 2 else c)
+
+
+def steps_of(cls: int, stride: int) -> int:
+    """Steps of a walk that read the words of a window of the class, wherever in a stride it starts."""
+    return max(SAMPLE, int(PACE * (cls - stride / 2)))
+
+
+def walk_keys(symbols: np.ndarray, starts: np.ndarray, walk: int, classes: list[int], stride: int) -> dict[int, np.ndarray]:
+    """KEYS keys per class for each start; END stops the walk (it is never stepped over)."""
+    steps = {c: steps_of(c, stride) for c in classes}
+    longest = max(steps.values(), default=0)
+    taken: dict[int, list[tuple[int, int]]] = {}             # step → (class, key) that sample it
+    for c, n in steps.items():
+        rng = np.random.default_rng([walk, c])
+        for k in range(KEYS):                                 # one output from each third of the class's steps
+            for part in range(SAMPLE):
+                lo, hi = n * part // SAMPLE, n * (part + 1) // SAMPLE
+                taken.setdefault(int(rng.integers(lo, hi)), []).append((c, k))
+    bits = mix64(np.arange(longest), 50 + walk) | np.uint64(1)
+    pos, out = starts.copy(), {c: np.zeros((KEYS, len(starts)), np.uint64) for c in classes}
+    for t in range(longest):
         s = symbols[pos]
-        for k in range(KEYS):
-            if t in samples[k]:
-                out[k] = (out[k] ^ s) * np.uint64(words.BASE)
-        pos += ((s * bits[t] >> np.uint64(63)).astype(bool) & (s != END)).astype(np.int64)
-    return mix64(out, walk)
+        for c, k in taken.get(t, ()):
+            own = out[c][k]
+            np.multiply(np.bitwise_xor(own, s, out=own), np.uint64(words.BASE), out=own)
+        pos += np.right_shift(np.multiply(s, bits[t], out=s), np.uint64(63), out=s).view(np.int64)      # END, 0, stays
+    return out
 
 
 @dataclass
@@ -74,7 +96,9 @@ class KeyTable:
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among the keys asked for, entry) of all that meet."""
-        hit = np.flatnonzero(self.filter[keys >> np.uint64(64 - FILTER_BITS)])
+        hit = np.flatnonzero(self.filter[(keys >> np.uint64(64 - FILTER_BITS)).view(np.int64)])
+        if not len(hit):
+            return hit, hit
         low = np.searchsorted(self.keys, keys[hit], side="left")
         times = np.searchsorted(self.keys, keys[hit], side="right") - low
         return np.repeat(hit, times), self.entries[np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())]
@@ -84,7 +108,7 @@ class KeyTable:
 class ItemIndex:
     ids: np.ndarray                 # item id per item
     items: list[np.ndarray]         # word hashes
-    tables: list[KeyTable]          # per walk and key
+    tables: dict[int, list[KeyTable]]    # by class, per walk and key
     seeds: dict[int, KeyTable]      # per length of a piece
     walks: int
     max_edits: float
@@ -100,11 +124,13 @@ def _symbols(item_words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, firsts
 
 
-def _keys_of(items: list[np.ndarray], numbers: np.ndarray, walk: int):
+def _keys_of(items: list[np.ndarray], numbers: np.ndarray, walk: int, cls: int, stride: int):
+    """Keys of the items of one class at each of their first words, and (item, word) of each."""
     symbols, firsts = _symbols(items)
-    at = np.concatenate([np.arange(f, f + max(1, len(w) - STEPS // 2 + 1)) for f, w in zip(firsts, items)])
-    entry = np.concatenate([(np.int64(i) << 32) | np.arange(max(1, len(w) - STEPS // 2 + 1)) for i, w in zip(numbers, items)])
-    return walk_keys(symbols, at, walk), entry
+    n = [min(stride + SLACK, len(w)) for w in items]
+    at = np.concatenate([np.arange(f, f + k) for f, k in zip(firsts, n)])
+    entry = np.concatenate([(np.int64(i) << 32) | np.arange(k) for i, k in zip(numbers, n)])
+    return walk_keys(symbols, at, walk, [cls], stride)[cls], entry
 
 
 def run_keys(symbols: np.ndarray, size: int) -> np.ndarray:
@@ -128,10 +154,6 @@ def _seeds_of(items: list[np.ndarray], numbers: np.ndarray, max_edits: float) ->
     return {size: KeyTable.of(np.array(k, np.uint64), np.array(e, np.int64)) for size, (k, e) in sorted(found.items())}
 
 
-def length_class(n: int) -> int:
-    return n if n < 16 else 16 + (min(n, 64) - 16) // 8
-
-
 def build_index(ids: list[int], texts: list[str], max_edits: float, min_words: int, recall: float, stride: int,
                 max_walks: int = 8) -> ItemIndex | None:
     h, counts = words.word_hashes(texts) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -141,18 +163,22 @@ def build_index(ids: list[int], texts: list[str], max_edits: float, min_words: i
     if not some:
         return None
     items = [h[cut[i]:cut[i + 1]] for i in some]
-    index = ItemIndex(np.array([ids[i] for i in some]), items, [], {}, 0, max_edits)
+    index = ItemIndex(np.array([ids[i] for i in some]), items, {}, {}, 0, max_edits)
     classes = np.array([length_class(len(w)) for w in items])
     exact = np.array([len(w) < SHORT for w in items])
-    walked = np.flatnonzero(~exact)
-    leaked = {c: simulated_leaks(index, np.flatnonzero(classes == c), stride) for c in np.unique(classes[walked]).tolist()}
-    short = set(leaked)                                          # classes still under the recall
+    walked = {c: np.flatnonzero(~exact & (classes == c)) for c in np.unique(classes[~exact]).tolist()}
+    leaked = {c: simulated_leaks(index, numbers, stride) for c, numbers in walked.items()}
+    index.tables = {c: [] for c in walked}
+    short = set(walked)                                          # classes still under the recall
     while short and index.walks < max_walks:
-        keys, entry = _keys_of([items[i] for i in walked], walked, index.walks)
-        index.tables += [KeyTable.of(keys[k], entry) for k in range(KEYS)]
+        for c in short:                                          # a class that has reached it reads no further walk
+            keys, entry = _keys_of([items[i] for i in walked[c]], walked[c], index.walks, c, stride)
+            index.tables[c] += [KeyTable.of(keys[k], entry) for k in range(KEYS)]
         index.walks += 1
         short = {c for c in short if not reaches(index, leaked[c], stride, recall)}
-    exact |= np.isin(classes, sorted(short))
+    for c in short:
+        exact[walked[c]], index.tables[c] = True, []
+    index.walks = max((len(t) // KEYS for t in index.tables.values()), default=0)
     index.seeds = _seeds_of(items, np.flatnonzero(exact), max_edits)
     return index
 
@@ -169,7 +195,7 @@ def simulated_leaks(index: ItemIndex, numbers: np.ndarray, stride: int, trials:
             at, kind = int(rng.integers(len(w))), int(rng.integers(3))
             fresh = other(1)[0]
             w[at:at + 1] = ([fresh], [fresh, w[at]], [])[kind] if len(w) > 1 else [fresh]
-        docs.append(np.concatenate([other(int(rng.integers(0, stride))), np.array(w, np.uint64), other(STEPS)]))
+        docs.append(np.concatenate([other(int(rng.integers(0, stride))), np.array(w, np.uint64), other(len(w))]))
         truth.append(i)
     return docs, truth
 
@@ -194,10 +220,12 @@ def candidates(index: ItemIndex, symbols: np.ndarray, firsts: np.ndarray, counts
     starts = firsts[owner] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
     found = [(np.zeros(0, np.int64),) * 3]
     for walk in range(index.walks):
-        keys = walk_keys(symbols, starts, walk)
-        for k in range(KEYS):
-            who, entry = index.tables[walk * KEYS + k].find(keys[k])
-            found.append((owner[who], entry >> 32, starts[who] - (entry & 0xFFFFFFFF)))
+        reading = [c for c, tables in index.tables.items() if len(tables) > walk * KEYS]
+        for c, keys in walk_keys(symbols, starts, walk, reading, stride).items():
+            for table, own in zip(index.tables[c][walk * KEYS:], keys):
+                who, entry = table.find(own)
+                if len(who):
+                    found.append((owner[who], entry >> 32, starts[who] - (entry & 0xFFFFFFFF)))
     for size, table in index.seeds.items():
         at, entry = table.find(run_keys(symbols, size))
         found.append((np.searchsorted(firsts, at, side="right") - 1, entry >> 32, at - (entry & 0xFFFFFFFF)))
@@ -211,8 +239,10 @@ def candidates(index: ItemIndex, symbols: np.ndarray, firsts: np.ndarray, counts
     return doc[new], item[new], place[new]
 
 
-def edit_distances(items: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
-    """Least word edits between each whole item and any stretch of its part, in lock step."""
+def edit_distances(items: list[np.ndarray], parts: list[np.ndarray], most: np.ndarray | None = None) -> np.ndarray:
+    """Least word edits between each whole item and any stretch of its part, in lock step; of those over ``most`` only
+    that they are."""
+    most = np.full(len(items), np.iinfo(np.int32).max, np.int64) if most is None else most
     rows, cols = max(map(len, items)), max(map(len, parts))
     a = np.zeros((len(items), rows), np.uint64)
     b = np.full((len(items), cols), np.uint64(1))
@@ -221,6 +251,14 @@ def edit_distances(items: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarr
     size = np.array([len(x) for x in items])
     step = np.arange(cols + 1)
     prev, best = np.zeros((len(items), cols + 1), np.int32), np.zeros(len(items), np.int64)
+    # an edit changes one word at most: an item with more words that are nowhere in its part is too far away
+    near = (a[:, :, None] == b[:, None, :]).any(2).sum(1) >= size - most
+    best[~near] = most[~near] + 1
+    if not near.any():
+        return best
+    if not near.all():
+        best[near] = edit_distances([x for x, n in zip(items, near) if n], [x for x, n in zip(parts, near) if n], most[near])
+        return best
     for r in range(rows):
         cur = prev + 1
         cur[:, 1:] = np.minimum(cur[:, 1:], prev[:, :-1] + (b != a[:, r:r + 1]))
@@ -251,7 +289,8 @@ def find_leaks(index: ItemIndex, texts: list[str], stride: int) -> tuple[np.ndar
                 items.append(index.items[it])
                 parts.append(symbols[a:max(a, b)])
                 pairs.append((first + d, it))
-            for pair, dist, w in zip(pairs, edit_distances(items, parts).tolist(), items):
+            most = (index.max_edits * lengths[pick]).astype(np.int64)
+            for pair, dist, w in zip(pairs, edit_distances(items, parts, most).tolist(), items):
                 if dist <= int(index.max_edits * len(w)):
                     out[pair] = min(dist, out.get(pair, dist))
     keys = np.array(sorted(out), np.int64).reshape(-1, 2)
@@ -276,7 +315,7 @@ def indexes(items: DataFrame, max_edits: float, min_words: int, recall: float, s
             yield index
 
 
-def leaks(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_words: int = 5, recall: float = 0.97, stride: int = 2,
+def leaks(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_words: int = 5, recall: float = 0.97, stride: int = 8,
           block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
           item_text: str = "text") -> DataFrame:
     """One row per document and item that it leaks: doc_id, item_id, distance (word edits),
@@ -294,7 +333,7 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_words:
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_words: int = 5, recall: float = 0.97,
-                 stride: int = 2, block_chars: int = 2_000_000, text_col: str = "text", item_id: str = "item_id",
+                 stride: int = 8, block_chars: int = 2_000_000, text_col: str = "text", item_id: str = "item_id",
                  item_text: str = "text") -> DataFrame:
     """The documents that leak no item, with all their columns."""
     small_batches(docs.sparkSession)

@@ -99,17 +99,21 @@ def gradients(p: dict[str, np.ndarray], c: np.ndarray, t: np.ndarray, ids: np.nd
     h = x + z @ p["wo"]
     f = np.maximum(h @ p["w1"] + p["b1"], 0)
     g = h + f @ p["w2"]
-    u = (g @ p["out"] + p["bias"]) / POWER + 1
-    e = u
-    for _ in range(POWER.bit_length() - 1):
-        e = e * e
-    e *= p["bigram"][c]
-    e /= e.sum(-1, keepdims=True)
-    rows, cols = np.arange(n)[:, None], np.arange(w)[None, :]
-    loss = -np.log(np.maximum(e[rows, cols, t], 1e-12)).mean()
-    dy = e
-    dy[rows, cols, t] -= 1
-    dy /= np.where(np.abs(u) < 0.05, np.float32(0.05), u) * np.float32(n * w)
+    u = g.reshape(-1, DIM) @ (p["out"] / np.float32(POWER))             # positions x classes: every pass counts
+    u += p["bias"] / np.float32(POWER) + np.float32(1)
+    e = u * u
+    for _ in range(POWER.bit_length() - 2):
+        e *= e
+    e *= p["bigram"][c.ravel()]
+    e *= 1 / e.sum(-1, keepdims=True)
+    at, target = np.arange(n * w), t.ravel()
+    loss = -np.log(np.maximum(e[at, target], 1e-12)).mean()
+    e[at, target] -= 1
+    if np.abs(u, out=(size := np.empty_like(u))).min() < 0.05:
+        u[size < 0.05] = 0.05
+    e /= u
+    e *= np.float32(1 / (n * w))
+    dy = e.reshape(n, w, -1)
     flat2 = lambda m: m.reshape(-1, m.shape[-1])
     d = {"out": flat2(g).T @ flat2(dy), "bias": flat2(dy).sum(0)}
     dg = dy @ p["out"].T
@@ -128,45 +132,85 @@ def gradients(p: dict[str, np.ndarray], c: np.ndarray, t: np.ndarray, ids: np.nd
     dx = dh + dq @ p["wq"].T + dk @ p["wk"].T + dv @ p["wv"].T
     for name, grad in (("wq", dq), ("wk", dk), ("wv", dv)):
         d[name] = flat2(x).T @ flat2(grad)
-    d["emb"] = np.stack([np.bincount(c.ravel(), dx[..., i].ravel(), CLASSES) for i in range(DIM)], 1).astype(np.float32)
-    if ids is not None:
-        rows, where = np.unique(ids.ravel(), return_inverse=True)
-        d["own"] = rows, np.stack([np.bincount(where, dx[..., i].ravel(), len(rows)) for i in range(DIM)], 1).astype(np.float32)
+    d["emb"] = np.zeros((CLASSES, DIM), np.float32)
+    if ids is None:
+        rows, sums = _summed(c.ravel(), flat2(dx))
+        d["emb"][rows] = sums
+    else:
+        rows, sums = _summed(ids.ravel(), flat2(dx))
+        d["own"] = rows, sums
+        first = np.empty(rows[-1] + 1, c.dtype)                         # the class of each id that was read
+        first[ids.ravel()] = c.ravel()
+        classes, sums = _summed(first[rows], sums)
+        d["emb"][classes] = sums
     return float(loss), d
 
 
-def train(p: dict[str, np.ndarray], stream: np.ndarray, of: np.ndarray | None = None, rate: float = 3e-3, batch: int = 64) -> dict[str, np.ndarray]:
-    """One pass of Adam over a stream of classes (texts one after another, each with its end), or
-    of ids with their classes ``of``. A row of ``own`` moves when its id is read."""
-    n = (len(stream) - 1) // REACH
-    if n < 1:
-        return p
-    inputs = stream[:n * REACH].reshape(n, REACH)
-    targets = stream[1:n * REACH + 1].reshape(n, REACH)
-    order = np.random.default_rng(3).permutation(n)
-    m, s, p = {}, {}, dict(p)
-    if of is not None:
-        p["own"], moved, squares = p["own"].copy(), np.zeros_like(p["own"]), np.zeros_like(p["own"])
-        turns = np.zeros((len(p["own"]), 1), np.float32)
-    steps = max(1, -(-n // batch))
-    for i in range(steps):
-        pick = order[i * batch:(i + 1) * batch]
-        a, b = inputs[pick], targets[pick]
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys in order, sums of their rows)."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(values[order], at, axis=0)
+
+
+class Trainer:
+    """Adam over a stream that comes in parts: ids with their classes ``of`` (or classes alone), texts one after another,
+    each with its end. Holds the weights, their moments and less than a window of the stream; every id is learned
+    from. ``expected`` ids set the fall of the learning rate. A row of ``own`` moves when its id is read."""
+
+    def __init__(self, p: dict[str, np.ndarray], expected: int, of: np.ndarray | None = None, rate: float = 3e-3, batch: int = 64):
+        self.p, self.of, self.rate, self.batch = dict(p), of, rate, batch
+        self.m, self.s, self.step, self.rest = {}, {}, 0, np.zeros(0, np.int64)
+        self.steps = max(1, -(-expected // (REACH * batch)))
+        if of is not None:
+            self.p["own"] = p["own"].copy()
+            self.moved, self.squares = np.zeros_like(p["own"]), np.zeros_like(p["own"])
+            self.turns = np.zeros((len(p["own"]), 1), np.float32)
+
+    def feed(self, stream: np.ndarray) -> None:
+        stream = np.concatenate([self.rest, stream])
+        n = (len(stream) - 1) // REACH
+        self._windows(stream, np.arange(max(n, 0)) * REACH)
+        self.rest = stream[max(n, 0) * REACH:]
+        self.tail = stream[-REACH - 1:] if len(stream) > REACH else None
+
+    def finish(self) -> dict[str, np.ndarray]:
+        """The weights, after a last window that ends with the stream; some of its ids are then read twice."""
+        if len(self.rest) > 1 and getattr(self, "tail", None) is not None:
+            self._windows(self.tail, np.zeros(1, np.int64))
+        return self.p
+
+    def _windows(self, stream: np.ndarray, begin: np.ndarray) -> None:
+        order = begin[np.random.default_rng(3).permutation(len(begin))]
+        for i in range(0, len(order), self.batch):
+            at = order[i:i + self.batch, None] + np.arange(REACH)
+            self._move(stream[at], stream[at + 1])
+
+    def _move(self, a: np.ndarray, b: np.ndarray) -> None:
+        p, of = self.p, self.of
         _, d = gradients(p, a, b) if of is None else gradients(p, of[a], of[b], a)
-        step = rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps)
+        i = self.step
+        self.step += 1
+        step = self.rate * min(1.0, (i + 1) / 20) * max(0.1, 1 - 0.9 * i / self.steps)
         if of is not None:
             rows, g = d.pop("own")
-            turns[rows] += 1
-            moved[rows] = 0.9 * moved[rows] + 0.1 * g
-            squares[rows] = 0.98 * squares[rows] + 0.02 * g * g
-            k = turns[rows]
-            p["own"][rows] -= np.float32(step) * (moved[rows] / (1 - 0.9 ** k)) / (np.sqrt(squares[rows] / (1 - 0.98 ** k)) + 1e-8)
+            self.turns[rows] += 1
+            self.moved[rows] = moved = 0.9 * self.moved[rows] + 0.1 * g
+            self.squares[rows] = squares = 0.98 * self.squares[rows] + 0.02 * g * g
+            k = self.turns[rows]
+            p["own"][rows] -= np.float32(step) * (moved / (1 - 0.9 ** k)) / (np.sqrt(squares / (1 - 0.98 ** k)) + 1e-8)
         for k, g in d.items():
-            m[k] = 0.9 * m.get(k, 0) + 0.1 * g
-            s[k] = 0.98 * s.get(k, 0) + 0.02 * g * g
-            p[k] = p[k] - np.float32(step) * (m[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(s[k] / (1 - 0.98 ** (i + 1))) + 1e-8)
-            p[k] = p[k].astype(np.float32)
-    return p
+            self.m[k] = 0.9 * self.m.get(k, 0) + 0.1 * g
+            self.s[k] = 0.98 * self.s.get(k, 0) + 0.02 * g * g
+            p[k] = (p[k] - np.float32(step) * (self.m[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(self.s[k] / (1 - 0.98 ** (i + 1))) + 1e-8)).astype(np.float32)
+
+
+def train(p: dict[str, np.ndarray], stream: np.ndarray, of: np.ndarray | None = None, rate: float = 3e-3, batch: int = 64) -> dict[str, np.ndarray]:
+    """One pass over a whole stream (see ``Trainer``)."""
+    trainer = Trainer(p, len(stream), of, rate, batch)
+    trainer.feed(stream)
+    return trainer.finish()
 
 
 class Scorer:

@@ -6,8 +6,10 @@ for the subword tokenizer, and one end. Two scores, both log10 probabilities of
 
 * ``score``: the attention model of ``attention.py``. Subword and class-bigram counts
   come from all documents to learn from; the weights are trained on all of them too, dealt over
-  ``rounds`` rounds by a hash: every task trains on its own part from common weights, the
-  weights are averaged by an aggregate after each round. ``share`` > 1 takes only 1/share of them.
+  ``rounds`` rounds by a hash: every trainer reads its own part, batch by batch, from common weights, the
+  weights are averaged by an aggregate after each round. A trainer's part is about TRAINER_IDS ids, whatever
+  the corpus and the cluster: more data means more trainers, and the scores of a corpus do not depend on partitions
+  or on the order of rows. ``share`` > 1 takes only 1/share of the documents.
 * ``base_score``: add-one word unigrams with exact counts over all documents to learn from.
   Blocks of documents ask for the counts of their distinct words, one message per block and
   bucket of the hash space; a bucket's task adds up and answers; answers meet the block's
@@ -32,8 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfeat.llm import bpe, words
-from sparkfeat.llm.attention import REACH, Scorer, Vocabulary, flat, start_parameters, train, unflat
-from sparkfeat.llm.common import map_batches, mix64, partitions, small_batches, stored, texts_of
+from sparkfeat.llm.attention import Scorer, Trainer, Vocabulary, flat, start_parameters, unflat
+from sparkfeat.llm.common import map_batches, mix64, partitions, release_memory, small_batches, stored, texts_of
 
 #: ASCII white space parts words
 IN_WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -246,28 +248,44 @@ def _added(pdf):
     return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "times": [times.astype("<f8").tobytes()], "value": [value.astype("<f8").tobytes()]})
 
 
-def trained(learn: DataFrame, kind, vocabulary: Vocabulary, parameters: dict, share: int, rounds: int) -> dict:
+#: What one trainer reads in a round.
+TRAINER_IDS = 1 << 21
+
+
+def trained(learn: DataFrame, kind, vocabulary: Vocabulary, parameters: dict, share: int, rounds: int, n_ids: int) -> dict:
     """Averaged weights after ``rounds`` rounds of local training, each on another 1/(share x
-    rounds) of the texts, by as many trainers as a third of the shuffle partitions. An id's own
+    rounds) of the texts (``n_ids`` ids in all). Copies of a text are dealt like different texts. An id's own
     vector is moved by the mean of its trainers' moves, by how often each has read it."""
     of = vocabulary.of.astype(np.int16)
+    trainers = max(1, -(-n_ids // (share * rounds * TRAINER_IDS)))
+    expected = n_ids // (share * rounds * trainers)
+    each = learn.groupBy("tid").agg(F.first("ids").alias("ids"), F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    draw = F.xxhash64("tid", "copy", F.lit("share"))
+    parts = stored(each.where(F.pmod(draw, F.lit(share * rounds)) < rounds).select(
+        F.pmod(draw, F.lit(share * rounds)).cast("int").alias("round"), F.pmod(F.xxhash64("tid", "copy", F.lit("trainer")), F.lit(trainers)).cast("int").alias("trainer"),
+        "tid", "copy", "ids"), "lm-parts")
     for r in range(rounds):
         def run(batches: Iterator[pa.RecordBatch], p=parameters) -> Iterator[pa.RecordBatch]:
-            stream = [ids_of(b, kind)[0].astype(kind) for b in batches if b.num_rows]
-            if sum(map(len, stream)) > REACH:
-                stream = np.concatenate(stream)
-                got = train(p, stream, of)
+            trainer, times = None, np.zeros(len(of), np.float32)
+            for b in batches:
+                if b.num_rows:
+                    trainer = trainer or Trainer(p, expected, of)
+                    ids = ids_of(b, kind)[0]
+                    times += np.bincount(ids, minlength=len(of))
+                    trainer.feed(ids)
+            if trainer:
+                got = trainer.finish()
                 weights = flat(got).astype(np.float32)
                 out = [(-1, np.ones(1, np.float32), weights)]
-                times = np.bincount(stream, minlength=len(of)).astype(np.float32)
                 moves = (got["own"] - p["own"]) * times[:, None]
                 out += [(i, times[i:i + OWN_ROWS], moves[i:i + OWN_ROWS]) for i in range(0, len(of), OWN_ROWS) if times[i:i + OWN_ROWS].any()]
                 chunk, n, value = zip(*out)
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunk, pa.int32()), "times": pa.array([x.tobytes() for x in n], pa.binary()),
                                                   "value": pa.array([x.tobytes() for x in value], pa.binary())})
-        mine = learn.where(F.pmod(F.xxhash64("tid", F.lit("share")), F.lit(share * rounds)) == r).select("ids")
-        got = mine.coalesce(max(1, partitions(learn.sparkSession) // 3)).mapInArrow(run, WEIGHTS).groupBy("chunk").applyInPandas(
-            _added, WEIGHTS).toArrow().to_pylist()                              # one row per chunk of ids
+            release_memory()
+        mine = (parts.where(F.col("round") == r).repartitionById(trainers, F.col("trainer"))
+                .sortWithinPartitions(F.xxhash64("tid", "copy", F.lit("order")), "tid", "copy").select("ids"))
+        got = mine.mapInArrow(run, WEIGHTS).groupBy("chunk").applyInPandas(_added, WEIGHTS).sort("chunk").toArrow().to_pylist()   # one row per chunk of ids
         own = parameters["own"].copy()
         for row in got:
             i, times, value = row["chunk"], np.frombuffer(row["times"], "<f8"), np.frombuffer(row["value"], "<f8")
@@ -298,7 +316,8 @@ def score_texts(docs: DataFrame, path: str, learn: Column, share: int = 1, round
     counts[ids] = times
     vocabulary = Vocabulary(counts, end_id)
     vocabulary.set_pairs(*counted(teach, kind, class_pairs(vocabulary)))         # at most classes x ids rows
-    scorer = Scorer(trained(teach, kind, vocabulary, start_parameters(vocabulary.after, n_ids=m.size), share, rounds), vocabulary)
+    scorer = Scorer(trained(teach, kind, vocabulary, start_parameters(vocabulary.after, n_ids=m.size), share, rounds,
+                            int(times.sum())), vocabulary)
 
     def score(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column("doc_id"), "learn": batch.column("learn"), "tid": batch.column("tid"),

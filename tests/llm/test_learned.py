@@ -135,9 +135,10 @@ def test_training_lowers_the_loss():
 def test_weights_are_trained_on_all_documents_to_learn_from(many, path, monkeypatch):
     kept = []
 
-    def counting(p, stream, *more):
-        return p | {"bias": p["bias"] + len(stream)}
-    monkeypatch.setattr(lm_score, "train", counting)
+    class Counting(attention.Trainer):
+        def feed(self, stream):
+            self.p = self.p | {"bias": self.p["bias"] + len(stream)}
+    monkeypatch.setattr(lm_score, "Trainer", Counting)
     monkeypatch.setattr(lm_score, "Scorer", lambda p, v: kept.append(p) or attention.Scorer(p, v))
     few = many.limit(120).coalesce(1)                               # one trainer
     lm_score.score_texts(few, path, F.lit(True)).count()
@@ -146,6 +147,40 @@ def test_weights_are_trained_on_all_documents_to_learn_from(many, path, monkeypa
     assert kept[0]["bias"].tolist() == [len(ids)] * attention.CLASSES
 
 
+def test_scores_depend_on_the_corpus_alone(spark, many, path, monkeypatch):
+    """Not on partitions, nor on the order of rows (but for the last digits of sums); copies are dealt over trainers."""
+    monkeypatch.setattr(lm_score, "TRAINER_IDS", 6000)
+    few = many.limit(60).union(many.limit(1)).union(many.limit(1))
+    few = spark.createDataFrame(few.collect(), few.schema)
+    got = []
+    for parts in (3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        rows = lm_score.score_texts(few.repartition(parts), path, F.col("doc_id") % 5 != 0).collect()
+        got.append(sorted((r.doc_id, round(r.score, 3), round(r.base_score, 3)) for r in rows))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got[0] == got[1] and len(got[0]) == 62
+
+
+def test_a_trainer_reads_every_id_however_its_stream_is_cut(monkeypatch):
+    rng = np.random.default_rng(8)
+    stream = rng.integers(0, 200, 1000)
+    p = attention.start_parameters(np.ones((attention.CLASSES, attention.CLASSES)))
+    seen = []
+    monkeypatch.setattr(attention.Trainer, "_move", lambda self, a, b: seen.append((a, b)))
+    for cuts in ([1000], [10, 500, 31, 459], [33] * 30 + [10]):
+        seen.clear()
+        trainer = attention.Trainer(p, 1000)
+        for part in np.split(stream, np.cumsum(cuts)[:-1]):
+            trainer.feed(part)
+        trainer.finish()
+        pairs = {(int(x), int(y)) for a, b in seen for x, y in zip(a.ravel(), b.ravel())}
+        assert pairs == set(zip(stream[:-1].tolist(), stream[1:].tolist()))
+        assert sum(a.size for a, _ in seen) == 1024                       # the last window begins a little earlier
+    short = attention.Trainer(p, 5)
+    short.feed(stream[:5])
+    assert short.finish()["bias"].tolist() == p["bias"].tolist()
+
+
 def test_rare_ids_of_one_class_are_told_apart():
     """Two rare ids of one class, each followed by a word of its own."""
     rng = np.random.default_rng(6)

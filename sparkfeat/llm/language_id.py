@@ -29,6 +29,7 @@ from sparkfeat.llm.common import id_text, map_batches, small_batches, texts_of
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (2, 3, 4)
 UND = "und"
+MAX_LANGS = 200                  # learned at most: rows of rarer values of a dirty column teach nothing
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
 
@@ -109,14 +110,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame, learn_from: Column | bool, per_lang: int, chars: int, id_col: str,
                     text_col: str, lang_col: str) -> list:
-    """About ``per_lang`` rows of each language, by a hash of the id; of a text, at most
+    """About ``per_lang`` rows of each of the MAX_LANGS most frequent languages, by a hash of the id; of a text, at most
     ``chars`` characters from a hashed place."""
     rows = docs.where(F.lit(True) if learn_from is True else learn_from).where(
         F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    count = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}      # one row a language
+    count = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGS).collect()}
     if not count:
         return []
     draw = (F.xxhash64(F.col(id_col).cast("string"), F.lit("language")).bitwiseAND((1 << 30) - 1)) / float(1 << 30)
+    # a language that is not learned has no share
     keep = F.create_map(*(F.lit(x) for k, n in count.items() for x in (k, min(1.0, per_lang / n))))
     at = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("place")), F.greatest(F.length(text_col) - chars, F.lit(0)) + 1).cast("int") + 1
     return rows.where(draw < keep[F.col(lang_col)]).select(

@@ -8,6 +8,12 @@ reread as the next stage's docs. All but the last return the columns of ``docume
 3. benchmark decontamination: documents that hold a benchmark item go;
 4. PII: personal data becomes keyed pseudonyms (``n_chars`` follows the text);
 5. packing: the remaining texts along a Hilbert curve, in sequences of 1024 ids.
+
+Defined results. A null text counts as empty where it is read and stays null until packing; stage 1 drops null,
+empty and letterless texts. Very long texts go whole through every stage. Rows that repeat one id and text are one
+document after stage 2; of near duplicates the least id stays (null ids last), of one id the text of
+least digest. Rows without an id are documents like others. An empty table, or one of which nothing is left, gives
+an empty result. Further columns of documents pass stages 1 to 4 unchanged, whatever their names.
 """
 
 from __future__ import annotations

@@ -37,3 +37,14 @@ def test_stages_handle_edge_cases(spark, edge, none):
         assert stage(spark, docs, SF).columns == docs.columns, name
         assert stage(spark, docs, SF).count() > 0, name
         assert stage(spark, docs.where("1 = 0"), SF).count() == 0, name
+
+
+def test_packing_of_edge_cases_and_a_run_on_nothing(spark, edge, none, tmp_path):
+    name, pack = corpus_pipeline.STAGES[-1]
+    pieces = pack(spark, edge, SF).collect()
+    assert sum(p.start == 0 for p in pieces) == edge.count() and {p.offset + p.length for p in pieces} <= set(range(1025))
+    assert pack(spark, none, SF).count() == 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.where("1 = 0").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -12,7 +12,12 @@ def test_report_null_is_non_numeric_and_row_counts(spark):
     per, summary = V.validate_dataset(df, defs)
     rows = {r["feature"]: r for r in per.collect()}
     assert rows["Age"]["errors"] == "Contains non-numeric values; Values above maximum (120)"
-    assert rows["Embarked"]["errors"] == "Contains invalid values: 1"
+    assert rows["Embarked"]["errors"] == "Contains invalid values: X"      # the values themselves, as many as are listed
+    assert rows["Embarked"]["value_counts"] == "C=1, S=1, X=1" and rows["Embarked"]["invalid_values"] == "X"
+    assert rows["Embarked"]["unique_values"] == 3 and rows["Embarked"]["invalid_value_count"] == 1
+    short, _ = V.validate_dataset(df.union(spark.createDataFrame([(1.0, "Y"), (1.0, "Y")], df.schema)), defs, listed=1)
+    odd = {r["feature"]: r for r in short.collect()}["Embarked"]
+    assert odd["errors"] == "Contains invalid values: X and 1 more" and odd["value_counts"] == "Y=2"
     s = summary.first()
     assert s["missing_columns"] == "Fare" and s["invalid_features"] == 3
     assert s["invalid_rows"] == 2 and s["valid_rows"] == 2     # row 2 (NULL age) and row 3

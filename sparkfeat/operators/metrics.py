@@ -211,15 +211,18 @@ def merge_sketches(sketches, keys: list):
 
 
 def slo_from_sketches(sketches, labels, p95_limit=SLO_P95_S, max_failure=SLO_MAX_FAILURE_RATE, k: int = SKETCH_K):
-    """window_start, labels, p95, its bounds p95_low and p95_high, n, failures, failure_rate, slo_ok, certain: whether
-    the verdict is the same anywhere between the bounds."""
+    """window_start, labels, p95, its bounds p95_low and p95_high by the rank error, n, failures, failure_rate, slo_ok,
+    certain: whether the exact verdict must be the same. For that the limit's rank has to be the rank error away from 0.95
+    and one place more, since a sketch has latencies themselves where the exact quantile lies between two of them."""
     error = sketch_rank_error(k)
     at = lambda p: F.when(F.col("latencies") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(float(min(max(p, 0.0), 1.0)))))
+    rank = F.when(F.col("latencies") > 0, F.kll_sketch_get_rank_double("sketch", F.lit(float(p95_limit))))
     out = sketches.select("window_start", *labels, "n", "failures", at(0.95).alias("p95"), at(0.95 - error).alias("p95_low"),
-                          at(0.95 + error).alias("p95_high"), (F.col("failures") / F.col("n")).alias("failure_rate"))
+                          at(0.95 + error).alias("p95_high"), (F.col("failures") / F.col("n")).alias("failure_rate"),
+                          (F.abs(rank - 0.95) > F.lit(error) + F.lit(1.0) / F.col("latencies")).alias("_clear"))
     fails = ~(F.col("failure_rate") < F.lit(max_failure))
-    return out.withColumn("slo_ok", (F.col("p95") < F.lit(p95_limit)) & ~fails).withColumn(
-        "certain", fails | (F.col("p95_high") < F.lit(p95_limit)) | (F.col("p95_low") >= F.lit(p95_limit)))
+    return out.withColumns({"slo_ok": (F.col("p95") < F.lit(p95_limit)) & ~fails,
+                            "certain": fails | F.coalesce(F.col("_clear"), F.lit(False))}).drop("_clear")
 
 
 # ------------------------------------------------------------------------ K6

@@ -315,7 +315,7 @@ def indexes(items: DataFrame, max_edits: float, min_words: int, recall: float, s
             yield index
 
 
-def leaks(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_words: int = 5, recall: float = 0.97, stride: int = 8,
+def leaks(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_words: int = 5, recall: float = 0.99, stride: int = 8,
           block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
           item_text: str = "text") -> DataFrame:
     """One row per document and item that it leaks: doc_id, item_id, distance (word edits),
@@ -332,7 +332,7 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_words:
     return functools.reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
-def drop_leaking(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_words: int = 5, recall: float = 0.97,
+def drop_leaking(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_words: int = 5, recall: float = 0.99,
                  stride: int = 8, block_chars: int = 2_000_000, text_col: str = "text", item_id: str = "item_id",
                  item_text: str = "text") -> DataFrame:
     """The documents that leak no item, with all their columns."""

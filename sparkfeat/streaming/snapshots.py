@@ -14,8 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +22,7 @@ from sparkfeat.streaming.streams import append_batches, rocksdb
 
 CHANGES = ("feature_set string, entity_id string, change string, features string, micros long, "
            "row_order long, expires_micros long")
+_CHANGE = Row(*[c.split()[0] for c in CHANGES.split(", ")])
 #: A change's rank among those of one row: its entry is put, then ends.
 RANK = {"put": 0, "delete": 0, "expire": 1}
 
@@ -35,30 +35,39 @@ class ExpiringEntry(StatefulProcessor):
         self.handle = handle
         self.entry = handle.getValueState("entry", "micros long, row_order long, deleted boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows))
-        now = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
-        seen = seen[seen.micros + self.ttl > now]
-        if seen.empty:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # runs for every entity of every batch: each call to the state store is a message to the JVM and back
+        now, best = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000, None
+        for r in rows:
+            if r.micros is not None and r.micros + self.ttl > now and (best is None or (r.micros, r.row_order) >= (best.micros, best.row_order)):
+                best = r
+        if best is None:
             return
-        best = seen.sort_values(["micros", "row_order"]).iloc[-1]
-        kept = self.entry.get() if self.entry.exists() else None
-        if kept and (int(best.micros), int(best.row_order)) <= (kept[0], kept[1]):
+        kept = self.entry.get()
+        if kept and (best.micros, best.row_order) <= (kept[0], kept[1]):
             return
-        self.entry.update((int(best.micros), int(best.row_order), bool(best.deleted)))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        ends = int(best.micros) + self.ttl
-        self.handle.registerTimer(-(-ends // 1000))                  # the first millisecond not before the end
+        self.entry.update((best.micros, best.row_order, best.deleted))
+        ends = best.micros + self.ttl
+        timer = self._timer(ends)
+        if kept and self._timer(kept[0] + self.ttl) != timer:         # an entry has one timer, at its end
+            self.handle.deleteTimer(self._timer(kept[0] + self.ttl))
+        if not kept or self._timer(kept[0] + self.ttl) != timer:
+            self.handle.registerTimer(timer)
         if not best.deleted:
             yield _change(key, "put", best.features, best.micros, best.row_order, ends)
         elif kept and not kept[2]:
             yield _change(key, "delete", None, best.micros, best.row_order, ends)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.entry.exists():
+    @staticmethod
+    def _timer(ends: int) -> int:
+        """The first millisecond not before the end."""
+        return -(-ends // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        kept = self.entry.get()
+        if not kept:
             return
-        micros, order, deleted = self.entry.get()
+        micros, order, deleted = kept
         if expiredTimerInfo.getExpiryTimeInMs() * 1000 >= micros + self.ttl:
             self.entry.clear()
             if not deleted:
@@ -68,9 +77,8 @@ class ExpiringEntry(StatefulProcessor):
         pass
 
 
-def _change(key, change: str, features, micros, order, ends) -> pd.DataFrame:
-    return pd.DataFrame([(key[0], key[1], change, features, int(micros), int(order), int(ends))],
-                        columns=[c.split()[0] for c in CHANGES.split(", ")])
+def _change(key, change: str, features, micros, order, ends) -> Row:
+    return _CHANGE(key[0], key[1], change, features, micros, order, ends)
 
 
 def snapshot_changes(stream: DataFrame, ts: str, feature_set: str, entity: Column, features: Column, order: Column, ttl_seconds: int,
@@ -84,7 +92,7 @@ def snapshot_changes(stream: DataFrame, ts: str, feature_set: str, entity: Colum
         F.coalesce(deleted if deleted is not None else F.lit(False), F.lit(False)).alias("deleted"))
     # rows of the clock share one key of their own, which is left out here: a filter before could be pushed below the watermark
     with rocksdb(stream.sparkSession):
-        changes = rows.groupBy("feature_set", "entity_id").transformWithStateInPandas(
+        changes = rows.groupBy("feature_set", "entity_id").transformWithState(
             ExpiringEntry(ttl_seconds * 1_000_000), CHANGES, "Append", "EventTime").where("entity_id is not null")
         return append_batches(changes, out, checkpoint)
 

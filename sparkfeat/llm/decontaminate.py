@@ -88,9 +88,11 @@ class KeyTable:
     filter: np.ndarray
 
     @classmethod
-    def of(cls, keys: np.ndarray, entries: np.ndarray) -> KeyTable:
+    def of(cls, keys: np.ndarray, entries: np.ndarray, shared: np.ndarray | None = None) -> KeyTable:
+        """With ``shared``, a filter that other tables are entered in too: every worker holds all tables of an index, and
+        the filters are most of it."""
         order = np.argsort(keys, kind="stable")
-        table = np.zeros(1 << FILTER_BITS, bool)
+        table = np.zeros(1 << FILTER_BITS, bool) if shared is None else shared
         table[keys >> np.uint64(64 - FILTER_BITS)] = True
         return cls(keys[order], entries[order], table)
 
@@ -173,7 +175,8 @@ def build_index(ids: list[int], texts: list[str], max_edits: float, min_words: i
     while short and index.walks < max_walks:
         for c in short:                                          # a class that has reached it reads no further walk
             keys, entry = _keys_of([items[i] for i in walked[c]], walked[c], index.walks, c, stride)
-            index.tables[c] += [KeyTable.of(keys[k], entry) for k in range(KEYS)]
+            shared = np.zeros(1 << FILTER_BITS, bool)                # of the walk's keys: a row of any is looked up in each
+            index.tables[c] += [KeyTable.of(keys[k], entry, shared) for k in range(KEYS)]
         index.walks += 1
         short = {c for c in short if not reaches(index, leaked[c], stride, recall)}
     for c in short:

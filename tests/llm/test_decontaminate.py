@@ -92,3 +92,20 @@ def test_edge_cases(spark, edge, none):
     assert kept.columns == edge.columns and kept.count() == len(EDGE) - 3
     assert D.leaks(none, bench).count() == 0 and D.leaks(edge, bench.limit(0)).count() == 0
     assert D.drop_leaking(edge, bench.limit(0)).count() == len(EDGE)
+
+
+def test_index_is_small_beside_its_worker():
+    """Every Python worker of an executor holds the whole index: its filters are shared by the keys of a walk."""
+    import pickle
+    import random
+
+    from sparkfeat.llm import decontaminate as D
+
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(n)) for n in (13, 18, 28, 40, 55, 70) for _ in range(40)]
+    index = D.build_index(list(range(len(texts))), texts, 0.2, 5, 0.99, 8)
+    tables = [t for own in index.tables.values() for t in own]
+    assert len(pickle.dumps(index)) < len(tables) * (1 << D.FILTER_BITS) / 4
+    for t in tables[:16]:
+        at, entry = t.find(t.keys)
+        assert set(at.tolist()) == set(range(len(t.keys))) and set(entry.tolist()) == set(t.entries.tolist())

@@ -216,38 +216,42 @@ class BpeMachine:
         return at
 
     def _spines(self):
-        """Per token the parts of its merge tree that touch its right and its left end, each
-        with the rank of the merge that consumes it."""
-        made = {self.id_of[self.bytes_of[a] + self.bytes_of[b]]: (r, a, b) for (a, b), r in self.rank.items()}
-
-        def spine(t: int, side: int) -> tuple:
-            parts, consumed = [], sys.maxsize
-            while True:
-                parts.append((t, consumed))
-                if t not in made:
-                    return tuple(parts)
-                consumed, t = made[t][0], made[t][side]
-        self.right_end = {t: spine(t, 2) for t in self.bytes_of}
-        self.left_end = {t: spine(t, 1) for t in self.bytes_of}
+        """Per token its two parts, -1 if no merge made it, and the rank of that merge: what a merge tree's right
+        and left ends are read from."""
+        self.part_1, self.part_2, self.made = [-1] * self.size, [-1] * self.size, [sys.maxsize] * self.size
+        for (a, b), r in self.rank.items():
+            t = self.id_of[self.bytes_of[a] + self.bytes_of[b]]
+            self.part_1[t], self.part_2[t], self.made[t] = a, b, r
 
     def _subtrees(self):
-        """Per trie node the tokens at or below it, where they are few."""
+        """Per trie node the tokens at or below it, where they are few. Nodes with the same share one list, leaves
+        one empty table."""
         self.below: list[list[int] | None] = [[] for _ in self.trie]
         for node in range(len(self.trie) - 1, -1, -1):     # children have higher numbers
             own = [self.token[node]] if self.token[node] >= 0 else []
-            for child in self.trie[node].values():
+            children = self.trie[node].values()
+            if not own and len(children) == 1:
+                self.below[node] = self.below[next(iter(children))]
+                continue
+            for child in children:
                 own = None if own is None or self.below[child] is None else own + self.below[child]
             self.below[node] = own if own is not None and len(own) <= FEW else None
+        leaf: dict[int, int] = {}
+        self.trie = [children or leaf for children in self.trie]
 
     def stays(self, a: int, b: int) -> bool:
         """Whether BPE leaves token a followed by token b as they are: no part at a's right
         end and part at b's left end merge before one of them is consumed. Of merges of equal
         rank the left one comes first."""
-        for x, until_x in self.right_end[a]:
-            for y, until_y in self.left_end[b]:
+        x, until_x = a, sys.maxsize
+        while x >= 0:
+            y, until_y = b, sys.maxsize
+            while y >= 0:
                 r = self.rank.get((x, y))
                 if r is not None and r < until_x and r <= until_y:
                     return False
+                y, until_y = self.part_1[y], self.made[y]
+            x, until_x = self.part_2[x], self.made[x]
         return True
 
     def _allowed(self, node: int, last: int):

@@ -323,7 +323,7 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_words:
           item_text: str = "text") -> DataFrame:
     """One row per document and item that it leaks: doc_id, item_id, distance (word edits),
     item_words."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, mb=4)
     rows, found = id_text(docs, id_col, text_col), []
     for index in indexes(items, max_edits, min_words, recall, stride, block_chars, item_id, item_text):
         def work(batch: pa.RecordBatch, index=index) -> dict:
@@ -339,7 +339,7 @@ def drop_leaking(docs: DataFrame, items: DataFrame, max_edits: float = 0.2, min_
                  stride: int = 8, block_chars: int = 2_000_000, text_col: str = "text", item_id: str = "item_id",
                  item_text: str = "text") -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, mb=4)
     for index in indexes(items, max_edits, min_words, recall, stride, block_chars, item_id, item_text):
         def keep(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
             doc, _, _ = find_leaks(index, [t or "" for t in batch.column(text_col).to_pylist()], stride)

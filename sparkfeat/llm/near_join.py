@@ -238,7 +238,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tree
                  recall: float = 0.9999, block: int = 192, probes: int = 200, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, tid (a digest of the text), sid (of its set, null without a word), n_shingles;
     sets: sid, class_id, n_links, head: the class's first document by id, null ids last, and tid)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, mb=4)
     rows = id_text(docs, id_col, text_col).withColumn("tid", F.md5("text"))
     counts = np.zeros((2, max_depth + 1), np.int64)
     if sample := sampled_sets(rows, probes, shingle):

@@ -114,7 +114,7 @@ def pack(docs: DataFrame, path: str, seq_len: int = 1024, end_id: int = 0, id_co
     doc_tokens, sequence_id, offset; with ``with_ids`` also ids: the piece's ids as
     little-endian unsigned 32-bit numbers."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, mb=4)
     table = stored(tokenized(docs, path, end_id, id_col, text_col), "pack-ids")
     part_of, n_parts = range_parts(table, "place", partitions(spark))
 

@@ -2,7 +2,8 @@
 
 import __spark_entry__
 import corpus_pipeline
-from sparkfeat.llm import decontaminate, language_id
+from sparkfeat.llm import decontaminate, language_id, near_join, packing
+from sparkfeat.llm.common import tokenizer_path
 
 from .test_near_join import brute
 
@@ -48,3 +49,11 @@ def test_packing_of_edge_cases_and_a_run_on_nothing(spark, edge, none, tmp_path)
     docs.where("1 = 0").write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_send_small_batches(spark, docs):
+    """A batch is held several times over, beside the tables of its worker."""
+    for stage in (lambda: near_join.near_classes(docs.limit(20)), lambda: packing.pack(docs.limit(20), tokenizer_path())):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+        stage()
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"

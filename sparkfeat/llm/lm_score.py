@@ -15,7 +15,8 @@ for the subword tokenizer, and one end. Two scores, both log10 probabilities of
   bucket of the hash space; a bucket's task adds up and answers; answers meet the block's
   postings again. A word is asked for once a block however frequent it is.
 
-The result is the same for equal texts and is joined to the documents by the text's digest.
+The result is the same for equal texts and is joined to the documents by the text's digest: subword ids are
+kept, counted with their copies, and scored once for each different text.
 
 Defined results: a null text counts as empty, an empty text is the end alone; documents with
 null ids are scored (and learned from only if the caller's condition says so); repeated rows are
@@ -41,6 +42,8 @@ from sparkfeat.llm.common import map_batches, mix64, partitions, release_memory,
 IN_WORD = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 OTHER_CODE = mix64(np.arange(256), 9) >> np.uint64(1)
 END_WORD = (np.uint64(1), np.uint64(1))
+#: A word in a message: 96 bits of its two hashes.
+WORD = np.dtype([("one", "<u8"), ("two", "<u4")])
 BLOCK_CHARS = 4_000_000
 ASKED = "kind int, block string, bucket int, a binary, b binary, c binary, d binary, e binary"
 RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -97,7 +100,8 @@ def _ask(n_buckets: int):
         h1, h2, bucket = h1[new], h2[new], bucket[new]
         learned = np.bincount(word, times * learn[doc], len(h1)).astype("<u4")
         cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-        both = np.stack([h1, h2], 1)
+        both = np.empty(len(h1), WORD)
+        both["one"], both["two"] = h1, h2.astype(np.uint32)
         for k in range(n_buckets):
             i, j = cut[k], cut[k + 1]
             if i < j:
@@ -137,17 +141,17 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, keys, learned, bucket = [], [], [], None
     for b in batches:
         names += b.column("block").to_pylist()
-        keys += [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in b.column("a").to_pylist()]
+        keys += [np.frombuffer(x, WORD) for x in b.column("a").to_pylist()]
         learned += [np.frombuffer(x, "<u4") for x in b.column("b").to_pylist()]
         bucket = b.column("bucket")[0].as_py() if b.num_rows else bucket
     if not names:
         return
     sizes = [len(k) for k in keys]
     keys, learned = np.concatenate(keys), np.concatenate(learned).astype(np.float64)
-    order = np.lexsort((keys[:, 1], keys[:, 0]))
-    k = keys[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]).any(1)])
-    group = np.empty(len(k), np.int64)
+    order = np.lexsort((keys["two"], keys["one"]))
+    one, two = keys["one"][order], keys["two"][order]
+    new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+    group = np.empty(len(keys), np.int64)
     group[order] = np.cumsum(new) - 1
     total = np.bincount(group, learned)
     answer, at = total[group].astype("<u8"), 0
@@ -186,11 +190,12 @@ def base_scores(asked: DataFrame, n_buckets: int) -> tuple[DataFrame, int]:
     return each.groupBy("tid").agg(*[F.first(x).alias(x) for x in ("n_tokens", "n_known", "base_score")]), int(total)
 
 
-IDS = "doc_id long, learn boolean, tid string, ids binary"
+IDS = "tid string, ids binary, learn boolean"
 
 
 def subword_table(rows: DataFrame, path: str, end_id: int) -> DataFrame:
-    """The documents' subword ids, written once and read by all later passes."""
+    """The subword ids of every different text with ``n``, how many documents to learn from have it; written once and
+    read by all later passes."""
     kind = id_type(path)
 
     def work(batch: pa.RecordBatch) -> dict:
@@ -198,10 +203,10 @@ def subword_table(rows: DataFrame, path: str, end_id: int) -> DataFrame:
         ids, counts = subwords(path, texts, end_id)
         cuts = np.concatenate([[0], np.cumsum(counts)])
         ids = ids.astype(kind)
-        return {"doc_id": batch.column("doc_id"), "learn": batch.column("learn"),
-                "tid": [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts],
-                "ids": pa.array([ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())}
-    return stored(map_batches(rows, work, IDS), "lm-ids")
+        return {"tid": [hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts],
+                "ids": pa.array([ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()), "learn": batch.column("learn")}
+    each = map_batches(rows, work, IDS).groupBy("tid").agg(F.first("ids").alias("ids"), F.count_if("learn").alias("n"))
+    return stored(each, "lm-ids")
 
 
 def id_type(path: str):
@@ -220,11 +225,16 @@ def counted(learn: DataFrame, kind, keys_of) -> tuple[np.ndarray, np.ndarray]:
         keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
             if b.num_rows:
-                new, n = np.unique(keys_of(ids_of(b, kind)[0]), return_counts=True)
+                ids, sizes = ids_of(b, kind)
+                new, n = np.unique(keys_of(ids), return_counts=True)
+                copies = b.column("n").to_numpy() - 1
+                if copies.any():                                 # a text counts once for each of its documents
+                    again = np.repeat(copies, sizes)
+                    np.add.at(n, np.searchsorted(new, keys_of(ids)[again > 0]), again[again > 0])
                 keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
                 times = np.bincount(where, np.concatenate([times, n]), len(keys)).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "n": pa.array(times, pa.int64())})
-    got = learn.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).sort("key").toArrow()
+    got = learn.select("ids", "n").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).sort("key").toArrow()
     return got.column("key").to_numpy(), got.column("n").to_numpy()
 
 
@@ -254,16 +264,12 @@ TRAINER_IDS = 1 << 21
 
 def trained(learn: DataFrame, kind, vocabulary: Vocabulary, parameters: dict, share: int, rounds: int, n_ids: int) -> dict:
     """Averaged weights after ``rounds`` rounds of local training, each on another 1/(share x
-    rounds) of the texts (``n_ids`` ids in all). Copies of a text are dealt like different texts. An id's own
+    rounds) of the texts (``n_ids`` ids in all), read from ``learn`` in each round. Copies of a text are dealt like different texts. An id's own
     vector is moved by the mean of its trainers' moves, by how often each has read it."""
     of = vocabulary.of.astype(np.int16)
     trainers = max(1, -(-n_ids // (share * rounds * TRAINER_IDS)))
     expected = n_ids // (share * rounds * trainers)
-    each = learn.groupBy("tid").agg(F.first("ids").alias("ids"), F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
-    draw = F.xxhash64("tid", "copy", F.lit("share"))
-    parts = stored(each.where(F.pmod(draw, F.lit(share * rounds)) < rounds).select(
-        F.pmod(draw, F.lit(share * rounds)).cast("int").alias("round"), F.pmod(F.xxhash64("tid", "copy", F.lit("trainer")), F.lit(trainers)).cast("int").alias("trainer"),
-        "tid", "copy", "ids"), "lm-parts")
+    trainer_of = F.pmod(F.xxhash64("tid", "copy", F.lit("trainer")), F.lit(trainers))
     for r in range(rounds):
         def run(batches: Iterator[pa.RecordBatch], p=parameters) -> Iterator[pa.RecordBatch]:
             trainer, times = None, np.zeros(len(of), np.float32)
@@ -283,7 +289,9 @@ def trained(learn: DataFrame, kind, vocabulary: Vocabulary, parameters: dict, sh
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunk, pa.int32()), "times": pa.array([x.tobytes() for x in n], pa.binary()),
                                                   "value": pa.array([x.tobytes() for x in value], pa.binary())})
             release_memory()
-        mine = (parts.where(F.col("round") == r).repartitionById(trainers, F.col("trainer"))
+        own_copies = F.filter(F.sequence(F.lit(1).cast("long"), "n"), lambda c: F.pmod(F.xxhash64("tid", c, F.lit("share")), F.lit(share * rounds)) == F.lit(r))
+        mine = (learn.select("tid", "ids", F.explode(own_copies).alias("copy"))
+                .repartitionById(trainers, trainer_of.cast("int"))
                 .sortWithinPartitions(F.xxhash64("tid", "copy", F.lit("order")), "tid", "copy").select("ids"))
         got = mine.mapInArrow(run, WEIGHTS).groupBy("chunk").applyInPandas(_added, WEIGHTS).sort("chunk").toArrow().to_pylist()   # one row per chunk of ids
         own = parameters["own"].copy()
@@ -310,7 +318,7 @@ def score_texts(docs: DataFrame, path: str, learn: Column, share: int = 1, round
     asked = stored(rows.mapInArrow(_ask(n_buckets), ASKED), "lm-asked")
     base, total = base_scores(asked, n_buckets)
     table = subword_table(rows, path, end_id)
-    teach = table.where("learn")
+    teach = table.where("n > 0")
     ids, times = counted(teach, kind, lambda x: x)                               # at most one row per id
     counts = np.zeros(m.size)
     counts[ids] = times
@@ -320,9 +328,8 @@ def score_texts(docs: DataFrame, path: str, learn: Column, share: int = 1, round
                             int(times.sum())), vocabulary)
 
     def score(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "learn": batch.column("learn"), "tid": batch.column("tid"),
-                "score": pa.array(scorer.score(*ids_of(batch, kind)))}
+        return {"tid": batch.column("tid"), "score": pa.array(scorer.score(*ids_of(batch, kind)))}
 
-    scored = map_batches(table, score, "doc_id long, learn boolean, tid string, score double")
-    return scored.join(base, "tid").select(
+    scored = map_batches(table.select("tid", "ids"), score, "tid string, score double").join(base, "tid")
+    return rows.select("doc_id", "learn", F.md5("text").alias("tid")).join(scored, "tid").select(
         "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -161,6 +161,38 @@ def test_scores_depend_on_the_corpus_alone(spark, many, path, monkeypatch):
     assert got[0] == got[1] and len(got[0]) == 62
 
 
+def test_subword_ids_are_stored_once_a_text_and_learned_from_with_all_copies(spark, path, monkeypatch):
+    """No further table of ids is written for the trainers."""
+    rows = [(i, t) for i, t in enumerate(["one text here", "one text here", "Another text", None, "", "one text here"])] + [(None, "last one"), (1, "one text here")]
+    df, tables, counts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), {}, []
+
+    def stored(df, name, real=lm_score.stored):
+        tables[name] = real(df, name)
+        return tables[name]
+    monkeypatch.setattr(lm_score, "stored", stored)
+    monkeypatch.setattr(lm_score, "Vocabulary", lambda c, end: counts.append(c) or attention.Vocabulary(c, end))
+    got = lm_score.score_texts(df, path, F.coalesce(F.col("doc_id") < 5, F.lit(False))).collect()
+    assert len(got) == len(rows) and {r.score for r in got if r.doc_id in (0, 1, 5)} == {got[[r.doc_id for r in got].index(0)].score}
+    assert {r.doc_id for r in got if r.held_out} == {5, None}
+    kept = [t for t in tables.values() if "ids" in t.columns]
+    assert [t.count() for t in kept] == [4]                            # of 8 rows; null and empty are one text
+    end = max(lm_score.bpe.machine(path).special.values())
+    ids, _ = lm_score.subwords(path, [t or "" for i, t in rows if i is not None and i < 5], end)
+    assert counts[0].tolist() == np.bincount(ids, minlength=len(counts[0])).tolist()
+
+
+def test_a_word_takes_twelve_bytes_in_a_message():
+    import pyarrow as pa
+    keys = np.zeros(3, lm_score.WORD)
+    keys["one"], keys["two"] = [5, 5, 6], [1, 2, 1]
+    assert keys.itemsize == 12
+    sent = pa.RecordBatch.from_pydict({"block": ["x", "y"], "bucket": pa.array([0, 0], pa.int32()), "a": [keys.tobytes(), keys[1:].tobytes()],
+                                       "b": [np.array(n, "<u4").tobytes() for n in ([1, 2, 0], [3, 0])]})
+    x, y = lm_score._answer(iter([sent]))
+    assert np.frombuffer(x["counts"][0].as_py(), "<u8").tolist() == [1, 5, 0] and np.frombuffer(y["counts"][0].as_py(), "<u8").tolist() == [5, 0]
+    assert x["total"][0].as_py() == 6 and x["distinct_words"][0].as_py() == 2
+
+
 def test_a_trainer_reads_every_id_however_its_stream_is_cut(monkeypatch):
     rng = np.random.default_rng(8)
     stream = rng.integers(0, 200, 1000)
